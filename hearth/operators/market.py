@@ -79,45 +79,52 @@ def column_types(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair, long form (col_a, col_b, r).
 
-    Two passes: column means (one row, broadcast), then one aggregate of
-    centred sums per pair over rows where both values are present (R11).
-    The centred form avoids the cancellation of raw sums; zero variance
-    gives NULL through ``try_divide`` instead of an ANSI error (R10).
+    Two passes: column means (one row, broadcast), then each row is fanned
+    out to one (pair, a, b) record per unordered pair and a single aggregate
+    grouped by pair sums the centred products over rows where both values
+    are present (R11). Partial aggregation leaves one record per pair per
+    partition to shuffle. The centred form avoids the cancellation of raw
+    sums; zero variance gives NULL instead of an ANSI error (R10).
     """
     cols = cols or numeric_columns(df, exclude=("id",))
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     means = x.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
     xc = attach(x, means).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in cols])
-    aggs = []
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        ca, cb = F.when(both, F.col(a)), F.when(both, F.col(b))
-        aggs += [F.count(ca).alias(f"n{i}"), F.sum(ca).alias(f"sa{i}"), F.sum(cb).alias(f"sb{i}"),
-                 F.sum(ca * ca).alias(f"saa{i}"), F.sum(cb * cb).alias(f"sbb{i}"),
-                 F.sum(ca * cb).alias(f"sab{i}")]
-    for c in cols:
-        aggs.append(F.count(c).alias(f"cnt_{c}"))
-        aggs.append(F.max(c).alias(f"max_{c}"))
-        aggs.append(F.min(c).alias(f"min_{c}"))
-    s = xc.agg(*aggs) if aggs else xc.limit(0)
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        n = F.col(f"n{i}").cast("double")
-        cov = F.col(f"sab{i}") - F.try_divide(F.col(f"sa{i}") * F.col(f"sb{i}"), n)
-        va = F.col(f"saa{i}") - F.try_divide(F.col(f"sa{i}") * F.col(f"sa{i}"), n)
-        vb = F.col(f"sbb{i}") - F.try_divide(F.col(f"sb{i}") * F.col(f"sb{i}"), n)
-        r = F.try_divide(cov, F.sqrt(va * vb))
-        r = F.when((va <= 0) | (vb <= 0), F.lit(None).cast("double")).otherwise(r)
-        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-        entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
-        entries.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("r")))
-    for c in cols:
-        # Diagonal: 1 unless the column is constant or has < 2 values.
-        diag = F.when((F.col(f"cnt_{c}") >= 2) & (F.col(f"max_{c}") > F.col(f"min_{c}")),
-                      F.lit(1.0)).otherwise(F.lit(None).cast("double"))
-        entries.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), diag.alias("r")))
-    return s.select(F.inline(F.array(*entries)))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    pa = F.array(*[F.lit(cols.index(a) + 1) for a, _ in pairs])
+    pb = F.array(*[F.lit(cols.index(b) + 1) for _, b in pairs])
+    # Expression size stays O(columns): one value array per row, then the
+    # pair index picks both members.
+    vals = xc.select(F.array(*[F.col(c) for c in cols]).alias("v"))
+    fan = vals.select("v", F.explode(F.sequence(F.lit(1), F.lit(len(pairs)))).alias("pair"))
+    fan = fan.select("pair", F.element_at("v", F.element_at(pa, F.col("pair"))).alias("a"),
+                     F.element_at("v", F.element_at(pb, F.col("pair"))).alias("b"))
+    fan = fan.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    a, b = F.col("a"), F.col("b")
+    s = fan.groupBy("pair").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"),
+        F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"),
+        F.max(a).alias("amax"), F.min(a).alias("amin"), F.max(b).alias("bmax"), F.min(b).alias("bmin"))
+    n = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    va = F.col("saa") - F.col("sa") * F.col("sa") / n
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    constant = (F.col("amax") == F.col("amin")) | (F.col("bmax") == F.col("bmin")) | (n < 2)
+    r = F.when(constant, F.lit(None).cast("double")).otherwise(
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, F.sqrt(va * vb)))))
+    names = F.array(*[F.lit(c) for c in cols])
+    rs = s.select(F.element_at(names, F.element_at(pa, F.col("pair"))).alias("col_a"),
+                  F.element_at(names, F.element_at(pb, F.col("pair"))).alias("col_b"),
+                  F.when(F.element_at(pa, F.col("pair")) == F.element_at(pb, F.col("pair")),
+                         F.when(constant, F.lit(None).cast("double")).otherwise(F.lit(1.0)))
+                   .otherwise(r).alias("r"))
+    # Mirror the upper triangle; a pair no row covers has no record (r NULL
+    # via the spine of all ordered pairs).
+    mirrored = rs.unionByName(rs.filter(F.col("col_a") != F.col("col_b"))
+                              .select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r"))
+    spark = df.sparkSession
+    spine = spark.createDataFrame([(a, b) for a in cols for b in cols], "col_a string, col_b string")
+    return spine.join(mirrored, ["col_a", "col_b"], "left")
 
 
 def summary_stats(df: DataFrame, exact: bool = True, with_time: bool = False) -> DataFrame:

@@ -29,7 +29,8 @@ def round_doubles(df: DataFrame, dp: int = 4, overrides: dict | None = None) ->
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), overrides.get(f.name, dp)).alias(f.name))
+            # "+ 0.0" turns a rounded -0.0 into 0.0 (same bits on every engine)
+            cols.append((F.round(F.col(f.name), overrides.get(f.name, dp)) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
