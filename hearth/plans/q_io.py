@@ -1 +1,108 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks, checked by read-back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hearth import sinks
+from hearth.operators import market as mk
+from hearth.operators.util import round_doubles
+from hearth.plans.registry import register
+from hearth.schema import RAW_SALES_SCHEMA
+from hearth.session import scratch_path
+from hearth.sources import files as fi
+from hearth.sources import fixtures as sfx
+
+RAW_ROUNDED = ("SELECT * REPLACE (round(price, 6) AS price, round(bathrooms, 6) AS bathrooms, "
+               "round(floors, 6) AS floors, round(lat, 6) AS lat, round(long, 6) AS long) FROM raw_sales")
+
+
+@register("scan_csv", RAW_ROUNDED)
+def q_scan_csv(spark, d):
+    """Land raw sales as CSV (``land_upload``), scan it back with the
+    explicit schema."""
+    landing = scratch_path(spark, "landing")
+    part = sinks.land_upload(sfx.raw_sales(spark, d), landing, "20240101_000000")
+    return round_doubles(fi.scan_csv(spark, part), 6)
+
+
+@register("land_upload", RAW_ROUNDED.replace("FROM raw_sales", ", '20240101_000000' AS load_ts FROM raw_sales"))
+def q_land_upload(spark, d):
+    landing = scratch_path(spark, "landing")
+    sinks.land_upload(sfx.raw_sales(spark, d), landing, "20240101_000000")
+    from pyspark.sql import types as T
+    schema = T.StructType(RAW_SALES_SCHEMA.fields + [T.StructField("load_ts", T.StringType())])
+    back = spark.read.schema(schema).option("header", True).csv(landing)
+    return round_doubles(back, 6)
+
+
+@register("export_csv", RAW_ROUNDED)
+def q_export_csv(spark, d):
+    p = sinks.export_csv(sfx.raw_sales(spark, d), scratch_path(spark, "export"))
+    return round_doubles(fi.scan_csv(spark, p), 6)
+
+
+@register("snapshot_cache", RAW_ROUNDED.replace("FROM raw_sales", "FROM raw_sales ORDER BY id LIMIT 1000"))
+def q_snapshot(spark, d):
+    t = sinks.snapshot_cache(sfx.raw_sales(spark, d), scratch_path(spark, "properties_cache"))
+    return round_doubles(t, 6)
+
+
+@register("scan_table", """
+SELECT event_type, count(*) AS count, max(timestamp) AS last_event FROM analytics_events
+WHERE user_id >= 10 GROUP BY event_type""")
+def q_scan_table(spark, d):
+    return fi.scan_table(
+        spark,
+        "SELECT event_type, COUNT(*) AS count, MAX(timestamp) AS last_event "
+        "FROM analytics_events WHERE user_id >= ? GROUP BY event_type",
+        args=[10], views={"analytics_events": sfx.analytics_events(spark, d)})
+
+
+@register("append_listing", """
+SELECT id, 'Listing ' || CAST(id AS VARCHAR) AS title, 'Derived listing' AS description, price, bedrooms,
+       bathrooms, sqft_living, zipcode, coalesce(grade, 7) AS grade, coalesce(condition, 3) AS condition,
+       coalesce(waterfront, 0) AS waterfront, coalesce(view, 0) AS view, 'active' AS status, 0 AS featured
+FROM (SELECT id, price, bedrooms, bathrooms, sqft_living, zipcode,
+             CASE WHEN id % 7 = 0 THEN NULL ELSE grade END AS grade, condition, waterfront, view
+      FROM raw_sales)""")
+def q_append_listing(spark, d):
+    r = sfx.raw_sales(spark, d)
+    new = r.select("id", F.concat(F.lit("Listing "), F.col("id").cast("string")).alias("title"),
+                   F.lit("Derived listing").alias("description"), "price", "bedrooms", "bathrooms",
+                   "sqft_living", "zipcode",
+                   F.when(F.col("id") % 7 == 0, F.lit(None).cast("int")).otherwise(F.col("grade")).alias("grade"),
+                   "condition", "waterfront", "view")
+    p = sinks.append_listing(new, scratch_path(spark, "listings"))
+    return spark.read.parquet(p).drop("created_at", "updated_at")
+
+
+@register("append_load_event")
+def q_append_load_event(spark, d):
+    p = sinks.append_load_event(sfx.sales(spark, d), scratch_path(spark, "events"), 1, "s-1")
+    return spark.read.parquet(p)
+
+
+@register("export_summary_csv")
+def q_export_summary_csv(spark, d):
+    p = sinks.export_summary_csv(mk.summary_stats(sfx.sales(spark, d)), scratch_path(spark, "summary_csv"))
+    return spark.read.option("header", True).csv(p)
+
+
+@register("export_summary_json")
+def q_export_summary_json(spark, d):
+    p = sinks.export_summary_json(mk.summary_stats(sfx.sales(spark, d)), scratch_path(spark, "summary_json"))
+    return spark.read.json(p)
+
+
+@register("export_correlation_json")
+def q_export_corr(spark, d):
+    p = sinks.export_correlation_json(mk.correlation_matrix(sfx.sales(spark, d)), scratch_path(spark, "corr"))
+    return spark.read.json(p)
+
+
+@register("upload_catalog")
+def q_upload_catalog(spark, d):
+    landing = scratch_path(spark, "landing")
+    sinks.land_upload(sfx.raw_sales(spark, d), landing, "20240101_000000")
+    return fi.upload_catalog(spark, landing)

@@ -1 +1,180 @@
-"""Registered queries."""
+"""Registered queries: models. Split, encodings, scaling, the one-feature
+least-squares fit and the metrics are checked against SQL; tree models,
+cross-validation, persistence and attributions get property checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hearth.functions.features import size_category
+from hearth.operators import ml
+from hearth.operators.util import round_doubles
+from hearth.plans.registry import register
+from hearth.schema import MODEL_FEATURES
+from hearth.session import scratch_path
+from hearth.sources import fixtures as sfx
+
+TEST = "substr(md5(CAST(id AS VARCHAR) || '-42'), 1, 4) < '3333'"
+
+
+def _s(spark, d):
+    return sfx.sales(spark, d)
+
+
+@register("split", f"SELECT id, {TEST} AS is_test FROM sales")
+def q_split(spark, d):
+    return _s(spark, d).select("id", ml.test_flag().alias("is_test"))
+
+
+@register("one_hot", """
+SELECT id, CAST(size_category = 'Medium' AS INTEGER) AS size_category_Medium,
+       CAST(size_category = 'Small' AS INTEGER) AS size_category_Small
+FROM (SELECT id, CASE WHEN sqft_living < 1500 THEN 'Small' WHEN sqft_living < 3000 THEN 'Medium'
+                      ELSE 'Large' END AS size_category FROM sales)""")
+def q_one_hot(spark, d):
+    s = _s(spark, d).select("id", size_category().alias("size_category"))
+    return ml.one_hot(s, "size_category")
+
+
+def _std_sql() -> str:
+    feats = MODEL_FEATURES
+    stats = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in feats)
+    cols = ", ".join(f"round(({c} - mu_{c}) / CASE WHEN sd_{c} = 0 OR sd_{c} IS NULL THEN 1.0E0 ELSE sd_{c} END, 6)"
+                     f" + 0.0E0 AS {c}" for c in feats)
+    return (f"WITH st AS (SELECT {stats} FROM sales WHERE NOT ({TEST}))\n"
+            f"SELECT id, {cols} FROM sales CROSS JOIN st WHERE {TEST}")
+
+
+@register("standardize", _std_sql())
+def q_standardize(spark, d):
+    train, test = ml.split(_s(spark, d).select("id", *MODEL_FEATURES))
+    _, t = ml.standardize(train, test, MODEL_FEATURES)
+    return round_doubles(t, 6)
+
+
+@register("fit_linear", f"""
+SELECT round(regr_intercept(price, sqft_living), 2) AS intercept, round(regr_slope(price, sqft_living), 6) AS slope,
+       count(*) AS n_train
+FROM sales WHERE NOT ({TEST})""")
+def q_fit_linear(spark, d):
+    train, _ = ml.split(_s(spark, d))
+    m = ml.fit(train, ml.linear_estimator(), ["sqft_living"], min_features=1)
+    lr = m.stages[-1]
+    coef = lr.coefficients.toArray()
+    n = train.count()
+    return spark.createDataFrame(
+        [(round(float(lr.intercept), 2), round(float(coef.sum()), 6), n)],
+        "intercept double, slope double, n_train bigint")
+
+
+@register("regression_metrics", f"""
+WITH tr AS (SELECT * FROM sales WHERE NOT ({TEST})),
+te AS (SELECT * FROM sales WHERE {TEST}),
+zm AS (SELECT zipcode, avg(price) AS yhat FROM tr GROUP BY zipcode),
+pr AS (SELECT te.price AS y, zm.yhat AS p FROM te JOIN zm ON te.zipcode = zm.zipcode)
+SELECT count(*) AS n, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse,
+       round(1 - sum((y - p) * (y - p)) / (SELECT sum((y - m) * (y - m)) FROM pr, (SELECT avg(y) AS m FROM pr)), 8) AS r2
+FROM pr""")
+def q_metrics(spark, d):
+    train, test = ml.split(_s(spark, d))
+    zm = train.groupBy("zipcode").agg(F.avg("price").alias("prediction"))
+    pr = test.join(zm, "zipcode").select(F.col("price").alias("label"), "prediction")
+    return round_doubles(ml.regression_metrics(pr), 4, {"r2": 8})
+
+
+_FITTED: dict = {}
+
+
+def _fitted(spark, d, name: str):
+    """Fit a named model on the train part once per session and table
+    folder (the reference caches its trained models the same way)."""
+    key = (id(spark), d, name)
+    if key not in _FITTED:
+        train, _ = ml.split(_s(spark, d))
+        est = ml.estimators()[name]
+        _FITTED[key] = ml.fit(train, est)
+    return _FITTED[key]
+
+
+def _metrics_of(spark, d, name: str):
+    _, test = ml.split(_s(spark, d))
+    m = _fitted(spark, d, name)
+    return ml.regression_metrics(m.transform(test).withColumn("label", F.col("price").cast("double")))
+
+
+@register("prepare_features")
+def q_prepare(spark, d):
+    df, feats = ml.prepare_features(_s(spark, d))
+    return df.select("id", "features", "label")
+
+
+@register("fit_forest")
+def q_fit_forest(spark, d):
+    return _metrics_of(spark, d, "Random Forest")
+
+
+@register("fit_boosted_a")
+def q_fit_boosted_a(spark, d):
+    return _metrics_of(spark, d, "XGBoost")
+
+
+@register("fit_boosted_b")
+def q_fit_boosted_b(spark, d):
+    return _metrics_of(spark, d, "Gradient Boosting")
+
+
+@register("compare_models")
+def q_compare_models(spark, d):
+    rows = None
+    for name in ml.estimators():
+        met = _metrics_of(spark, d, name).select(F.lit(name).alias("model"), "*")
+        rows = met if rows is None else rows.unionByName(met)
+    return ml.compare_models(ml.Trained({}, rows, MODEL_FEATURES))
+
+
+@register("predict")
+def q_predict(spark, d):
+    _, test = ml.split(_s(spark, d))
+    return ml.predict(_fitted(spark, d, "Random Forest"), test).select("id", "price", "prediction")
+
+
+@register("feature_importance")
+def q_importance(spark, d):
+    return ml.feature_importance(_fitted(spark, d, "Random Forest"), MODEL_FEATURES)
+
+
+@register("cross_validate")
+def q_cv(spark, d):
+    """5-fold R^2 of the least-squares model (five forest fits of 200 deep
+    trees are the same code path with another estimator)."""
+    return ml.cross_validate(_s(spark, d), ml.linear_estimator())
+
+
+@register("save_load_model")
+def q_save_load(spark, d):
+    train, test = ml.split(_s(spark, d))
+    m = ml.fit(train, ml.linear_estimator())
+    path = ml.save_model(m, scratch_path(spark, "models/linear_regression"))
+    back = ml.load_model(path)
+    a = m.transform(test).select("id", F.col("prediction").alias("before"))
+    b = back.transform(test).select("id", F.col("prediction").alias("after"))
+    return a.join(b, "id")
+
+
+def _shap(spark, d):
+    s = _s(spark, d)
+    train, test = ml.split(s)
+    m = ml.fit(train, ml.forest_estimator(100, 10))
+    return ml.shapley_values(m, test, train, MODEL_FEATURES)
+
+
+@register("shapley_attribution")
+def q_shap(spark, d):
+    return ml.shapley_summary(_shap(spark, d))
+
+
+@register("shapley_row")
+def q_shap_row(spark, d):
+    v = _shap(spark, d)
+    first = v.agg(F.min("row_id").alias("r"))
+    return v.join(first, v.row_id == first.r).drop("r").orderBy(F.desc(F.abs("contribution")), "feature")
