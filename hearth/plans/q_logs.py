@@ -118,3 +118,13 @@ SELECT id, round(temperature, 6) AS temperature, round(feels_like, 6) AS feels_l
        description, wind_speed, icon FROM observations_flat""")
 def q_flatten(spark, d):
     return round_doubles(fi.flatten_observation(sfx.observations(spark, d)), 6)
+
+
+@register("event_type_counts_stream", """
+SELECT event_type, count(*) AS count, max(ts) AS last_event,
+       round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share
+FROM events GROUP BY event_type""")
+def q_event_counts_stream(spark, d):
+    from hearth.streaming.events import run_event_counts
+    out = run_event_counts(spark, d, name_glob="events.parquet")
+    return round_doubles(spark.read.parquet(out), 6)
