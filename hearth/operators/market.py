@@ -237,8 +237,9 @@ def price_histogram(df: DataFrame, col: str = "price", bins: int = 50) -> DataFr
 
 
 def auto_histogram(df: DataFrame, col: str = "price", exact: bool = True) -> DataFrame:
-    """NumPy's 'auto' rule: width = min(Freedman-Diaconis, Sturges) (Sturges
-    alone when the IQR is 0); bins = ceil(range / width)."""
+    """NumPy's 'auto' rule (NumPy 2): width = min(max(FD, sqrt/2), Sturges)
+    with FD = 2 IQR n^-1/3, sqrt = range / sqrt(n), Sturges = range /
+    (log2 n + 1); bins = ceil(range / width)."""
     q = exact_percentiles(df, col, [], [0.25, 0.75], ["__q1", "__q3"], exact=exact)
     s = df.agg(F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"),
                F.count(col).alias("__n")).crossJoin(q)
@@ -246,7 +247,8 @@ def auto_histogram(df: DataFrame, col: str = "price", exact: bool = True) -> Dat
     rng = F.col("__hi") - F.col("__lo")
     fd = 2.0 * (F.col("__q3") - F.col("__q1")) * F.pow(n, -1.0 / 3.0)
     st = rng / (F.log2(n) + 1.0)
-    width = F.when(fd > 0, F.least(fd, st)).otherwise(st)
+    sq = rng / F.sqrt(n)
+    width = F.least(F.greatest(fd, sq / 2.0), st)
     nb = F.when(width > 0, F.ceil(rng / width)).otherwise(F.lit(1)).cast("int")
     bounds = s.select("__lo", "__hi", F.greatest(nb, F.lit(1)).alias("__bins"))
     return _hist_counts(df, col, bounds, "__bins")

@@ -166,10 +166,10 @@ def q_hist(spark, d):
 @register("auto_histogram", """
 WITH s AS (SELECT min(price) AS lo, max(price) AS hi, count(price) AS n,
                   quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM sales),
-w AS (SELECT *, 2.0E0 * (q3 - q1) * pow(CAST(n AS DOUBLE), -1.0E0 / 3.0E0) AS fd,
-             (hi - lo) / (log2(CAST(n AS DOUBLE)) + 1.0E0) AS st FROM s),
-b AS (SELECT lo, hi, CAST(greatest(CASE WHEN (CASE WHEN fd > 0 THEN least(fd, st) ELSE st END) > 0
-                         THEN ceil((hi - lo) / (CASE WHEN fd > 0 THEN least(fd, st) ELSE st END)) ELSE 1 END, 1)
+w AS (SELECT *, least(greatest(2.0E0 * (q3 - q1) * pow(CAST(n AS DOUBLE), -1.0E0 / 3.0E0),
+                               ((hi - lo) / sqrt(CAST(n AS DOUBLE))) / 2.0E0),
+                      (hi - lo) / (log2(CAST(n AS DOUBLE)) + 1.0E0)) AS width FROM s),
+b AS (SELECT lo, hi, CAST(greatest(CASE WHEN width > 0 THEN ceil((hi - lo) / width) ELSE 1 END, 1)
                          AS INTEGER) AS nb FROM w),
 """ + HIST_TAIL)
 def q_auto_hist(spark, d):
