@@ -167,27 +167,27 @@ def fit(df: DataFrame, estimator, features: list[str] | None = None,
     ensure_checkpoint_dir(df.sparkSession)
     feats = available_features(df, features, min_features)
     meds = _median_imputer(df, feats)
-    va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+    va = VectorAssembler(inputCols=[f"__imp_{c}" for c in feats], outputCol="features",
+                         handleInvalid="keep")
     train = va.transform(meds.transform(df)).withColumn("label", F.col(TARGET).cast("double"))
     model = estimator.fit(train)
     return PipelineModel(stages=[meds, va, model])
 
 
 def _median_imputer(df: DataFrame, feats: list[str]):
-    """An exact-median imputer as a fitted transformer (SQLTransformer with
-    the medians as literals: a handful of scalars)."""
+    """An exact-median imputer as a fitted transformer: a SQLTransformer that
+    adds ``__imp_<f>`` = coalesce(f, median) with the medians (a handful of
+    scalars from one aggregate) as literals. Input columns pass through, so
+    the fitted pipeline scores any frame that has the feature columns."""
     from pyspark.ml.feature import SQLTransformer
     from hearth.operators.quantiles import column_medians
     row = column_medians(df, feats).first()
     exprs = []
-    for c in df.columns:
-        if c in feats:
-            m = row[f"__med_{c}"]
-            lit = "NULL" if m is None else repr(float(m))
-            exprs.append(f"coalesce(CAST(`{c}` AS DOUBLE), CAST({lit} AS DOUBLE)) AS `{c}`")
-        else:
-            exprs.append(f"`{c}`")
-    return SQLTransformer(statement=f"SELECT {', '.join(exprs)} FROM __THIS__")
+    for c in feats:
+        m = row[f"__med_{c}"]
+        lit = "NULL" if m is None else repr(float(m))
+        exprs.append(f"coalesce(CAST(`{c}` AS DOUBLE), CAST({lit} AS DOUBLE)) AS `__imp_{c}`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
