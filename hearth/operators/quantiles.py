@@ -135,14 +135,14 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
     bad = (F.coalesce(F.col("__below"), F.lit(0)) > F.col("__k")) | (F.col("__upto_hi") < F.least(need, F.col("__n")))
     val = F.when(f > 0, a + f * (b - a)).otherwise(a)
     checked = F.when(bad, F.raise_error(F.lit("percentile bracket missed the target rank")).cast("double")).otherwise(val)
-    vals = sel.select(*by, "__i", checked.alias("__val"))
-    piv = vals.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(nm)
-                                  for i, nm in enumerate(names)])
-    head = stats.select(*by, "__n")
-    out = join_on_keys(head, piv, by, "left")
-    cols = [*by] + (["__n"] if with_count else []) + names
-    out = out.select(*cols)
-    return out.withColumnRenamed("__n", "n") if with_count else out
+    vals = sel.select(*by, "__i", "__n", checked.alias("__val"))
+    # Every group in ``stats`` has at least one value, so it reaches ``piv``;
+    # without keys the aggregate is global and yields its one row (NULLs) even
+    # for an empty input. No join back to the group list is needed.
+    piv = vals.groupBy(*by).agg(
+        *([F.max("__n").alias("n")] if with_count else []),
+        *[F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(nm) for i, nm in enumerate(names)])
+    return piv
 
 
 def column_medians(df: DataFrame, cols: list[str], exact: bool = True,

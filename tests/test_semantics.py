@@ -169,3 +169,26 @@ def test_box_stats_whiskers(spark):
     q1, q3 = np.percentile(vals, [25, 75])
     assert r.q1 == q1 and r.q3 == q3 and r.upper_whisker == 5.0 and r.n_outliers == 1
     assert math.isclose(r.median, 3.5)
+
+
+def test_percentile_empty_and_all_null(spark):
+    df = spark.createDataFrame([(None,), (None,)], "v double")
+    r = exact_percentiles(df, "v", [], [0.5], ["m"]).collect()
+    assert len(r) == 1 and r[0].m is None
+    r = exact_percentiles(df.limit(0), "v", [], [0.25, 0.75], ["a", "b"]).collect()
+    assert len(r) == 1 and r[0].a is None and r[0].b is None
+
+
+def test_percentile_hot_group_uses_bracket(spark):
+    """A group holding most rows, sketch accuracy far below its size: the
+    bracket path runs and the answer is still exact."""
+    import numpy as np
+    rng = np.random.default_rng(7)
+    vals = rng.integers(0, 50, 5000).astype(float)  # heavy ties
+    g = np.where(np.arange(5000) < 4000, 0, 1 + np.arange(5000) % 5)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, vals)], "g int, v double")
+    got = {r.g: (r.q1, r.q2, r.q3) for r in
+           exact_percentiles(df, "v", ["g"], [0.1, 0.5, 0.97], ["q1", "q2", "q3"], accuracy=100).collect()}
+    for k in got:
+        ref = np.percentile(vals[g == k], [10, 50, 97])
+        assert got[k] == pytest.approx(tuple(ref), abs=1e-12)
