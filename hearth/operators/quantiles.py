@@ -30,6 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 50_000
+# Largest number of distinct values one bracket may hand to a single task.
+DEFAULT_MAX_BRACKET = 2_000_000
+REFINE_GRID = 1000
 
 
 def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column | None:
@@ -61,10 +64,15 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
 def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
                       probs: list[float] | tuple = (0.5,), names: list[str] | None = None,
                       accuracy: int = DEFAULT_ACCURACY, exact: bool = True,
-                      with_count: bool = False) -> DataFrame:
+                      with_count: bool = False,
+                      max_bracket: int | None = DEFAULT_MAX_BRACKET) -> DataFrame:
     """Per group of ``by``: one column per probability (``names``), linear
     interpolation between order statistics, NULLs ignored. A group whose
-    values are all NULL gets NULL."""
+    values are all NULL gets NULL.
+
+    ``max_bracket`` bounds the distinct values any bracket passes to one
+    task: when a group is large enough that ``10 n / accuracy`` could exceed
+    it, the brackets are narrowed (``_refine``) before the final pass."""
     by = list(by)
     probs = [float(p) for p in probs]
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
@@ -110,6 +118,8 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
         entries.append(F.struct(F.lit(i).alias("__i"), k.alias("__k"),
                                 (pos - k).alias("__f"), lo.alias("__lo"), hv.alias("__hi")))
     brk = stats.select(*by, "__n", F.inline(F.array(*entries)))
+    if max_bracket:
+        brk = _refine(base, brk, by, accuracy, max_bracket)
 
     j = join_on_keys(base, brk, by)
     v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
@@ -145,6 +155,62 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
     return piv
 
 
+def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
+            max_bracket: int, grid: int = REFINE_GRID, max_rounds: int = 8) -> DataFrame:
+    """Narrow brackets that may hold more than ``max_bracket`` distinct values.
+
+    The bracket table (one row per group and percentile) is checkpointed, so
+    the sketch pass runs once. If the a-priori bound ``10 n / accuracy + 2``
+    fits everywhere nothing else happens (one scalar read of the small
+    table). Otherwise each round is one pass over the rows inside the wide
+    brackets: it counts the rows below each bracket and inside it, estimates
+    the distinct values inside (HyperLogLog) and builds a sketch of the
+    inside values on a fixed grid of ``grid`` + 1 probabilities; the new
+    bracket is the pair of grid points that, with twice the sketch's rank
+    error as margin, still encloses the target ranks. Each round shrinks a
+    bracket about ``1 / (2 / grid + 6 / accuracy)`` times; it stops when
+    every estimate fits or a round makes no progress.
+    """
+    from hearth.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(base.sparkSession)
+    brk = brk.withColumn("__wide", F.col("__n") * 10.0 / accuracy + 2 > max_bracket).checkpoint()
+    if not brk.filter("__wide").limit(1).count():
+        return brk.drop("__wide")
+    gprobs = [j / grid for j in range(grid + 1)]
+    for _ in range(max_rounds):
+        wide = brk.filter("__wide")
+        j = join_on_keys(base, wide.select(*by, "__i", "__lo", "__hi"), by)
+        v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+        below = lo.isNotNull() & (v < lo)
+        inside = (lo.isNull() | (v >= lo)) & (hi.isNull() | (v <= hi))
+        agg = j.groupBy(*by, "__i").agg(
+            F.count_if(below).alias("__below"), F.count_if(inside).alias("__cin"),
+            F.approx_count_distinct(F.when(inside, v)).alias("__dist"),
+            F.percentile_approx(F.when(inside, v), gprobs, accuracy).alias("__g"))
+        cin = F.col("__cin").cast("double")
+        r1 = (F.col("__k") - F.col("__below")).cast("double")
+        slack = cin / accuracy
+        a = F.floor((r1 - 2 * slack - 2) / cin * grid).cast("int")
+        b = F.ceil((r1 + 1 + 2 * slack + 2) / cin * grid).cast("int")
+        new_lo = F.when((a >= 0) & (a <= grid), F.greatest(lo, F.col("__g")[a])).otherwise(lo)
+        new_hi = F.when((b >= 0) & (b <= grid), F.least(hi, F.col("__g")[b])).otherwise(hi)
+        # Groups whose bracket already fits keep it.
+        keep = F.col("__dist") <= max_bracket
+        upd = join_on_keys(wide, agg, by + ["__i"], "left").select(
+            *by, "__n", "__i", "__k", "__f",
+            F.when(keep, lo).otherwise(F.coalesce(new_lo, lo)).alias("__lo"),
+            F.when(keep, hi).otherwise(F.coalesce(new_hi, hi)).alias("__hi"),
+            (~keep).alias("__wide"), F.col("__dist"))
+        upd = upd.checkpoint()
+        if not upd.filter("__wide").limit(1).count():
+            brk = brk.filter(~F.col("__wide")).unionByName(upd.drop("__dist"))
+            break
+        prev = brk
+        brk = brk.filter(~F.col("__wide")).unionByName(upd.drop("__dist")).checkpoint()
+        del prev
+    return brk.drop("__wide")
+
+
 def column_medians(df: DataFrame, cols: list[str], exact: bool = True,
                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One-row frame ``__med_<c>`` with the median of each column.

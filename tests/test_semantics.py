@@ -192,3 +192,23 @@ def test_percentile_hot_group_uses_bracket(spark):
     for k in got:
         ref = np.percentile(vals[g == k], [10, 50, 97])
         assert got[k] == pytest.approx(tuple(ref), abs=1e-12)
+
+
+def test_percentile_refinement_rounds(spark):
+    """Brackets wider than ``max_bracket`` are narrowed by extra passes and
+    the answer stays exact (small accuracy and bound force several rounds)."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    n = 20000
+    vals = np.round(rng.lognormal(5, 1.5, n), 3)
+    vals[:3000] = 42.0  # a block of ties
+    g = np.where(np.arange(n) < 15000, 0, 1)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, vals)], "g int, v double")
+    probs = [0.0, 0.05, 0.5, 0.9, 1.0]
+    got = {r.g: tuple(r[1:]) for r in exact_percentiles(
+        df, "v", ["g"], probs, ["a", "b", "c", "d", "e"], accuracy=100, max_bracket=60).collect()}
+    for k in got:
+        ref = np.percentile(vals[g == k], [p * 100 for p in probs])
+        assert got[k] == pytest.approx(tuple(ref), abs=1e-9)
+    glob = exact_percentiles(df, "v", [], [0.5], ["m"], accuracy=100, max_bracket=60).first().m
+    assert glob == pytest.approx(float(np.median(vals)), abs=1e-9)
