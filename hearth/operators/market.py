@@ -23,12 +23,11 @@ from hearth.operators.util import attach, numeric_columns
 def market_kpis(df: DataFrame, exact: bool = True) -> DataFrame:
     """Average / median / max price, count, average sqft (and its truncated
     display value), average bedrooms (2 dp) in one row."""
-    agg = df.agg(F.avg("price").alias("avg_price"), F.max("price").alias("max_price"),
-                 F.count(F.lit(1)).alias("n_properties"),
-                 F.avg("sqft_living").alias("avg_sqft"),
-                 F.avg("bedrooms").alias("avg_bedrooms"))
-    med = exact_percentiles(df, "price", [], [0.5], ["median_price"], exact=exact)
-    return agg.crossJoin(med).select(
+    extra = {"avg_price": F.avg("price"), "max_price": F.max("price"),
+             "n_properties": F.count(F.lit(1)), "avg_sqft": F.avg("sqft_living"),
+             "avg_bedrooms": F.avg("bedrooms")}
+    med = exact_percentiles(df, "price", [], [0.5], ["median_price"], exact=exact, extra=extra)
+    return med.select(
         "avg_price", "median_price", "max_price", "n_properties", "avg_sqft",
         F.col("avg_sqft").cast("bigint").alias("avg_sqft_int"),
         F.round("avg_bedrooms", 2).alias("avg_bedrooms"))
@@ -43,13 +42,11 @@ def describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -
     cols = cols or numeric_columns(df, exclude=("id",))
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
-    base = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    extra = {"count": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value"),
+             "min": F.min("value"), "max": F.max("value")}
     q = exact_percentiles(long, "value", ["column"], [0.25, 0.5, 0.75],
-                          ["p25", "p50", "p75"], exact=exact)
-    return join_on_keys(base, q, ["column"], "left").select(
+                          ["p25", "p50", "p75"], exact=exact, extra=extra)
+    return q.select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -130,13 +127,13 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
 def summary_stats(df: DataFrame, exact: bool = True, with_time: bool = False) -> DataFrame:
     """One nested record: totals, price statistics, price range and the
     correlation matrix as ``array<struct<col_a, col_b, r>>``."""
-    agg = df.agg(F.count(F.lit(1)).alias("total_properties"), F.avg("price").alias("avg_price"),
-                 F.stddev_samp("price").alias("price_std"), F.avg("sqft_living").alias("avg_sqft"),
-                 F.sum("bedrooms").cast("bigint").alias("total_bedrooms"),
-                 F.min("price").alias("__min"), F.max("price").alias("__max"))
-    med = exact_percentiles(df, "price", [], [0.5], ["median_price"], exact=exact)
+    extra = {"total_properties": F.count(F.lit(1)), "avg_price": F.avg("price"),
+             "price_std": F.stddev_samp("price"), "avg_sqft": F.avg("sqft_living"),
+             "total_bedrooms": F.sum("bedrooms").cast("bigint"),
+             "__min": F.min("price"), "__max": F.max("price")}
+    med = exact_percentiles(df, "price", [], [0.5], ["median_price"], exact=exact, extra=extra)
     corr = correlation_matrix(df).agg(F.collect_list(F.struct("col_a", "col_b", "r")).alias("correlation_matrix"))
-    out = agg.crossJoin(med).crossJoin(corr).select(
+    out = med.crossJoin(corr).select(
         "total_properties", "avg_price", "median_price", "price_std", "avg_sqft", "total_bedrooms",
         F.struct(F.col("__min").alias("min"), F.col("__max").alias("max")).alias("price_range"),
         "correlation_matrix")
@@ -174,12 +171,10 @@ def neighborhood_ranking(df: DataFrame, exact: bool = True) -> DataFrame:
     ranked last.
     """
     d = df.filter(F.col("zipcode").isNotNull())
-    g = d.groupBy("zipcode").agg(
-        F.avg("price").alias("avg_price"), F.stddev_samp("price").alias("price_std"),
-        F.avg("sqft_living").alias("avg_sqft"), F.avg("grade").alias("avg_grade"),
-        F.avg("price_per_sqft").alias("avg_price_per_sqft"))
-    med = exact_percentiles(d, "price", ["zipcode"], [0.5], ["median_price"], exact=exact)
-    g = join_on_keys(g, med, ["zipcode"], "left")
+    extra = {"avg_price": F.avg("price"), "price_std": F.stddev_samp("price"),
+             "avg_sqft": F.avg("sqft_living"), "avg_grade": F.avg("grade"),
+             "avg_price_per_sqft": F.avg("price_per_sqft")}
+    g = exact_percentiles(d, "price", ["zipcode"], [0.5], ["median_price"], exact=exact, extra=extra)
     mx = g.agg(F.max("avg_sqft").alias("__max_sqft"))
     pot = ((F.col("avg_grade") / 10.0) * 40.0
            + F.try_divide(F.lit(1.0), F.try_divide(F.col("price_std"), F.col("avg_price")) + 0.001) * 30.0
@@ -197,10 +192,9 @@ def rank_neighborhoods(df: DataFrame, n: int | None = 15) -> DataFrame:
 
 def yearly_trend(df: DataFrame, exact: bool = True) -> DataFrame:
     d = df.filter(F.col("year").isNotNull())
-    g = d.groupBy("year").agg(F.avg("price").alias("avg_price"),
-                              F.count("price").alias("sales_volume"))
-    med = exact_percentiles(d, "price", ["year"], [0.5], ["median_price"], exact=exact)
-    return join_on_keys(g, med, ["year"], "left").select(
+    extra = {"avg_price": F.avg("price"), "sales_volume": F.count("price")}
+    g = exact_percentiles(d, "price", ["year"], [0.5], ["median_price"], exact=exact, extra=extra)
+    return g.select(
         "year", "avg_price", "median_price", "sales_volume")
 
 
@@ -240,9 +234,11 @@ def auto_histogram(df: DataFrame, col: str = "price", exact: bool = True) -> Dat
     """NumPy's 'auto' rule (NumPy 2): width = min(max(FD, sqrt/2), Sturges)
     with FD = 2 IQR n^-1/3, sqrt = range / sqrt(n), Sturges = range /
     (log2 n + 1); bins = ceil(range / width)."""
-    q = exact_percentiles(df, col, [], [0.25, 0.75], ["__q1", "__q3"], exact=exact)
-    s = df.agg(F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"),
-               F.count(col).alias("__n")).crossJoin(q)
+    s = exact_percentiles(df, col, [], [0.25, 0.75], ["__q1", "__q3"], exact=exact,
+                          extra={"min_": F.min(col).cast("double"), "max_": F.max(col).cast("double")},
+                          with_count=True)
+    s = s.select(F.col("min_").alias("__lo"), F.col("max_").alias("__hi"), F.col("n").alias("__n"),
+                 "__q1", "__q3")
     n = F.col("__n").cast("double")
     rng = F.col("__hi") - F.col("__lo")
     fd = 2.0 * (F.col("__q3") - F.col("__q1")) * F.pow(n, -1.0 / 3.0)
@@ -339,10 +335,9 @@ def map_centroid(df: DataFrame) -> DataFrame:
 
 def assistant_context(df: DataFrame, exact: bool = True) -> DataFrame:
     """Inputs of the assistant's context sentence and the sentence itself."""
-    agg = df.agg(F.count(F.lit(1)).alias("n_properties"), F.avg("price").alias("avg_price"),
-                 F.count_distinct("zipcode").alias("n_zipcodes"))
-    med = exact_percentiles(df, "price", [], [0.5], ["median_price"], exact=exact)
-    j = agg.crossJoin(med)
+    extra = {"n_properties": F.count(F.lit(1)), "avg_price": F.avg("price"),
+             "n_zipcodes": F.count_distinct("zipcode")}
+    j = exact_percentiles(df, "price", [], [0.5], ["median_price"], exact=exact, extra=extra)
     text = F.concat(F.lit("Dataset: "), F.col("n_properties").cast("string"),
                     F.lit(" properties. Avg price: $"), F.format_number(F.col("avg_price"), 0),
                     F.lit(". Median: $"), F.format_number(F.col("median_price"), 0),

@@ -65,27 +65,38 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
                       probs: list[float] | tuple = (0.5,), names: list[str] | None = None,
                       accuracy: int = DEFAULT_ACCURACY, exact: bool = True,
                       with_count: bool = False,
-                      max_bracket: int | None = DEFAULT_MAX_BRACKET) -> DataFrame:
+                      max_bracket: int | None = DEFAULT_MAX_BRACKET,
+                      extra: dict[str, Column] | None = None) -> DataFrame:
     """Per group of ``by``: one column per probability (``names``), linear
     interpolation between order statistics, NULLs ignored. A group whose
     values are all NULL gets NULL.
 
+    ``extra`` maps output names to aggregate expressions over ``df`` (all
+    rows of the group, NULL values included); they are computed in the same
+    pass as the sketch, so a caller's other statistics cost no extra scan.
+
     ``max_bracket`` bounds the distinct values any bracket passes to one
     task: when a group is large enough that ``10 n / accuracy`` could exceed
     it, the brackets are narrowed (``_refine``) before the final pass."""
     by = list(by)
     probs = [float(p) for p in probs]
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    base = df.select(*by, F.col(value).cast("double").alias("__v"))
+    extra = dict(extra or {})
+    xnames = list(extra)
+    reserved = {"__v", "__n", "__sk", "__i", "__k", "__f", "__lo", "__hi", "__wide", "__dist"}
+    if reserved & set(xnames):
+        raise ValueError(f"extra names collide with internal columns: {reserved & set(xnames)}")
+    xaggs = [e.alias(k) for k, e in extra.items()]
+    vcol = F.col(value).cast("double")
     if not exact:
-        agg = base.groupBy(*by).agg(
+        agg = df.withColumn("__v", vcol).groupBy(*by).agg(
             F.count("__v").alias("__n"),
-            F.percentile_approx("__v", probs, accuracy).alias("__q"))
-        out = agg.select(*by, *([F.col("__n").alias("n")] if with_count else []),
+            F.percentile_approx("__v", probs, accuracy).alias("__q"), *xaggs)
+        out = agg.select(*by, *([F.col("__n").alias("n")] if with_count else []), *xnames,
                          *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
         return out
 
-    base = base.filter(F.col("__v").isNotNull())
+    base = df.select(*by, vcol.alias("__v")).filter(F.col("__v").isNotNull())
     margin = 4.0 / accuracy
     sk_probs: list[float] = []
     plan = []  # per prob: (sketch index of lo or None, sketch index of hi or None)
@@ -103,7 +114,7 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
     aggs = [F.count("__v").alias("__n")]
     if sk_probs:
         aggs.append(F.percentile_approx("__v", sk_probs, accuracy).alias("__sk"))
-    stats = base.groupBy(*by).agg(*aggs)
+    stats = df.withColumn("__v", vcol).groupBy(*by).agg(*aggs, *xaggs)
 
     n = F.col("__n")
     small = n < F.lit(accuracy)
@@ -117,11 +128,11 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
             F.when(small, F.lit(None).cast("double")).otherwise(F.col("__sk")[hi])
         entries.append(F.struct(F.lit(i).alias("__i"), k.alias("__k"),
                                 (pos - k).alias("__f"), lo.alias("__lo"), hv.alias("__hi")))
-    brk = stats.select(*by, "__n", F.inline(F.array(*entries)))
+    brk = stats.select(*by, "__n", *xnames, F.inline(F.array(*entries)))
     if max_bracket:
-        brk = _refine(base, brk, by, accuracy, max_bracket)
+        brk = _refine(base, brk, by, accuracy, max_bracket, carry=xnames)
 
-    j = join_on_keys(base, brk, by)
+    j = join_on_keys(base, brk.select(*by, "__n", "__i", "__k", "__f", "__lo", "__hi"), by)
     v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
     side = (F.when(lo.isNotNull() & (v < lo), F.lit(-1))
              .when(hi.isNotNull() & (v > hi), F.lit(1)).otherwise(F.lit(0)))
@@ -145,18 +156,23 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
     bad = (F.coalesce(F.col("__below"), F.lit(0)) > F.col("__k")) | (F.col("__upto_hi") < F.least(need, F.col("__n")))
     val = F.when(f > 0, a + f * (b - a)).otherwise(a)
     checked = F.when(bad, F.raise_error(F.lit("percentile bracket missed the target rank")).cast("double")).otherwise(val)
-    vals = sel.select(*by, "__i", "__n", checked.alias("__val"))
-    # Every group in ``stats`` has at least one value, so it reaches ``piv``;
-    # without keys the aggregate is global and yields its one row (NULLs) even
-    # for an empty input. No join back to the group list is needed.
+    vals = sel.select(*by, "__i", checked.alias("__val"))
     piv = vals.groupBy(*by).agg(
-        *([F.max("__n").alias("n")] if with_count else []),
         *[F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(nm) for i, nm in enumerate(names)])
-    return piv
+    if not xnames and not with_count and by:
+        # Every group with a value reaches ``piv``; nothing to add back.
+        return piv
+    # Group list, counts and the caller's statistics come from the bracket
+    # table (checkpointed by ``_refine``: no further scan); groups whose
+    # values are all NULL keep NULL percentiles.
+    head = brk.filter(F.col("__i") == 0).select(*by, "__n", *xnames)
+    out = join_on_keys(head, piv, by, "left")
+    return out.select(*by, *([F.col("__n").alias("n")] if with_count else []), *xnames, *names)
 
 
 def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
-            max_bracket: int, grid: int = REFINE_GRID, max_rounds: int = 8) -> DataFrame:
+            max_bracket: int, grid: int = REFINE_GRID, max_rounds: int = 8,
+            carry: list[str] = ()) -> DataFrame:
     """Narrow brackets that may hold more than ``max_bracket`` distinct values.
 
     The bracket table (one row per group and percentile) is checkpointed, so
@@ -197,7 +213,7 @@ def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
         # Groups whose bracket already fits keep it.
         keep = F.col("__dist") <= max_bracket
         upd = join_on_keys(wide, agg, by + ["__i"], "left").select(
-            *by, "__n", "__i", "__k", "__f",
+            *by, "__n", *carry, "__i", "__k", "__f",
             F.when(keep, lo).otherwise(F.coalesce(new_lo, lo)).alias("__lo"),
             F.when(keep, hi).otherwise(F.coalesce(new_hi, hi)).alias("__hi"),
             (~keep).alias("__wide"), F.col("__dist"))

@@ -28,8 +28,8 @@ def map_filter(df: DataFrame, price_min: float | None = None, price_max: float |
 
     Defaults: lo/hi = int of the 10th/90th percentile, g = min grade. They are
     computed in the plan (one-row frame, broadcast), not collected."""
-    bounds = exact_percentiles(df, "price", [], [0.1, 0.9], ["__p10", "__p90"], exact=exact)
-    bounds = bounds.crossJoin(df.agg(F.min("grade").alias("__gmin")))
+    bounds = exact_percentiles(df, "price", [], [0.1, 0.9], ["__p10", "__p90"], exact=exact,
+                               extra={"__gmin": F.min("grade")})
     lo = F.lit(float(price_min)) if price_min is not None else F.col("__p10").cast("bigint").cast("double")
     hi = F.lit(float(price_max)) if price_max is not None else F.col("__p90").cast("bigint").cast("double")
     g = F.lit(min_grade) if min_grade is not None else F.col("__gmin")

@@ -53,8 +53,12 @@ def test_no_python_in_plans(spark, name):
 
 
 def test_exact_median_is_not_a_group_gather(spark):
-    """The grouped median goes through the sketch aggregate, never Spark's
-    whole-group ``percentile``/``median`` aggregate."""
+    """The grouped median goes through the sketch aggregate (checkpointed
+    bracket table), never Spark's whole-group ``percentile``/``median``."""
     p = plan_of(QUERIES["neighborhood_ranking"](spark, SF_SMALL))
-    assert "percentile_approx" in p
     assert "median(" not in p and "percentile(" not in p
+    from pyspark.sql import functions as F
+    from hearth.operators.quantiles import exact_percentiles
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    p = plan_of(exact_percentiles(df, "v", ["g"], [0.5], max_bracket=None))
+    assert "percentile_approx" in p and "percentile(" not in p
