@@ -85,13 +85,13 @@ def q_metrics(spark, d):
 _FITTED: dict = {}
 
 
-def _fitted(spark, d, name: str):
+def _fitted(spark, d, name: str, estimator=None):
     """Fit a named model on the train part once per session and table
     folder (the reference caches its trained models the same way)."""
     key = (id(spark), d, name)
     if key not in _FITTED:
         train, _ = ml.split(_s(spark, d))
-        est = ml.estimators()[name]
+        est = estimator if estimator is not None else ml.estimators()[name]
         _FITTED[key] = ml.fit(train, est)
     return _FITTED[key]
 
@@ -162,9 +162,10 @@ def q_save_load(spark, d):
 
 
 def _shap(spark, d):
-    s = _s(spark, d)
-    train, test = ml.split(s)
-    m = ml.fit(train, ml.forest_estimator(100, 10))
+    """The notebook explains a 100-tree forest on the five features with 100
+    sampled test rows; Spark's depth limit needs a number (10 here)."""
+    train, test = ml.split(_s(spark, d))
+    m = _fitted(spark, d, "Shapley Forest", ml.forest_estimator(100, 10))
     return ml.shapley_values(m, test, train, MODEL_FEATURES)
 
 
