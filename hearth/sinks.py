@@ -21,9 +21,12 @@ LISTING_COLUMNS = ["id", "title", "description", "price", "bedrooms", "bathrooms
 
 
 def land_upload(df: DataFrame, landing: str, load_ts: str | None = None) -> str:
-    """Persist a loaded table under a timestamped partition of ``landing``."""
+    """Persist a loaded table under a timestamped partition of ``landing``.
+    Only that partition is replaced (dynamic overwrite), so re-running a
+    load is idempotent and other loads stay."""
     ts = load_ts or datetime.now().strftime("%Y%m%d_%H%M%S")
-    (df.withColumn("load_ts", F.lit(ts)).write.mode("append").partitionBy("load_ts")
+    (df.withColumn("load_ts", F.lit(ts)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("load_ts")
        .option("header", True).csv(landing))
     return f"{landing.rstrip('/')}/load_ts={ts}"
 

@@ -69,3 +69,14 @@ def test_stream_resumes_and_matches_batch(spark):
     want = {r.event_type: (r["count"], r.last_event)
             for r in logs.event_type_counts(sfx.analytics_events(spark, SF_SMALL)).collect()}
     assert got == want and sum(first.values()) < sum(c for c, _ in got.values())
+
+
+def test_landing_is_idempotent_per_load(spark):
+    raw = sfx.raw_sales(spark, SF_SMALL)
+    landing = scratch_path(spark, "t-landing2")
+    sinks.land_upload(raw, landing, "a")
+    sinks.land_upload(raw, landing, "a")
+    sinks.land_upload(raw.limit(10), landing, "b")
+    back = spark.read.option("header", True).csv(landing)
+    got = {r.load_ts: r["count"] for r in back.groupBy("load_ts").count().collect()}
+    assert got == {"a": raw.count(), "b": 10}
