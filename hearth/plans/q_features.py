@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from hearth.functions import features as fx
 from hearth.operators import features as fo
 from hearth.operators.topn import scatter_projection
