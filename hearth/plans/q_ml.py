@@ -150,8 +150,19 @@ def q_cv(spark, d):
     return ml.cross_validate(_s(spark, d), ml.linear_estimator())
 
 
-@register("save_load_model")
-def q_save_load(spark, d):
+@register("save_model")
+def q_save_model(spark, d):
+    """Persist the fitted pipeline; the result is the saved stage metadata
+    read back from the model folder."""
+    train, _ = ml.split(_s(spark, d))
+    m = ml.fit(train, ml.linear_estimator())
+    path = ml.save_model(m, scratch_path(spark, "models/linear_regression"))
+    return spark.read.json(f"{path}/stages/*/metadata").select("class", "uid", "sparkVersion")
+
+
+@register("load_model")
+def q_load_model(spark, d):
+    """Save, load, and score the hold-out part with both: identical."""
     train, test = ml.split(_s(spark, d))
     m = ml.fit(train, ml.linear_estimator())
     path = ml.save_model(m, scratch_path(spark, "models/linear_regression"))
