@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 50_000
+DEFAULT_ACCURACY = 10_000
 # Largest number of distinct values one bracket may hand to a single task.
 DEFAULT_MAX_BRACKET = 2_000_000
 REFINE_GRID = 1000
