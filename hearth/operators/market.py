@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.features import investment_score
-from hearth.operators.quantiles import exact_percentiles, join_on_keys
+from hearth.operators.quantiles import exact_percentiles, join_on_keys, materialize_small
 from hearth.operators.util import attach, numeric_columns
 
 
@@ -295,7 +295,8 @@ def box_stats(df: DataFrame, value: str = "price", by: list[str] | tuple = (),
     iqr = F.col("q3") - F.col("q1")
     f = q.select(*by, "q1", "median", "q3", (F.col("q1") - 1.5 * iqr).alias("__lf"),
                  (F.col("q3") + 1.5 * iqr).alias("__uf"))
-    j = join_on_keys(d.select(*by, value), f, by)
+    f, rows = materialize_small(f) if by else (f, 1)
+    j = join_on_keys(d.select(*by, value), f, by, right_rows=rows)
     v = F.col(value)
     inside = (v >= F.col("__lf")) & (v <= F.col("__uf"))
     agg = j.groupBy(*by, "q1", "median", "q3").agg(

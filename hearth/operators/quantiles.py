@@ -41,18 +41,36 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column | None:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+# Largest per-group table (rows) that is broadcast once its size is known.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint a per-group table (cutting its lineage in the shared
+    checkpoint folder) and count it: the count proves its size before any
+    broadcast decision."""
+    from hearth.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    m = df.checkpoint()
+    return m, m.count()
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                 null_safe: bool = True) -> DataFrame:
+                 null_safe: bool = True, right_rows: int | None = None) -> DataFrame:
     """Equi-join on ``keys`` keeping one copy of each key column (NULL keys
     match each other when ``null_safe``).
 
-    The right side is always a per-group aggregate. No broadcast hint is
-    given: AQE broadcasts it when its runtime size is under the threshold and
-    otherwise runs a sort-merge join whose hot-key partitions it splits.
-    Without keys the right side is a one-row-per-statistic frame, broadcast
-    explicitly (size bound known)."""
+    The right side is always a per-group table. When its row count is known
+    (``right_rows``, from ``materialize_small``) and at most
+    ``BROADCAST_MAX_ROWS``, it is broadcast and the left side is never
+    shuffled; otherwise no hint is given: AQE broadcasts it if its runtime
+    size is small, else runs a sort-merge join and splits hot-key
+    partitions. Without keys the right side is a one-row-per-statistic
+    frame, broadcast explicitly (size bound known)."""
     if not keys:
         return left.crossJoin(F.broadcast(right))
+    if right_rows is not None and right_rows <= BROADCAST_MAX_ROWS:
+        right = F.broadcast(right)
     r = right.select(*[F.col(k).alias(f"__rk_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     eq = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
@@ -129,10 +147,12 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
         entries.append(F.struct(F.lit(i).alias("__i"), k.alias("__k"),
                                 (pos - k).alias("__f"), lo.alias("__lo"), hv.alias("__hi")))
     brk = stats.select(*by, "__n", *xnames, F.inline(F.array(*entries)))
+    brk_rows = None
     if max_bracket:
-        brk = _refine(base, brk, by, accuracy, max_bracket, carry=xnames)
+        brk, brk_rows = _refine(base, brk, by, accuracy, max_bracket, carry=xnames)
 
-    j = join_on_keys(base, brk.select(*by, "__n", "__i", "__k", "__f", "__lo", "__hi"), by)
+    j = join_on_keys(base, brk.select(*by, "__n", "__i", "__k", "__f", "__lo", "__hi"), by,
+                     right_rows=brk_rows)
     v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
     side = (F.when(lo.isNotNull() & (v < lo), F.lit(-1))
              .when(hi.isNotNull() & (v > hi), F.lit(1)).otherwise(F.lit(0)))
@@ -174,6 +194,7 @@ def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
             max_bracket: int, grid: int = REFINE_GRID, max_rounds: int = 8,
             carry: list[str] = ()) -> DataFrame:
     """Narrow brackets that may hold more than ``max_bracket`` distinct values.
+    Returns the bracket table and its (proven) row count.
 
     The bracket table (one row per group and percentile) is checkpointed, so
     the sketch pass runs once. If the a-priori bound ``10 n / accuracy + 2``
@@ -189,13 +210,14 @@ def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
     """
     from hearth.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(base.sparkSession)
-    brk = brk.withColumn("__wide", F.col("__n") * 10.0 / accuracy + 2 > max_bracket).checkpoint()
+    brk, rows = materialize_small(
+        brk.withColumn("__wide", F.col("__n") * 10.0 / accuracy + 2 > max_bracket))
     if not brk.filter("__wide").limit(1).count():
-        return brk.drop("__wide")
+        return brk.drop("__wide"), rows
     gprobs = [j / grid for j in range(grid + 1)]
     for _ in range(max_rounds):
         wide = brk.filter("__wide")
-        j = join_on_keys(base, wide.select(*by, "__i", "__lo", "__hi"), by)
+        j = join_on_keys(base, wide.select(*by, "__i", "__lo", "__hi"), by, right_rows=rows)
         v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
         below = lo.isNotNull() & (v < lo)
         inside = (lo.isNull() | (v >= lo)) & (hi.isNull() | (v <= hi))
@@ -221,10 +243,8 @@ def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
         if not upd.filter("__wide").limit(1).count():
             brk = brk.filter(~F.col("__wide")).unionByName(upd.drop("__dist"))
             break
-        prev = brk
         brk = brk.filter(~F.col("__wide")).unionByName(upd.drop("__dist")).checkpoint()
-        del prev
-    return brk.drop("__wide")
+    return brk.drop("__wide"), rows
 
 
 def column_medians(df: DataFrame, cols: list[str], exact: bool = True,
