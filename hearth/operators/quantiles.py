@@ -208,11 +208,13 @@ def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
     bracket about ``1 / (2 / grid + 6 / accuracy)`` times; it stops when
     every estimate fits or a round makes no progress.
     """
+    brk = brk.withColumn("__wide", F.col("__n") * 10.0 / accuracy + 2 > max_bracket)
     from hearth.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(base.sparkSession)
-    brk, rows = materialize_small(
-        brk.withColumn("__wide", F.col("__n") * 10.0 / accuracy + 2 > max_bracket))
-    if not brk.filter("__wide").limit(1).count():
+    brk = brk.checkpoint()
+    # one scalar job over the checkpointed table: its size and the wide count
+    rows, n_wide = brk.agg(F.count(F.lit(1)), F.count_if("__wide")).first()
+    if not n_wide:
         return brk.drop("__wide"), rows
     gprobs = [j / grid for j in range(grid + 1)]
     for _ in range(max_rounds):

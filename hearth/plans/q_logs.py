@@ -128,3 +128,10 @@ def q_event_counts_stream(spark, d):
     from hearth.streaming.events import run_event_counts
     out = run_event_counts(spark, d, name_glob="events.parquet")
     return round_doubles(spark.read.parquet(out), 6)
+
+
+@register("status_distribution_all", f"""
+SELECT status_code, count(*) AS count FROM {LAST100} GROUP BY status_code""")
+def q_status_all(spark, d):
+    """Failed calls (no status) counted as their own group."""
+    return lg.status_distribution(sfx.api_logs(spark, d), keep_missing=True)

@@ -297,3 +297,12 @@ SELECT id, price, zipcode, round(price_per_sqft, 4) AS price_per_sqft, sqft_livi
 FROM v WHERE ratio < 0.8E0""")
 def q_undervalued_all(spark, d):
     return round_doubles(va.undervalued(_s(spark, d), None), 4, {"valuation_ratio": 6})
+
+
+@register("area_kpis_one", """
+SELECT zipcode, count(*) AS n_properties, round(avg(price), 4) AS avg_price,
+       round(avg(sqft_living), 4) AS avg_sqft, CAST(trunc(avg(price)) AS BIGINT) AS avg_price_int,
+       CAST(trunc(avg(sqft_living)) AS BIGINT) AS avg_sqft_int
+FROM sales WHERE zipcode = 98010 GROUP BY zipcode""")
+def q_area_kpis_one(spark, d):
+    return round_doubles(mk.area_kpis(_s(spark, d), 98010), 4)
