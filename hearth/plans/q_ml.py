@@ -102,10 +102,20 @@ def _metrics_of(spark, d, name: str):
     return ml.regression_metrics(m.transform(test).withColumn("label", F.col("price").cast("double")))
 
 
-@register("prepare_features")
+@register("prepare_features", """
+SELECT id, coalesce(CAST(bedrooms AS DOUBLE), (SELECT quantile_cont(bedrooms, 0.5) FROM sales)) AS f_bedrooms,
+       coalesce(CAST(bathrooms AS DOUBLE), (SELECT quantile_cont(bathrooms, 0.5) FROM sales)) AS f_bathrooms,
+       coalesce(CAST(sqft_living AS DOUBLE), (SELECT quantile_cont(sqft_living, 0.5) FROM sales)) AS f_sqft_living,
+       coalesce(CAST(floors AS DOUBLE), (SELECT quantile_cont(floors, 0.5) FROM sales)) AS f_floors,
+       coalesce(CAST(grade AS DOUBLE), (SELECT quantile_cont(grade, 0.5) FROM sales)) AS f_grade,
+       price AS label
+FROM sales""")
 def q_prepare(spark, d):
+    """The assembled feature vector, unpacked to one column per feature."""
+    from pyspark.ml.functions import vector_to_array
     df, feats = ml.prepare_features(_s(spark, d))
-    return df.select("id", "features", "label")
+    arr = vector_to_array("features")
+    return df.select("id", *[arr[i].alias(f"f_{c}") for i, c in enumerate(feats)], "label")
 
 
 @register("fit_forest")
