@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.features import investment_score
-from hearth.operators.quantiles import exact_percentiles, join_on_keys, materialize_small
+from hearth.operators.quantiles import (exact_percentiles, join_on_keys, materialize_small,
+                                        percentiles_with_bound)
 from hearth.operators.util import attach, numeric_columns
 
 
@@ -291,11 +292,13 @@ def box_stats(df: DataFrame, value: str = "price", by: list[str] | tuple = (),
     d = df.filter(F.col(value).isNotNull())
     for b in by:
         d = d.filter(F.col(b).isNotNull())
-    q = exact_percentiles(d, value, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"], exact=exact)
+    q, rows = percentiles_with_bound(d, value, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+                                     exact=exact)
     iqr = F.col("q3") - F.col("q1")
     f = q.select(*by, "q1", "median", "q3", (F.col("q1") - 1.5 * iqr).alias("__lf"),
                  (F.col("q3") + 1.5 * iqr).alias("__uf"))
-    f, rows = materialize_small(f) if by else (f, 1)
+    if by and rows is None:
+        f, rows = materialize_small(f)
     j = join_on_keys(d.select(*by, value), f, by, right_rows=rows)
     v = F.col(value)
     inside = (v >= F.col("__lf")) & (v <= F.col("__uf"))

@@ -85,6 +85,17 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
                       with_count: bool = False,
                       max_bracket: int | None = DEFAULT_MAX_BRACKET,
                       extra: dict[str, Column] | None = None) -> DataFrame:
+    """See ``percentiles_with_bound``; returns the result frame only."""
+    return percentiles_with_bound(df, value, by, probs, names, accuracy, exact, with_count,
+                                  max_bracket, extra)[0]
+
+
+def percentiles_with_bound(df: DataFrame, value: str, by: list[str] | tuple = (),
+                           probs: list[float] | tuple = (0.5,), names: list[str] | None = None,
+                           accuracy: int = DEFAULT_ACCURACY, exact: bool = True,
+                           with_count: bool = False,
+                           max_bracket: int | None = DEFAULT_MAX_BRACKET,
+                           extra: dict[str, Column] | None = None) -> tuple[DataFrame, int | None]:
     """Per group of ``by``: one column per probability (``names``), linear
     interpolation between order statistics, NULLs ignored. A group whose
     values are all NULL gets NULL.
@@ -95,7 +106,11 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
 
     ``max_bracket`` bounds the distinct values any bracket passes to one
     task: when a group is large enough that ``10 n / accuracy`` could exceed
-    it, the brackets are narrowed (``_refine``) before the final pass."""
+    it, the brackets are narrowed (``_refine``) before the final pass.
+
+    Also returns a proven upper bound on the result's row count (the number
+    of groups, read from the checkpointed bracket table) when one is known,
+    so a caller can broadcast the result without materialising it."""
     by = list(by)
     probs = [float(p) for p in probs]
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
@@ -112,7 +127,7 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
             F.percentile_approx("__v", probs, accuracy).alias("__q"), *xaggs)
         out = agg.select(*by, *([F.col("__n").alias("n")] if with_count else []), *xnames,
                          *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
-        return out
+        return out, None
 
     base = df.select(*by, vcol.alias("__v")).filter(F.col("__v").isNotNull())
     margin = 4.0 / accuracy
@@ -179,15 +194,16 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
     vals = sel.select(*by, "__i", checked.alias("__val"))
     piv = vals.groupBy(*by).agg(
         *[F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(nm) for i, nm in enumerate(names)])
+    bound = None if brk_rows is None else -(-brk_rows // len(probs))
     if not xnames and not with_count and by:
         # Every group with a value reaches ``piv``; nothing to add back.
-        return piv
+        return piv, bound
     # Group list, counts and the caller's statistics come from the bracket
     # table (checkpointed by ``_refine``: no further scan); groups whose
     # values are all NULL keep NULL percentiles.
     head = brk.filter(F.col("__i") == 0).select(*by, "__n", *xnames)
-    out = join_on_keys(head, piv, by, "left")
-    return out.select(*by, *([F.col("__n").alias("n")] if with_count else []), *xnames, *names)
+    out = join_on_keys(head, piv, by, "left", right_rows=bound)
+    return out.select(*by, *([F.col("__n").alias("n")] if with_count else []), *xnames, *names), bound
 
 
 def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,

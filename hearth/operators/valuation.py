@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.operators.quantiles import (exact_percentiles, join_on_keys,
-                                        materialize_small)
+from hearth.operators.quantiles import (join_on_keys, materialize_small,
+                                        percentiles_with_bound)
 
 UNDERVALUED_COLUMNS = ["id", "price", "zipcode", "price_per_sqft", "sqft_living",
                        "bedrooms", "valuation_ratio", "grade"]
@@ -18,14 +18,15 @@ def valuation_ratio(df: DataFrame, by: str = "zipcode", value: str = "price_per_
 
     Not a window: ``median().over(partitionBy(zipcode))`` would sort a whole
     zipcode in one task. The per-zipcode medians come from the skew-safe
-    selection; that table is checkpointed and counted, then broadcast when
-    the count is under the bound (else a skew-aware shuffle join), so the
-    sales rows are never shuffled for it. Rows with a NULL zipcode get NULL,
+    selection, whose checkpointed bracket table proves the number of
+    zipcodes; under the broadcast bound the medians are broadcast (else a
+    skew-aware shuffle join), so the sales rows are never shuffled for it. Rows with a NULL zipcode get NULL,
     as in the reference.
     """
-    med = exact_percentiles(df.filter(F.col(by).isNotNull()), value, [by], [0.5],
-                            ["__group_median"], exact=exact)
-    med, rows = materialize_small(med)  # one row per zipcode, counted
+    med, rows = percentiles_with_bound(df.filter(F.col(by).isNotNull()), value, [by], [0.5],
+                                       ["__group_median"], exact=exact)
+    if rows is None:  # no bound known (approximate mode): materialise and count
+        med, rows = materialize_small(med)
     j = join_on_keys(df, med, [by], "left", null_safe=False, right_rows=rows)
     return j.withColumn("valuation_ratio", F.try_divide(F.col(value), F.col("__group_median"))) \
             .drop("__group_median")
