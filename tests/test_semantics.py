@@ -212,3 +212,21 @@ def test_percentile_refinement_rounds(spark):
         assert got[k] == pytest.approx(tuple(ref), abs=1e-9)
     glob = exact_percentiles(df, "v", [], [0.5], ["m"], accuracy=100, max_bracket=60).first().m
     assert glob == pytest.approx(float(np.median(vals)), abs=1e-9)
+
+
+def test_approximate_mode_close_to_exact(spark):
+    import numpy as np
+    vals = np.random.default_rng(5).lognormal(10, 1, 3000)
+    df = spark.createDataFrame([(i % 4, float(v)) for i, v in enumerate(vals)], "g int, v double")
+    ex = {r.g: r.m for r in exact_percentiles(df, "v", ["g"], [0.5], ["m"]).collect()}
+    ap = {r.g: r.m for r in exact_percentiles(df, "v", ["g"], [0.5], ["m"], exact=False).collect()}
+    for g in range(4):
+        sub = np.sort(vals[g::4])
+        assert ex[g] == pytest.approx(float(np.median(sub)), rel=1e-12)
+        # the approximate answer is an element within the rank error
+        rank = np.searchsorted(sub, ap[g])
+        assert abs(rank - len(sub) / 2) <= len(sub) / 1000 + 2
+    kp = market.market_kpis(df.withColumnRenamed("v", "price")
+                            .withColumn("sqft_living", F.lit(1)).withColumn("bedrooms", F.lit(1)),
+                            exact=False).first()
+    assert kp.n_properties == 3000
