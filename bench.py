@@ -52,7 +52,8 @@ def main() -> None:
     sf = sf_dir.rsplit("sf", 1)[-1]
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-           "cpus": cpus, "reps": reps}
+           "cpus": cpus, "reps": reps, "spark": spark.version,
+           "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions"))}
     print(json.dumps(out))
 
 
