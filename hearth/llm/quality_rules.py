@@ -11,13 +11,19 @@ computed inside its row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.common import SPACE, WORD
+from hearth.llm.common import LOWER, SPACE, UPPER, WORD
 
 #: The symbol characters that the contract counts.
 SYMBOLS = "#*$%&|<>"
+#: Characters that count against a line.
+ODD = SYMBOLS + "~^=_\\{}[]"
+BARS = "|»›•"
+TWO_CAPITALS = r"[A-Z][^a-z\n]*[A-Z]"
 #: Phrases of licence, cookie and site-furniture lines (lower case).
 BOILERPLATE = [
     "all rights reserved", "licensed under", "released under the", "this work is licensed",
@@ -25,6 +31,8 @@ BOILERPLATE = [
     "enable javascript", "click here", "read more", "sign up for", "subscribe to our", "share this",
     "powered by", "skip to content", "back to top",
 ]
+#: Up to so many repeated hashes, windows are looked up in their list; beyond, all windows are sorted.
+FEW = 64
 MIN_WORDS = 50
 #: Percent of words inside repeated three-word windows above which a document fails.
 MAX_REPEAT = 50
@@ -34,7 +42,7 @@ MAX_LOST = 30
 
 def _count(text: Column, chars: str) -> Column:
     """Occurrences of any of ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.size(F.split(text, f"[{re.escape(chars)}]", -1)) - 1
 
 
 def _words(text: Column) -> Column:
@@ -51,18 +59,28 @@ def line_fails(line: Column) -> Column:
     * punctuation: symbol characters are over a tenth of its non-space characters, or it has two or
       more exclamation marks and as many as a quarter of its words;
     * shouting: over 8 letters A-Z, and more of them than of a-z;
-    * navigation: two or more separators ``|``, at least one per four words;
+    * navigation: two or more separators (``|`` and the like), at least one per four words;
     * boilerplate: it contains one of the phrases."""
     solid = F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
     words = F.length(line) - solid + 1  # near enough for the ratios, and cheap
-    bangs, pipes = _count(line, "!"), _count(line, "|»›•")
-    upper, lower = _count(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _count(line, "abcdefghijklmnopqrstuvwxyz")
-    phrases = "(?i)" + "|".join(BOILERPLATE)
-    return ((_count(line, SYMBOLS + "~^=_\\{}[]") * 10 > solid)
+    odd, bangs, pipes = _count(line, ODD), _count(line, "!"), _count(line, BARS)
+    upper, lower = _count(line, UPPER), _count(line, LOWER)
+    # The first part of each rule is the cheap one and decides for most lines.
+    return (((odd > 0) & (odd * 10 > solid))
             | ((bangs >= 2) & (bangs * 4 >= words))
-            | ((upper > 8) & (upper > lower))
+            | (line.rlike(TWO_CAPITALS) & (upper > 8) & (upper > lower))
             | ((pipes >= 2) & (pipes * 4 >= words))
-            | line.rlike(phrases))
+            | F.lower(line).rlike("|".join(BOILERPLATE)))
+
+
+def _may_fail(text: Column) -> Column:
+    """False only if no line of the text can fail: a cheap look at the whole text first. A line with
+    more capitals than small letters has two capitals without a small letter between."""
+    lower = F.lower(text)
+    said = F.lit(False)
+    for phrase in BOILERPLATE:
+        said = said | F.contains(lower, F.lit(phrase))
+    return text.rlike(f"[{re.escape(ODD + BARS)}]|![^!]*!") | text.rlike(TWO_CAPITALS) | said
 
 
 def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT,
@@ -84,26 +102,37 @@ def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_r
     df = docs.drop(*[c for c in new if c != text])
     # Each step is read at least twice by the next, so Catalyst keeps the arrays as columns.
     df = df.withColumns({"_w": _words(t), "_l": F.filter(F.split(t, "\n", -1), has_word)})
-    windows = F.transform(F.slice(F.col("_w"), 1, F.greatest(F.size("_w") - 2, F.lit(0))),
-                          lambda w, i: F.struct(F.concat_ws(" ", w, F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)).alias("s"), i.alias("i")))
+
+    def word(i: Column) -> Column:
+        return F.get(F.col("_w"), i)
+
+    hashes = F.transform(F.slice(F.col("_w"), 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)))
     df = df.withColumns({
-        "n_words": F.size("_w").cast("bigint"),
-        "_s": F.sort_array(windows),
-        "_bad": F.filter(F.col("_l"), line_fails),
+        "n_words": F.size("_w").cast("bigint"), "_h": hashes,
+        "_bad": F.when(_may_fail(t), F.filter(F.col("_l"), line_fails)).otherwise(F.expr("cast(array() as array<string>)")),
     })
+    # Equal windows have equal hashes: only texts with a repeated hash are looked at word by word.
+    ordered = F.sort_array("_h")
+    equal = F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.size("_h")), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
+    df = df.withColumn("_r", F.when(F.size("_h") > F.size(F.array_distinct("_h")), F.array_distinct(equal)).otherwise(F.expr("cast(array() as array<bigint>)")))
+    places = F.sequence(F.lit(0), F.size("_h") - 1)
+    few = F.filter(places, lambda i: F.array_contains(F.col("_r"), F.get(F.col("_h"), i)))
+    windows = F.transform(F.when(F.size("_r") <= FEW, few).otherwise(places),
+                          lambda i: F.struct(F.concat_ws(" ", word(i), word(i + 1), word(i + 2)).alias("s"), i.alias("i")))
+    df = df.withColumn("_s", F.when(F.size("_r") > 0, F.sort_array(windows)))
     # Neighbours in sorted order with equal windows give the starts of repeated windows.
-    twins = F.filter(F.zip_with("_s", F.slice(F.col("_s"), 2, F.greatest(F.size("_s"), F.lit(1))),
+    twins = F.filter(F.zip_with("_s", F.slice(F.col("_s"), 2, F.size("_s")),
                                 lambda a, b: F.when(a["s"] == b["s"], F.array(a["i"], b["i"]))), lambda x: x.isNotNull())
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(twins), lambda i: F.array(i, i + 1, i + 2)))))
     df = df.withColumns({
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("bigint"),
+        "word_chars": F.length(F.array_join("_w", "")).cast("bigint"),
         "n_symbols": _count(t, SYMBOLS).cast("bigint"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
-        "n_repeat_words": covered.cast("bigint"),
+        "n_repeat_words": F.when(F.size("_r") > 0, covered).otherwise(0).cast("bigint"),
         "n_lines": F.size("_l").cast("bigint"),
         "n_removed_lines": F.size("_bad").cast("bigint"),
         "lost_words": F.size(_words(F.array_join("_bad", "\n"))).cast("bigint"),
-    }).drop("_w", "_l", "_s", "_bad")
+    }).drop("_w", "_l", "_h", "_r", "_s", "_bad")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     clean = F.when(F.col("n_removed_lines") == 0, F.col(text)).otherwise(
         F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~(has_word(x) & line_fails(x))), "\n"))

@@ -66,11 +66,11 @@ def _sql_count(chars: str) -> str:
 
 
 _LINE_FAILS = f"""(
-    {_sql_count(quality_rules.SYMBOLS + "~^=_" + chr(92) + "{}[]")} * 10 > length({_SOLID})
+    {_sql_count(quality_rules.ODD)} * 10 > length({_SOLID})
     OR ({_sql_count("!")} >= 2 AND {_sql_count("!")} * 4 >= length(line) - length({_SOLID}) + 1)
     OR ({_sql_count(_UPPER)} > 8 AND {_sql_count(_UPPER)} > {_sql_count(_LOWER)})
-    OR ({_sql_count("|»›•")} >= 2 AND {_sql_count("|»›•")} * 4 >= length(line) - length({_SOLID}) + 1)
-    OR regexp_matches(line, '(?i){"|".join(quality_rules.BOILERPLATE)}'))"""
+    OR ({_sql_count(quality_rules.BARS)} >= 2 AND {_sql_count(quality_rules.BARS)} * 4 >= length(line) - length({_SOLID}) + 1)
+    OR regexp_matches(lower(line), '{"|".join(quality_rules.BOILERPLATE)}'))"""
 
 
 @query("op8_line_quality_rules", rf"""
