@@ -11,13 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import quality_rules, sharding, url_filter
+from hearth.llm import decontam, quality_rules, sharding, simhash, token_output, url_filter
 from hearth.llm.common import table
 
+#: Where the public tokenizers lie; a parameter of the operators.
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -110,3 +118,21 @@ def op8_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "n_lines", "n_removed_lines", "lost_words",
                       F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
+
+
+@query("op4_huffman_tokens")
+def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op6_fm_index_decontamination")
+def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontam.collect_items(table(spark, sf_dir, "benchmark"))
+    out = decontam.find_hits(table(spark, sf_dir, "documents"), items)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
+@query("op9_simhash_pivots")
+def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
