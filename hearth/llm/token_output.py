@@ -19,7 +19,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import lru_cache
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +37,58 @@ END_ID = 0
 BLOCK_IDS = 1 << 18
 #: Texts are tokenised in groups of about so many characters.
 GROUP_CHARS = 1 << 22
-#: Pieces that a task remembers before it starts anew.
-MAX_PIECES = 1 << 19
+#: Pieces and parts that a Python worker remembers before it starts anew.
+MAX_PIECES, MAX_PARTS = 600_000, 800_000
 
 # White space beside a space, or a space at either end: such a text is not cut at its spaces.
 _UNSAFE = re.compile(r"\s \s?| \s|\A | \Z")
+#: White space other than space and line feed, by str.isspace.
+_RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_SAFE_LETTER = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SAFE_MARK = r".,;:!?#*$%&|\n"
+# Between a letter or digit and one of these marks a byte-level pre-tokenizer always cuts.
+_PARTS = re.compile(f"(?<=[{_SAFE_LETTER}])(?=[{_SAFE_MARK}])|(?<=[{_SAFE_MARK}])(?=[{_SAFE_LETTER}])")
+
+
+class _Memory:
+    """Id lists by string, as one pool of ids with starts and sizes."""
+
+    def __init__(self, learn, limit: int):
+        self.learn, self.limit = learn, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all strings one after the other, ids per string)."""
+        if len(self.number) > self.limit:
+            self.clear()
+        get = self.number.get
+        code = np.fromiter(map(get, strings, repeat(-1)), np.int64, len(strings))
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            new: dict[str, int] = {}
+            first = len(self.number)
+            code[missing] = [new.setdefault(strings[i], first + len(new)) for i in missing.tolist()]
+            ids, size = self.learn(list(new))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
+            self.number.update(new)
+        size = self.size[code]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.start[code] - (ends - size), size) + np.arange(total)], size
 
 
 class Encoder:
     """Ids of texts by a tokenizer file.
 
-    A byte-level BPE without a normaliser splits a text before every single space that stands
-    between other characters, whatever surrounds it; so each piece between such spaces is encoded
-    once and remembered. Other tokenizers and texts with unusual spacing are encoded whole."""
+    A byte-level BPE without a normaliser cuts a text before every single space that stands
+    between other characters, whatever surrounds it, and inside such a piece between a letter
+    and a common mark; so each piece, and each part of a new piece, is encoded once and remembered.
+    Other tokenizers and texts with unusual spacing are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,56 +96,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         said = json.loads(self.tokenizer.to_str())
         pre = said.get("pre_tokenizer") or {}
+        added = [t["content"] for t in said["added_tokens"]]
         self.in_pieces = (said.get("normalizer") is None and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
                           and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-                          and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in said["added_tokens"]))
-        self._forget()
+                          and not any(" " in t for t in added)
+                          and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in said["added_tokens"]))
+        # A piece that holds an added token's text is not cut further, nor one with a run of white space.
+        self.whole_piece = re.compile("|".join([r"\s\s", *map(re.escape, added)]))
+        self.parts = _Memory(self._encode_parts, MAX_PARTS)
+        self.first, self.other = _Memory(self._first, MAX_PIECES // 8), _Memory(self._other, MAX_PIECES)
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
 
-    def _forget(self) -> None:
-        self.piece: dict[str, int] = {}
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _first(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, counts, cut, whole = [], [], _PARTS.split, self.whole_piece.search
+        for p in pieces:
+            own = [p] if whole(p) else cut(p)
+            parts += own
+            counts.append(len(own))
+        ids, size = self.parts.ids(parts)
+        return ids, np.add.reduceat(size, np.cumsum(counts) - counts)
 
-    def _learn(self, pieces: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, ids])
-
-    def _codes(self, pieces: list[str]) -> np.ndarray:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.piece]
-        for p in new:
-            self.piece[p] = len(self.piece)
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.piece.__getitem__, pieces), np.int64, len(pieces))
+    def _other(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._first([" " + p for p in pieces])
+
+    def _usual(self, text: str) -> bool:
+        if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
+            return False
+        return not any(c in text for c in _RARE_SPACE) or not _UNSAFE.search(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.piece) > MAX_PIECES:
-            self._forget()
         out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.in_pieces or _UNSAFE.search(t)]
-        for i in whole:
+        rest = [i for i, t in enumerate(texts) if self.in_pieces and self._usual(t)]
+        for i in set(range(len(texts))) - set(rest):
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        pieces, counts = [], []
-        for i in rest:
-            first, *more = texts[i].split(" ")
-            pieces.append(first)
-            pieces += [" " + p for p in more]
-            counts.append(1 + len(more))
-        if rest:
-            code = self._codes(pieces)
-            size = self.size[code]
-            ends = np.cumsum(size)
-            ids = self.pool[np.repeat(self.start[code] - (ends - size), size) + np.arange(int(ends[-1]))]
-            at = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-            for i, a, b in zip(rest, at[:-1], at[1:]):
-                out[i] = ids[a:b]
+        split = [texts[i].split(" ") for i in rest]
+        head, head_size = self.first.ids([x[0] for x in split])
+        ids, size = self.other.ids([p for x in split for p in x[1:]])
+        at, h = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(head_size)]
+        piece = 0
+        for n, (i, x) in enumerate(zip(rest, split)):
+            end = piece + len(x) - 1
+            out[i] = np.concatenate([head[h[n]:h[n + 1]], ids[at[piece]:at[end]]])
+            piece = end
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def _planes(ids: np.ndarray, width: int) -> bytes:
     """Little-endian bytes of the ids, all lowest bytes first: they compress better so."""
     return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
@@ -122,7 +167,7 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
     """(key, text_hash, row_id, n_tokens, ids): each text's ids and the end id, as byte planes of
     ``width`` bytes. A null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             cuts = [0, *(i + 1 for i, (a, b) in enumerate(_steps(texts)) if a // GROUP_CHARS != b // GROUP_CHARS)]

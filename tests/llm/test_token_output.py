@@ -2,6 +2,7 @@
 
 import heapq
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -16,9 +17,14 @@ from hearth.session import scratch_path
 from tests.llm.util import docs, sample_docs, tables_dir
 
 
-def whole_ids(texts):
+@lru_cache
+def whole():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(tokenizer_path())
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def whole_ids(texts):
+    t = whole()
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in texts]
 
 
@@ -96,6 +102,13 @@ def test_query_round_trip(spark, tmp_path):
     check(df.collect(), got.collect())
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(alphabet="ab .,\n'!9\t\u00e9\u0301\u00a0|", max_size=30), min_size=1, max_size=4))
+def test_pieces_of_any_text(texts):
+    encoder = token_output.encoder_of(tokenizer_path())
+    assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1].tolist() for x in whole_ids(texts)]
+
+
 @pytest.mark.parametrize("block_ids", [1, 500, 1 << 18])
 def test_blocks_and_hot_keys(spark, block_ids):
     df = docs(spark, [(7, "hot key text")] * 200 + [(i, f"text number {i} " * (i % 40)) for i in range(200)] + [(None, "x"), (None, None)]).repartition(4)
