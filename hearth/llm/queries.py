@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import decontam, quality_rules, sharding, simhash, token_output, url_filter
+from hearth.llm import (decontam, line_dedup, mixing, ppm, quality_classifier, quality_rules, sharding, simhash,
+                        token_output, url_filter)
 from hearth.llm.common import table
 
 #: Where the public tokenizers lie; a parameter of the operators.
@@ -136,3 +137,55 @@ def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Wanted shares of tokens, by the domain that ``labels`` tells.
+MIX_WEIGHTS = {"good": 0.975, "low": 0.005, "toxic": 0.02}
+MIX_KEEP = "good"
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the rows of ``labels``: toxic, else low or good by quality; else none."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL")
+
+
+@query("op1_soft_mixing")
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS, MIX_KEEP)
+    return out.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(MIX_WEIGHTS)),
+                      "rate", "copies", "totals", "targets")
+
+
+@query("op2_line_dedup", rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS l FROM documents),
+pos AS (
+  SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS unit,
+         unnest(list_transform(range(len(l)), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0))) AS start
+  FROM d),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(translate(line, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM pos),
+u AS (SELECT *, array_to_string(w, ' ') AS norm FROM w WHERE len(w) >= {line_dedup.MIN_WORDS}),
+r AS (
+  SELECT *, row_number() OVER o AS n, first_value(doc_id) OVER o AS kd, first_value(start) OVER o AS ks
+  FROM u WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, rid, unit))
+SELECT doc_id, unit::BIGINT AS unit, start::BIGINT AS start, (start + length(line))::BIGINT AS "end", len(w)::BIGINT AS n_words,
+       kd AS kept_doc_id, ks::BIGINT AS kept_start
+FROM r WHERE n > 1""")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_units(table(spark, sf_dir, "documents")).drop("row_id")
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query("op5_rff_quality")
+def op5_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                             held_out=_remainder(4) == 2, calibrate=_remainder(4) == 3)
+
+
+@query("op10_ppm_scores")
+def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.ppm_scores(table(spark, sf_dir, "documents"), train=_remainder(7) != 2)
