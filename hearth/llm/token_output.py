@@ -20,7 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, repeat
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,13 @@ from hearth.session import scratch_path
 END_ID = 0
 #: A block is closed when it holds as many ids.
 BLOCK_IDS = 1 << 18
-#: Texts are tokenised in groups of about so many characters.
-GROUP_CHARS = 1 << 22
+#: Texts are tokenised in groups of about so many bytes.
+GROUP_BYTES = 1 << 22
 #: Pieces and parts that a Python worker remembers before it starts anew.
-MAX_PIECES, MAX_PARTS = 600_000, 800_000
+MAX_PIECES, MAX_PARTS = 2_000_000, 300_000
+#: Odd multipliers of the two 64-bit hashes that name a piece, and what is added for a text's first piece (it has no space before it).
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_FIRST = np.uint64(0xA24BAED4963EE407)
 
 # White space beside a space, or a space at either end: such a text is not cut at its spaces.
 _UNSAFE = re.compile(r"\s \s?| \s|\A | \Z")
@@ -50,36 +53,23 @@ _SAFE_MARK = r".,;:!?#*$%&|\n"
 _PARTS = re.compile(f"(?<=[{_SAFE_LETTER}])(?=[{_SAFE_MARK}])|(?<=[{_SAFE_MARK}])(?=[{_SAFE_LETTER}])")
 
 
-class _Memory:
-    """Id lists by string, as one pool of ids with starts and sizes."""
+# Bytes of white space other than space and line feed, or with which a longer one begins.
+_RARE_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
 
-    def __init__(self, learn, limit: int):
-        self.learn, self.limit = learn, limit
-        self.clear()
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+class _Powers:
+    """Powers of an odd number modulo 2^64, and of its inverse, as far as asked for."""
 
-    def ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all strings one after the other, ids per string)."""
-        if len(self.number) > self.limit:
-            self.clear()
-        get = self.number.get
-        code = np.fromiter(map(get, strings, repeat(-1)), np.int64, len(strings))
-        missing = np.flatnonzero(code < 0)
-        if len(missing):
-            new: dict[str, int] = {}
-            first = len(self.number)
-            code[missing] = [new.setdefault(strings[i], first + len(new)) for i in missing.tolist()]
-            ids, size = self.learn(list(new))
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
-            self.number.update(new)
-        size = self.size[code]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.start[code] - (ends - size), size) + np.arange(total)], size
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def to(self, n: int) -> _Powers:
+        if len(self.up) < n:
+            for name, x in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                all_ = np.full(n, x, np.uint64)
+                all_[0] = 1
+                setattr(self, name, np.cumprod(all_, dtype=np.uint64))
+        return self
 
 
 class Encoder:
@@ -87,7 +77,8 @@ class Encoder:
 
     A byte-level BPE without a normaliser cuts a text before every single space that stands
     between other characters, whatever surrounds it, and inside such a piece between a letter
-    and a common mark; so each piece, and each part of a new piece, is encoded once and remembered.
+    and a common mark. So each piece is named by two 64-bit polynomial hashes of its bytes, computed for a
+    whole group of texts at once; a new piece is cut to parts, and each part is encoded once.
     Other tokenizers and texts with unusual spacing are encoded whole."""
 
     def __init__(self, path: str):
@@ -103,46 +94,96 @@ class Encoder:
                           and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in said["added_tokens"]))
         # A piece that holds an added token's text is not cut further, nor one with a run of white space.
         self.whole_piece = re.compile("|".join([r"\s\s", *map(re.escape, added)]))
-        self.parts = _Memory(self._encode_parts, MAX_PARTS)
-        self.first, self.other = _Memory(self._first, MAX_PIECES // 8), _Memory(self._other, MAX_PIECES)
+        self.powers = [_Powers(b) for b in _BASES]
+        self.part: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.check, self.code = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, ids per piece)."""
+        if len(self.part) > MAX_PARTS:
+            self.part.clear()
+        cut, whole, known = _PARTS.split, self.whole_piece.search, self.part
+        parts = [[p] if whole(p) else cut(p) for p in pieces]
+        new = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in known]
+        known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        lists = [known[x[0]] if len(x) == 1 else list(chain.from_iterable(map(known.__getitem__, x))) for x in parts]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
 
-    def _first(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts, counts, cut, whole = [], [], _PARTS.split, self.whole_piece.search
-        for p in pieces:
-            own = [p] if whole(p) else cut(p)
-            parts += own
-            counts.append(len(own))
-        ids, size = self.parts.ids(parts)
-        return ids, np.add.reduceat(size, np.cumsum(counts) - counts)
-
-    def _other(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self._first([" " + p for p in pieces])
-
     def _usual(self, text: str) -> bool:
         if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
             return False
         return not any(c in text for c in _RARE_SPACE) or not _UNSAFE.search(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        rest = [i for i, t in enumerate(texts) if self.in_pieces and self._usual(t)]
-        for i in set(range(len(texts))) - set(rest):
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        split = [texts[i].split(" ") for i in rest]
-        head, head_size = self.first.ids([x[0] for x in split])
-        ids, size = self.other.ids([p for x in split for p in x[1:]])
-        at, h = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(head_size)]
-        piece = 0
-        for n, (i, x) in enumerate(zip(rest, split)):
-            end = piece + len(x) - 1
-            out[i] = np.concatenate([head[h[n]:h[n + 1]], ids[at[piece]:at[end]]])
-            piece = end
-        return out
+        data = [t.encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+    def _whole(self, data: np.ndarray) -> np.ndarray:
+        return np.array(self.tokenizer.encode(data.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of the UTF-8 texts ``data[offsets[i]:offsets[i + 1]]``."""
+        n, begin, end = len(offsets) - 1, offsets[:-1], offsets[1:]
+        if not self.in_pieces or not len(data):
+            return [self._whole(data[a:b]) for a, b in zip(begin, end)]
+        if len(self.keys) > MAX_PIECES:
+            self._forget()
+        space = data == 32
+        white = space | (data == 10)
+        odd = _RARE_BYTE[data]
+        odd[:-1] |= space[:-1] & white[1:]
+        odd[1:] |= space[1:] & white[:-1]
+        filled = end > begin
+        odd[begin[filled]] |= space[begin[filled]]
+        odd[end[filled] - 1] |= space[end[filled] - 1]
+        doubts = np.diff(np.r_[0, np.cumsum(odd)][offsets]) > 0
+        whole = {i for i in np.flatnonzero(doubts).tolist() if not self._usual(data[begin[i]:end[i]].tobytes().decode())}
+
+        gaps = np.flatnonzero(space)
+        first = np.searchsorted(gaps, begin) + np.arange(n)  # the number of each text's first piece
+        starts, ends = np.empty(len(gaps) + n, np.int64), np.empty(len(gaps) + n, np.int64)
+        is_first = np.zeros(len(starts), bool)
+        is_first[first] = True
+        starts[first], starts[~is_first] = begin, gaps + 1
+        is_last = np.zeros(len(starts), bool)
+        is_last[np.r_[first[1:], len(starts)] - 1] = True
+        ends[is_last], ends[~is_last] = end, gaps
+        names = []
+        for powers in self.powers:
+            powers.to(len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data + np.uint64(1)) * powers.up[:len(data)], out=sums[1:])
+            names.append((sums[ends] - sums[starts]) * powers.down[starts] + is_first * _FIRST)
+        key, check = names
+
+        unique, index, back = np.unique(key, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, unique)
+        found = place < len(self.keys)
+        found[found] = self.keys[place[found]] == unique[found]
+        if not found.all():
+            new = index[~found]
+            # Texts that are encoded whole may not have pieces that can be learnt one by one, but their ids are not used.
+            raw = data.tobytes()
+            ids, size = self._learn([("" if f else " ") + raw[a:b].decode() for a, b, f in zip(starts[new].tolist(), ends[new].tolist(), is_first[new].tolist())])
+            at = place[~found]
+            self.keys, self.check = np.insert(self.keys, at, unique[~found]), np.insert(self.check, at, check[new])
+            self.code = np.insert(self.code, at, len(self.size) + np.arange(len(new)))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
+            place = np.searchsorted(self.keys, unique)
+        clash = self.check[place][back] != check
+        whole |= set((np.searchsorted(first, np.flatnonzero(clash), side="right") - 1).tolist())
+        code = self.code[place][back]
+        size = self.size[code]
+        stop = np.cumsum(size)
+        ids = self.pool[np.repeat(self.start[code] - (stop - size), size) + np.arange(int(stop[-1]))]
+        cuts = np.r_[0, stop][np.r_[first, len(starts)]]
+        return [self._whole(data[begin[i]:end[i]]) if i in whole else ids[cuts[i]:cuts[i + 1]] for i in range(n)]
 
 
 @lru_cache(maxsize=1)
@@ -169,36 +210,34 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            cuts = [0, *(i + 1 for i, (a, b) in enumerate(_steps(texts)) if a // GROUP_CHARS != b // GROUP_CHARS)]
-            for a, b in zip(cuts, [*cuts[1:], len(texts)]):
+            texts = batch.column("_text").cast(pa.large_binary())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            group = (offsets[:-1] - offsets[0]) // GROUP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode([t or "" for t in texts[a:b]])]
+                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode_bytes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(map(len, ids), pa.int64()),
                      pa.array((_planes(x, width) for x in ids), pa.binary())], [key, "text_hash", "row_id", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row_id"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row_id"),
+                       F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("text_hash", T.LongType()), T.StructField("row_id", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return rows.mapInArrow(run, schema)
 
 
-def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Characters before and after each text."""
-    ends = list(accumulate(len(t or "") + 1 for t in texts))
-    return zip([0, *ends], ends)
-
-
 def id_counts(tokens: DataFrame, width: int = 2) -> np.ndarray:
     """Occurrences of each id. Counted per task, then summed; one number per id reaches the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                n = np.bincount(_from_planes(data, width), minlength=len(total))
+            if batch.num_rows:
+                n = np.bincount(np.concatenate([_from_planes(x, width) for x in batch.column(0).to_pylist()]), minlength=len(total))
                 n[:len(total)] += total
                 total = n
         ids = np.flatnonzero(total)
