@@ -36,7 +36,7 @@ def test_posteriors_follow_the_labels(spark):
     print(best)
     for k in ("good", "low", "toxic"):
         own = sum(n for (a, _), n in best.items() if a == k)
-        assert best[k, k] / own > 0.85, best
+        assert best[k, k] / own > 0.8, best
 
 
 def test_fit_reaches_the_constrained_optimum(spark):
