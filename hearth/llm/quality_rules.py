@@ -101,38 +101,43 @@ def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_r
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.drop(*[c for c in new if c != text])
     # Each step is read at least twice by the next, so Catalyst keeps the arrays as columns.
-    df = df.withColumns({"_w": _words(t), "_l": F.filter(F.split(t, "\n", -1), has_word)})
+    df = df.withColumns({"_rules_w": _words(t), "_rules_l": F.filter(F.split(t, "\n", -1), has_word)})
 
     def word(i: Column) -> Column:
-        return F.get(F.col("_w"), i)
+        return F.get(F.col("_rules_w"), i)
 
-    hashes = F.transform(F.slice(F.col("_w"), 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)))
+    hashes = F.transform(F.slice(F.col("_rules_w"), 1, F.greatest(F.size("_rules_w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)))
     df = df.withColumns({
-        "n_words": F.size("_w").cast("bigint"), "_h": hashes,
-        "_bad": F.when(_may_fail(t), F.filter(F.col("_l"), line_fails)).otherwise(F.expr("cast(array() as array<string>)")),
+        "n_words": F.size("_rules_w").cast("bigint"), "_rules_h": hashes,
+        "_rules_bad": F.when(_may_fail(t), F.filter(F.col("_rules_l"), line_fails)).otherwise(F.expr("cast(array() as array<string>)")),
     })
     # Equal windows have equal hashes: only texts with a repeated hash are looked at word by word.
-    ordered = F.sort_array("_h")
-    equal = F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.size("_h")), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
-    df = df.withColumn("_r", F.when(F.size("_h") > F.size(F.array_distinct("_h")), F.array_distinct(equal)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    places = F.sequence(F.lit(0), F.size("_h") - 1)
-    few = F.filter(places, lambda i: F.array_contains(F.col("_r"), F.get(F.col("_h"), i)))
-    windows = F.transform(F.when(F.size("_r") <= FEW, few).otherwise(places),
+    ordered = F.sort_array("_rules_h")
+    equal = F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.size("_rules_h")), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
+    df = df.withColumn("_rules_r", F.when(F.size("_rules_h") > F.size(F.array_distinct("_rules_h")), F.array_distinct(equal)).otherwise(F.expr("cast(array() as array<bigint>)")))
+    places = F.sequence(F.lit(0), F.size("_rules_h") - 1)
+    few = F.filter(places, lambda i: F.array_contains(F.col("_rules_r"), F.get(F.col("_rules_h"), i)))
+    windows = F.transform(F.when(F.size("_rules_r") <= FEW, few).otherwise(places),
                           lambda i: F.struct(F.concat_ws(" ", word(i), word(i + 1), word(i + 2)).alias("s"), i.alias("i")))
-    df = df.withColumn("_s", F.when(F.size("_r") > 0, F.sort_array(windows)))
+    df = df.withColumn("_rules_s", F.when(F.size("_rules_r") > 0, F.sort_array(windows)))
     # Neighbours in sorted order with equal windows give the starts of repeated windows.
-    twins = F.filter(F.zip_with("_s", F.slice(F.col("_s"), 2, F.size("_s")),
+    twins = F.filter(F.zip_with("_rules_s", F.slice(F.col("_rules_s"), 2, F.size("_rules_s")),
                                 lambda a, b: F.when(a["s"] == b["s"], F.array(a["i"], b["i"]))), lambda x: x.isNotNull())
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(twins), lambda i: F.array(i, i + 1, i + 2)))))
-    df = df.withColumns({
-        "word_chars": F.length(F.array_join("_w", "")).cast("bigint"),
-        "n_symbols": _count(t, SYMBOLS).cast("bigint"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
-        "n_repeat_words": F.when(F.size("_r") > 0, covered).otherwise(0).cast("bigint"),
-        "n_lines": F.size("_l").cast("bigint"),
-        "n_removed_lines": F.size("_bad").cast("bigint"),
-        "lost_words": F.size(_words(F.array_join("_bad", "\n"))).cast("bigint"),
-    }).drop("_w", "_l", "_h", "_r", "_s", "_bad")
+    counts = {
+        "n_words": F.col("n_words"),
+        "word_chars": F.length(F.array_join("_rules_w", "")),
+        "n_symbols": _count(t, SYMBOLS),
+        "n_dup_lines": F.size("_rules_l") - F.size(F.array_distinct("_rules_l")),
+        "n_repeat_words": F.when(F.size("_rules_r") > 0, covered).otherwise(0),
+        "n_lines": F.size("_rules_l"),
+        "n_removed_lines": F.size("_rules_bad"),
+        "lost_words": F.size(_words(F.array_join("_rules_bad", "\n"))),
+    }
+    # One generated row per document: a filter on these columns is not pushed below it, where it would
+    # be evaluated with the arrays' expressions in the place of the arrays.
+    row = F.struct(*(c.cast("bigint").alias(n) for n, c in counts.items()))
+    df = df.select(*(c for c in docs.columns if c not in new or c == text), F.inline(F.array(row)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     clean = F.when(F.col("n_removed_lines") == 0, F.col(text)).otherwise(
         F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~(has_word(x) & line_fails(x))), "\n"))
