@@ -129,15 +129,15 @@ def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_r
         "word_chars": F.length(F.array_join("_rules_w", "")),
         "n_symbols": _count(t, SYMBOLS),
         "n_dup_lines": F.size("_rules_l") - F.size(F.array_distinct("_rules_l")),
-        "n_repeat_words": F.when(F.size("_rules_r") > 0, covered).otherwise(0),
+        # Row ids are not negative. Being beyond the optimiser, they keep a filter on this column above it:
+        # pushed below, the arrays' expressions would be evaluated in the arrays' place, once per word.
+        "n_repeat_words": F.when((F.size("_rules_r") > 0) & (F.monotonically_increasing_id() >= 0), covered).otherwise(0),
         "n_lines": F.size("_rules_l"),
         "n_removed_lines": F.size("_rules_bad"),
         "lost_words": F.size(_words(F.array_join("_rules_bad", "\n"))),
     }
-    # One generated row per document: a filter on these columns is not pushed below it, where it would
-    # be evaluated with the arrays' expressions in the place of the arrays.
-    row = F.struct(*(c.cast("bigint").alias(n) for n, c in counts.items()))
-    df = df.select(*(c for c in docs.columns if c not in new or c == text), F.inline(F.array(row)))
+    df = df.withColumns({n: c.cast("bigint") for n, c in counts.items()}).select(
+        *(c for c in docs.columns if c not in new or c == text), *counts)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     clean = F.when(F.col("n_removed_lines") == 0, F.col(text)).otherwise(
         F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~(has_word(x) & line_fails(x))), "\n"))
