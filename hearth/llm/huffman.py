@@ -67,25 +67,30 @@ class Coder:
         self.top = int(self.lengths.max(initial=1))
         self._table: np.ndarray | None = None
 
-    def encode(self, ids: np.ndarray, every: int = EVERY) -> tuple[bytes, np.ndarray]:
-        """(bits padded to a byte, bits taken by each ``every`` ids)."""
+    def encode(self, ids: np.ndarray, counts: np.ndarray, every: int = EVERY) -> tuple[np.ndarray, ...]:
+        """Code documents of ``counts`` ids each (at least one), every one from a new byte on. Returns the bytes, bytes per
+        document, the bits of each ``every`` ids of a document, and how many such numbers each document has."""
         if not len(ids):
-            return b"", np.zeros(0, np.int64)
+            return np.zeros(0, np.uint8), counts * 0, np.zeros(0, np.int64), counts * 0
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
-        starts = ends - lengths
+        last = np.cumsum(counts) - 1
+        bits = np.diff(ends[last], prepend=0)
+        sizes = (bits + 7) // 8
+        pad = np.cumsum(sizes * 8) - sizes * 8 - (ends[last] - bits)  # by how much a document is moved
+        starts = ends - lengths + np.repeat(pad, counts)
         # Each code lies in a 64-bit window that begins at its 32-bit word.
         word = starts >> 5
         value = self.codes[ids] << (64 - (starts & 31) - lengths).astype(np.uint64)
         edge = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        at, total = word[edge], int(ends[-1])
+        at = word[edge]
         out = np.zeros(int(word[-1]) + 2, np.uint64)
         out[at] += np.add.reduceat(value >> np.uint64(32), edge)
         out[at + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), edge)
-        marks = np.r_[0, ends[every - 1::every]]
-        if marks[-1] != total:
-            marks = np.r_[marks, total]
-        return out.astype(">u4").tobytes()[:(total + 7) // 8], np.diff(marks)
+        marks = -(-counts // every)
+        segment = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
+        stop = np.repeat(last - counts + 1, marks) + np.minimum((segment + 1) * every, np.repeat(counts, marks)) - 1
+        return out.astype(">u4").view(np.uint8)[:int(sizes.sum())], sizes, np.diff(ends[stop], prepend=0), marks
 
     def table(self) -> np.ndarray:
         """Indexed by the next ``top`` bits: id * 32 + length."""

@@ -1,6 +1,6 @@
 """Token ids of a corpus, written as canonical Huffman blocks.
 
-1. Every text is tokenised once; its ids are stored as two byte planes.
+1. Every text is tokenised once and its ids are stored.
 2. Global counts of the ids give one code table (``huffman``).
 3. Ids are encoded per document, sent to key ranges, sorted, and joined to
    independent blocks of whole documents with a bit offset every ``EVERY`` ids.
@@ -36,25 +36,23 @@ END_ID = 0
 #: A block is closed when it holds as many ids.
 BLOCK_IDS = 1 << 18
 #: Texts are tokenised in groups of about so many bytes.
-GROUP_BYTES = 1 << 22
-#: Pieces and parts that a Python worker remembers before it starts anew.
-MAX_PIECES, MAX_PARTS = 2_000_000, 300_000
-#: Odd multipliers of the two 64-bit hashes that name a piece, and what is added for a text's first piece (it has no space before it).
+GROUP_BYTES = 1 << 21
+#: Parts of texts that a Python worker remembers before it starts anew.
+MAX_PARTS = 2_000_000
+#: Odd multipliers of the two 64-bit hashes that name a part, and what is added for a part with a space before it.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_FIRST = np.uint64(0xA24BAED4963EE407)
+_SPACED = np.uint64(0xA24BAED4963EE407)
 
 # White space beside a space, or a space at either end: such a text is not cut at its spaces.
 _UNSAFE = re.compile(r"\s \s?| \s|\A | \Z")
 #: White space other than space and line feed, by str.isspace.
 _RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-_SAFE_LETTER = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_SAFE_MARK = r".,;:!?#*$%&|\n"
-# Between a letter or digit and one of these marks a byte-level pre-tokenizer always cuts.
-_PARTS = re.compile(f"(?<=[{_SAFE_LETTER}])(?=[{_SAFE_MARK}])|(?<=[{_SAFE_MARK}])(?=[{_SAFE_LETTER}])")
-
-
 # Bytes of white space other than space and line feed, or with which a longer one begins.
 _RARE_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
+_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+#: Second bytes of the letters U+00C0 to U+00FF (the first is 0xC3).
+_LATIN = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
+_MARK = np.isin(np.arange(256), list(b".,;:!?#*$%&|\n"))
 
 
 class _Powers:
@@ -76,10 +74,10 @@ class Encoder:
     """Ids of texts by a tokenizer file.
 
     A byte-level BPE without a normaliser cuts a text before every single space that stands
-    between other characters, whatever surrounds it, and inside such a piece between a letter
-    and a common mark. So each piece is named by two 64-bit polynomial hashes of its bytes, computed for a
-    whole group of texts at once; a new piece is cut to parts, and each part is encoded once.
-    Other tokenizers and texts with unusual spacing are encoded whole."""
+    between other characters, and between a letter or digit and one of the marks ``.,;:!?#*$%&|`` or a single
+    line feed, whatever surrounds them. So texts are cut there, each part is named by two 64-bit
+    polynomial hashes of its bytes, computed for a whole group of texts at once, and a new part is encoded once.
+    Other tokenizers, texts with unusual spacing and texts that hold an added token are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,103 +85,123 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         said = json.loads(self.tokenizer.to_str())
         pre = said.get("pre_tokenizer") or {}
-        added = [t["content"] for t in said["added_tokens"]]
-        self.in_pieces = (said.get("normalizer") is None and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
-                          and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-                          and not any(" " in t for t in added)
-                          and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in said["added_tokens"]))
-        # A piece that holds an added token's text is not cut further, nor one with a run of white space.
-        self.whole_piece = re.compile("|".join([r"\s\s", *map(re.escape, added)]))
+        self.added = [t["content"].encode() for t in said["added_tokens"]]
+        self.in_parts = (said.get("normalizer") is None and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
+                         and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
         self.powers = [_Powers(b) for b in _BASES]
-        self.part: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.check, self.code = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces one after the other, ids per piece)."""
-        if len(self.part) > MAX_PARTS:
-            self.part.clear()
-        cut, whole, known = _PARTS.split, self.whole_piece.search, self.part
-        parts = [[p] if whole(p) else cut(p) for p in pieces]
-        new = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in known]
-        known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        lists = [known[x[0]] if len(x) == 1 else list(chain.from_iterable(map(known.__getitem__, x))) for x in parts]
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts one after the other, ids per part)."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
 
-    def _usual(self, text: str) -> bool:
+    def _whole(self, data: np.ndarray) -> np.ndarray:
+        return np.array(self.tokenizer.encode(data.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+
+    def _usual(self, data: bytes) -> bool:
+        if any(t in data for t in self.added):
+            return False
+        text = data.decode()
         if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
             return False
         return not any(c in text for c in _RARE_SPACE) or not _UNSAFE.search(text)
 
+    def _parts(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, whether a space stands before) of the parts of texts that begin at ``begin``."""
+        n = len(data)
+        latin = np.zeros(n, bool)
+        latin[1:] = (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        letter, mark = _LETTER[data], _MARK[data]
+        last, first = letter | latin, letter.copy()  # a letter's last byte, and its first
+        first[:-1] |= latin[1:]
+        feed = data == 10
+        cut = np.zeros(n + 1, bool)
+        cut[1:n] = (last[:-1] & mark[1:]) | (mark[:-1] & first[1:])
+        # After a run of line feeds the last one would be split off; such a run stays with what follows.
+        cut[2:n] &= ~(feed[1:-1] & feed[:-2])
+        spaced = np.zeros(n + 1, bool)
+        spaced[1:] = data == 32
+        spaced[begin] = False
+        cut |= spaced
+        cut[begin] = True
+        start = np.flatnonzero(cut[:n])
+        after = np.r_[start[1:], n]
+        return start, after - np.r_[spaced[start[1:]], spaced[n]], spaced[start]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         data = [t.encode() for t in texts]
-        return self.encode_bytes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
-
-    def _whole(self, data: np.ndarray) -> np.ndarray:
-        return np.array(self.tokenizer.encode(data.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
-
-    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of the UTF-8 texts ``data[offsets[i]:offsets[i + 1]]``."""
-        n, begin, end = len(offsets) - 1, offsets[:-1], offsets[1:]
-        if not self.in_pieces or not len(data):
-            return [self._whole(data[a:b]) for a, b in zip(begin, end)]
-        if len(self.keys) > MAX_PIECES:
+        ids, counts = self.encode_bytes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        return np.split(ids, np.cumsum(counts)[:-1])
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text) of the UTF-8 texts ``data[offsets[i]:offsets[i + 1]]``."""
+        n, filled = len(offsets) - 1, np.flatnonzero(offsets[1:] > offsets[:-1])
+        begin, end = offsets[:-1][filled], offsets[1:][filled]
+        counts = np.zeros(n, np.int64)
+        if not len(filled):
+            return np.zeros(0, np.uint32), counts
+        raw = data.tobytes()
+        if self.in_parts:
+            space = data == 32
+            white = space | (data == 10)
+            odd = _RARE_BYTE[data]
+            odd[:-1] |= space[:-1] & white[1:]
+            odd[1:] |= space[1:] & white[:-1]
+            odd[begin] |= space[begin]
+            odd[end - 1] |= space[end - 1]
+            if any(t in raw for t in self.added):
+                odd[begin] = True
+            doubts = np.flatnonzero(np.add.reduceat(odd, begin, dtype=np.int64)).tolist()
+            whole = {i for i in doubts if not self._usual(raw[begin[i]:end[i]])}
+        else:
+            return self._joined([self._whole(data[a:b]) for a, b in zip(begin, end)], counts, filled)
+        if len(self.keys) > MAX_PARTS:
             self._forget()
-        space = data == 32
-        white = space | (data == 10)
-        odd = _RARE_BYTE[data]
-        odd[:-1] |= space[:-1] & white[1:]
-        odd[1:] |= space[1:] & white[:-1]
-        filled = end > begin
-        odd[begin[filled]] |= space[begin[filled]]
-        odd[end[filled] - 1] |= space[end[filled] - 1]
-        doubts = np.diff(np.r_[0, np.cumsum(odd)][offsets]) > 0
-        whole = {i for i in np.flatnonzero(doubts).tolist() if not self._usual(data[begin[i]:end[i]].tobytes().decode())}
-
-        gaps = np.flatnonzero(space)
-        first = np.searchsorted(gaps, begin) + np.arange(n)  # the number of each text's first piece
-        starts, ends = np.empty(len(gaps) + n, np.int64), np.empty(len(gaps) + n, np.int64)
-        is_first = np.zeros(len(starts), bool)
-        is_first[first] = True
-        starts[first], starts[~is_first] = begin, gaps + 1
-        is_last = np.zeros(len(starts), bool)
-        is_last[np.r_[first[1:], len(starts)] - 1] = True
-        ends[is_last], ends[~is_last] = end, gaps
+
+        start, stop, spaced = self._parts(data, begin)
         names = []
         for powers in self.powers:
             powers.to(len(data) + 1)
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((data + np.uint64(1)) * powers.up[:len(data)], out=sums[1:])
-            names.append((sums[ends] - sums[starts]) * powers.down[starts] + is_first * _FIRST)
+            names.append((sums[stop] - sums[start]) * powers.down[start] + spaced * _SPACED)
         key, check = names
-
         unique, index, back = np.unique(key, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, unique)
         found = place < len(self.keys)
         found[found] = self.keys[place[found]] == unique[found]
         if not found.all():
-            new = index[~found]
-            # Texts that are encoded whole may not have pieces that can be learnt one by one, but their ids are not used.
-            raw = data.tobytes()
-            ids, size = self._learn([("" if f else " ") + raw[a:b].decode() for a, b, f in zip(starts[new].tolist(), ends[new].tolist(), is_first[new].tolist())])
-            at = place[~found]
+            # Parts of texts that are encoded whole are learnt too; they do no harm.
+            new, at = index[~found], place[~found]
+            ids, size = self._encode_parts([(" " if s else "") + raw[a:b].decode() for a, b, s in zip(start[new].tolist(), stop[new].tolist(), spaced[new].tolist())])
             self.keys, self.check = np.insert(self.keys, at, unique[~found]), np.insert(self.check, at, check[new])
             self.code = np.insert(self.code, at, len(self.size) + np.arange(len(new)))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
             self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
             place = np.searchsorted(self.keys, unique)
-        clash = self.check[place][back] != check
-        whole |= set((np.searchsorted(first, np.flatnonzero(clash), side="right") - 1).tolist())
+        first = np.searchsorted(start, begin)
+        clash = np.flatnonzero(self.check[place][back] != check)
+        whole |= set((np.searchsorted(first, clash, side="right") - 1).tolist())
         code = self.code[place][back]
         size = self.size[code]
-        stop = np.cumsum(size)
-        ids = self.pool[np.repeat(self.start[code] - (stop - size), size) + np.arange(int(stop[-1]))]
-        cuts = np.r_[0, stop][np.r_[first, len(starts)]]
-        return [self._whole(data[begin[i]:end[i]]) if i in whole else ids[cuts[i]:cuts[i + 1]] for i in range(n)]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(self.start[code] - (ends - size), size) + np.arange(int(ends[-1]))]
+        cuts = np.r_[0, ends][np.r_[first, len(start)]]
+        if whole:
+            return self._joined([self._whole(data[begin[i]:end[i]]) if i in whole else ids[cuts[i]:cuts[i + 1]] for i in range(len(begin))], counts, filled)
+        counts[filled] = np.diff(cuts)
+        return ids, counts
+
+    @staticmethod
+    def _joined(lists: list[np.ndarray], counts: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts[filled] = [len(x) for x in lists]
+        return np.concatenate(lists), counts
 
 
 @lru_cache(maxsize=1)
@@ -192,21 +210,30 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _planes(ids: np.ndarray, width: int) -> bytes:
-    """Little-endian bytes of the ids, all lowest bytes first: they compress better so."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+def _with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
+    """Each text's ids with the end id behind them."""
+    out = np.full(len(ids) + len(counts), end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    return out
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of the consecutive stretches of ``data`` (bytes) that ``sizes`` tells."""
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _from_planes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 4), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view("<u4").ravel().astype(np.int64)
+def _values(column: pa.Array, dtype: str) -> np.ndarray:
+    """All values of a binary column's rows, one after the other."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].view(dtype)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID,
              width: int = 2) -> DataFrame:
-    """(key, text_hash, row_id, n_tokens, ids): each text's ids and the end id, as byte planes of
-    ``width`` bytes. A null text counts as empty."""
+    """(key, text_hash, row_id, n_tokens, ids): each text's ids and the end id, in ``width`` bytes each. A
+    null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         for batch in batches:
@@ -218,11 +245,12 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode_bytes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])]
-                part = batch.slice(a, b - a)
+                ids, counts = encoder.encode_bytes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                part, counts = batch.slice(a, b - a), counts + 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(map(len, ids), pa.int64()),
-                     pa.array((_planes(x, width) for x in ids), pa.binary())], [key, "text_hash", "row_id", "n_tokens", "ids"])
+                    [part.column(0), part.column(1), part.column(2), pa.array(counts, pa.int64()),
+                     _binary(_with_ends(ids, counts - 1, end_id).astype(f"<u{width}").view(np.uint8), counts * width)],
+                    [key, "text_hash", "row_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row_id"),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
@@ -237,7 +265,7 @@ def id_counts(tokens: DataFrame, width: int = 2) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             if batch.num_rows:
-                n = np.bincount(np.concatenate([_from_planes(x, width) for x in batch.column(0).to_pylist()]), minlength=len(total))
+                n = np.bincount(_values(batch.column(0), f"<u{width}"), minlength=len(total))
                 n[:len(total)] += total
                 total = n
         ids = np.flatnonzero(total)
@@ -309,12 +337,10 @@ def write_blocks(tokens: DataFrame, path: str, key: str = "doc_id", width: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(lengths)
         for batch in batches:
-            bits, deltas = [], []
-            for data in batch.column("ids").to_pylist():
-                b, d = coder.encode(_from_planes(data, width))
-                bits.append(b)
-                deltas.append(d.astype("<u2").tobytes())
-            columns = {n: batch.column(n) for n in ("range", *order, "n_tokens")} | {"bits": pa.array(bits, pa.binary()), "deltas": pa.array(deltas, pa.binary())}
+            counts = batch.column("n_tokens").to_numpy()
+            bits, sizes, deltas, marks = coder.encode(_values(batch.column("ids"), f"<u{width}").astype(np.int64), counts)
+            columns = {n: batch.column(n) for n in ("range", *order, "n_tokens")}
+            columns |= {"bits": _binary(bits, sizes), "deltas": _binary(deltas.astype("<u2").view(np.uint8), 2 * marks)}
             yield pa.RecordBatch.from_pydict(columns)
 
     kind_of = tokens.schema[key].dataType

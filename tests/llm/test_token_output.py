@@ -65,17 +65,18 @@ def test_length_limit_is_optimal_on_a_known_case():
 @given(st.lists(st.lists(st.integers(0, 40), min_size=1, max_size=300), min_size=1, max_size=6))
 def test_round_trip(texts):
     coder = Coder(code_lengths(np.bincount(np.concatenate(texts)), 7))
-    parts = [coder.encode(np.array(t), every=16) for t in texts]
     counts = np.array([len(t) for t in texts])
-    offsets, sizes = token_output.segments(counts, np.concatenate([d for _, d in parts]), every=16)
-    assert coder.decode(b"".join(b for b, _ in parts), offsets, sizes).tolist() == sum(texts, [])
+    bits, size, deltas, marks = coder.encode(np.concatenate(texts), counts, every=16)
+    assert size.sum() == len(bits) and marks.tolist() == [-(-len(t) // 16) for t in texts]
+    offsets, sizes = token_output.segments(counts, deltas, every=16)
+    assert coder.decode(bits.tobytes(), offsets, sizes).tolist() == sum(texts, [])
 
 
 def test_pieces_give_the_same_ids():
     texts = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "x  y", "don't stop  now", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c",
              "tab\there\n\nnew line", "café \U0001f600 ok", "!!! ??? ...", "12 345 6a7", "  z", "q\x1c r", "one two three " * 50 + "end"]
     encoder = token_output.Encoder(tokenizer_path())
-    assert encoder.in_pieces
+    assert encoder.in_parts
     for _ in range(2):
         assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1].tolist() for x in whole_ids(texts)]
 
