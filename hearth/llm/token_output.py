@@ -35,10 +35,12 @@ from hearth.session import scratch_path
 END_ID = 0
 #: A block is closed when it holds as many ids.
 BLOCK_IDS = 1 << 18
+#: Ids are coded in groups of about so many (or of one document).
+CODE_IDS = 1 << 19
 #: Texts are tokenised in groups of about so many bytes.
 GROUP_BYTES = 1 << 21
 #: Parts of texts that a Python worker remembers before it starts anew.
-MAX_PARTS = 2_000_000
+MAX_PARTS = 1_200_000
 #: Odd multipliers of the two 64-bit hashes that name a part, and what is added for a part with a space before it.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACED = np.uint64(0xA24BAED4963EE407)
@@ -265,9 +267,11 @@ def id_counts(tokens: DataFrame, width: int = 2) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             if batch.num_rows:
-                n = np.bincount(_values(batch.column(0), f"<u{width}"), minlength=len(total))
-                n[:len(total)] += total
-                total = n
+                ids = _values(batch.column(0), f"<u{width}")
+                for a in range(0, len(ids), CODE_IDS):
+                    n = np.bincount(ids[a:a + CODE_IDS], minlength=len(total))
+                    n[:len(total)] += total
+                    total = n
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
@@ -337,11 +341,17 @@ def write_blocks(tokens: DataFrame, path: str, key: str = "doc_id", width: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(lengths)
         for batch in batches:
-            counts = batch.column("n_tokens").to_numpy()
-            bits, sizes, deltas, marks = coder.encode(_values(batch.column("ids"), f"<u{width}").astype(np.int64), counts)
-            columns = {n: batch.column(n) for n in ("range", *order, "n_tokens")}
-            columns |= {"bits": _binary(bits, sizes), "deltas": _binary(deltas.astype("<u2").view(np.uint8), 2 * marks)}
-            yield pa.RecordBatch.from_pydict(columns)
+            ends = np.cumsum(batch.column("n_tokens").to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(ends // CODE_IDS)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                counts = part.column("n_tokens").to_numpy()
+                bits, sizes, deltas, marks = coder.encode(_values(part.column("ids"), f"<u{width}").astype(np.int64), counts)
+                columns = {n: part.column(n) for n in ("range", *order, "n_tokens")}
+                columns |= {"bits": _binary(bits, sizes), "deltas": _binary(deltas.astype("<u2").view(np.uint8), 2 * marks)}
+                yield pa.RecordBatch.from_pydict(columns)
 
     kind_of = tokens.schema[key].dataType
     fields = [T.StructField("range", T.IntegerType()), *(tokens.schema[c] for c in (*order, "n_tokens")), T.StructField("bits", T.BinaryType()), T.StructField("deltas", T.BinaryType())]
