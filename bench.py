@@ -23,7 +23,8 @@ HEADLINE = [
     "yearly_trend", "price_histogram", "auto_histogram", "price_density", "top_investments",
     "map_filter", "listing_search", "drop_duplicates", "impute_median", "event_type_counts",
     "recent_notifications", "endpoint_latency", "intent", "flatten_observation",
-    "regression_metrics", "standardize",
+    "regression_metrics", "standardize", "scan_csv", "export_csv", "cross_validate_linear",
+    "fit_forest",
 ]
 
 

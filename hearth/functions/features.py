@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearth.schema import InvestmentProfile
+from hearth.schema import BASIC_RULES, SCORE_CAP, SCORE_RULES, score_text
 
 # Reference year of ``house_age`` and the label thresholds.
 CURRENT_YEAR = 2025
@@ -52,39 +52,16 @@ def size_category(sqft: str = "sqft_living") -> Column:
              .otherwise(F.lit("Large")))
 
 
-def _bonus(cond: Column, points: int) -> Column:
-    # NULL comparisons are false in the reference (NaN >= x is False).
-    return F.when(F.coalesce(cond, F.lit(False)), F.lit(points)).otherwise(F.lit(0))
-
-
-def investment_score_basic(grade="grade", waterfront="waterfront", sqft="sqft_living",
-                           condition="condition") -> Column:
-    """Notebook / earlier-app score: 30 + 30 + 20 + 20, no cap needed."""
-    return (_bonus(F.col(grade) >= 8, 30) + _bonus(F.col(waterfront) == 1, 30)
-            + _bonus(F.col(sqft) > 3000, 20) + _bonus(F.col(condition) >= 4, 20))
-
-
-def investment_score(columns: list[str], profile: InvestmentProfile = InvestmentProfile()) -> Column:
-    """Profile score capped at ``profile.cap``; a term whose column is absent
-    from ``columns`` contributes 0."""
-    p = profile
-    terms = []
-    if "grade" in columns:
-        terms.append(_bonus(F.col("grade") >= p.grade_threshold, p.grade_bonus))
-    if "waterfront" in columns:
-        terms.append(_bonus(F.col("waterfront") == 1, p.waterfront_bonus))
-    if "sqft_living" in columns:
-        terms.append(_bonus(F.col("sqft_living") > p.sqft_threshold, p.sqft_bonus))
-    if "condition" in columns:
-        terms.append(_bonus(F.col("condition") >= p.condition_threshold, p.condition_bonus))
-    if "view" in columns:
-        terms.append(_bonus(F.col("view") >= p.view_threshold, p.view_bonus))
-    if "yr_renovated" in columns:
-        terms.append(_bonus(F.col("yr_renovated") > p.renovated_after, p.renovated_bonus))
-    total = F.lit(0)
-    for t in terms:
-        total = total + t
-    return F.least(F.lit(p.cap), total).cast("int")
+def investment_score_basic(rules=BASIC_RULES) -> Column:
+    """The first four rules, without a cap. A NULL comparison gives no points,
+    as in the reference (NaN >= x is False)."""
+    return F.expr(score_text(rules, None))
+
+
+def investment_score(columns: list[str], rules=SCORE_RULES, cap: int = SCORE_CAP) -> Column:
+    """Points of all rules, capped; a rule whose column is absent from
+    ``columns`` contributes 0."""
+    return F.expr(score_text([r for r in rules if r[0] in columns], cap))
 
 
 def investment_label(score: str = "investment_score") -> Column:

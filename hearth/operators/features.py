@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hearth.functions import features as fx
 from hearth.operators.quantiles import exact_percentiles
 from hearth.operators.util import attach
+from hearth.operators.valuation import valuation_ratio
 
 
 def add_notebook_features(df: DataFrame, year: int = fx.CURRENT_YEAR) -> DataFrame:
@@ -46,11 +47,11 @@ def heat_points(df: DataFrame) -> DataFrame:
 
 
 def display_format(df: DataFrame) -> DataFrame:
-    """Display texts: price as ``$1,234``, the valuation ratio as a percent,
-    price per sqft with one decimal, and a titled feature label."""
-    return df.select(
+    """Display texts: price and price per sqft as ``$1,234``, bathrooms with one
+    decimal, the valuation ratio as a percent, and a titled feature label."""
+    return valuation_ratio(df).select(
         "id", fx.dollars(F.col("price")).alias("price_text"),
         fx.dollars(F.col("price_per_sqft")).alias("price_per_sqft_text"),
         F.format_number(F.col("bathrooms"), 1).alias("bathrooms_text"),
-        fx.percent(F.col("sqft_basement") * 100.0 / F.greatest(F.col("sqft_living"), F.lit(1))).alias("basement_share"),
+        fx.percent(F.col("valuation_ratio") * 100.0).alias("valuation_text"),
         fx.feature_title(F.lit("sqft_living")).alias("label"))

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.operators.topn import latest
-from hearth.operators.util import attach
 
 
 def event_type_counts(df: DataFrame) -> DataFrame:
     """count and last time per event type, with the share of all events
-    (the pie). The total is a one-row aggregate of the grouped result."""
+    (the pie). The total is summed over the grouped result."""
     g = df.groupBy("event_type").agg(F.count(F.lit(1)).alias("count"),
                                      F.max("timestamp").alias("last_event"))
-    tot = g.agg(F.sum("count").alias("__total"))
-    return attach(g, tot).select("event_type", "count", "last_event",
-                                 (F.col("count") / F.col("__total")).alias("share"))
+    # A window without partitions over one row per event type: no second scan.
+    total = F.sum("count").over(Window.partitionBy())
+    return g.select("event_type", "count", "last_event", (F.col("count") / total).alias("share"))
 
 
 def status_distribution(df: DataFrame, last: int = 100, keep_missing: bool = False) -> DataFrame:

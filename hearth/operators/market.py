@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.features import investment_score
-from hearth.operators.quantiles import (exact_percentiles, join_on_keys, materialize_small,
-                                        percentiles_with_bound)
+from hearth.operators.quantiles import exact_percentiles, join_on_keys
 from hearth.operators.util import attach, numeric_columns
+from hearth.session import materialize
 
 
 def market_kpis(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -38,7 +38,7 @@ def describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -
     The table is unpivoted once to (column, value) so that all columns share
     one aggregate and one percentile selection, grouped by column name.
     """
-    cols = cols or numeric_columns(df, exclude=("id",))
+    cols = cols or numeric_columns(df, exclude=("id",))  # the key is not described
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
     extra = {"count": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value"),
@@ -57,12 +57,16 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def table_profile(df: DataFrame) -> DataFrame:
+    """Row, zipcode and column counts, and every column's name and type in
+    table order."""
     n_num = len(numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     if "zipcode" in df.columns:
         aggs.append(F.count_distinct("zipcode").alias("n_zipcodes"))
+    types = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"))
+                      for f in df.schema.fields])
     return df.agg(*aggs).select("*", F.lit(len(df.columns)).alias("n_columns"),
-                                F.lit(n_num).alias("n_numeric"))
+                                F.lit(n_num).alias("n_numeric"), types.alias("column_types"))
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -73,54 +77,41 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson r for every ordered pair, long form (col_a, col_b, r).
-
-    Two passes: column means (one row, broadcast), then each row is fanned
-    out to one (pair, a, b) record per unordered pair and a single aggregate
-    grouped by pair sums the centred products over rows where both values
-    are present (R11). Partial aggregation leaves one record per pair per
-    partition to shuffle. The centred form avoids the cancellation of raw
-    sums; zero variance gives NULL instead of an ANSI error (R10).
+    """Pearson r for every ordered pair, long form (col_a, col_b, r); ``id`` is
+    left out of the default columns, it is a key and not a measure.
+
+    Two passes: column means (one row, broadcast), then one global aggregate
+    of the centred values: per pair the count, sums, squares and products over
+    the rows where both values are present (R11). No row is fanned out; a
+    task sends one record. The centred form avoids the cancellation of raw
+    sums; a column without variance gives NULL instead of an ANSI error (R10).
     """
     cols = cols or numeric_columns(df, exclude=("id",))
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    means = x.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-    xc = attach(x, means).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    pa = F.array(*[F.lit(cols.index(a) + 1) for a, _ in pairs])
-    pb = F.array(*[F.lit(cols.index(b) + 1) for _, b in pairs])
-    # Expression size stays O(columns): one value array per row, then the
-    # pair index picks both members.
-    vals = xc.select(F.array(*[F.col(c) for c in cols]).alias("v"))
-    fan = vals.select("v", F.explode(F.sequence(F.lit(1), F.lit(len(pairs)))).alias("pair"))
-    fan = fan.select("pair", F.element_at("v", F.element_at(pa, F.col("pair"))).alias("a"),
-                     F.element_at("v", F.element_at(pb, F.col("pair"))).alias("b"))
-    fan = fan.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    a, b = F.col("a"), F.col("b")
-    s = fan.groupBy("pair").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"),
-        F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"),
-        F.max(a).alias("amax"), F.min(a).alias("amin"), F.max(b).alias("bmax"), F.min(b).alias("bmin"))
-    n = F.col("n")
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    va = F.col("saa") - F.col("sa") * F.col("sa") / n
-    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
-    constant = (F.col("amax") == F.col("amin")) | (F.col("bmax") == F.col("bmin")) | (n < 2)
-    r = F.when(constant, F.lit(None).cast("double")).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, F.sqrt(va * vb)))))
-    names = F.array(*[F.lit(c) for c in cols])
-    rs = s.select(F.element_at(names, F.element_at(pa, F.col("pair"))).alias("col_a"),
-                  F.element_at(names, F.element_at(pb, F.col("pair"))).alias("col_b"),
-                  F.when(F.element_at(pa, F.col("pair")) == F.element_at(pb, F.col("pair")),
-                         F.when(constant, F.lit(None).cast("double")).otherwise(F.lit(1.0)))
-                   .otherwise(r).alias("r"))
-    # Mirror the upper triangle; a pair no row covers has no record (r NULL
-    # via the spine of all ordered pairs).
-    mirrored = rs.unionByName(rs.filter(F.col("col_a") != F.col("col_b"))
-                              .select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r"))
-    spark = df.sparkSession
-    spine = spark.createDataFrame([(a, b) for a in cols for b in cols], "col_a string, col_b string")
-    return spine.join(mirrored, ["col_a", "col_b"], "left")
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    means = x.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(cols))])
+    xc = attach(x, means).selectExpr(*[f"c{i} - m{i} AS c{i}" for i in range(len(cols))])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    sums = []
+    for i, j in pairs:
+        a, b = f"c{i}", f"c{j}"
+        sums += [f"count({a} * {b}) AS n_{i}_{j}", f"sum({a} * {b}) AS ab_{i}_{j}",
+                 f"sum(if({b} IS NULL, NULL, {a})) AS a_{i}_{j}", f"sum(if({a} IS NULL, NULL, {b})) AS b_{i}_{j}",
+                 f"sum(if({b} IS NULL, NULL, {a} * {a})) AS aa_{i}_{j}",
+                 f"sum(if({a} IS NULL, NULL, {b} * {b})) AS bb_{i}_{j}"]
+    s = xc.agg(*[F.expr(e) for e in sums])
+    rs = []
+    for i, j in pairs:
+        n, va = f"n_{i}_{j}", f"(aa_{i}_{j} - a_{i}_{j} * a_{i}_{j} / n_{i}_{j})"
+        vb = f"(bb_{i}_{j} - b_{i}_{j} * b_{i}_{j} / n_{i}_{j})"
+        cov = f"(ab_{i}_{j} - a_{i}_{j} * b_{i}_{j} / n_{i}_{j})"
+        # A variance that is rounding noise beside the sum of squares is none.
+        flat = f"{n} < 2 OR {va} <= 1e-13 * aa_{i}_{j} OR {vb} <= 1e-13 * bb_{i}_{j}"
+        value = "1.0D" if i == j else f"greatest(-1.0D, least(1.0D, {cov} / sqrt({va} * {vb})))"
+        rs.append(f"CASE WHEN {flat} THEN NULL ELSE {value} END AS r_{i}_{j}")
+    r = s.selectExpr(*rs)
+    ordered = [f"struct('{cols[i]}' AS col_a, '{cols[j]}' AS col_b, r_{min(i, j)}_{max(i, j)} AS r)"
+               for i in range(len(cols)) for j in range(len(cols))]
+    return r.selectExpr(f"inline(array({', '.join(ordered)}))")
 
 
 def summary_stats(df: DataFrame, exact: bool = True, with_time: bool = False) -> DataFrame:
@@ -253,27 +244,25 @@ def price_density(df: DataFrame, col: str = "price", gridsize: int = 200, cut: f
     """Gaussian KDE with Scott's bandwidth (n^-1/5 times the sample std),
     evaluated on ``gridsize`` points from min - cut*bw to max + cut*bw.
 
-    Each row is fanned out to the fixed grid (``sequence``, no join) and the
-    kernel sums are partially aggregated per grid point on every partition,
-    so the shuffle is ``gridsize`` rows per task."""
+    Equal prices are counted first; the kernel sums of all grid points are
+    one global aggregate over the weighted distinct prices, so no row is
+    fanned out and a task sends one record."""
     s = df.agg(F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"),
                F.count(col).alias("__n"), F.stddev_samp(col).alias("__sd"))
     bw = F.col("__sd") * F.pow(F.col("__n").cast("double"), -0.2)
     s = s.select("*", bw.alias("__bw"))
     s = s.select("*", (F.col("__lo") - cut * F.col("__bw")).alias("__g0"),
                  (F.col("__hi") + cut * F.col("__bw")).alias("__g1"))
-    step = (F.col("__g1") - F.col("__g0")) / (gridsize - 1)
-    pts = attach(df.select(F.col(col).cast("double").alias("__x")).filter(F.col("__x").isNotNull()), s)
-    fan = pts.select("__x", "__g0", "__bw", step.alias("__step"),
-                     F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
-    gx = F.col("__g0") + F.col("i") * F.col("__step")
-    z = (gx - F.col("__x")) / F.col("__bw")
-    dens = fan.groupBy("i").agg(F.first(gx).alias("x"), F.sum(F.exp(-0.5 * z * z)).alias("__k"))
-    norm = s.select((F.col("__n") * F.col("__bw") * math.sqrt(2 * math.pi)).alias("__norm"),
-                    "__g0", (F.col("__g1") - F.col("__g0")).alias("__span"))
-    return attach(dens.select("i", "__k"), norm).select(
-        "i", (F.col("__g0") + F.col("i") * F.col("__span") / (gridsize - 1)).alias("x"),
-        (F.col("__k") / F.col("__norm")).alias("density"))
+    s = s.withColumn("__step", (F.col("__g1") - F.col("__g0")) / (gridsize - 1))
+    x = df.select(F.col(col).cast("double").alias("__x")).filter("__x IS NOT NULL")
+    pts = attach(x.groupBy("__x").agg(F.count(F.lit(1)).alias("__w")), s)
+    # In units of the bandwidth, from the first grid point on.
+    pts = pts.selectExpr("__w", "(__x - __g0) / __bw AS __u", "__step / __bw AS __d")
+    sums = pts.agg(*[F.expr(f"sum(__w * exp(-0.5D * pow(__u - {i} * __d, 2)))").alias(f"k{i}") for i in range(gridsize)])
+    span = f"(__g1 - __g0) / {gridsize - 1}"
+    rows = ", ".join(f"struct({i} AS i, __g0 + {i} * {span} AS x, "
+                     f"k{i} / (__n * __bw * {math.sqrt(2 * math.pi)!r}D) AS density)" for i in range(gridsize))
+    return attach(sums, s).selectExpr(f"inline(array({rows}))")
 
 
 def score_distribution(df: DataFrame) -> DataFrame:
@@ -286,20 +275,20 @@ def box_stats(df: DataFrame, value: str = "price", by: list[str] | tuple = (),
               exact: bool = True) -> DataFrame:
     """Per group: q1, median, q3, whiskers at 1.5 IQR (the most extreme data
     inside the fences) and the number of points outside. Quartiles by
-    selection; the fences go back to the rows by a join on the group key
-    (AQE broadcasts the small side or splits a hot key)."""
+    selection; the fences go back to the rows by a join on the group key:
+    the planner broadcasts them if their stored size allows, else AQE
+    splits a hot key."""
     by = list(by)
     d = df.filter(F.col(value).isNotNull())
     for b in by:
         d = d.filter(F.col(b).isNotNull())
-    q, rows = percentiles_with_bound(d, value, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-                                     exact=exact)
+    q = exact_percentiles(d, value, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"], exact=exact)
     iqr = F.col("q3") - F.col("q1")
     f = q.select(*by, "q1", "median", "q3", (F.col("q1") - 1.5 * iqr).alias("__lf"),
                  (F.col("q3") + 1.5 * iqr).alias("__uf"))
-    if by and rows is None:
-        f, rows = materialize_small(f)
-    j = join_on_keys(d.select(*by, value), f, by, right_rows=rows)
+    if by:
+        f = materialize(f, "fences")
+    j = join_on_keys(d.select(*dict.fromkeys([*by, value])), f, by)
     v = F.col(value)
     inside = (v >= F.col("__lf")) & (v <= F.col("__uf"))
     agg = j.groupBy(*by, "q1", "median", "q3").agg(
@@ -336,7 +325,8 @@ def map_centroid(df: DataFrame) -> DataFrame:
 
 
 def assistant_context(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Inputs of the assistant's context sentence and the sentence itself."""
+    """Inputs of the assistant's context sentence and the sentence itself
+    (fixed value: the wording is the operator's output)."""
     extra = {"n_properties": F.count(F.lit(1)), "avg_price": F.avg("price"),
              "n_zipcodes": F.count_distinct("zipcode")}
     j = exact_percentiles(df, "price", [], [0.5], ["median_price"], exact=exact, extra=extra)

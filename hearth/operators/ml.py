@@ -12,29 +12,35 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearth.operators.clean import impute_median
 from hearth.operators.topn import sample_n
 from hearth.operators.util import attach
 from hearth.schema import MODEL_FEATURES, TARGET
-from hearth.session import ensure_checkpoint_dir
+from hearth.session import ensure_checkpoint_dir, materialize, scratch_path
 
 # The reference's model settings.
 RANDOM_STATE = 42
 TEST_SIZE = 0.2
+FOREST = "Random Forest"
 FOREST_TREES, FOREST_DEPTH = 200, 20
 BOOSTED_A = dict(maxIter=150, maxDepth=8, stepSize=0.3)
 BOOSTED_B = dict(maxIter=150, maxDepth=6, stepSize=0.1)
 
 
-class ModelTrainingError(ValueError):
+# Values a tree may split a feature at. 256 is the default of common boosting
+# libraries; Spark's own 32 squeezes a wide feature into 32 values.
+MAX_BINS = 256
+
+
+class TooFewFeatures(ValueError):
     pass
 
 
@@ -66,7 +72,7 @@ def available_features(df: DataFrame, features: list[str] | None = None,
                        min_features: int = 2) -> list[str]:
     feats = [f for f in (features or MODEL_FEATURES) if f in df.columns]
     if len(feats) < min_features:
-        raise ModelTrainingError("Insufficient features available for training.")
+        raise TooFewFeatures(f"the table has {len(feats)} of the features {', '.join(features or MODEL_FEATURES)}; needed are {min_features}")
     return feats
 
 
@@ -80,21 +86,16 @@ def prepare_features(df: DataFrame, features: list[str] | None = None, target: s
     return va.transform(filled).withColumn("label", F.col(target).cast("double")), feats
 
 
-def one_hot(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
-    """Dummy columns for a string column with the alphabetically first level
-    dropped (pandas ``get_dummies(drop_first=True)``): StringIndexer in
-    descending alphabetical order puts that level last and OneHotEncoder's
-    dropLast removes it."""
+def one_hot(df: DataFrame, col: str, levels: list[str] | None = None, prefix: str | None = None) -> DataFrame:
+    """Dummy columns for a string column, one per level but the alphabetically
+    first (pandas ``get_dummies(drop_first=True)``). ``levels`` is the list
+    of known levels; without it the distinct levels are read, which is meant
+    for columns known to have few. A value outside the list has all 0."""
     prefix = prefix or col
-    idx = StringIndexer(inputCol=col, outputCol=f"__{col}_idx", stringOrderType="alphabetDesc",
-                        handleInvalid="keep")
-    enc = OneHotEncoder(inputCols=[f"__{col}_idx"], outputCols=[f"__{col}_vec"], dropLast=True,
-                        handleInvalid="keep")
-    model = Pipeline(stages=[idx, enc]).fit(df)
-    labels = model.stages[0].labels  # distinct levels: metadata, not rows
-    out = model.transform(df).withColumn("__arr", vector_to_array(f"__{col}_vec"))
-    cols = [F.col("__arr")[i].cast("int").alias(f"{prefix}_{lab}") for i, lab in enumerate(labels[:-1])]
-    return out.select(*[c for c in df.columns if c != col], *cols)
+    if levels is None:
+        levels = [r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull()).collect()]
+    dummies = [F.coalesce(F.col(col) == lab, F.lit(False)).cast("int").alias(f"{prefix}_{lab}") for lab in sorted(levels)[1:]]
+    return df.select(*[c for c in df.columns if c != col], *dummies)
 
 
 def standardize(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -131,19 +132,22 @@ def linear_estimator():
 
 
 def forest_estimator(num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPTH,
-                     seed: int = RANDOM_STATE):
+                     seed: int = RANDOM_STATE, max_bins: int = MAX_BINS):
+    """Bagged trees; every split looks at all features, as the reference's
+    regression forest does."""
     return _with_checkpointing(RandomForestRegressor(
-        featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
-        seed=seed, cacheNodeIds=True))
+        featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
+        featureSubsetStrategy="all", seed=seed, cacheNodeIds=True, maxMemoryInMB=1024))
 
 
-def boosted_estimator(maxIter: int, maxDepth: int, stepSize: float, seed: int = RANDOM_STATE):
+def boosted_estimator(maxIter: int, maxDepth: int, stepSize: float, seed: int = RANDOM_STATE,
+                      max_bins: int = MAX_BINS):
     """Gradient-boosted trees (squared loss). The reference's XGBoost uses
     second-order steps and L2 leaf weights; this is first-order boosting
     with the same rounds, depth and learning rate."""
     return _with_checkpointing(GBTRegressor(
-        featuresCol="features", labelCol="label", maxIter=maxIter, maxDepth=maxDepth,
-        stepSize=stepSize, seed=seed, cacheNodeIds=True))
+        featuresCol="features", labelCol="label", maxIter=maxIter, maxDepth=maxDepth, maxBins=max_bins,
+        featureSubsetStrategy="all", stepSize=stepSize, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024))
 
 
 def estimators(fast: bool = False) -> dict:
@@ -169,8 +173,11 @@ def fit(df: DataFrame, estimator, features: list[str] | None = None,
     meds = _median_imputer(df, feats)
     va = VectorAssembler(inputCols=[f"__imp_{c}" for c in feats], outputCol="features",
                          handleInvalid="keep")
-    train = va.transform(meds.transform(df)).withColumn("label", F.col(TARGET).cast("double"))
-    model = estimator.fit(train)
+    train = va.transform(meds.transform(df)).select("features", F.col(TARGET).cast("double").alias("label")).persist()
+    try:
+        model = estimator.fit(train)
+    finally:
+        train.unpersist()
     return PipelineModel(stages=[meds, va, model])
 
 
@@ -190,22 +197,26 @@ def _median_imputer(df: DataFrame, feats: list[str]):
     return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df)
+def predict(models: PipelineModel | dict[str, PipelineModel], df: DataFrame, name: str = FOREST) -> DataFrame:
+    """Score ``df`` by one model, or by the named one of several; a name that
+    is not there falls back to the forest."""
+    if isinstance(models, dict):
+        models = models[name if name in models else FOREST]
+    return models.transform(df)
 
 
-def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """MAE, RMSE, R^2 and n in one row. The label mean is a one-row frame
-    (broadcast) so the residual sums are centred, not raw."""
+def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                       by: list[str] = ()) -> DataFrame:
+    """MAE, RMSE, R^2 and n, in one row or one per group of ``by``. One pass:
+    the total sum of squares is the population variance times n."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    d = df.select(y.alias("y"), p.alias("p")).filter(F.col("y").isNotNull() & F.col("p").isNotNull())
-    mean = d.agg(F.avg("y").alias("__ybar"))
+    d = df.select(*by, y.alias("y"), p.alias("p")).filter(F.col("y").isNotNull() & F.col("p").isNotNull())
     e = F.col("y") - F.col("p")
-    agg = attach(d, mean).agg(
+    agg = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("__sse"),
-        F.sum((F.col("y") - F.col("__ybar")) ** 2).alias("__sst"))
-    return agg.select("n", "mae", "rmse",
+        (F.var_pop("y") * F.count(F.lit(1))).alias("__sst"))
+    return agg.select(*by, "n", "mae", "rmse",
                       (F.lit(1.0) - F.try_divide(F.col("__sse"), F.col("__sst"))).alias("r2"))
 
 
@@ -234,7 +245,6 @@ def train_models(df: DataFrame, features: list[str] | None = None, fast: bool =
 
 def compare_models(trained: Trained) -> DataFrame:
     """One row per model, best R^2 first, with the best flagged."""
-    from pyspark.sql import Window
     w = Window.orderBy(F.desc_nulls_last("r2"), "model")  # four rows
     return trained.metrics.withColumn("rank", F.row_number().over(w)) \
                           .withColumn("best", F.col("rank") == 1)
@@ -249,21 +259,24 @@ def feature_importance(model: PipelineModel, features: list[str], n: int | None
     return df
 
 
-def cross_validate(df: DataFrame, estimator, k: int = 5, features: list[str] | None = None,
-                   seed: int = RANDOM_STATE) -> DataFrame:
-    """k-fold R^2 (folds from the key hash): per fold, plus mean and
-    population std of the scores on every row."""
-    feats = available_features(df, features)
+def cross_validate(df: DataFrame, estimator=None, k: int = 5, features: list[str] | None = None,
+                   seed: int = RANDOM_STATE, min_features: int = 2) -> DataFrame:
+    """k-fold R^2 (folds from the key hash), the forest by default: one row
+    per fold, with mean and population std of the scores on every row. Each
+    fold is scored once; the predictions are grouped by fold in one pass."""
+    feats = available_features(df, features, min_features)
+    estimator = estimator or forest_estimator()
     f = df.withColumn("__fold", fold_of(k, seed))
-    out = None
+    scored = None
     for i in range(k):
-        m = fit(f.filter(F.col("__fold") != i), estimator, feats)
-        sc = regression_metrics(m.transform(f.filter(F.col("__fold") == i))
-                                .withColumn("label", F.col(TARGET).cast("double")))
-        sc = sc.select(F.lit(i).alias("fold"), F.col("r2"))
-        out = sc if out is None else out.unionByName(sc)
-    st = out.agg(F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2"))
-    return attach(out, st)
+        m = fit(f.filter(F.col("__fold") != i), estimator, feats, min_features)
+        part = m.transform(f.filter(F.col("__fold") == i)).select(
+            F.col("__fold").alias("fold"), F.col(TARGET).cast("double").alias("label"), "prediction")
+        scored = part if scored is None else scored.unionByName(part)
+    scores = regression_metrics(scored, by=["fold"])
+    every = Window.partitionBy()  # k rows
+    return scores.select("fold", "n", "r2", F.avg("r2").over(every).alias("mean_r2"),
+                         F.stddev_pop("r2").over(every).alias("std_r2"))
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -275,54 +288,103 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def shapley_values(model: PipelineModel, explain: DataFrame, background: DataFrame,
-                   features: list[str], n_explain: int = 100, n_background: int = 50,
-                   seed: int = RANDOM_STATE) -> DataFrame:
-    """Exact interventional Shapley values.
-
-    For ``n_explain`` sampled rows x, every coalition S of the p features and
-    ``n_background`` sampled rows z, the model scores the hybrid (x on S, z
-    elsewhere); v(S) is the mean over z. Then
+def tree_leaves(model: PipelineModel, spark: SparkSession, n_features: int) -> DataFrame:
+    """One row per leaf of a fitted forest: tree, value, and per feature the
+    interval (lo, hi] that leads to the leaf and the product of cover shares
+    along the splits on that feature (``rho``).
+
+    The nodes come from the saved model's table; a tree's nodes are walked in
+    one task, so the size depends on the model."""
+    path = scratch_path(spark, "forest")
+    model.stages[-1].write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
+        F.col("treeID").alias("tree"), "id", "prediction", F.col("impurityStats")[0].alias("cover"),
+        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+        F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", 0).alias("threshold"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = {r.id: r for r in pdf.itertuples()}
+        start = ([-math.inf] * n_features, [math.inf] * n_features, [1.0] * n_features)
+        todo, out = [(0, start)], []
+        while todo:
+            i, (lo, hi, rho) = todo.pop()
+            r = node[i]
+            if r.left < 0:
+                out.append((int(r.tree), float(r.prediction), lo, hi, rho))
+                continue
+            for child, low_side in ((r.left, True), (r.right, False)):
+                box = [list(lo), list(hi), list(rho)]
+                if low_side:
+                    box[1][r.feature] = min(hi[r.feature], r.threshold)
+                else:
+                    box[0][r.feature] = max(lo[r.feature], r.threshold)
+                box[2][r.feature] *= node[child].cover / r.cover
+                todo.append((child, tuple(box)))
+        return pd.DataFrame(out, columns=["tree", "value", "lo", "hi", "rho"])
+
+    return materialize(nodes.groupBy("tree").applyInPandas(
+        walk, "tree int, value double, lo array<double>, hi array<double>, rho array<double>"), "leaves")
+
+
+def shapley_values(model: PipelineModel, explain: DataFrame, features: list[str],
+                   n_explain: int | None = 100, seed: int = RANDOM_STATE) -> DataFrame:
+    """Shapley attributions of a forest by its tree paths.
+
+    v(S) for a row x is the forest's mean over the features outside S, taken
+    by node covers: a sum over leaves of value * prod_{f in S} [x_f in the leaf's interval] *
+    prod_{f not in S} rho_f, divided by the number of trees. All 2^p coalitions of a
+    (row, leaf) pair are summed in one aggregate; then
 
         phi_i = sum_T c_i(T) v(T),  c_i(T) = w(|T|-1) if i in T else -w(|T|),
         w(s) = s! (p-s-1)! / p!
 
-    so the attribution is a single weighted aggregate, no self-join. The
-    fan-out is bounded by n_explain * 2^p * n_background (parameters, not
-    data size); the background travels as one bounded array.
-    Output: (row_id, feature, contribution, base_value, prediction).
-    """
-    p = len(features)
-    ex = sample_n(explain, n_explain, seed).select(
-        F.col("id").alias("row_id"), *[F.col(c).cast("double").alias(f"x_{c}") for c in features])
-    bg = sample_n(background, n_background, seed + 1).agg(
-        F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in features])).alias("__bg"))
-    fan = attach(ex, bg).select(
-        "row_id", *[f"x_{c}" for c in features],
-        F.explode(F.sequence(F.lit(0), F.lit(2 ** p - 1))).alias("mask"),
-        F.explode("__bg").alias("z"))
-    hybrid = fan.select("row_id", "mask", *[
-        F.when(F.shiftleft(F.lit(1), j).bitwiseAND(F.col("mask")) != 0, F.col(f"x_{c}"))
-         .otherwise(F.col(f"z.{c}")).alias(c) for j, c in enumerate(features)])
-    scored = model.transform(hybrid.withColumn(TARGET, F.lit(None).cast("double")))
-    v = scored.groupBy("row_id", "mask").agg(F.avg("prediction").alias("v"))
-    size = F.bit_count(F.col("mask"))
+    ``n_explain`` rows are explained (None: all); no background sample is needed. The explained rows are
+    the broadcast side of the pairing with the leaves (their number is the parameter; without it no
+    hint is given). Output: (row_id, base_value, prediction, feature, contribution), where
+    base_value + the contributions = prediction."""
+    p, spark = len(features), explain.sparkSession
+    leaves = tree_leaves(model, spark, p)
+    n_trees = model.stages[-1].getNumTrees
+    sample = sample_n(explain, n_explain, seed) if n_explain else explain
+    rows = model.stages[0].transform(sample).select(
+        F.col("id").alias("row_id"), F.array(*[F.col(f"__imp_{c}").cast("double") for c in features]).alias("x"))
+    pairs = leaves.join(F.broadcast(rows) if n_explain else rows, F.lit(True))
+    pairs = pairs.select("row_id", "value", *[
+        F.expr(f"CASE WHEN x[{i}] > lo[{i}] AND x[{i}] <= hi[{i}] THEN 1.0D ELSE 0.0D END").alias(f"in{i}") for i in range(p)],
+        *[F.expr(f"rho[{i}]").alias(f"out{i}") for i in range(p)])
+    sums = []
+    for mask in range(2 ** p):
+        term = " * ".join(f"{'in' if mask >> i & 1 else 'out'}{i}" for i in range(p))
+        sums.append(F.expr(f"sum(value * {term}) / {n_trees}").alias(f"v{mask}"))
+    v = pairs.groupBy("row_id").agg(*sums)
     fact = [math.factorial(i) for i in range(p + 1)]
-
-    def w(s: Column) -> Column:
-        arr = F.array(*[F.lit(fact[i] * fact[p - i - 1] / fact[p]) for i in range(p)])
-        return F.element_at(arr, s + 1)
-
-    aggs = []
-    for j, c in enumerate(features):
-        has = F.shiftleft(F.lit(1), j).bitwiseAND(F.col("mask")) != 0
-        coef = F.when(has, w(size - 1)).otherwise(-w(size))  # i not in T: |T| <= p-1
-        aggs.append(F.sum(coef * F.col("v")).alias(f"phi_{c}"))
-    aggs += [F.max(F.when(F.col("mask") == 0, F.col("v"))).alias("base_value"),
-             F.max(F.when(F.col("mask") == 2 ** p - 1, F.col("v"))).alias("prediction")]
-    phi = v.groupBy("row_id").agg(*aggs)
-    return phi.select("row_id", "base_value", "prediction", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"phi_{c}").alias("contribution")) for c in features])))
+    weight = [fact[i] * fact[p - i - 1] / fact[p] for i in range(p)]
+    phi = []
+    for i, c in enumerate(features):
+        terms = []
+        for mask in range(2 ** p):
+            size = mask.bit_count()
+            coefficient = weight[size - 1] if mask >> i & 1 else -weight[size]
+            terms.append(f"{coefficient!r}D * v{mask}")
+        phi.append(f"struct('{c}' AS feature, {' + '.join(terms)} AS contribution)")
+    return v.selectExpr("row_id", "v0 AS base_value", f"v{2 ** p - 1} AS prediction", f"inline(array({', '.join(phi)}))")
+
+
+def linear_shapley(model: PipelineModel, explain: DataFrame, train: DataFrame, features: list[str],
+                   n_explain: int | None = 100, seed: int = RANDOM_STATE) -> DataFrame:
+    """The closed form for a linear model: beta_i * (x_i - mean of the training part's x_i); same output."""
+    lr = model.stages[-1]
+    beta = [float(b) for b in lr.coefficients.toArray()]
+    imputed = [F.col(f"__imp_{c}").cast("double") for c in features]
+    means = model.stages[0].transform(train).agg(*[F.avg(x).alias(f"__m{i}") for i, x in enumerate(imputed)])
+    rows = model.stages[0].transform(sample_n(explain, n_explain, seed) if n_explain else explain)
+    j = attach(rows.select(F.col("id").alias("row_id"), *[x.alias(f"__x{i}") for i, x in enumerate(imputed)]), means)
+    base, pred = F.lit(float(lr.intercept)), F.lit(float(lr.intercept))
+    for i, b in enumerate(beta):
+        base, pred = base + b * F.col(f"__m{i}"), pred + b * F.col(f"__x{i}")
+    return j.select("row_id", base.alias("base_value"), pred.alias("prediction"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), (beta[i] * (F.col(f"__x{i}") - F.col(f"__m{i}"))).alias("contribution"))
+        for i, c in enumerate(features)])))
 
 
 def shapley_summary(values: DataFrame) -> DataFrame:

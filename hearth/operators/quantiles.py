@@ -10,9 +10,10 @@ found by selection instead:
 2. from the sketch, a bracket ``[lo, hi]`` around each target rank is chosen
    with a margin of four times the sketch's rank error, so the exact value is
    inside it;
-3. a second aggregate counts, per (group, percentile), the rows below ``lo``
-   and the rows at each distinct value inside the bracket (at most about
-   ``10 n / accuracy`` values, whatever the skew);
+3. a second pass sets each value against its group's brackets (one row per
+   group) and counts the values below, inside and above: per distinct value
+   inside a bracket (at most about ``10 n / accuracy`` values, whatever the
+   skew), and as one number outside;
 4. a running sum over those few values finds the exact order statistics,
    interpolated linearly (pandas' default, DuckDB ``quantile_cont``).
 
@@ -29,6 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearth.session import materialize
+
 DEFAULT_ACCURACY = 10_000
 # Largest number of distinct values one bracket may hand to a single task.
 DEFAULT_MAX_BRACKET = 2_000_000
@@ -41,36 +44,18 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column | None:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-# Largest per-group table (rows) that is broadcast once its size is known.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint a per-group table (cutting its lineage in the shared
-    checkpoint folder) and count it: the count proves its size before any
-    broadcast decision."""
-    from hearth.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    m = df.checkpoint()
-    return m, m.count()
-
-
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                 null_safe: bool = True, right_rows: int | None = None) -> DataFrame:
+                 null_safe: bool = True) -> DataFrame:
     """Equi-join on ``keys`` keeping one copy of each key column (NULL keys
     match each other when ``null_safe``).
 
-    The right side is always a per-group table. When its row count is known
-    (``right_rows``, from ``materialize_small``) and at most
-    ``BROADCAST_MAX_ROWS``, it is broadcast and the left side is never
-    shuffled; otherwise no hint is given: AQE broadcasts it if its runtime
-    size is small, else runs a sort-merge join and splits hot-key
-    partitions. Without keys the right side is a one-row-per-statistic
+    The right side is always a per-group table. No hint is given: Spark
+    broadcasts it if its size in bytes allows (known before the run for a
+    materialized table), else it runs a sort-merge join and AQE splits
+    hot-key partitions. Without keys the right side is a one-row
     frame, broadcast explicitly (size bound known)."""
     if not keys:
         return left.crossJoin(F.broadcast(right))
-    if right_rows is not None and right_rows <= BROADCAST_MAX_ROWS:
-        right = F.broadcast(right)
     r = right.select(*[F.col(k).alias(f"__rk_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     eq = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
@@ -85,17 +70,6 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str] | tuple = (),
                       with_count: bool = False,
                       max_bracket: int | None = DEFAULT_MAX_BRACKET,
                       extra: dict[str, Column] | None = None) -> DataFrame:
-    """See ``percentiles_with_bound``; returns the result frame only."""
-    return percentiles_with_bound(df, value, by, probs, names, accuracy, exact, with_count,
-                                  max_bracket, extra)[0]
-
-
-def percentiles_with_bound(df: DataFrame, value: str, by: list[str] | tuple = (),
-                           probs: list[float] | tuple = (0.5,), names: list[str] | None = None,
-                           accuracy: int = DEFAULT_ACCURACY, exact: bool = True,
-                           with_count: bool = False,
-                           max_bracket: int | None = DEFAULT_MAX_BRACKET,
-                           extra: dict[str, Column] | None = None) -> tuple[DataFrame, int | None]:
     """Per group of ``by``: one column per probability (``names``), linear
     interpolation between order statistics, NULLs ignored. A group whose
     values are all NULL gets NULL.
@@ -106,11 +80,11 @@ def percentiles_with_bound(df: DataFrame, value: str, by: list[str] | tuple = ()
 
     ``max_bracket`` bounds the distinct values any bracket passes to one
     task: when a group is large enough that ``10 n / accuracy`` could exceed
-    it, the brackets are narrowed (``_refine``) before the final pass.
-
-    Also returns a proven upper bound on the result's row count (the number
-    of groups, read from the checkpointed bracket table) when one is known,
-    so a caller can broadcast the result without materialising it."""
+    it, the brackets are narrowed (``_refine``) before the final pass, and the
+    query fails if they cannot be. The bracket table is materialized, so the
+    sketch pass runs when this is called; the final pass checks that it sees as
+    many values of every group as the sketch did and fails otherwise, so
+    a table that changed in between cannot give a mixed answer."""
     by = list(by)
     probs = [float(p) for p in probs]
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
@@ -127,7 +101,7 @@ def percentiles_with_bound(df: DataFrame, value: str, by: list[str] | tuple = ()
             F.percentile_approx("__v", probs, accuracy).alias("__q"), *xaggs)
         out = agg.select(*by, *([F.col("__n").alias("n")] if with_count else []), *xnames,
                          *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
-        return out, None
+        return out
 
     base = df.select(*by, vcol.alias("__v")).filter(F.col("__v").isNotNull())
     margin = 4.0 / accuracy
@@ -162,57 +136,70 @@ def percentiles_with_bound(df: DataFrame, value: str, by: list[str] | tuple = ()
         entries.append(F.struct(F.lit(i).alias("__i"), k.alias("__k"),
                                 (pos - k).alias("__f"), lo.alias("__lo"), hv.alias("__hi")))
     brk = stats.select(*by, "__n", *xnames, F.inline(F.array(*entries)))
-    brk_rows = None
     if max_bracket:
-        brk, brk_rows = _refine(base, brk, by, accuracy, max_bracket, carry=xnames)
-
-    j = join_on_keys(base, brk.select(*by, "__n", "__i", "__k", "__f", "__lo", "__hi"), by,
-                     right_rows=brk_rows)
-    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
-    side = (F.when(lo.isNotNull() & (v < lo), F.lit(-1))
-             .when(hi.isNotNull() & (v > hi), F.lit(1)).otherwise(F.lit(0)))
+        brk = _refine(base, brk, by, accuracy, max_bracket, carry=xnames)
+
+    # One row per group with all its brackets, so a value meets one row.
+    bounds = brk.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col(c))).alias(f"{c}{i}")
+                                    for i in range(len(probs)) for c in ("__lo", "__hi")])
+    j = join_on_keys(base, bounds, by)
+    v = F.col("__v")
+    below, above = F.lit(0), F.lit(0)  # bit i: the value lies below / above bracket i
+    for i in range(len(probs)):
+        below = below + F.when(v < F.col(f"__lo{i}"), 1 << i).otherwise(0)
+        above = above + F.when(v > F.col(f"__hi{i}"), 1 << i).otherwise(0)
+    everywhere = (1 << len(probs)) - 1
+    outside = below.bitwiseOR(above) == everywhere
+    cnt = (j.select(*by, below.alias("__b"), above.alias("__a"), F.when(~outside, v).alias("__vv"))
+            .groupBy(*by, "__b", "__a", "__vv").agg(F.count(F.lit(1)).alias("__c")))
+    # Only the counted values inside a bracket meet the single percentiles.
+    sides = F.array(*[F.struct(F.lit(i).alias("__i"),
+                               F.when(F.col("__b").bitwiseAND(F.lit(1 << i)) != 0, -1)
+                                .when(F.col("__a").bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(0).alias("__side"))
+                      for i in range(len(probs))])
+    per = cnt.select(*by, F.inline(sides), "__vv", "__c")
+    per = (per.select(*by, "__i", "__side", F.when(F.col("__side") == 0, F.col("__vv")).alias("__vv"), "__c")
+              .groupBy(*by, "__i", "__side", "__vv").agg(F.sum("__c").alias("__c")))
+    per = join_on_keys(per, brk.select(*by, "__i", "__n", "__k", "__f"), by + ["__i"])
     keys = by + ["__i", "__n", "__k", "__f"]
-    cnt = (j.select(*keys, side.alias("__side"), F.when(side == 0, v).alias("__vv"))
-            .filter(F.col("__side") <= 0)
-            .groupBy(*keys, "__side", "__vv").agg(F.count(F.lit(1)).alias("__c")))
     w = (Window.partitionBy(*by, "__i").orderBy("__side", "__vv")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = cnt.withColumn("__cum", F.sum("__c").over(w))
+    ranked = per.withColumn("__cum", F.sum("__c").over(w))
     k1, k2 = F.col("__k") + 1, F.col("__k") + 2
     inb = F.col("__side") == 0
     sel = ranked.groupBy(*keys).agg(
-        F.max(F.when(~inb, F.col("__cum"))).alias("__below"),
-        F.max("__cum").alias("__upto_hi"),
+        F.max(F.when(F.col("__side") < 0, F.col("__cum"))).alias("__below"),
+        F.max(F.when(F.col("__side") <= 0, F.col("__cum"))).alias("__upto_hi"), F.sum("__c").alias("__seen"),
         F.min(F.when(inb & (F.col("__cum") >= k1), F.col("__vv"))).alias("__a"),
         F.min(F.when(inb & (F.col("__cum") >= k2), F.col("__vv"))).alias("__b"),
     )
     a, b, f = F.col("__a"), F.col("__b"), F.col("__f")
     need = F.when(f > 0, k2).otherwise(k1)
-    bad = (F.coalesce(F.col("__below"), F.lit(0)) > F.col("__k")) | (F.col("__upto_hi") < F.least(need, F.col("__n")))
+    bad = ((F.coalesce(F.col("__below"), F.lit(0)) > F.col("__k"))
+           | (F.coalesce(F.col("__upto_hi"), F.lit(0)) < F.least(need, F.col("__n"))))
     val = F.when(f > 0, a + f * (b - a)).otherwise(a)
-    checked = F.when(bad, F.raise_error(F.lit("percentile bracket missed the target rank")).cast("double")).otherwise(val)
+    checked = (F.when(F.col("__seen") != F.col("__n"), F.raise_error(F.lit("the table changed between two passes")).cast("double"))
+                .when(bad, F.raise_error(F.lit("percentile bracket missed the target rank")).cast("double")).otherwise(val))
     vals = sel.select(*by, "__i", checked.alias("__val"))
     piv = vals.groupBy(*by).agg(
         *[F.max(F.when(F.col("__i") == i, F.col("__val"))).alias(nm) for i, nm in enumerate(names)])
-    bound = None if brk_rows is None else -(-brk_rows // len(probs))
     if not xnames and not with_count and by:
         # Every group with a value reaches ``piv``; nothing to add back.
-        return piv, bound
+        return piv
     # Group list, counts and the caller's statistics come from the bracket
-    # table (checkpointed by ``_refine``: no further scan); groups whose
-    # values are all NULL keep NULL percentiles.
+    # table (materialized: no further scan); groups whose values are all
+    # NULL keep NULL percentiles.
     head = brk.filter(F.col("__i") == 0).select(*by, "__n", *xnames)
-    out = join_on_keys(head, piv, by, "left", right_rows=bound)
-    return out.select(*by, *([F.col("__n").alias("n")] if with_count else []), *xnames, *names), bound
+    out = join_on_keys(head, piv, by, "left")
+    return out.select(*by, *([F.col("__n").alias("n")] if with_count else []), *xnames, *names)
 
 
 def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
             max_bracket: int, grid: int = REFINE_GRID, max_rounds: int = 8,
             carry: list[str] = ()) -> DataFrame:
     """Narrow brackets that may hold more than ``max_bracket`` distinct values.
-    Returns the bracket table and its (proven) row count.
 
-    The bracket table (one row per group and percentile) is checkpointed, so
+    The bracket table (one row per group and percentile) is materialized, so
     the sketch pass runs once. If the a-priori bound ``10 n / accuracy + 2``
     fits everywhere nothing else happens (one scalar read of the small
     table). Otherwise each round is one pass over the rows inside the wide
@@ -222,20 +209,18 @@ def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
     bracket is the pair of grid points that, with twice the sketch's rank
     error as margin, still encloses the target ranks. Each round shrinks a
     bracket about ``1 / (2 / grid + 6 / accuracy)`` times; it stops when
-    every estimate fits or a round makes no progress.
+    every estimate fits. Brackets that are still too wide after
+    ``max_rounds`` fail the query: no task ever receives more than
+    ``max_bracket`` (estimated) distinct values.
     """
     brk = brk.withColumn("__wide", F.col("__n") * 10.0 / accuracy + 2 > max_bracket)
-    from hearth.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(base.sparkSession)
-    brk = brk.checkpoint()
-    # one scalar job over the checkpointed table: its size and the wide count
-    rows, n_wide = brk.agg(F.count(F.lit(1)), F.count_if("__wide")).first()
-    if not n_wide:
-        return brk.drop("__wide"), rows
+    brk = materialize(brk, "brackets")
+    if brk.filter("__wide").isEmpty():
+        return brk.drop("__wide")
     gprobs = [j / grid for j in range(grid + 1)]
     for _ in range(max_rounds):
         wide = brk.filter("__wide")
-        j = join_on_keys(base, wide.select(*by, "__i", "__lo", "__hi"), by, right_rows=rows)
+        j = join_on_keys(base, wide.select(*by, "__i", "__lo", "__hi"), by)
         v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
         below = lo.isNotNull() & (v < lo)
         inside = (lo.isNull() | (v >= lo)) & (hi.isNull() | (v <= hi))
@@ -256,13 +241,11 @@ def _refine(base: DataFrame, brk: DataFrame, by: list[str], accuracy: int,
             *by, "__n", *carry, "__i", "__k", "__f",
             F.when(keep, lo).otherwise(F.coalesce(new_lo, lo)).alias("__lo"),
             F.when(keep, hi).otherwise(F.coalesce(new_hi, hi)).alias("__hi"),
-            (~keep).alias("__wide"), F.col("__dist"))
-        upd = upd.checkpoint()
-        if not upd.filter("__wide").limit(1).count():
-            brk = brk.filter(~F.col("__wide")).unionByName(upd.drop("__dist"))
-            break
-        brk = brk.filter(~F.col("__wide")).unionByName(upd.drop("__dist")).checkpoint()
-    return brk.drop("__wide"), rows
+            (~keep).alias("__wide"))
+        brk = materialize(brk.filter(~F.col("__wide")).unionByName(upd), "brackets")
+        if brk.filter("__wide").isEmpty():
+            return brk.drop("__wide")
+    raise ValueError(f"percentile brackets hold more than {max_bracket} distinct values after {max_rounds} rounds")
 
 
 def column_medians(df: DataFrame, cols: list[str], exact: bool = True,

@@ -10,6 +10,8 @@ from hearth.operators.quantiles import exact_percentiles
 from hearth.operators.topn import sample_n
 from hearth.operators.util import attach, present
 
+# Listing cards of a result page, and column names.
+CARDS = 12
 COMPARE_FEATURES = ["price", "bedrooms", "bathrooms", "sqft_living", "floors", "grade"]
 SEARCH_COLUMNS = ["id", "price", "bedrooms", "bathrooms", "sqft_living", "grade", "zipcode", "condition"]
 RECOMMEND_COLUMNS = ["id", "price", "bedrooms", "bathrooms", "sqft_living", "zipcode", "grade",
@@ -63,8 +65,8 @@ def recommend_bounds(df: DataFrame) -> DataFrame:
 def listing_search(df: DataFrame, price_min: float = 0, price_max: float | None = None,
                    min_bedrooms: int = 0, status: str | None = None, featured: bool | None = None,
                    n: int | None = 50) -> DataFrame:
-    """Filtered listings (first ``n`` by id) with the total match count on
-    every row (window-free: a one-row count, broadcast)."""
+    """The total match count and the filtered listings (first ``n`` by id).
+    A search without a match is one row: count 0 and no listing."""
     cond = (F.col("price") >= price_min) & (F.col("bedrooms") >= min_bedrooms)
     if price_max is not None:
         cond = cond & (F.col("price") <= price_max)
@@ -75,12 +77,19 @@ def listing_search(df: DataFrame, price_min: float = 0, price_max: float | None
     f = df.filter(cond)
     rows = f.select(*present(f, SEARCH_COLUMNS)).orderBy("id")
     rows = rows.limit(n) if n else rows
-    return attach(rows, f.agg(F.count(F.lit(1)).alias("n_matches")))
+    total = f.agg(F.count(F.lit(1)).alias("n_matches"))
+    none = total.filter("n_matches = 0")
+    return attach(rows, total).unionByName(none, allowMissingColumns=True)
+
+
+def search_cards(df: DataFrame, **kw) -> DataFrame:
+    """The first twelve matches, as the result page shows them, with the count."""
+    return listing_search(df, **{**kw, "n": CARDS})
 
 
 def listing_count(df: DataFrame, **kw) -> DataFrame:
-    kw["n"] = 1
-    return listing_search(df, **kw).select("n_matches").limit(1)
+    """The number of matches, 0 included."""
+    return listing_search(df, **{**kw, "n": 1}).select("n_matches")
 
 
 def compare_listings(df: DataFrame, a: int, b: int) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.operators.quantiles import (join_on_keys, materialize_small,
-                                        percentiles_with_bound)
+from hearth.operators.quantiles import exact_percentiles, join_on_keys
+from hearth.session import materialize
 
 UNDERVALUED_COLUMNS = ["id", "price", "zipcode", "price_per_sqft", "sqft_living",
                        "bedrooms", "valuation_ratio", "grade"]
@@ -17,17 +17,15 @@ def valuation_ratio(df: DataFrame, by: str = "zipcode", value: str = "price_per_
     """``value / median(value) within the row's zipcode``, row-aligned.
 
     Not a window: ``median().over(partitionBy(zipcode))`` would sort a whole
-    zipcode in one task. The per-zipcode medians come from the skew-safe
-    selection, whose checkpointed bracket table proves the number of
-    zipcodes; under the broadcast bound the medians are broadcast (else a
-    skew-aware shuffle join), so the sales rows are never shuffled for it. Rows with a NULL zipcode get NULL,
-    as in the reference.
+    zipcode in one task. The two columns the medians need are materialized
+    once and both passes of the skew-safe selection read them; the medians are
+    materialized too, so the planner knows their size and broadcasts them
+    when it is small (else a skew-aware shuffle join). Rows with a NULL
+    zipcode get NULL, as in the reference.
     """
-    med, rows = percentiles_with_bound(df.filter(F.col(by).isNotNull()), value, [by], [0.5],
-                                       ["__group_median"], exact=exact)
-    if rows is None:  # no bound known (approximate mode): materialise and count
-        med, rows = materialize_small(med)
-    j = join_on_keys(df, med, [by], "left", null_safe=False, right_rows=rows)
+    narrow = materialize(df.select(by, value).filter(F.col(by).isNotNull()), "valuation")
+    med = materialize(exact_percentiles(narrow, value, [by], [0.5], ["__group_median"], exact=exact), "medians")
+    j = join_on_keys(df, med, [by], "left", null_safe=False)
     return j.withColumn("valuation_ratio", F.try_divide(F.col(value), F.col("__group_median"))) \
             .drop("__group_median")
 
@@ -35,11 +33,11 @@ def valuation_ratio(df: DataFrame, by: str = "zipcode", value: str = "price_per_
 def undervalued(df: DataFrame, n: int | None = 10, threshold: float = 0.8,
                 exact: bool = True) -> DataFrame:
     """Sales priced below ``threshold`` of their zipcode's median price per
-    sqft, lowest ratio first (ties by id); the first ``n`` (None = all)."""
+    sqft: the ``n`` lowest ratios in order (ties by id), or all of them in no
+    order (None)."""
     r = valuation_ratio(df, exact=exact).filter(F.col("valuation_ratio") < threshold)
     r = r.select(*[c for c in UNDERVALUED_COLUMNS if c in r.columns])
-    r = r.orderBy(F.asc_nulls_last("valuation_ratio"), "id")
-    return r.limit(n) if n else r
+    return r.orderBy(F.asc_nulls_last("valuation_ratio"), "id").limit(n) if n else r
 
 
 def latest_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
@@ -53,10 +51,11 @@ def latest_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFram
 
 
 def recent_chat(df: DataFrame, n: int = 50) -> DataFrame:
-    """Last ``n`` messages of every session; ``rn`` 1 is the newest (the
-    reference shows them oldest first: order by rn desc)."""
-    return latest_per_group(df, "session_id", [F.desc("timestamp")], n).select(
-        "session_id", "rn", "role", "content", "timestamp")
+    """Last ``n`` messages of every session; ``rn`` 1 is the newest, the larger
+    id first among equal times (the reference shows them oldest first:
+    order by rn desc)."""
+    return latest_per_group(df, "session_id", [F.desc("timestamp"), F.desc("id")], n).select(
+        "session_id", "rn", "id", "role", "content", "timestamp")
 
 
 def recent_notifications(df: DataFrame, n: int = 10) -> DataFrame:

@@ -59,7 +59,7 @@ SELECT event_id AS id, user_id, event_type AS title, 'event ' || CAST(event_id A
   CAST(event_id % 2 AS INTEGER) AS is_read, ts AS created_at
 FROM events"""),
     "chat_history": ([], """
-SELECT conv_id AS session_id, role, text AS content, turn AS timestamp FROM conversations"""),
+SELECT conv_id * 1000 + turn AS id, conv_id AS session_id, role, text AS content, turn AS timestamp FROM conversations"""),
     "messages": ([], """
 SELECT event_id AS id,
   ['Hello there', 'How much does a house cost', 'What are the best investment opportunities?',

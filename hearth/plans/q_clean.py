@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from hearth.operators import clean
 from hearth.operators.util import round_doubles
 from hearth.plans.registry import register
@@ -28,6 +30,18 @@ def q_validate(spark, d):
     return clean.validation_report(fx.raw_sales(spark, d))
 
 
+@register("validate_failing", """
+SELECT 'no_rows' AS "check", CAST(0 AS BIGINT) AS failures WHERE (SELECT count(*) FROM raw_sales) > 0
+UNION ALL SELECT 'negative_price', CAST(count_if(id % 40 = 3) AS BIGINT) FROM raw_sales
+UNION ALL SELECT 'negative_bedrooms', CAST(count_if(id % 90 = 5) AS BIGINT) FROM raw_sales""")
+def q_validate_failing(spark, d):
+    """The same report over sales some of which break the rules."""
+    raw = fx.raw_sales(spark, d)
+    broken = raw.withColumns({"price": F.when(F.col("id") % 40 == 3, -F.col("price") - 1).otherwise(F.col("price")),
+                              "bedrooms": F.when(F.col("id") % 90 == 5, -F.col("bedrooms")).otherwise(F.col("bedrooms"))})
+    return clean.validation_report(broken)
+
+
 @register("drop_duplicates", f"SELECT DISTINCT * {rounded_replace(SALES_DOUBLES[:-1])} FROM sales_dup")
 def q_drop_duplicates(spark, d):
     return round_doubles(clean.drop_duplicates(fx.sales_dup(spark, d)), 6)

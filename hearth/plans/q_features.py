@@ -7,14 +7,11 @@ from hearth.operators import features as fo
 from hearth.operators.topn import scatter_projection
 from hearth.operators.util import round_doubles
 from hearth.plans.registry import register
+from hearth.schema import BASIC_RULES, score_text
 from hearth.sources import fixtures as sfx
 
-SCORE_SQL = """CAST(least(100,
-    (CASE WHEN grade >= 8 THEN 30 ELSE 0 END) + (CASE WHEN waterfront = 1 THEN 30 ELSE 0 END)
-  + (CASE WHEN sqft_living > 3000 THEN 20 ELSE 0 END) + (CASE WHEN condition >= 4 THEN 20 ELSE 0 END)
-  + (CASE WHEN view >= 3 THEN 15 ELSE 0 END) + (CASE WHEN yr_renovated > 2000 THEN 10 ELSE 0 END)) AS INTEGER)"""
-BASIC_SQL = """CAST((CASE WHEN grade >= 8 THEN 30 ELSE 0 END) + (CASE WHEN waterfront = 1 THEN 30 ELSE 0 END)
-  + (CASE WHEN sqft_living > 3000 THEN 20 ELSE 0 END) + (CASE WHEN condition >= 4 THEN 20 ELSE 0 END) AS INTEGER)"""
+SCORE_SQL = score_text()
+BASIC_SQL = score_text(BASIC_RULES, None)
 
 
 def _s(spark, d):
@@ -105,12 +102,14 @@ def q_heat_points(spark, d):
 
 
 @register("display_format", """
+WITH m AS (SELECT zipcode, quantile_cont(price_per_sqft, 0.5) AS zm FROM sales
+           WHERE zipcode IS NOT NULL GROUP BY zipcode)
 SELECT id, '$' || format('{:,.0f}', price) AS price_text,
        '$' || format('{:,.0f}', price_per_sqft) AS price_per_sqft_text,
        format('{:,.1f}', bathrooms) AS bathrooms_text,
-       format('{:,.2f}', sqft_basement * 100.0E0 / greatest(sqft_living, 1)) || '%' AS basement_share,
+       format('{:,.2f}', price_per_sqft / zm * 100.0E0) || '%' AS valuation_text,
        'Sqft Living' AS label
-FROM sales""")
+FROM sales LEFT JOIN m USING (zipcode)""")
 def q_display_format(spark, d):
     return fo.display_format(_s(spark, d))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hearth import sinks
 from hearth.operators import market as mk
 from hearth.operators.util import round_doubles
+from hearth.plans.q_market import SUMMARY_ROWS, _corr_sql, _summary_rows
 from hearth.plans.registry import register
 from hearth.schema import RAW_SALES_SCHEMA
 from hearth.session import scratch_path
@@ -26,12 +27,12 @@ def q_scan_csv(spark, d):
     return round_doubles(fi.scan_csv(spark, part), 6)
 
 
-@register("land_upload", RAW_ROUNDED.replace("FROM raw_sales", ", '20240101_000000' AS load_ts FROM raw_sales"))
+@register("land_upload", RAW_ROUNDED.replace("FROM raw_sales", ", '20240101_000000' AS load_ts, 'sales' AS name FROM raw_sales"))
 def q_land_upload(spark, d):
     landing = scratch_path(spark, "landing")
     sinks.land_upload(sfx.raw_sales(spark, d), landing, "20240101_000000")
     from pyspark.sql import types as T
-    schema = T.StructType(RAW_SALES_SCHEMA.fields + [T.StructField("load_ts", T.StringType())])
+    schema = T.StructType(RAW_SALES_SCHEMA.fields + [T.StructField("load_ts", T.StringType()), T.StructField("name", T.StringType())])
     back = spark.read.schema(schema).option("header", True).csv(landing)
     return round_doubles(back, 6)
 
@@ -77,32 +78,45 @@ def q_append_listing(spark, d):
     return spark.read.parquet(p).drop("created_at", "updated_at")
 
 
-@register("append_load_event")
+@register("append_load_event", """
+SELECT 'data_load' AS event_type, '{"rows":' || CAST(count(*) AS VARCHAR) || ',"columns":22}' AS event_data,
+       CAST(1 AS BIGINT) AS user_id, 's-1' AS session_id
+FROM sales""")
 def q_append_load_event(spark, d):
     p = sinks.append_load_event(sfx.sales(spark, d), scratch_path(spark, "events"), 1, "s-1")
-    return spark.read.parquet(p)
+    return spark.read.parquet(p).drop("timestamp")  # the time of the call
 
 
-@register("export_summary_csv")
+@register("export_summary_csv", SUMMARY_ROWS)
 def q_export_summary_csv(spark, d):
+    """The CSV read back; its nested values are JSON text."""
     p = sinks.export_summary_csv(mk.summary_stats(sfx.sales(spark, d)), scratch_path(spark, "summary_csv"))
-    return spark.read.option("header", True).csv(p)
+    back = spark.read.option("header", True).csv(p)
+    return _summary_rows(back.withColumns({
+        "price_range": F.from_json("price_range", "min double, max double"),
+        "correlation_matrix": F.from_json("correlation_matrix", "array<struct<col_a:string,col_b:string,r:double>>")}))
 
 
-@register("export_summary_json")
+@register("export_summary_json", SUMMARY_ROWS)
 def q_export_summary_json(spark, d):
     p = sinks.export_summary_json(mk.summary_stats(sfx.sales(spark, d)), scratch_path(spark, "summary_json"))
-    return spark.read.json(p)
+    return _summary_rows(spark.read.json(p))
 
 
-@register("export_correlation_json")
+@register("export_correlation_json", _corr_sql())
 def q_export_corr(spark, d):
     p = sinks.export_correlation_json(mk.correlation_matrix(sfx.sales(spark, d)), scratch_path(spark, "corr"))
-    return spark.read.json(p)
+    back = spark.read.schema("correlation map<string,map<string,double>>").json(p)
+    pairs = back.select(F.explode("correlation").alias("col_a", "m")).select("col_a", F.explode("m").alias("col_b", "r"))
+    return round_doubles(pairs, 6)
 
 
-@register("upload_catalog")
+@register("upload_catalog", """
+SELECT * FROM (VALUES ('20240102_000000', 'second'), ('20240101_000000', 'first'), ('20240101_000000', 'other')) AS u(load_ts, name)
+WHERE (SELECT count(*) FROM raw_sales) > 0""")
 def q_upload_catalog(spark, d):
-    landing = scratch_path(spark, "landing")
-    sinks.land_upload(sfx.raw_sales(spark, d), landing, "20240101_000000")
-    return fi.upload_catalog(spark, landing)
+    """Three uploads; file counts, sizes and times depend on the writer and are left out here."""
+    landing, raw = scratch_path(spark, "landing"), sfx.raw_sales(spark, d)
+    for ts, name in (("20240101_000000", "first"), ("20240101_000000", "other"), ("20240102_000000", "second")):
+        sinks.land_upload(raw, landing, ts, name)
+    return fi.upload_catalog(spark, landing).filter("size_mb > 0 AND n_files > 0").select("load_ts", "name")

@@ -73,8 +73,8 @@ def q_recent_notifications(spark, d):
 
 
 @register("recent_chat", """
-SELECT session_id, rn, role, content, timestamp FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC) AS INTEGER) AS rn
+SELECT session_id, rn, id, role, content, timestamp FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, id DESC) AS INTEGER) AS rn
   FROM chat_history) WHERE rn <= 5""")
 def q_recent_chat(spark, d):
     return va.recent_chat(sfx.chat_history(spark, d), 5)
@@ -125,9 +125,10 @@ SELECT event_type, count(*) AS count, max(ts) AS last_event,
        round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share
 FROM events GROUP BY event_type""")
 def q_event_counts_stream(spark, d):
-    from hearth.streaming.events import run_event_counts
-    out = run_event_counts(spark, d, name_glob="events.parquet")
-    return round_doubles(spark.read.parquet(out), 6)
+    from hearth.streaming.events import latest_counts, run_event_counts
+    # The glob fits a single file and a folder of part files.
+    out = run_event_counts(spark, f"{d.rstrip('/')}/events.parquet*")
+    return round_doubles(latest_counts(spark, out), 6)
 
 
 @register("status_distribution_all", f"""

@@ -8,6 +8,7 @@ from hearth.operators import market as mk
 from hearth.operators import valuation as va
 from hearth.operators.util import round_doubles
 from hearth.plans.registry import register
+from hearth.schema import score_text
 from hearth.sources import fixtures as sfx
 
 NUMERIC_SALES = ["price", "bedrooms", "bathrooms", "sqft_living", "sqft_lot", "floors", "waterfront",
@@ -56,10 +57,15 @@ def q_null_counts(spark, d):
 
 
 @register("table_profile", """
-SELECT count(*) AS n_rows, count(DISTINCT zipcode) AS n_zipcodes, 22 AS n_columns, 21 AS n_numeric
+SELECT count(*) AS n_rows, count(DISTINCT zipcode) AS n_zipcodes, 22 AS n_columns, 21 AS n_numeric,
+       'id:bigint date:timestamp_ntz price:double bedrooms:int bathrooms:double sqft_living:bigint sqft_lot:bigint floors:double '
+       || 'waterfront:int view:int condition:int grade:int yr_built:int yr_renovated:int zipcode:int lat:double long:double '
+       || 'sqft_above:bigint sqft_basement:bigint price_per_sqft:double year:int month:int' AS column_types
 FROM sales""")
 def q_table_profile(spark, d):
-    return mk.table_profile(_s(spark, d))
+    p = mk.table_profile(_s(spark, d))
+    text = F.array_join(F.transform("column_types", lambda c: F.concat(c["column"], F.lit(":"), c["type"])), " ")
+    return p.withColumn("column_types", text)
 
 
 def _corr_sql() -> str:
@@ -77,18 +83,37 @@ def q_correlation(spark, d):
     return round_doubles(mk.correlation_matrix(_s(spark, d), NUMERIC_SALES), 6)
 
 
-@register("summary_stats", """
+SUMMARY_SQL = """
 SELECT count(*) AS total_properties, round(avg(price), 4) AS avg_price,
        round(quantile_cont(price, 0.5), 4) AS median_price, round(stddev_samp(price), 4) AS price_std,
        round(avg(sqft_living), 4) AS avg_sqft, CAST(sum(bedrooms) AS BIGINT) AS total_bedrooms,
-       min(price) AS price_min, max(price) AS price_max, CAST(count(*) * 0 + 400 AS BIGINT) AS n_correlations
-FROM sales""")
+       min(price) AS price_min, max(price) AS price_max
+FROM sales"""
+
+
+CORRELATIONS = "SELECT 'correlation' AS field, col_a, col_b, r AS value FROM (" + _corr_sql() + ")"
+SUMMARY_ROWS = f"""
+WITH s AS ({SUMMARY_SQL})
+SELECT unnest(['total_properties', 'avg_price', 'median_price', 'price_std', 'avg_sqft', 'total_bedrooms', 'price_min', 'price_max']) AS field,
+       CAST(NULL AS VARCHAR) AS col_a, CAST(NULL AS VARCHAR) AS col_b,
+       unnest([CAST(total_properties AS DOUBLE), avg_price, median_price, price_std, avg_sqft, CAST(total_bedrooms AS DOUBLE), price_min, price_max]) AS value
+FROM s
+UNION ALL {CORRELATIONS}"""
+
+
+def _summary_rows(s):
+    """A summary record, one row per number, so every nested value is compared."""
+    entry = "struct('{0}' AS field, CAST(NULL AS STRING) AS col_a, CAST(NULL AS STRING) AS col_b, round(CAST({1} AS DOUBLE), 4) + 0.0D AS value)"
+    plain = [entry.format(c, c) for c in ("total_properties", "avg_price", "median_price", "price_std", "avg_sqft", "total_bedrooms")]
+    plain += [entry.format(f"price_{c}", f"price_range.{c}") for c in ("min", "max")]
+    corr = ("transform(correlation_matrix, x -> struct('correlation' AS field, x.col_a AS col_a, x.col_b AS col_b, "
+            "round(CAST(x.r AS DOUBLE), 6) + 0.0D AS value))")
+    return s.selectExpr(f"inline(concat(array({', '.join(plain)}), {corr}))")
+
+
+@register("summary_stats", SUMMARY_ROWS)
 def q_summary_stats(spark, d):
-    s = mk.summary_stats(_s(spark, d))
-    return round_doubles(s.select(
-        "total_properties", "avg_price", "median_price", "price_std", "avg_sqft", "total_bedrooms",
-        F.col("price_range.min").alias("price_min"), F.col("price_range.max").alias("price_max"),
-        F.size("correlation_matrix").cast("bigint").alias("n_correlations")), 4)
+    return _summary_rows(mk.summary_stats(_s(spark, d)))
 
 
 @register("zipcode_mean_price", """
@@ -193,32 +218,29 @@ def q_density(spark, d):
                          4, {"density_per_million": 6})
 
 
-@register("score_distribution", """
-SELECT CAST(least(100,
-    (CASE WHEN grade >= 8 THEN 30 ELSE 0 END) + (CASE WHEN waterfront = 1 THEN 30 ELSE 0 END)
-  + (CASE WHEN sqft_living > 3000 THEN 20 ELSE 0 END) + (CASE WHEN condition >= 4 THEN 20 ELSE 0 END)
-  + (CASE WHEN view >= 3 THEN 15 ELSE 0 END) + (CASE WHEN yr_renovated > 2000 THEN 10 ELSE 0 END)) AS INTEGER)
+@register("score_distribution", f"""
+SELECT {score_text()}
   AS investment_score, count(*) AS count
 FROM sales GROUP BY 1""")
 def q_score_dist(spark, d):
     return mk.score_distribution(_s(spark, d))
 
 
-def _box_sql(by: str | None) -> str:
+def _box_sql(by: str | None, value: str = "price") -> str:
     keys = f"{by}, " if by else ""
     grp = f"GROUP BY {by}" if by else ""
     join = f"JOIN q USING ({by})" if by else "CROSS JOIN q"
     where = f"AND {by} IS NOT NULL" if by else ""
-    inside = "price >= q1 - 1.5E0 * (q3 - q1) AND price <= q3 + 1.5E0 * (q3 - q1)"
+    inside = f"{value} >= q1 - 1.5E0 * (q3 - q1) AND {value} <= q3 + 1.5E0 * (q3 - q1)"
     return f"""
-WITH q AS (SELECT {keys}quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median,
-                  quantile_cont(price, 0.75) AS q3
-           FROM sales WHERE price IS NOT NULL {where} {grp})
+WITH q AS (SELECT {keys}quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median,
+                  quantile_cont({value}, 0.75) AS q3
+           FROM sales WHERE {value} IS NOT NULL {where} {grp})
 SELECT {keys}count(*) AS n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
-       round(min(CASE WHEN {inside} THEN price END), 4) AS lower_whisker,
-       round(max(CASE WHEN {inside} THEN price END), 4) AS upper_whisker,
+       round(min(CASE WHEN {inside} THEN {value} END), 4) AS lower_whisker,
+       round(max(CASE WHEN {inside} THEN {value} END), 4) AS upper_whisker,
        CAST(count_if(NOT ({inside})) AS BIGINT) AS n_outliers
-FROM (SELECT * FROM sales WHERE price IS NOT NULL {where}) t {join}
+FROM (SELECT * FROM sales WHERE {value} IS NOT NULL {where}) t {join}
 GROUP BY {keys}q1, median, q3"""
 
 
@@ -245,6 +267,25 @@ def q_outliers(spark, d):
     return mk.price_outliers(_s(spark, d)).select("id", "price")
 
 
+@register("box_stats_ppsf", _box_sql(None, "price_per_sqft"))
+def q_box_ppsf(spark, d):
+    """Price per sqft has points beyond the fences (zero-size rows)."""
+    return round_doubles(mk.box_stats(_s(spark, d), "price_per_sqft", []), 4)
+
+
+@register("box_stats_ppsf_grade", _box_sql("grade", "price_per_sqft"))
+def q_box_ppsf_grade(spark, d):
+    return round_doubles(mk.box_stats(_s(spark, d), "price_per_sqft", ["grade"]), 4)
+
+
+@register("price_outliers_ppsf", """
+WITH q AS (SELECT quantile_cont(price_per_sqft, 0.25) AS q1, quantile_cont(price_per_sqft, 0.75) AS q3 FROM sales)
+SELECT id, price FROM sales CROSS JOIN q
+WHERE price_per_sqft < q1 - 1.5E0 * (q3 - q1) OR price_per_sqft > q3 + 1.5E0 * (q3 - q1)""")
+def q_outliers_ppsf(spark, d):
+    return mk.price_outliers(_s(spark, d), "price_per_sqft").select("id", "price")
+
+
 @register("grade_price_bar", """
 SELECT grade, count(price) AS n, round(avg(price), 4) AS avg_price,
        round(avg(price) - 1.96E0 * stddev_samp(price) / sqrt(CAST(count(price) AS DOUBLE)), 4) AS ci_low,

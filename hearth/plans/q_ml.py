@@ -1,14 +1,17 @@
 """Registered queries: models. Split, encodings, scaling, the one-feature
-least-squares fit and the metrics are checked against SQL; tree models,
-cross-validation, persistence and attributions get property checks."""
+least-squares fits (also predicted, validated, saved, explained) and the
+metrics are checked against SQL values; queries on tree models return what
+must hold of their whole result, and the SQL says that it does. Every query
+fits its own model; nothing is kept between calls."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearth.functions.features import size_category
 from hearth.operators import ml
-from hearth.operators.util import round_doubles
+from hearth.operators.util import attach, round_doubles
 from hearth.plans.registry import register
 from hearth.schema import MODEL_FEATURES
 from hearth.session import scratch_path
@@ -33,7 +36,7 @@ FROM (SELECT id, CASE WHEN sqft_living < 1500 THEN 'Small' WHEN sqft_living < 30
                       ELSE 'Large' END AS size_category FROM sales)""")
 def q_one_hot(spark, d):
     s = _s(spark, d).select("id", size_category().alias("size_category"))
-    return ml.one_hot(s, "size_category")
+    return ml.one_hot(s, "size_category", ["Small", "Medium", "Large"])
 
 
 def _std_sql() -> str:
@@ -82,24 +85,21 @@ def q_metrics(spark, d):
     return round_doubles(ml.regression_metrics(pr), 4, {"r2": 8})
 
 
-_FITTED: dict = {}
+def _scored(model, test):
+    return model.transform(test).withColumn("label", F.col("price").cast("double"))
 
 
-def _fitted(spark, d, name: str, estimator=None):
-    """Fit a named model on the train part once per session and table
-    folder (the reference caches its trained models the same way)."""
-    key = (id(spark), d, name)
-    if key not in _FITTED:
-        train, _ = ml.split(_s(spark, d))
-        est = estimator if estimator is not None else ml.estimators()[name]
-        _FITTED[key] = ml.fit(train, est)
-    return _FITTED[key]
+def _fit_check(spark, d, name: str, floor: float):
+    """Fit a model at full settings, score the hold-out part, and say what must hold of its metrics."""
+    train, test = ml.split(_s(spark, d))
+    met = ml.regression_metrics(_scored(ml.fit(train, ml.estimators()[name]), test))
+    return met.select("n", (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"),
+                      (F.col("r2") >= floor).alias("r2_reaches_floor"))
 
 
-def _metrics_of(spark, d, name: str):
-    _, test = ml.split(_s(spark, d))
-    m = _fitted(spark, d, name)
-    return ml.regression_metrics(m.transform(test).withColumn("label", F.col("price").cast("double")))
+FIT_SQL = f"SELECT count(*) AS n, true AS mae_within_rmse, true AS r2_reaches_floor FROM sales WHERE {TEST}"
+# What the models reach on this fixture at full settings, rounded down.
+R2_FLOOR = 0.5
 
 
 @register("prepare_features", """
@@ -111,92 +111,196 @@ SELECT id, coalesce(CAST(bedrooms AS DOUBLE), (SELECT quantile_cont(bedrooms, 0.
        price AS label
 FROM sales""")
 def q_prepare(spark, d):
+    return _unpacked(_s(spark, d))
+
+
+def _unpacked(sales):
     """The assembled feature vector, unpacked to one column per feature."""
     from pyspark.ml.functions import vector_to_array
-    df, feats = ml.prepare_features(_s(spark, d))
+    df, feats = ml.prepare_features(sales)
     arr = vector_to_array("features")
     return df.select("id", *[arr[i].alias(f"f_{c}") for i, c in enumerate(feats)], "label")
 
 
-@register("fit_forest")
+@register("prepare_features_missing", """
+WITH holes AS (SELECT id, price, CASE WHEN id % 7 = 1 THEN NULL ELSE grade END AS grade, bathrooms, floors,
+                      CASE WHEN id % 11 = 2 THEN NULL ELSE bedrooms END AS bedrooms,
+                      CASE WHEN id % 13 = 3 THEN NULL ELSE sqft_living END AS sqft_living FROM sales),
+m AS (SELECT quantile_cont(grade, 0.5) AS g, quantile_cont(bedrooms, 0.5) AS b, quantile_cont(sqft_living, 0.5) AS s FROM holes)
+SELECT id, coalesce(CAST(bedrooms AS DOUBLE), b) AS f_bedrooms, CAST(bathrooms AS DOUBLE) AS f_bathrooms,
+       coalesce(CAST(sqft_living AS DOUBLE), s) AS f_sqft_living, CAST(floors AS DOUBLE) AS f_floors,
+       coalesce(CAST(grade AS DOUBLE), g) AS f_grade, price AS label
+FROM holes CROSS JOIN m""")
+def q_prepare_missing(spark, d):
+    """The same over sales with missing features, so that the medians are used."""
+    i = F.col("id")
+    return _unpacked(_s(spark, d).withColumns({
+        "grade": F.when(i % 7 != 1, F.col("grade")), "bedrooms": F.when(i % 11 != 2, F.col("bedrooms")),
+        "sqft_living": F.when(i % 13 != 3, F.col("sqft_living"))}))
+
+
+@register("fit_forest", FIT_SQL)
 def q_fit_forest(spark, d):
-    return _metrics_of(spark, d, "Random Forest")
+    return _fit_check(spark, d, "Random Forest", R2_FLOOR)
 
 
-@register("fit_boosted_a")
+@register("fit_boosted_a", FIT_SQL)
 def q_fit_boosted_a(spark, d):
-    return _metrics_of(spark, d, "XGBoost")
+    return _fit_check(spark, d, "XGBoost", R2_FLOOR)
 
 
-@register("fit_boosted_b")
+@register("fit_boosted_b", FIT_SQL)
 def q_fit_boosted_b(spark, d):
-    return _metrics_of(spark, d, "Gradient Boosting")
+    return _fit_check(spark, d, "Gradient Boosting", R2_FLOOR)
 
 
-@register("compare_models")
+@register("compare_models", f"""
+SELECT CAST(r.range AS INTEGER) AS rank, r.range = 1 AS best, (SELECT count(*) FROM sales WHERE {TEST}) AS n, true AS in_order,
+       'Gradient Boosting, Linear Regression, Random Forest, XGBoost' AS models
+FROM range(1, 5) r""")
 def q_compare_models(spark, d):
-    rows = None
-    for name in ml.estimators():
-        met = _metrics_of(spark, d, name).select(F.lit(name).alias("model"), "*")
-        rows = met if rows is None else rows.unionByName(met)
-    return ml.compare_models(ml.Trained({}, rows, MODEL_FEATURES))
+    """The four models at full settings, ranked; names and order are held as properties."""
+    c = ml.compare_models(ml.train_models(_s(spark, d)))
+    w = Window.orderBy("rank")  # four rows
+    return c.select("rank", "best", "n", F.coalesce(F.lag("r2").over(w) >= F.col("r2"), F.lit(True)).alias("in_order"),
+                    F.array_join(F.array_sort(F.collect_set("model").over(Window.partitionBy())), ", ").alias("models"))
 
 
-@register("predict")
+@register("predict", f"SELECT id, price, true AS in_range, true AS falls_back FROM sales WHERE {TEST}")
 def q_predict(spark, d):
-    _, test = ml.split(_s(spark, d))
-    return ml.predict(_fitted(spark, d, "Random Forest"), test).select("id", "price", "prediction")
+    """Every hold-out row by the forest, by name and by a name that is not there: a forest's
+    prediction is a mean of training prices, so it lies in their range."""
+    train, test = ml.split(_s(spark, d))
+    models = {ml.FOREST: ml.fit(train, ml.forest_estimator()), "Linear Regression": ml.fit(train, ml.linear_estimator())}
+    a = ml.predict(models, test, ml.FOREST).select("id", "price", "prediction")
+    b = ml.predict(models, test, "no such model").select("id", F.col("prediction").alias("other"))
+    bounds = train.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    return attach(a.join(b, "id"), bounds).select(
+        "id", "price", ((F.col("prediction") >= F.col("lo")) & (F.col("prediction") <= F.col("hi"))).alias("in_range"),
+        (F.col("prediction") == F.col("other")).alias("falls_back"))
+
 
+LINE = f"SELECT regr_slope(price, sqft_living) AS b, regr_intercept(price, sqft_living) AS a FROM sales WHERE NOT ({TEST})"
 
-@register("feature_importance")
+
+@register("predict_linear", f"""
+WITH m AS ({LINE}) SELECT id, price, round(a + b * sqft_living, 2) AS prediction FROM sales CROSS JOIN m WHERE {TEST}""")
+def q_predict_linear(spark, d):
+    train, test = ml.split(_s(spark, d))
+    models = {"Linear Regression": ml.fit(train, ml.linear_estimator(), ["sqft_living"], min_features=1)}
+    return round_doubles(ml.predict(models, test, "Linear Regression").select("id", "price", "prediction"), 2)
+
+
+@register("feature_importance", """
+SELECT CAST(5 AS BIGINT) AS n_features, true AS sums_to_one, true AS non_negative, true AS descending,
+       'bathrooms bedrooms floors grade sqft_living' AS features
+WHERE (SELECT count(*) FROM sales) > 0""")
 def q_importance(spark, d):
-    return ml.feature_importance(_fitted(spark, d, "Random Forest"), MODEL_FEATURES)
+    train, _ = ml.split(_s(spark, d))
+    imp = ml.feature_importance(ml.fit(train, ml.forest_estimator()), MODEL_FEATURES)
+    rank = imp.withColumn("before", F.lag("importance").over(Window.orderBy(F.monotonically_increasing_id())))  # five rows
+    return rank.agg(F.count("*").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+                    (F.min("importance") >= 0).alias("non_negative"),
+                    F.bool_and(F.coalesce(F.col("before") >= F.col("importance"), F.lit(True))).alias("descending"),
+                    F.array_join(F.array_sort(F.collect_list("feature")), " ").alias("features"))
 
 
-@register("cross_validate")
-def q_cv(spark, d):
-    """5-fold R^2 of the least-squares model (five forest fits of 200 deep
-    trees are the same code path with another estimator)."""
-    return ml.cross_validate(_s(spark, d), ml.linear_estimator())
+FOLD = "CAST(floor(CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '-43'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0E0 * 5) AS INTEGER)"
 
 
-@register("save_model")
+@register("cross_validate", f"""
+SELECT {FOLD} AS fold, count(*) AS n, true AS r2_reaches_floor, true AS summary_fits FROM sales GROUP BY 1""")
+def q_cv(spark, d):
+    """5-fold R^2 of the forest at full settings."""
+    cv = ml.cross_validate(_s(spark, d))
+    every = Window.partitionBy()  # five rows
+    return cv.select("fold", "n", (F.col("r2") >= R2_FLOOR).alias("r2_reaches_floor"),
+                     ((F.abs(F.avg("r2").over(every) - F.col("mean_r2")) < 1e-9)
+                      & (F.abs(F.stddev_pop("r2").over(every) - F.col("std_r2")) < 1e-9)).alias("summary_fits"))
+
+
+@register("cross_validate_linear", f"""
+WITH s AS (SELECT {FOLD} AS fold, price AS y, CAST(sqft_living AS DOUBLE) AS x FROM sales),
+m AS (SELECT k.range AS fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s JOIN range(5) k ON s.fold <> k.range GROUP BY 1),
+e AS (SELECT s.fold, y, y - (a + b * x) AS e FROM s JOIN m USING (fold)),
+r AS (SELECT fold, count(*) AS n, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY fold)
+SELECT fold, n, round(r2, 8) AS r2, round((SELECT avg(r2) FROM r), 8) AS mean_r2, round((SELECT stddev_pop(r2) FROM r), 8) AS std_r2 FROM r""")
+def q_cv_linear(spark, d):
+    return round_doubles(ml.cross_validate(_s(spark, d), ml.linear_estimator(), features=["sqft_living"], min_features=1), 8)
+
+
+@register("save_model", """
+SELECT unnest(['org.apache.spark.ml.feature.SQLTransformer', 'org.apache.spark.ml.feature.VectorAssembler',
+               'org.apache.spark.ml.regression.LinearRegressionModel']) AS class WHERE (SELECT count(*) FROM sales) > 0""")
 def q_save_model(spark, d):
-    """Persist the fitted pipeline; the result is the saved stage metadata
-    read back from the model folder."""
+    """Persist the fitted pipeline; the saved stages' classes, read back from the model folder."""
     train, _ = ml.split(_s(spark, d))
-    m = ml.fit(train, ml.linear_estimator())
-    path = ml.save_model(m, scratch_path(spark, "models/linear_regression"))
-    return spark.read.json(f"{path}/stages/*/metadata").select("class", "uid", "sparkVersion")
+    path = ml.save_model(ml.fit(train, ml.linear_estimator()), scratch_path(spark, "models/linear_regression"))
+    return spark.read.json(f"{path}/stages/*/metadata").select("class")
 
 
-@register("load_model")
+@register("load_model", f"""
+WITH m AS ({LINE}), p AS (SELECT id, round(a + b * sqft_living, 2) AS p FROM sales CROSS JOIN m WHERE {TEST})
+SELECT id, p AS before, p AS after FROM p""")
 def q_load_model(spark, d):
-    """Save, load, and score the hold-out part with both: identical."""
+    """Save, load, and score the hold-out part with both."""
     train, test = ml.split(_s(spark, d))
-    m = ml.fit(train, ml.linear_estimator())
-    path = ml.save_model(m, scratch_path(spark, "models/linear_regression"))
-    back = ml.load_model(path)
+    m = ml.fit(train, ml.linear_estimator(), ["sqft_living"], min_features=1)
+    back = ml.load_model(ml.save_model(m, scratch_path(spark, "models/linear_regression")))
     a = m.transform(test).select("id", F.col("prediction").alias("before"))
     b = back.transform(test).select("id", F.col("prediction").alias("after"))
-    return a.join(b, "id")
+    return round_doubles(a.join(b, "id"), 2)
 
 
-def _shap(spark, d):
-    """The notebook explains a 100-tree forest on the five features with 100
-    sampled test rows; Spark's depth limit needs a number (10 here)."""
-    train, test = ml.split(_s(spark, d))
-    m = _fitted(spark, d, "Shapley Forest", ml.forest_estimator(100, 10))
-    return ml.shapley_values(m, test, train, MODEL_FEATURES)
+SAMPLE = "ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id LIMIT"
 
 
-@register("shapley_attribution")
-def q_shap(spark, d):
-    return ml.shapley_summary(_shap(spark, d))
+def _shap(spark, d, n_explain: int):
+    """The notebook explains a 100-tree forest on the five features with 100 sampled test rows;
+    Spark needs a depth limit (FOREST_DEPTH)."""
+    train, test = ml.split(_s(spark, d))
+    m = ml.fit(train, ml.forest_estimator(100))
+    values = ml.shapley_values(m, test, MODEL_FEATURES, n_explain)
+    scored = ml.predict(m, test).select(F.col("id").alias("row_id"), F.col("prediction").alias("scored"))
+    return values, scored
 
 
-@register("shapley_row")
+@register("shapley_attribution", f"""
+WITH s AS (SELECT id FROM sales WHERE {TEST} {SAMPLE} 100)
+SELECT id AS row_id, CAST(5 AS BIGINT) AS n_features, true AS adds_up, true AS same_base FROM s""")
+def q_shap(spark, d):
+    """Per explained row: base value + contributions = the forest's prediction, and one base value for all."""
+    values, scored = _shap(spark, d, 100)
+    per = values.groupBy("row_id", "base_value").agg(F.count("*").alias("n_features"), F.sum("contribution").alias("s"))
+    base = F.max("base_value").over(Window.partitionBy()) - F.min("base_value").over(Window.partitionBy())  # 100 rows
+    return per.join(scored, "row_id").select(
+        "row_id", "n_features", (F.abs(F.col("base_value") + F.col("s") - F.col("scored")) <= 1e-9 * F.abs("scored")).alias("adds_up"),
+        (base <= 1e-9 * F.col("base_value")).alias("same_base"))
+
+
+@register("shapley_row", f"""
+WITH s AS (SELECT id FROM sales WHERE {TEST} {SAMPLE} 1)
+SELECT id AS row_id, 'bathrooms bedrooms floors grade sqft_living' AS features, true AS adds_up, true AS largest_first FROM s""")
 def q_shap_row(spark, d):
-    v = _shap(spark, d)
-    first = v.agg(F.min("row_id").alias("r"))
-    return v.join(first, v.row_id == first.r).drop("r").orderBy(F.desc(F.abs("contribution")), "feature")
+    """One row's attribution, largest magnitude first; the row is picked before anything is scored."""
+    values, scored = _shap(spark, d, 1)
+    one = ml.shapley_row(values, values.agg(F.min("row_id")).first()[0])
+    w = Window.orderBy(F.monotonically_increasing_id())  # five rows
+    one = one.withColumn("larger", F.coalesce(F.abs(F.lag("contribution").over(w)) >= F.abs("contribution"), F.lit(True)))
+    per = one.groupBy("row_id", "base_value").agg(
+        F.array_join(F.array_sort(F.collect_list("feature")), " ").alias("features"), F.sum("contribution").alias("s"),
+        F.bool_and("larger").alias("largest_first"))
+    return per.join(scored, "row_id").select(
+        "row_id", "features", (F.abs(F.col("base_value") + F.col("s") - F.col("scored")) <= 1e-9 * F.abs("scored")).alias("adds_up"), "largest_first")
+
+
+@register("shapley_linear", f"""
+WITH m AS ({LINE}), t AS (SELECT avg(sqft_living) AS mu FROM sales WHERE NOT ({TEST}))
+SELECT id AS row_id, 'sqft_living' AS feature, round(b * (sqft_living - mu), 2) AS contribution, round(a + b * mu, 2) AS base_value
+FROM sales CROSS JOIN m CROSS JOIN t WHERE {TEST}""")
+def q_shap_linear(spark, d):
+    """The closed form of a linear model, for every hold-out row."""
+    train, test = ml.split(_s(spark, d))
+    m = ml.fit(train, ml.linear_estimator(), ["sqft_living"], min_features=1)
+    v = ml.linear_shapley(m, test, train, ["sqft_living"], n_explain=None)
+    return round_doubles(v.select("row_id", "feature", "contribution", "base_value"), 2)

@@ -6,6 +6,7 @@ from hearth.operators import search as se
 from hearth.operators import topn as tn
 from hearth.operators.util import round_doubles
 from hearth.plans.registry import register
+from hearth.schema import score_text
 from hearth.sources import fixtures as sfx
 
 SAMPLE_ORDER = "md5(CAST(id AS VARCHAR) || '-42'), id"
@@ -72,6 +73,31 @@ def q_listing_search(spark, d):
     return se.listing_search(_s(spark, d), 100000, 900000, 2)
 
 
+@register("listing_search_none", """
+SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS INTEGER) AS bedrooms, CAST(NULL AS DOUBLE) AS bathrooms,
+       CAST(NULL AS BIGINT) AS sqft_living, CAST(NULL AS INTEGER) AS grade, CAST(NULL AS INTEGER) AS zipcode,
+       CAST(NULL AS INTEGER) AS condition, CAST(count_if(price < 0) AS BIGINT) AS n_matches
+FROM sales""")
+def q_listing_search_none(spark, d):
+    """A search without a match still returns its count."""
+    return se.listing_search(_s(spark, d), -10, -1)
+
+
+@register("listing_count", """
+SELECT CAST(count_if(price >= 100000 AND price <= 900000 AND bedrooms >= 2) AS BIGINT) AS n_matches FROM sales""")
+def q_listing_count(spark, d):
+    return se.listing_count(_s(spark, d), price_min=100000, price_max=900000, min_bedrooms=2)
+
+
+@register("search_cards", """
+WITH f AS (SELECT * FROM sales WHERE price >= 100000 AND bedrooms >= 2 AND price <= 900000)
+SELECT id, price, bedrooms, bathrooms, sqft_living, grade, zipcode, condition,
+       (SELECT count(*) FROM f) AS n_matches
+FROM f ORDER BY id LIMIT 12""")
+def q_search_cards(spark, d):
+    return se.search_cards(_s(spark, d), price_min=100000, price_max=900000, min_bedrooms=2)
+
+
 @register("compare_listings", """
 WITH two AS (SELECT * FROM sales WHERE id IN (1, 2)),
 u AS (UNPIVOT (SELECT id, CAST(price AS DOUBLE) AS price, CAST(bedrooms AS DOUBLE) AS bedrooms,
@@ -120,11 +146,8 @@ def q_top_price(spark, d):
     return tn.top_price(_s(spark, d))
 
 
-@register("top_investments", """
-SELECT id, price, zipcode, CAST(least(100,
-    (CASE WHEN grade >= 8 THEN 30 ELSE 0 END) + (CASE WHEN waterfront = 1 THEN 30 ELSE 0 END)
-  + (CASE WHEN sqft_living > 3000 THEN 20 ELSE 0 END) + (CASE WHEN condition >= 4 THEN 20 ELSE 0 END)
-  + (CASE WHEN view >= 3 THEN 15 ELSE 0 END) + (CASE WHEN yr_renovated > 2000 THEN 10 ELSE 0 END)) AS INTEGER)
+@register("top_investments", f"""
+SELECT id, price, zipcode, {score_text()}
   AS investment_score, sqft_living, grade, condition, waterfront, view, yr_renovated
 FROM sales ORDER BY investment_score DESC, id LIMIT 10""")
 def q_top_investments(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: ANSI stays on (errors are not silently NULL),
 # AQE re-plans joins and aggregates at runtime from real shuffle sizes, skew
@@ -50,12 +50,16 @@ def build_session(master: str | None = None, app_name: str = "hearth",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's value always wins. Only when the setting is absent (a test
-    on one machine) is a private folder created and registered.
+    The cluster's value always wins. Only when the setting is absent and the
+    master is local (a test on one machine) is a private folder created and
+    registered; on a cluster an unset folder is an error, because a machine's
+    own temp folder is not shared.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="hearth-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -63,7 +67,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written
-    tables (never a machine-local temp folder)."""
+    """A fresh sub-folder of the shared checkpoint folder for written tables,
+    below a folder named after the run (the Spark application), so one run's
+    tables can be removed together when it has ended."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/hearth/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/hearth/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: the
+    lineage is cut, the rows stay what they were, and the planner knows the
+    table's size in bytes when it chooses between joins."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,15 +20,15 @@ LISTING_COLUMNS = ["id", "title", "description", "price", "bedrooms", "bathrooms
                    "created_at", "updated_at"]
 
 
-def land_upload(df: DataFrame, landing: str, load_ts: str | None = None) -> str:
-    """Persist a loaded table under a timestamped partition of ``landing``.
-    Only that partition is replaced (dynamic overwrite), so re-running a
-    load is idempotent and other loads stay."""
+def land_upload(df: DataFrame, landing: str, load_ts: str | None = None, name: str = "sales") -> str:
+    """Persist a loaded table under a partition of ``landing`` that carries the
+    load time and the upload's name. Only that partition is replaced
+    (dynamic overwrite), so re-running a load is idempotent and other loads stay."""
     ts = load_ts or datetime.now().strftime("%Y%m%d_%H%M%S")
-    (df.withColumn("load_ts", F.lit(ts)).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("load_ts")
+    (df.withColumns({"load_ts": F.lit(ts), "name": F.lit(name)}).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("load_ts", "name")
        .option("header", True).csv(landing))
-    return f"{landing.rstrip('/')}/load_ts={ts}"
+    return f"{landing.rstrip('/')}/load_ts={ts}/name={name}"
 
 
 def snapshot_cache(df: DataFrame, path: str, table: str = "properties_cache", n: int = 1000) -> DataFrame:

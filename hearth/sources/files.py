@@ -31,16 +31,20 @@ def scan_table(spark: SparkSession, query: str, args: list | dict | None = None,
 
 
 def upload_catalog(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Landed files: name, size in MB (2 dp), modified time, newest name
-    first. Only file metadata is read (the content column is pruned)."""
+    """One row per upload (``land_upload``), newest load first: load time, name,
+    number of files, size in MB (2 dp), last modified. Only file metadata is
+    read (the content column is pruned)."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", True).load(folder)
              .select("path", "length", "modificationTime"))
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.round(F.col("length") / 1048576.0, 2).alias("size_mb"),
-        F.date_format("modificationTime", "yyyy-MM-dd HH:mm").alias("uploaded"),
-    ).orderBy(F.desc("filename"))
+    uploads = files.groupBy(
+        F.regexp_extract("path", "/load_ts=([^/]+)/", 1).alias("load_ts"),
+        F.regexp_extract("path", "/name=([^/]+)/", 1).alias("name"))
+    return uploads.agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.round(F.sum("length") / 1048576.0, 2).alias("size_mb"),
+        F.date_format(F.max("modificationTime"), "yyyy-MM-dd HH:mm").alias("uploaded"),
+    ).orderBy(F.desc("load_ts"), "name")
 
 
 def flatten_observation(df: DataFrame, col: str = "payload") -> DataFrame:

@@ -123,7 +123,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns; ``turn`` stands in for the timestamp."""
     c = read_table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("session_id"), "role",
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"), "role",
                     F.col("text").alias("content"), F.col("turn").alias("timestamp"))
 
 

@@ -17,9 +17,11 @@ def test_csv_round_trip_and_catalog(spark):
     part = sinks.land_upload(raw, landing, "20240101_000000")
     back = files.scan_csv(spark, part)
     assert back.exceptAll(raw).count() == 0 and raw.exceptAll(back).count() == 0
+    sinks.land_upload(raw.limit(10), landing, "20240301_000000", "later")
+    sinks.land_upload(raw.limit(10), landing, "20240301_000000", "again")
     cat = files.upload_catalog(spark, landing).collect()
-    assert cat and all(r.filename.endswith(".csv") for r in cat)
-    assert [r.filename for r in cat] == sorted((r.filename for r in cat), reverse=True)
+    assert [(r.load_ts, r.name) for r in cat] == [("20240301_000000", "again"), ("20240301_000000", "later"), ("20240101_000000", "sales")]
+    assert all(r.n_files > 0 and r.uploaded for r in cat) and cat[2].size_mb > 0
 
 
 def test_listing_defaults(spark):
@@ -55,17 +57,17 @@ def test_scan_table_binds_parameters(spark):
 
 
 def test_stream_resumes_and_matches_batch(spark):
-    from hearth.streaming.events import run_event_counts
+    from hearth.streaming.events import latest_counts, run_event_counts
     ev = read_table(spark, SF_SMALL, "events")
     src = scratch_path(spark, "t-stream-src")
     ckpt = scratch_path(spark, "t-stream-ckpt")
     out = scratch_path(spark, "t-stream-out")
     ev.filter(F.col("event_id") % 2 == 0).write.parquet(f"{src}/a")
     run_event_counts(spark, f"{src}/*", out, ckpt)
-    first = {r.event_type: r["count"] for r in spark.read.parquet(out).collect()}
+    first = {r.event_type: r["count"] for r in latest_counts(spark, out).collect()}
     ev.filter(F.col("event_id") % 2 == 1).write.parquet(f"{src}/b")
     run_event_counts(spark, f"{src}/*", out, ckpt)  # resumes: only part b is new
-    got = {r.event_type: (r["count"], r.last_event) for r in spark.read.parquet(out).collect()}
+    got = {r.event_type: (r["count"], r.last_event) for r in latest_counts(spark, out).collect()}
     want = {r.event_type: (r["count"], r.last_event)
             for r in logs.event_type_counts(sfx.analytics_events(spark, SF_SMALL)).collect()}
     assert got == want and sum(first.values()) < sum(c for c, _ in got.values())
@@ -80,3 +82,17 @@ def test_landing_is_idempotent_per_load(spark):
     back = spark.read.option("header", True).csv(landing)
     got = {r.load_ts: r["count"] for r in back.groupBy("load_ts").count().collect()}
     assert got == {"a": raw.count(), "b": 10}
+
+
+def test_stream_reads_a_folder_and_a_file_and_skips_unfinished_epochs(spark, tmp_path):
+    import os
+    from hearth.plans.registry import QUERIES, load_all
+    from hearth.streaming.events import latest_counts, run_event_counts
+    load_all()
+    ev = read_table(spark, SF_SMALL, "events")
+    ev.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want = {tuple(r) for r in QUERIES["event_type_counts_stream"](spark, SF_SMALL).collect()}
+    assert {tuple(r) for r in QUERIES["event_type_counts_stream"](spark, str(tmp_path)).collect()} == want
+    out = run_event_counts(spark, f"{tmp_path}/events.parquet*", f"{tmp_path}/out")
+    os.makedirs(f"{tmp_path}/out/epoch=99")  # a writer that died
+    assert latest_counts(spark, out).count() == len(want)

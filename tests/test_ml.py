@@ -48,7 +48,7 @@ def test_train_models_and_compare(sales):
 
 
 def test_prepare_features_requires_two(sales):
-    with pytest.raises(ml.ModelTrainingError):
+    with pytest.raises(ml.TooFewFeatures):
         ml.prepare_features(sales.select("id", "price", "grade"))
     df, feats = ml.prepare_features(sales)
     assert feats == MODEL_FEATURES and df.filter(F.col("features").isNull()).count() == 0
@@ -72,27 +72,90 @@ def test_cross_validate_shape(sales):
     assert cv[0].mean_r2 == pytest.approx(scores.mean()) and cv[0].std_r2 == pytest.approx(scores.std())
 
 
-def test_shapley_efficiency_and_linear_closed_form(spark, sales):
+def test_cross_validate_scores_each_fold_once(sales):
+    cv = ml.cross_validate(sales, ml.forest_estimator(5, 4), k=3).collect()
+    assert sorted(r.fold for r in cv) == [0, 1, 2] and sum(r.n for r in cv) == sales.count()
+    assert cv[0].std_r2 == pytest.approx(np.std([r.r2 for r in cv]))
+
+
+def test_metrics_against_numpy_in_one_pass(spark, sales):
+    import contextlib
+    import io
+    df = sales.selectExpr("price AS label", "sqft_living * 100.0 + grade AS prediction", "grade")
+    m = ml.regression_metrics(df).first()
+    y, p = (np.array([r[i] for r in df.collect()], float) for i in (0, 1))
+    assert m.r2 == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), rel=1e-9)
+    assert m.mae == pytest.approx(np.abs(y - p).mean()) and m.n == len(y)
+    assert ml.regression_metrics(df, by=["grade"]).count() == sales.select("grade").distinct().count()
+    with contextlib.redirect_stdout(io.StringIO()) as text:
+        ml.regression_metrics(df).explain()
+    assert text.getvalue().count("InMemoryTableScan") == 1
+
+
+def brute_shapley(nodes, features, x):
+    """Attributions of one tree by the definition: nodes {id: (value, cover, left, right, feature, threshold)}."""
+    import itertools
+    import math as m
+
+    def value(i, known):
+        v, cover, left, right, f, t = nodes[i]
+        if left < 0:
+            return v
+        if f in known:
+            return value(left if x[f] <= t else right, known)
+        return (nodes[left][1] * value(left, known) + nodes[right][1] * value(right, known)) / cover
+    n = len(features)
+    out = []
+    for i in range(n):
+        rest = [f for f in range(n) if f != i]
+        out.append(sum(m.factorial(len(s)) * m.factorial(n - len(s) - 1) / m.factorial(n) * (value(0, {*s, i}) - value(0, set(s)))
+                       for k in range(n) for s in itertools.combinations(rest, k)))
+    return value(0, set()), out
+
+
+def test_shapley_against_the_definition(spark, sales):
+    train, test = ml.split(sales)
+    m = ml.fit(train, ml.forest_estimator(3, 4))
+    values = ml.shapley_values(m, test, MODEL_FEATURES, n_explain=12).collect()
+    scored = {r.id: r for r in m.transform(test).collect()}
+    assert len({r.row_id for r in values}) == 12
+    from hearth.session import scratch_path
+    path = scratch_path(spark, "forest-test")
+    m.stages[-1].write().save(path)
+    trees = {}
+    for r in spark.read.parquet(f"{path}/data").collect():
+        d = r.nodeData
+        trees.setdefault(r.treeID, {})[d.id] = (d.prediction, d.impurityStats[0], d.leftChild, d.rightChild, d.split.featureIndex, (d.split.leftCategoriesOrThreshold or [None])[0])
+    for row in {r.row_id for r in values}:
+        x = [float(scored[row][c]) for c in MODEL_FEATURES]
+        per = [brute_shapley(t, MODEL_FEATURES, x) for t in trees.values()]
+        got = {r.feature: r.contribution for r in values if r.row_id == row}
+        base = next(r.base_value for r in values if r.row_id == row)
+        assert base == pytest.approx(np.mean([b for b, _ in per]))
+        for i, c in enumerate(MODEL_FEATURES):
+            assert got[c] == pytest.approx(np.mean([p[i] for _, p in per]), rel=1e-9, abs=1e-6)
+        assert base + sum(got.values()) == pytest.approx(scored[row].prediction)
+
+
+def test_predict_by_name(sales):
+    train, test = ml.split(sales)
+    models = {ml.FOREST: ml.fit(train, ml.forest_estimator(3, 3)), "Linear Regression": ml.fit(train, ml.linear_estimator())}
+    forest, line, other = ([r.prediction for r in ml.predict(models, test, n).orderBy("id").collect()] for n in (ml.FOREST, "Linear Regression", "?"))
+    assert forest == other and forest != line
+
+
+def test_linear_shapley_adds_up(sales):
     train, test = ml.split(sales)
     m = ml.fit(train, ml.linear_estimator())
-    vals = ml.shapley_values(m, test, train, MODEL_FEATURES, n_explain=20, n_background=20)
-    per_row = vals.groupBy("row_id", "base_value", "prediction").agg(F.sum("contribution").alias("s")).collect()
-    assert len(per_row) == 20
-    for r in per_row:
-        assert r.s == pytest.approx(r.prediction - r.base_value, rel=1e-9, abs=1e-6)
-    # linear model: phi_i = beta_i (x_i - mean of background x_i)
-    beta = dict(zip(MODEL_FEATURES, m.stages[-1].coefficients.toArray()))
-    from hearth.operators.topn import sample_n
-    bg = sample_n(train, 20, 43).agg(*[F.avg(c).alias(c) for c in MODEL_FEATURES]).first()
-    ex = {r.id: r for r in sample_n(test, 20, 42).collect()}
-    for r in vals.collect():
-        x = ex[r.row_id][r.feature]
-        assert r.contribution == pytest.approx(beta[r.feature] * (x - bg[r.feature]), rel=1e-9, abs=1e-6)
+    v = ml.linear_shapley(m, test, train, MODEL_FEATURES, n_explain=20)
+    per = v.groupBy("row_id", "base_value", "prediction").agg(F.sum("contribution").alias("s")).collect()
+    assert len(per) == 20 and all(r.s == pytest.approx(r.prediction - r.base_value, rel=1e-9, abs=1e-6) for r in per)
 
 
 def test_one_hot_drops_first_level(spark):
     df = spark.createDataFrame([(1, "Large"), (2, "Small"), (3, "Medium")], "id long, c string")
     out = ml.one_hot(df, "c")
-    assert out.columns == ["id", "c_Small", "c_Medium"] or out.columns == ["id", "c_Medium", "c_Small"]
+    assert out.columns == ["id", "c_Medium", "c_Small"]
+    assert ml.one_hot(df, "c", ["Large", "Medium", "Small", "Tiny"]).columns == ["id", "c_Medium", "c_Small", "c_Tiny"]
     got = {r.id: (r.c_Medium, r.c_Small) for r in out.collect()}
     assert got == {1: (0, 0), 2: (0, 1), 3: (1, 0)}

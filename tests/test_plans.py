@@ -43,11 +43,16 @@ def test_sales_scan_prunes_columns(spark):
     assert "o_orderstatus" not in p and "o_orderpriority" not in p and "c_name" not in p
 
 
+# These fit tree models at full settings when built.
+SLOW = {"fit_forest", "fit_boosted_a", "fit_boosted_b", "compare_models", "predict", "feature_importance",
+        "cross_validate", "shapley_attribution", "shapley_row"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_no_python_in_plans(spark, name):
-    if name in ("scan_csv", "land_upload", "export_csv", "snapshot_cache", "append_listing",
+    if name in SLOW or name in ("scan_csv", "land_upload", "export_csv", "snapshot_cache", "append_listing",
                 "event_type_counts_stream"):
-        pytest.skip("writes files when built")
+        pytest.skip("writes files or fits trees when built")
     p = plan_of(QUERIES[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
 
@@ -62,3 +67,26 @@ def test_exact_median_is_not_a_group_gather(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
     p = plan_of(exact_percentiles(df, "v", ["g"], [0.5], max_bracket=None))
     assert "percentile_approx" in p and "percentile(" not in p
+
+
+def test_correlation_and_density_fan_no_row_out(spark):
+    """The only generated rows are those of the result, above the aggregate."""
+    for name in ("correlation_matrix", "price_density"):
+        p = plan_of(QUERIES[name](spark, SF_SMALL))
+        tree = p[:p.index("\n\n\n")]
+        assert tree.count("Generate") == 1 and tree.index("Generate") < tree.index("HashAggregate")
+
+
+def test_percentiles_meet_one_row_per_group(spark):
+    """Values are joined with one bracket row; only counted values are set against single percentiles."""
+    from pyspark.sql import functions as F
+    from hearth.operators.quantiles import exact_percentiles
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    p = plan_of(exact_percentiles(df, "v", ["g"], [0.25, 0.5, 0.75]))
+    tree = p[:p.index("\n\n\n")]
+    assert tree.count("Generate") == 1
+
+
+def test_event_counts_scan_once(spark):
+    p = plan_of(QUERIES["event_type_counts"](spark, SF_SMALL))
+    assert p[:p.index("\n\n\n")].count("Scan parquet") == 1

@@ -91,15 +91,15 @@ def test_validate_rules(spark):
                                  "price double, bedrooms int, bathrooms double, sqft_living long, "
                                  "floors double, grade int, zipcode int, lat double, long double")
     assert clean.validate(good) is good
-    with pytest.raises(clean.DataValidationError, match="no rows"):
+    with pytest.raises(clean.InvalidTable, match="no row"):
         clean.validate(good.limit(0))
-    with pytest.raises(clean.DataValidationError, match="Missing required"):
+    with pytest.raises(clean.InvalidTable, match="no column lat"):
         clean.validate(good.drop("lat"))
-    with pytest.raises(clean.DataValidationError, match="numeric"):
+    with pytest.raises(clean.InvalidTable, match="not a number"):
         clean.validate(good.withColumn("price", F.lit("x")))
-    with pytest.raises(clean.DataValidationError, match="Price"):
+    with pytest.raises(clean.InvalidTable, match="1 rows have a price"):
         clean.validate(good.withColumn("price", F.lit(-1.0)))
-    with pytest.raises(clean.DataValidationError, match="Bedroom"):
+    with pytest.raises(clean.InvalidTable, match="1 rows have fewer"):
         clean.validate(good.withColumn("bedrooms", F.lit(-1)))
 
 
@@ -230,3 +230,50 @@ def test_approximate_mode_close_to_exact(spark):
                             .withColumn("sqft_living", F.lit(1)).withColumn("bedrooms", F.lit(1)),
                             exact=False).first()
     assert kp.n_properties == 3000
+
+
+def test_percentile_rounds_run_out(spark):
+    """Brackets that stay too wide fail the query instead of reaching one task."""
+    df = spark.range(5000).select(F.col("id").cast("double").alias("v"))
+    with pytest.raises(ValueError, match="distinct values after"):
+        exact_percentiles(df, "v", [], [0.5], accuracy=10, max_bracket=1)
+
+
+def test_a_changed_table_fails_the_second_pass(spark):
+    from hearth.session import scratch_path
+    path = scratch_path(spark, "changing")
+    spark.range(100).selectExpr("CAST(id AS DOUBLE) AS v").write.parquet(path)
+    q = exact_percentiles(spark.read.parquet(path), "v", [], [0.5], ["m"])
+    spark.range(7).selectExpr("CAST(id AS DOUBLE) AS v").write.mode("append").parquet(path)
+    q2 = exact_percentiles(spark.read.parquet(path), "v", [], [0.5], ["m"])
+    assert q2.first().m == 46.0
+    spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS v").write.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
+    with pytest.raises(Exception):
+        q.collect()
+
+
+def test_search_counts_without_a_match(spark):
+    from hearth.operators import search
+    df = spark.createDataFrame([(1, 5.0, 2, 1.0, 100, 7, 98001, 3)], "id long, price double, bedrooms int, bathrooms double, sqft_living long, grade int, zipcode int, condition int")
+    none = search.listing_search(df, 10).collect()
+    assert len(none) == 1 and none[0].n_matches == 0 and none[0].id is None
+    assert search.listing_search(df, 0, n=None).first().n_matches == 1
+    assert search.listing_count(df, price_min=10).first().n_matches == 0
+    assert search.search_cards(df, price_min=1).count() == 1
+
+
+def test_recent_chat_breaks_ties_by_id(spark):
+    rows = [(1, 7, "u", "a", 3), (2, 7, "u", "b", 3), (3, 7, "u", "c", 2)]
+    for r in (rows, rows[::-1]):
+        df = spark.createDataFrame(r, "id long, session_id long, role string, content string, timestamp long")
+        assert [x.content for x in valuation.recent_chat(df, 2).orderBy("rn").collect()] == ["b", "a"]
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+    from hearth.session import ensure_checkpoint_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None),
+                           sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(fake)
