@@ -38,9 +38,9 @@ BLOCK_IDS = 1 << 18
 #: Ids are coded in groups of about so many (or of one document).
 CODE_IDS = 1 << 19
 #: Texts are tokenised in groups of about so many bytes.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 #: Parts of texts that a Python worker remembers before it starts anew.
-MAX_PARTS = 1_200_000
+MAX_PARTS = 800_000
 #: Odd multipliers of the two 64-bit hashes that name a part, and what is added for a part with a space before it.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACED = np.uint64(0xA24BAED4963EE407)
