@@ -24,7 +24,6 @@ HEADLINE = [
     "map_filter", "listing_search", "drop_duplicates", "impute_median", "event_type_counts",
     "recent_notifications", "endpoint_latency", "intent", "flatten_observation",
     "regression_metrics", "standardize", "scan_csv", "export_csv", "cross_validate_linear",
-    "fit_forest",
 ]
 
 

@@ -9,6 +9,7 @@ lost executor costs a few iterations, not the lineage.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -181,6 +182,25 @@ def fit(df: DataFrame, estimator, features: list[str] | None = None,
     return PipelineModel(stages=[meds, va, model])
 
 
+def fit_stored(df: DataFrame, estimator, features: list[str] | None = None,
+               min_features: int = 2) -> PipelineModel:
+    """``fit`` through a store of models below the run's scratch folder. A model
+    is found by what it was fitted on and how: the estimator's class and all
+    its parameters, the features, and the count and hash sum of the training
+    rows (one scan of ``df``). So the result is that of a new fit, whatever ran
+    before; equal fits of one run are done once."""
+    feats = available_features(df, features, min_features)
+    rows = df.select(F.xxhash64(*feats, TARGET).cast("decimal(20,0)").alias("h")).agg(F.count("*"), F.sum("h")).first()
+    params = sorted((p.name, str(v)) for p, v in estimator.extractParamMap().items())
+    name = hashlib.md5(repr((type(estimator).__name__, params, feats, tuple(rows))).encode()).hexdigest()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hearth/{spark.sparkContext.applicationId}/models/{name}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        save_model(fit(df, estimator, feats, min_features), path)
+    return load_model(path)
+
+
 def _median_imputer(df: DataFrame, feats: list[str]):
     """An exact-median imputer as a fitted transformer: a SQLTransformer that
     adds ``__imp_<f>`` = coalesce(f, median) with the medians (a handful of
@@ -228,14 +248,14 @@ class Trained:
 
 
 def train_models(df: DataFrame, features: list[str] | None = None, fast: bool = False,
-                 test_size: float = TEST_SIZE, seed: int = RANDOM_STATE) -> Trained:
-    """Fit the four models on the train part and score the test part. The
-    result holds the models and the metrics; there is no hidden state."""
+                 test_size: float = TEST_SIZE, seed: int = RANDOM_STATE, fitter=fit) -> Trained:
+    """Fit the four models on the train part (by ``fit`` or ``fit_stored``) and
+    score the test part. The result holds the models and the metrics."""
     feats = available_features(df, features)
     train, test = split(df, test_size, seed)
     models, rows = {}, None
     for name, est in estimators(fast).items():
-        m = fit(train, est, feats)
+        m = fitter(train, est, feats)
         models[name] = m
         met = regression_metrics(m.transform(test).withColumn("label", F.col(TARGET).cast("double")))
         met = met.select(F.lit(name).alias("model"), "*")

@@ -1,8 +1,9 @@
 """Registered queries: models. Split, encodings, scaling, the one-feature
 least-squares fits (also predicted, validated, saved, explained) and the
 metrics are checked against SQL values; queries on tree models return what
-must hold of their whole result, and the SQL says that it does. Every query
-fits its own model; nothing is kept between calls."""
+must hold of their whole result, and the SQL says that it does. Equal fits of
+one run are shared through ``ml.fit_stored``, which reads the training rows to
+know that they are equal."""
 
 from __future__ import annotations
 
@@ -92,7 +93,7 @@ def _scored(model, test):
 def _fit_check(spark, d, name: str, floor: float):
     """Fit a model at full settings, score the hold-out part, and say what must hold of its metrics."""
     train, test = ml.split(_s(spark, d))
-    met = ml.regression_metrics(_scored(ml.fit(train, ml.estimators()[name]), test))
+    met = ml.regression_metrics(_scored(ml.fit_stored(train, ml.estimators()[name]), test))
     return met.select("n", (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"),
                       (F.col("r2") >= floor).alias("r2_reaches_floor"))
 
@@ -160,7 +161,7 @@ SELECT CAST(r.range AS INTEGER) AS rank, r.range = 1 AS best, (SELECT count(*) F
 FROM range(1, 5) r""")
 def q_compare_models(spark, d):
     """The four models at full settings, ranked; names and order are held as properties."""
-    c = ml.compare_models(ml.train_models(_s(spark, d)))
+    c = ml.compare_models(ml.train_models(_s(spark, d), fitter=ml.fit_stored))
     w = Window.orderBy("rank")  # four rows
     return c.select("rank", "best", "n", F.coalesce(F.lag("r2").over(w) >= F.col("r2"), F.lit(True)).alias("in_order"),
                     F.array_join(F.array_sort(F.collect_set("model").over(Window.partitionBy())), ", ").alias("models"))
@@ -171,7 +172,7 @@ def q_predict(spark, d):
     """Every hold-out row by the forest, by name and by a name that is not there: a forest's
     prediction is a mean of training prices, so it lies in their range."""
     train, test = ml.split(_s(spark, d))
-    models = {ml.FOREST: ml.fit(train, ml.forest_estimator()), "Linear Regression": ml.fit(train, ml.linear_estimator())}
+    models = {ml.FOREST: ml.fit_stored(train, ml.forest_estimator()), "Linear Regression": ml.fit(train, ml.linear_estimator())}
     a = ml.predict(models, test, ml.FOREST).select("id", "price", "prediction")
     b = ml.predict(models, test, "no such model").select("id", F.col("prediction").alias("other"))
     bounds = train.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
@@ -197,7 +198,7 @@ SELECT CAST(5 AS BIGINT) AS n_features, true AS sums_to_one, true AS non_negativ
 WHERE (SELECT count(*) FROM sales) > 0""")
 def q_importance(spark, d):
     train, _ = ml.split(_s(spark, d))
-    imp = ml.feature_importance(ml.fit(train, ml.forest_estimator()), MODEL_FEATURES)
+    imp = ml.feature_importance(ml.fit_stored(train, ml.forest_estimator()), MODEL_FEATURES)
     rank = imp.withColumn("before", F.lag("importance").over(Window.orderBy(F.monotonically_increasing_id())))  # five rows
     return rank.agg(F.count("*").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
                     (F.min("importance") >= 0).alias("non_negative"),
@@ -259,7 +260,7 @@ def _shap(spark, d, n_explain: int):
     """The notebook explains a 100-tree forest on the five features with 100 sampled test rows;
     Spark needs a depth limit (FOREST_DEPTH)."""
     train, test = ml.split(_s(spark, d))
-    m = ml.fit(train, ml.forest_estimator(100))
+    m = ml.fit_stored(train, ml.forest_estimator(100))
     values = ml.shapley_values(m, test, MODEL_FEATURES, n_explain)
     scored = ml.predict(m, test).select(F.col("id").alias("row_id"), F.col("prediction").alias("scored"))
     return values, scored

@@ -159,3 +159,13 @@ def test_one_hot_drops_first_level(spark):
     assert ml.one_hot(df, "c", ["Large", "Medium", "Small", "Tiny"]).columns == ["id", "c_Medium", "c_Small", "c_Tiny"]
     got = {r.id: (r.c_Medium, r.c_Small) for r in out.collect()}
     assert got == {1: (0, 0), 2: (0, 1), 3: (1, 0)}
+
+
+def test_stored_fits_follow_data_and_parameters(spark, sales):
+    train, test = ml.split(sales)
+    a = ml.fit_stored(train, ml.forest_estimator(3, 3))
+    b = ml.fit_stored(train, ml.forest_estimator(3, 3))
+    assert a.stages[-1].uid == b.stages[-1].uid
+    assert ml.fit_stored(train, ml.forest_estimator(3, 2)).stages[-1].uid != a.stages[-1].uid
+    assert ml.fit_stored(train.filter("id % 9 > 0"), ml.forest_estimator(3, 3)).stages[-1].uid != a.stages[-1].uid
+    assert [r.prediction for r in a.transform(test).orderBy("id").collect()] == [r.prediction for r in ml.fit(train, ml.forest_estimator(3, 3)).transform(test).orderBy("id").collect()]
