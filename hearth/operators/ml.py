@@ -138,7 +138,7 @@ def forest_estimator(num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPT
     regression forest does."""
     return _with_checkpointing(RandomForestRegressor(
         featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
-        featureSubsetStrategy="all", seed=seed, cacheNodeIds=True, maxMemoryInMB=1024))
+        featureSubsetStrategy="all", seed=seed, cacheNodeIds=True, maxMemoryInMB=256))
 
 
 def boosted_estimator(maxIter: int, maxDepth: int, stepSize: float, seed: int = RANDOM_STATE,
@@ -148,7 +148,7 @@ def boosted_estimator(maxIter: int, maxDepth: int, stepSize: float, seed: int =
     with the same rounds, depth and learning rate."""
     return _with_checkpointing(GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=maxIter, maxDepth=maxDepth, maxBins=max_bins,
-        featureSubsetStrategy="all", stepSize=stepSize, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024))
+        featureSubsetStrategy="all", stepSize=stepSize, seed=seed, cacheNodeIds=True, maxMemoryInMB=256))
 
 
 def estimators(fast: bool = False) -> dict:
@@ -174,7 +174,12 @@ def fit(df: DataFrame, estimator, features: list[str] | None = None,
     meds = _median_imputer(df, feats)
     va = VectorAssembler(inputCols=[f"__imp_{c}" for c in feats], outputCol="features",
                          handleInvalid="keep")
-    train = va.transform(meds.transform(df)).select("features", F.col(TARGET).cast("double").alias("label")).persist()
+    train = va.transform(meds.transform(df)).select("features", F.col(TARGET).cast("double").alias("label"))
+    # Learners pass over these two columns many times; a table of few files is spread over all cores first.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < cores:
+        train = train.repartition(cores)
+    train = train.persist()
     try:
         model = estimator.fit(train)
     finally:
