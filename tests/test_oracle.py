@@ -16,7 +16,7 @@ def con():
 
 # Tree models at full settings take minutes each here; test_ml.py tests the operators on small ones,
 # and ``tools/oracle_check.py`` runs these queries.
-SLOW = {"compare_models", "predict", "feature_importance", "cross_validate", "shapley_attribution", "shapley_row",
+SLOW = {"fit_forest", "compare_models", "predict", "feature_importance", "cross_validate", "shapley_attribution", "shapley_row",
         "fit_boosted_a", "fit_boosted_b"}
 
 
