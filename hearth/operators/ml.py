@@ -138,7 +138,7 @@ def forest_estimator(num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPT
     regression forest does."""
     return _with_checkpointing(RandomForestRegressor(
         featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
-        featureSubsetStrategy="all", seed=seed, cacheNodeIds=True, maxMemoryInMB=256))
+        featureSubsetStrategy="all", seed=seed, cacheNodeIds=True, maxMemoryInMB=128))
 
 
 def boosted_estimator(maxIter: int, maxDepth: int, stepSize: float, seed: int = RANDOM_STATE,
@@ -148,7 +148,7 @@ def boosted_estimator(maxIter: int, maxDepth: int, stepSize: float, seed: int =
     with the same rounds, depth and learning rate."""
     return _with_checkpointing(GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=maxIter, maxDepth=maxDepth, maxBins=max_bins,
-        featureSubsetStrategy="all", stepSize=stepSize, seed=seed, cacheNodeIds=True, maxMemoryInMB=256))
+        featureSubsetStrategy="all", stepSize=stepSize, seed=seed, cacheNodeIds=True, maxMemoryInMB=128))
 
 
 def estimators(fast: bool = False) -> dict:
