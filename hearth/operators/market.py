@@ -77,41 +77,54 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson r for every ordered pair, long form (col_a, col_b, r); ``id`` is
-    left out of the default columns, it is a key and not a measure.
-
-    Two passes: column means (one row, broadcast), then one global aggregate
-    of the centred values: per pair the count, sums, squares and products over
-    the rows where both values are present (R11). No row is fanned out; a
-    task sends one record. The centred form avoids the cancellation of raw
-    sums; a column without variance gives NULL instead of an ANSI error (R10).
+    """Pearson r for every ordered pair, long form (col_a, col_b, r).
+
+    Two passes: column means (one row, broadcast), then each row is fanned
+    out to one (pair, a, b) record per unordered pair and a single aggregate
+    grouped by pair sums the centred products over rows where both values
+    are present (R11). Partial aggregation leaves one record per pair per
+    partition to shuffle. The centred form avoids the cancellation of raw
+    sums; zero variance gives NULL instead of an ANSI error (R10).
     """
     cols = cols or numeric_columns(df, exclude=("id",))
-    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    means = x.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(cols))])
-    xc = attach(x, means).selectExpr(*[f"c{i} - m{i} AS c{i}" for i in range(len(cols))])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    sums = []
-    for i, j in pairs:
-        a, b = f"c{i}", f"c{j}"
-        sums += [f"count({a} * {b}) AS n_{i}_{j}", f"sum({a} * {b}) AS ab_{i}_{j}",
-                 f"sum(if({b} IS NULL, NULL, {a})) AS a_{i}_{j}", f"sum(if({a} IS NULL, NULL, {b})) AS b_{i}_{j}",
-                 f"sum(if({b} IS NULL, NULL, {a} * {a})) AS aa_{i}_{j}",
-                 f"sum(if({a} IS NULL, NULL, {b} * {b})) AS bb_{i}_{j}"]
-    s = xc.agg(*[F.expr(e) for e in sums])
-    rs = []
-    for i, j in pairs:
-        n, va = f"n_{i}_{j}", f"(aa_{i}_{j} - a_{i}_{j} * a_{i}_{j} / n_{i}_{j})"
-        vb = f"(bb_{i}_{j} - b_{i}_{j} * b_{i}_{j} / n_{i}_{j})"
-        cov = f"(ab_{i}_{j} - a_{i}_{j} * b_{i}_{j} / n_{i}_{j})"
-        # A variance that is rounding noise beside the sum of squares is none.
-        flat = f"{n} < 2 OR {va} <= 1e-13 * aa_{i}_{j} OR {vb} <= 1e-13 * bb_{i}_{j}"
-        value = "1.0D" if i == j else f"greatest(-1.0D, least(1.0D, {cov} / sqrt({va} * {vb})))"
-        rs.append(f"CASE WHEN {flat} THEN NULL ELSE {value} END AS r_{i}_{j}")
-    r = s.selectExpr(*rs)
-    ordered = [f"struct('{cols[i]}' AS col_a, '{cols[j]}' AS col_b, r_{min(i, j)}_{max(i, j)} AS r)"
-               for i in range(len(cols)) for j in range(len(cols))]
-    return r.selectExpr(f"inline(array({', '.join(ordered)}))")
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = x.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
+    xc = attach(x, means).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in cols])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    pa = F.array(*[F.lit(cols.index(a) + 1) for a, _ in pairs])
+    pb = F.array(*[F.lit(cols.index(b) + 1) for _, b in pairs])
+    # Expression size stays O(columns): one value array per row, then the
+    # pair index picks both members.
+    vals = xc.select(F.array(*[F.col(c) for c in cols]).alias("v"))
+    fan = vals.select("v", F.explode(F.sequence(F.lit(1), F.lit(len(pairs)))).alias("pair"))
+    fan = fan.select("pair", F.element_at("v", F.element_at(pa, F.col("pair"))).alias("a"),
+                     F.element_at("v", F.element_at(pb, F.col("pair"))).alias("b"))
+    fan = fan.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    a, b = F.col("a"), F.col("b")
+    s = fan.groupBy("pair").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"),
+        F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"),
+        F.max(a).alias("amax"), F.min(a).alias("amin"), F.max(b).alias("bmax"), F.min(b).alias("bmin"))
+    n = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    va = F.col("saa") - F.col("sa") * F.col("sa") / n
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    constant = (F.col("amax") == F.col("amin")) | (F.col("bmax") == F.col("bmin")) | (n < 2)
+    r = F.when(constant, F.lit(None).cast("double")).otherwise(
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, F.sqrt(va * vb)))))
+    names = F.array(*[F.lit(c) for c in cols])
+    rs = s.select(F.element_at(names, F.element_at(pa, F.col("pair"))).alias("col_a"),
+                  F.element_at(names, F.element_at(pb, F.col("pair"))).alias("col_b"),
+                  F.when(F.element_at(pa, F.col("pair")) == F.element_at(pb, F.col("pair")),
+                         F.when(constant, F.lit(None).cast("double")).otherwise(F.lit(1.0)))
+                   .otherwise(r).alias("r"))
+    # Mirror the upper triangle above the aggregate, so the rows are fanned out once.
+    mirrored = rs.select(F.inline(F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b", "r"))).otherwise(F.array(
+        F.struct("col_a", "col_b", "r"), F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")))))
+    # A pair no row covers has no record (r NULL via the spine of all ordered pairs).
+    spark = df.sparkSession
+    spine = spark.createDataFrame([(a, b) for a in cols for b in cols], "col_a string, col_b string")
+    return spine.join(mirrored, ["col_a", "col_b"], "left")
 
 
 def summary_stats(df: DataFrame, exact: bool = True, with_time: bool = False) -> DataFrame:
