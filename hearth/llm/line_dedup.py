@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from hearth.llm.common import LOWER, UPPER, stored
 
-#: Shorter units are never removed: headings and one-word lines repeat by chance.
-MIN_WORDS = 8
+#: Every unit that has a word is looked at; callers may ask for a higher floor.
+MIN_WORDS = 1
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 #: Units per output batch.
 BATCH = 50_000

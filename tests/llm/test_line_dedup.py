@@ -70,3 +70,19 @@ def test_wholly_equal_rows_and_edges(spark):
     assert len(got) == 6 and {r.kept_doc_id for r in got} == {4}
     assert line_dedup.repeated_units(docs(spark, [])).count() == 0
     assert line_dedup.remove_units(docs(spark, [])).count() == 0
+
+
+def test_query_has_short_lines(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = brute(sorted((r.doc_id, r.text) for r in rows), min_words=1)
+    assert sum(n for r, n in want.items() if r[4] < 8) > 0
+    assert collections.Counter(map(tuple, QUERIES["op2_line_dedup"](spark, SF).collect())) == want
+
+
+def test_short_units(spark):
+    rows = [(1, "All rights reserved.\n\nHead"), (2, "one\nall  RIGHTS reserved.\nhead\n \n"), (3, "\n \nOne")]
+    got = sorted(tuple(r) for r in line_dedup.repeated_units(docs(spark, rows)).drop("row_id").collect())
+    assert got == [(2, 1, 4, 25, 3, 1, 0), (2, 2, 26, 30, 1, 1, 22), (3, 2, 3, 6, 1, 2, 0)]
+    assert line_dedup.repeated_units(docs(spark, rows), min_words=4).count() == 0
+    assert {r.doc_id: r.text for r in line_dedup.remove_units(docs(spark, rows)).collect()} == {
+        1: rows[0][1], 2: "one\n \n", 3: "\n "}
