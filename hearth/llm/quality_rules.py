@@ -23,7 +23,8 @@ SYMBOLS = "#*$%&|<>"
 #: Characters that count against a line.
 ODD = SYMBOLS + "~^=_\\{}[]"
 BARS = "|»›•"
-TWO_CAPITALS = r"[A-Z][^a-z\n]*[A-Z]"
+#: What a shouting line holds at least: over 8 letters A-Z, whatever stands between them.
+NINE_CAPITALS = r"[A-Z](?:[^A-Z\n]*+[A-Z]){8}"
 #: Phrases of licence, cookie and site-furniture lines (lower case).
 BOILERPLATE = [
     "all rights reserved", "licensed under", "released under the", "this work is licensed",
@@ -68,19 +69,19 @@ def line_fails(line: Column) -> Column:
     # The first part of each rule is the cheap one and decides for most lines.
     return (((odd > 0) & (odd * 10 > solid))
             | ((bangs >= 2) & (bangs * 4 >= words))
-            | (line.rlike(TWO_CAPITALS) & (upper > 8) & (upper > lower))
+            | (line.rlike(NINE_CAPITALS) & (upper > 8) & (upper > lower))
             | ((pipes >= 2) & (pipes * 4 >= words))
             | F.lower(line).rlike("|".join(BOILERPLATE)))
 
 
 def _may_fail(text: Column) -> Column:
-    """False only if no line of the text can fail: a cheap look at the whole text first. A line with
-    more capitals than small letters has two capitals without a small letter between."""
+    """False only if no line of the text can fail: a cheap look at the whole text first. A
+    shouting line has nine capitals."""
     lower = F.lower(text)
     said = F.lit(False)
     for phrase in BOILERPLATE:
         said = said | F.contains(lower, F.lit(phrase))
-    return text.rlike(f"[{re.escape(ODD + BARS)}]|![^!]*!") | text.rlike(TWO_CAPITALS) | said
+    return text.rlike(f"[{re.escape(ODD + BARS)}]|![^!]*!") | text.rlike(NINE_CAPITALS) | said
 
 
 def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT,

@@ -143,6 +143,17 @@ def test_line_rules(spark):
     assert quality_rules.apply_rules(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shouting_in_alternating_case(spark, tmp_path):
+    plain = "\n".join(" ".join(f"plain{i}x{j}" for j in range(20)) + "." for i in range(6))
+    lines = {1: "AbCdEfGhIjKlMnOpQrS", 2: "A b C d E f G h I j K l M n O p Q", 3: "AbCdEfGhIjKlMnOpQr", 4: "AbCdEfGhIjKlMnO", 5: "AbCdEfGhI\nJkLmNoPqR"}
+    df = docs(spark, [(i, f"{plain}\n{x}") for i, x in lines.items()])
+    got = {r.doc_id: (r.n_removed_lines, r.clean_text) for r in quality_rules.judge(df).collect()}
+    assert got == {i: (1, plain) if i < 3 else (0, f"{plain}\n{x}") for i, x in lines.items()}
+    d = tables_dir(tmp_path, spark, documents=df)
+    rel = duckdb.connect().sql(ORACLES["op8_line_quality_rules"].replace("FROM documents", f"FROM read_parquet('{d}/documents.parquet/*.parquet')"))
+    assert rows(QUERIES["op8_line_quality_rules"](spark, d)) == collections.Counter(rel.fetchall())
+
+
 def test_quality_agrees_with_labels(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
