@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hearth.llm import (decontam, line_dedup, mixing, ppm, quality_classifier, quality_rules, sharding, simhash,
                         token_output, url_filter)
 from hearth.llm.common import table
+from hearth.session import scratch_path
 
 #: Where the public tokenizers lie; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,9 +63,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_virtual_slots")
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard_by_slots(table(spark, sf_dir, "documents"), 16)
+    out = sharding.shard_by_slots(table(spark, sf_dir, "documents"), 16, map_path=scratch_path(spark, "slot-maps"), next_shards=17)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-                      F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+                      F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
 
 
 _SOLID = r"translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"

@@ -154,8 +154,9 @@ def slot_weights(rec: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> tuple
     return weights, pieces, rows
 
 
-def assign(rec: DataFrame, slot_map: SlotMap, slot_rows: list[int]) -> DataFrame:
-    """``rec`` with shard and position: 0, 1, 2, ... inside each shard, in cell and key order.
+def assign(rec: DataFrame, slot_map: SlotMap, slot_rows: list[int], following: SlotMap | None = None) -> DataFrame:
+    """``rec`` with shard and position: 0, 1, 2, ... inside each shard, in cell and key order. With a
+    ``following`` version of the map, next_shard is the shard there.
 
     A record's cell follows from its row id, cells are numbered by a window each (about CELL_ROWS
     rows), and a cell's first position is the running sum of the counts of the shard's cells."""
@@ -166,6 +167,8 @@ def assign(rec: DataFrame, slot_map: SlotMap, slot_rows: list[int]) -> DataFrame
     placed = (rec.withColumn("piece", _cell(n))
               .withColumn("shard", slot_map.of(F.col("virtual_slot"), F.col("piece")))
               .withColumn("cell", F.pmod(F.xxhash64("row_id", F.lit(11)), per_slot).cast("int")))
+    if following:
+        placed = placed.withColumn("next_shard", following.of(F.col("virtual_slot"), F.col("piece")))
     cell = ["virtual_slot", "piece", "cell"]
     counts = placed.groupBy("shard", *cell).agg(F.count("*").alias("rows"))
     before = (F.sum("rows").over(W.partitionBy("shard").orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)))
@@ -178,16 +181,24 @@ def assign(rec: DataFrame, slot_map: SlotMap, slot_rows: list[int]) -> DataFrame
 
 
 def shard_by_slots(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text",
-                   n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """One row per record: key, size, text_crc32, virtual_slot, row_id, shard, position.
+                   n_slots: int = N_SLOTS, map_path: str | None = None, next_shards: int | None = None) -> DataFrame:
+    """One row per record: key, size, text_crc32, virtual_slot, row_id, shard, position; with
+    ``next_shards``, also next_shard, the shard by the map rebalanced to so many shards.
 
     Shards are near equal in bytes. Null keys share one slot, null texts weigh 1; repeated rows are
     placed one by one, and a key with a large part of all rows is divided over several shards. Shards
     may stay empty when there are fewer pieces than shards; an empty table gives an empty table. Other
-    columns are ignored. ``map_path``: where to store version 1 of the map."""
+    columns are ignored. ``map_path``: where to store version 1 of the map, and version 2 if it is
+    rebalanced; records are then placed by the maps as read back from there."""
     rec = records(docs, key, text, n_slots)
     weights, pieces, rows = slot_weights(rec, n_shards, n_slots)
-    slot_map = build_map(weights, pieces, n_shards)
-    if map_path:
-        slot_map.save(docs.sparkSession, map_path)
-    return assign(rec, slot_map, rows)
+
+    def kept(m: SlotMap) -> SlotMap:
+        if not map_path:
+            return m
+        m.save(docs.sparkSession, map_path)
+        return SlotMap.load(docs.sparkSession, map_path, m.version)
+
+    slot_map = kept(build_map(weights, pieces, n_shards))
+    following = kept(rebalance(slot_map, weights, next_shards)) if next_shards else None
+    return assign(rec, slot_map, rows, following)

@@ -109,6 +109,19 @@ def test_map_versions_and_rebalance(spark):
     check_shards(sharding.assign(rec, two, slot_rows), df, 17)
 
 
+def test_query_stores_its_maps(spark, monkeypatch):
+    path = scratch_path(spark, "query-maps")
+    monkeypatch.setattr("hearth.llm.queries.scratch_path", lambda *_: path)
+    got = QUERIES["op7_virtual_slots"](spark, SF).collect()
+    one, two = (sharding.SlotMap.load(spark, path, v) for v in (1, 2))
+    assert (one.n_shards, two.n_shards, one.pieces) == (16, 17, two.pieces) and got
+    for r in got:
+        held = {(one.shard[r.virtual_slot, p], two.shard[r.virtual_slot, p]) for p in range(one.pieces[r.virtual_slot])}
+        assert (r.shard, r.next_shard) in held
+    moved = [r for r in got if r.shard != r.next_shard]
+    assert {r.next_shard for r in moved} == {16} and sum(r.size for r in moved) < 1.5 * sum(r.size for r in got) / 17
+
+
 def brute_quality(text):
     text = text or ""
     w = WORD.findall(text)
