@@ -5,10 +5,9 @@ A shard is a stretch of a partition of at most about ``SHARD_BYTES`` of text
 FM-index is built over them, and the windows of all benchmark items are
 found by backward search; occurrences are located and merged into spans.
 
-With ``prune`` (the default) words that no item has become breaks, and runs
-shorter than the shortest window are left out: no window can lie there, so
-the index answers the same for these items and is much smaller. Without it the
-index holds every word.
+The index holds every word. With ``prune`` words that no item has become
+breaks, and runs shorter than the shortest window are left out: no window can
+lie there, so the index answers the same for these items and is much smaller.
 
 The items are the stated query set; their size is checked against
 ``MAX_ITEM_BYTES`` before they are sent to the tasks. A larger set is searched in
@@ -108,7 +107,7 @@ def _merge(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[new], reach[np.r_[new[1:] - 1, len(reach) - 1]]], axis=1)
 
 
-def search_shard(texts: list[bytes | None], phrases: Phrases, prune: bool = True) -> Hits:
+def search_shard(texts: list[bytes | None], phrases: Phrases, prune: bool = False) -> Hits:
     symbols, at, owner, first, n_words = _shard_symbols(texts, phrases, prune)
     spans: dict[int, list] = {}
     items: dict[int, set] = {}
@@ -154,7 +153,7 @@ def without_spans(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def clean_texts(texts: list[bytes | None], phrases: Phrases, prune: bool = True) -> list[bytes | None]:
+def clean_texts(texts: list[bytes | None], phrases: Phrases, prune: bool = False) -> list[bytes | None]:
     """Texts without hit words. What a removal brings together is searched again until nothing is hit."""
     texts, check = list(texts), list(range(len(texts)))
     while check:
@@ -204,7 +203,7 @@ def _map_shards(docs: DataFrame, text: str, items: list[tuple], window: int, pru
 
 
 def find_hits(docs: DataFrame, items: list[tuple], key: str = "doc_id", text: str = "text", window: int = WINDOW,
-              prune: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+              prune: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: key, n_words, n_hit (words inside an occurrence of any window), n_items, items
     (ids, sorted as strings), items_sha256 (of the comma-joined ids) and spans (merged hits as byte
     offsets of the UTF-8 text).
@@ -231,7 +230,7 @@ def find_hits(docs: DataFrame, items: list[tuple], key: str = "doc_id", text: st
     return _map_shards(narrow, text, items, window, prune, shard_bytes, found, schema)
 
 
-def remove_hits(docs: DataFrame, items: list[tuple], text: str = "text", window: int = WINDOW, prune: bool = True,
+def remove_hits(docs: DataFrame, items: list[tuple], text: str = "text", window: int = WINDOW, prune: bool = False,
                 shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with every hit word removed from its text (n_chars, where there is one, counted anew).
     Texts without a hit stay as they are, null texts too; no row is lost."""

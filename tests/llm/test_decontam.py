@@ -63,6 +63,27 @@ def test_query_against_brute_force(spark, tmp_path, prune, monkeypatch):
     assert sum(x[-1] for x in want) > 5
 
 
+def test_queries_index_every_word(spark, monkeypatch):
+    from corpus_pipeline import decontamination_stage
+    used, real, sizes = [], decontam._map_shards, []
+    monkeypatch.setattr(decontam, "_map_shards", lambda docs, text, items, window, prune, *rest: used.append(prune) or real(docs, text, items, window, prune, *rest))
+    QUERIES["op6_fm_index_decontamination"](spark, SF)
+    decontamination_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert used == [False, False]
+    monkeypatch.setattr(decontam, "FMIndex", lambda symbols: sizes.append(int((symbols > 0).sum())) or FMIndex(symbols))
+    phrases = decontam.Phrases([(1, b"one two three")], 10)
+    texts = [b"one two three four", b"other words", None]
+    full, pruned = decontam.search_shard(texts, phrases), decontam.search_shard(texts, phrases, prune=True)
+    assert sizes == [6, 3] and full.items == pruned.items == {0: [1]}
+
+
+def test_pruned_index_answers_the_same(spark):
+    rows, items = planted(spark)
+    items, df = decontam.collect_items(items), sample_docs(spark).unionByName(rows)
+    pruned, full = (collections.Counter(map(str, decontam.find_hits(df, items, prune=p).collect())) for p in (True, False))
+    assert pruned == full
+
+
 def test_spans_and_removal(spark):
     rows, items = planted(spark)
     items = decontam.collect_items(items)
