@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import (decontam, line_dedup, mixing, ppm, quality_classifier, quality_rules, sharding, simhash,
-                        token_output, url_filter)
+from hearth.llm import (decontam, hard_negatives, line_dedup, mixing, ppm, quality_classifier, quality_rules, sharding, simhash,
+                        token_output, url_filter, vector_codes)
 from hearth.llm.common import table
 from hearth.session import scratch_path
 
@@ -190,3 +190,66 @@ def op5_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ppm_scores")
 def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.ppm_scores(table(spark, sf_dir, "documents"), train=_remainder(7) != 2)
+
+
+_FINITE = ("embedding IS NOT NULL AND len(embedding) = list_count(embedding)"
+           " AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0")
+_INTEGERS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Assignment and mean of every round, written out; a distance and its entry's index in one number, so the minimum has both."""
+    def assigned(book: str) -> str:
+        far = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+        return f"SELECT rid, p, min(coalesce({far}, 0) * {entries} + e) AS best FROM parts JOIN {book} USING (p) GROUP BY rid, p"
+
+    def book(old: str, best: str) -> str:
+        return f"""
+SELECT o.p, o.e, coalesce(n.c, o.c) AS c FROM {old} o LEFT JOIN (
+  SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT p, e, i, CAST(sum(v) AS DOUBLE) AS s, count(*) AS n
+        FROM (SELECT p, best % {entries} AS e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM {best} JOIN parts USING (rid, p)) GROUP BY p, e, i)
+  GROUP BY p, e) n ON o.p = n.p AND o.e = n.e"""
+    steps = []
+    for r in range(rounds):
+        steps += [f"a{r} AS MATERIALIZED ({assigned(f'b{r}')})", f"b{r + 1} AS MATERIALIZED ({book(f'b{r}', f'a{r}')})"]
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, {_INTEGERS} AS v FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (
+  SELECT rid, vec_id, p::BIGINT AS p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) r(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, x AS c FROM parts JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept QUALIFY e < {entries}) USING (rid)),
+{', '.join(steps)},
+last AS MATERIALIZED ({assigned(f'b{rounds}')}),
+rows AS (
+  SELECT rid, string_agg(format('{{:02x}}', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM last GROUP BY rid),
+text AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM rows JOIN kept USING (rid) CROSS JOIN text"""
+
+
+@query("op11_trie_codes", _codes_sql())
+def op11_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+@query("op13_strassen_negatives", f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_INTEGERS} AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+scored AS MATERIALIZED (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, c.rid, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM kept a JOIN kept c ON a.rid <> c.rid WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) AS place FROM scored WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.arid, p.place ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN scored n ON p.arid = n.arid AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5""")
+def op13_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
