@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import (decontam, hard_negatives, line_dedup, mixing, ppm, quality_classifier, quality_rules, sharding, simhash,
+from hearth.llm import (decontam, fingerprints, hard_negatives, line_dedup, mixing, ppm, quality_classifier, quality_rules, sharding, simhash,
                         token_output, url_filter, vector_codes)
 from hearth.llm.common import table
 from hearth.session import scratch_path
@@ -235,6 +235,11 @@ def op11_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+@query("op12_consistent_sampling")
+def op12_consistent_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"), samples=64)
+
+
 @query("op13_strassen_negatives", f"""
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_INTEGERS} AS v
