@@ -92,10 +92,10 @@ def test_empty_table_and_single_row(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     q = QUERIES["op12_consistent_sampling"](spark, SF)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|InArrow", plan) and plan.count("Exchange hashpartitioning") == 1
     got, want = q.collect(), brute(rows)
     assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == {i: w[:2] for i, w in want.items()}
     # 64 samples have a variance of at most 0.25 / 64; the mean over 200 documents varies by a tenth.
     assert statistics.mean((r.near_edited - want[r.doc_id][2]) ** 2 for r in got) < 1.3 * 0.25 / 64
     assert statistics.mean((r.near_next - want[r.doc_id][3]) ** 2 for r in got) < 1.3 * 0.25 / 64
-    plan = q._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
