@@ -41,9 +41,16 @@ CODE_IDS = 1 << 19
 GROUP_BYTES = 1 << 20
 #: Parts of texts that a Python worker remembers before it starts anew.
 MAX_PARTS = 800_000
-#: Odd multipliers of the two 64-bit hashes that name a part, and what is added for a part with a space before it.
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_SPACED = np.uint64(0xA24BAED4963EE407)
+#: Long parts (of up to ``LONG_BYTES`` bytes) that it remembers likewise.
+MAX_LONG = 20_000
+#: Parts of up to so many 8-byte words are compared by their bytes, longer ones by a dictionary of at most ``LONG_BYTES``
+#: each; texts with longer parts still are encoded whole.
+WORDS, LONG_BYTES = 4, 4096
+_LONG, _HUGE = 8 * WORDS + 1, 8 * WORDS + 2
+#: Odd multipliers that mix a part's words to the number under which it is looked up.
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: What keeps the first n bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 # White space beside a space, or a space at either end: such a text is not cut at its spaces.
 _UNSAFE = re.compile(r"\s \s?| \s|\A | \Z")
@@ -57,28 +64,14 @@ _LATIN = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97
 _MARK = np.isin(np.arange(256), list(b".,;:!?#*$%&|\n"))
 
 
-class _Powers:
-    """Powers of an odd number modulo 2^64, and of its inverse, as far as asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def to(self, n: int) -> _Powers:
-        if len(self.up) < n:
-            for name, x in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                all_ = np.full(n, x, np.uint64)
-                all_[0] = 1
-                setattr(self, name, np.cumprod(all_, dtype=np.uint64))
-        return self
-
-
 class Encoder:
     """Ids of texts by a tokenizer file.
 
     A byte-level BPE without a normaliser cuts a text before every single space that stands
     between other characters, and between a letter or digit and one of the marks ``.,;:!?#*$%&|`` or a single
-    line feed, whatever surrounds them. So texts are cut there, each part is named by two 64-bit
-    polynomial hashes of its bytes, computed for a whole group of texts at once, and a new part is encoded once.
+    line feed, whatever surrounds them. So texts are cut there, and a new part is encoded once. A whole group of texts is
+    looked up at once by a 64-bit mix of each part's bytes; the bytes themselves are compared with those
+    remembered, and a text with a part that differs is encoded whole, so no mix can give wrong ids.
     Other tokenizers, texts with unusual spacing and texts that hold an added token are encoded whole."""
 
     def __init__(self, path: str):
@@ -90,11 +83,12 @@ class Encoder:
         self.added = [t["content"].encode() for t in said["added_tokens"]]
         self.in_parts = (said.get("normalizer") is None and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
                          and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
-        self.powers = [_Powers(b) for b in _BASES]
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.check, self.code = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.names = [np.zeros(0, np.uint64) for _ in range(WORDS + 1)]
+        self.long: dict[bytes, int] = {}
         self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +130,34 @@ class Encoder:
         after = np.r_[start[1:], n]
         return start, after - np.r_[spaced[start[1:]], spaced[n]], spaced[start]
 
+    def _names(self, raw: bytes, data: np.ndarray, start: np.ndarray, stop: np.ndarray, spaced: np.ndarray) -> list[np.ndarray]:
+        """What tells parts apart, one array per component: their bytes as words (a long part: its number in the
+        dictionary), and their length (or that they are long) with whether a space stands before."""
+        size = stop - start
+        names = [np.zeros(len(start), np.uint64) for _ in range(WORDS)]
+        held = np.frombuffer(raw + bytes(8), np.uint8)
+        every = np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
+        short = size <= 8 * WORDS
+        for i, name in enumerate(names):
+            at = np.flatnonzero(short & (size > 8 * i))
+            if not len(at):
+                break
+            name[at] = every[start[at] + 8 * i] & _FIRST[np.minimum(size[at] - 8 * i, 8)]
+        kind = np.where(short, size, _LONG)
+        for i in np.flatnonzero(~short).tolist():
+            if size[i] > LONG_BYTES:
+                kind[i] = _HUGE
+            else:
+                names[0][i] = self.long.setdefault(raw[start[i]:stop[i]], len(self.long))
+        return [*names, (2 * kind + spaced).astype(np.uint64)]
+
+    @staticmethod
+    def _mix(names: list[np.ndarray]) -> np.ndarray:
+        key = (names[0] ^ names[0] >> np.uint64(29)) * _MIX[0]
+        for name, by in zip(names[1:], _MIX[1:]):
+            key += name * by
+        return key ^ key >> np.uint64(32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         data = [t.encode() for t in texts]
         ids, counts = self.encode_bytes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
@@ -163,17 +185,12 @@ class Encoder:
             whole = {i for i in doubts if not self._usual(raw[begin[i]:end[i]])}
         else:
             return self._joined([self._whole(data[a:b]) for a, b in zip(begin, end)], counts, filled)
-        if len(self.keys) > MAX_PARTS:
+        if len(self.keys) > MAX_PARTS or len(self.long) > MAX_LONG:
             self._forget()
 
         start, stop, spaced = self._parts(data, begin)
-        names = []
-        for powers in self.powers:
-            powers.to(len(data) + 1)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data + np.uint64(1)) * powers.up[:len(data)], out=sums[1:])
-            names.append((sums[stop] - sums[start]) * powers.down[start] + spaced * _SPACED)
-        key, check = names
+        names = self._names(raw, data, start, stop, spaced)
+        key = self._mix(names)
         unique, index, back = np.unique(key, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, unique)
         found = place < len(self.keys)
@@ -181,16 +198,21 @@ class Encoder:
         if not found.all():
             # Parts of texts that are encoded whole are learnt too; they do no harm.
             new, at = index[~found], place[~found]
-            ids, size = self._encode_parts([(" " if s else "") + raw[a:b].decode() for a, b, s in zip(start[new].tolist(), stop[new].tolist(), spaced[new].tolist())])
-            self.keys, self.check = np.insert(self.keys, at, unique[~found]), np.insert(self.check, at, check[new])
+            known = names[-1][new] >> np.uint64(1) != _HUGE
+            ids, size = self._encode_parts([(" " if s else "") + raw[a:b].decode() if k else "" for a, b, s, k in zip(
+                start[new].tolist(), stop[new].tolist(), spaced[new].tolist(), known.tolist())])
+            self.keys = np.insert(self.keys, at, unique[~found])
+            self.names = [np.concatenate([old, name[new]]) for old, name in zip(self.names, names)]
             self.code = np.insert(self.code, at, len(self.size) + np.arange(len(new)))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
             self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
             place = np.searchsorted(self.keys, unique)
         first = np.searchsorted(start, begin)
-        clash = np.flatnonzero(self.check[place][back] != check)
-        whole |= set((np.searchsorted(first, clash, side="right") - 1).tolist())
         code = self.code[place][back]
+        other = names[-1] >> np.uint64(1) == _HUGE
+        for known, name in zip(self.names, names):
+            other |= known[code] != name
+        whole |= set((np.searchsorted(first, np.flatnonzero(other), side="right") - 1).tolist())
         size = self.size[code]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[code] - (ends - size), size) + np.arange(int(ends[-1]))]

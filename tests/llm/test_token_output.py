@@ -81,6 +81,39 @@ def test_pieces_give_the_same_ids():
         assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1].tolist() for x in whole_ids(texts)]
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 8192])
+def test_parts_that_collide_in_polynomial_hashes(letters):
+    """Two strings whose difference vanishes under every odd base modulo 2^64, alone and inside a text."""
+    texts = [thue_morse(letters), thue_morse(letters, "b", "a"), f"x {thue_morse(letters)} y", f"x {thue_morse(letters, 'b', 'a')} y"]
+    encoder = token_output.Encoder(tokenizer_path())
+    for t in ([x] for x in texts):
+        assert [x.tolist() for x in encoder.encode(t)] == [x[:-1].tolist() for x in whole_ids(t)]
+    assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1].tolist() for x in whole_ids(texts)]
+
+
+@pytest.mark.parametrize("low", [0, 3, 0xFF])
+def test_equal_mixes_never_give_wrong_ids(monkeypatch, low):
+    """Parts that are looked up under the same number are told apart by their bytes."""
+    mix = token_output.Encoder._mix
+    monkeypatch.setattr(token_output.Encoder, "_mix", staticmethod(lambda names: mix(names) & np.uint64(low)))
+    monkeypatch.setattr(token_output, "MAX_LONG", 3)
+    texts = ["one two three. four", "two one", "one", "a" * 33 + " " + "b" * 40, "c" * 5000 + ". " + "a" * 33, "nul\x00 nul", "nul nul", "d" * 32 + " " + "d" * 33, ""]
+    encoder = token_output.Encoder(tokenizer_path())
+    for _ in range(3):
+        assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1].tolist() for x in whole_ids(texts)]
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "\x00", "\u00e9", " ", ".", "7"]), min_size=25, max_size=45).map("".join), min_size=2, max_size=4))
+def test_parts_about_the_longest_compared(texts):
+    encoder = token_output.encoder_of(tokenizer_path())
+    assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1].tolist() for x in whole_ids(texts)]
+
+
 def check(rows, got, with_ids=False):
     """Ids and offsets of all documents, in key order, nulls first."""
     ids = whole_ids([r.text for r in rows])
