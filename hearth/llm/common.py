@@ -61,3 +61,21 @@ def literal_array(values: Iterable[int]) -> Column:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
+
+
+class Masked:
+    """A table under column names that no operator uses inside, and the way back.
+
+    ``df`` has the columns ``in0``, ``in1``, ... ; ``name[c]`` is the one of input column ``c``. So an input
+    column may be called like any column that an operator adds on its way."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.name = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+        self.df = docs.toDF(*self.name.values())
+
+    def back(self, df: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+        """The input's columns under their own names and the ``new`` ones, which replace those called alike."""
+        new = dict(new or {})
+        kept = [new.pop(c, F.col(n)).alias(c) for c, n in self.name.items()]
+        return df.select(*kept, *[c.alias(n) for n, c in new.items()])

@@ -10,15 +10,15 @@ breaks, and runs shorter than the shortest window are left out: no window can
 lie there, so the index answers the same for these items and is much smaller.
 
 The items are the stated query set; their size is checked against
-``MAX_ITEM_BYTES`` before they are sent to the tasks. A larger set is searched in
-several calls.
+``MAX_ITEM_BYTES`` before they are sent to the tasks. ``find_benchmark`` and ``remove_benchmark`` cut a larger set
+into parts by a hash of the text, search part after part, and merge the spans and item lists of each document.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.llm.common import LOWER, UPPER
+from hearth.llm.common import LOWER, UPPER, Masked, stored
 from hearth.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -188,7 +188,7 @@ def collect_items(benchmark: DataFrame, key: str = "item_id", text: str = "text"
     """The items as (id, bytes), after a check of their size. Ids become strings."""
     size = benchmark.agg(F.sum(F.octet_length(F.col(text)) + 16)).first()[0] or 0
     if size > max_bytes:
-        raise ValueError(f"the items hold {size} bytes, more than {max_bytes}; search them in several calls")
+        raise ValueError(f"the items hold {size} bytes, more than {max_bytes}; find_benchmark searches them in parts")
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col(text).cast("binary")).collect()
     return [(r[0], bytes(r[1])) for r in rows]
 
@@ -202,6 +202,30 @@ def _map_shards(docs: DataFrame, text: str, items: list[tuple], window: int, pru
     return docs.withColumn("_bytes", F.col(text).cast("binary")).drop(text).mapInArrow(run, schema)
 
 
+def _search(docs: DataFrame, items: list[tuple], key: str, text: str, window: int, prune: bool, shard_bytes: int) -> DataFrame:
+    """key, row_id, n_words, items, and per merged span its words and bytes, for rows (key, row_id, text)."""
+    def found(shard: pa.Table, phrases: Phrases) -> pa.Table:
+        texts = shard.column("_bytes").to_pylist()
+        hits = search_shard(texts, phrases, prune)
+        spans = [[{"first": int(a), "last": int(b), "start": x, "end": y} for (a, b), (x, y) in zip(hits.spans[i], byte_spans(t, hits.spans[i]))]
+                 if i in hits.spans else [] for i, t in enumerate(texts)]
+        return pa.table({
+            key: shard.column(key), "row_id": shard.column("row_id"), "n_words": pa.array(hits.n_words, pa.int64()),
+            "items": pa.array([hits.items.get(i, []) for i in range(len(texts))], pa.list_(pa.string())),
+            "found": pa.array(spans, pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "last", "start", "end")])))})
+
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType)] + T._parse_datatype_string(
+        "row_id bigint, n_words bigint, items array<string>, found array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>").fields)
+    return _map_shards(docs, text, items, window, prune, shard_bytes, found, schema)
+
+
+def _told(hits: DataFrame, key: str) -> DataFrame:
+    spans = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    n_hit = F.aggregate("found", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
+    return hits.select(key, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items",
+                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), spans.alias("spans"))
+
+
 def find_hits(docs: DataFrame, items: list[tuple], key: str = "doc_id", text: str = "text", window: int = WINDOW,
               prune: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: key, n_words, n_hit (words inside an occurrence of any window), n_items, items
@@ -211,39 +235,76 @@ def find_hits(docs: DataFrame, items: list[tuple], key: str = "doc_id", text: st
     Null and empty texts have no words and no hits; items without a word are never found; items with a
     null id mark words but are not listed; repeated rows are searched one by one; an empty table, or an
     empty item list, gives no hits. Other columns are ignored."""
-    def found(shard: pa.Table, phrases: Phrases) -> pa.Table:
-        texts = shard.column("_bytes").to_pylist()
-        hits = search_shard(texts, phrases, prune)
-        listed = [hits.items.get(i, []) for i in range(len(texts))]
-        spans = [[{"start": a, "end": b} for a, b in byte_spans(t, hits.spans[i])] if i in hits.spans else []
-                 for i, t in enumerate(texts)]
-        n_hit = [int((hits.spans[i][:, 1] - hits.spans[i][:, 0]).sum()) if i in hits.spans else 0 for i in range(len(texts))]
-        return pa.table({
-            key: shard.column(key), "n_words": pa.array(hits.n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
-            "n_items": pa.array([len(x) for x in listed], pa.int64()), "items": pa.array(listed, pa.list_(pa.string())),
-            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed],
-            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+    rows = docs.select(F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("row_id"), F.col(text).alias("_text"))
+    return _told(_search(rows, items, "_key", "_text", window, prune, shard_bytes), "_key").withColumnRenamed("_key", key)
 
-    narrow = docs.select(key, text)
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType)] + T._parse_datatype_string(
-        "n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string, spans array<struct<start:bigint,end:bigint>>").fields)
-    return _map_shards(narrow, text, items, window, prune, shard_bytes, found, schema)
+
+def item_parts(benchmark: DataFrame, text: str = "text", max_bytes: int = MAX_ITEM_BYTES) -> list[DataFrame]:
+    """``benchmark`` whole if it is within ``max_bytes``, else in parts by the text's hash, so that equal texts come together."""
+    size = benchmark.agg(F.sum(F.octet_length(F.col(text)) + 16)).first()[0] or 0
+    if size <= max_bytes:
+        return [benchmark]
+    # Twice as many as would do if all parts were equal; collect_items checks each.
+    parts = -(-2 * size // max_bytes)
+    return [benchmark.filter(F.pmod(F.xxhash64(text), F.lit(parts)) == i) for i in range(parts)]
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+                   max_bytes: int = MAX_ITEM_BYTES, **options) -> DataFrame:
+    """``find_hits`` for the items of a table of any size: its parts are searched one after the other, and
+    each document's spans and items of all parts are united (a word that two parts hit counts once)."""
+    parts = [collect_items(p, item_key, item_text, max_bytes) for p in item_parts(benchmark, item_text, max_bytes)]
+    if len(parts) == 1:
+        return find_hits(docs, parts[0], key, text, **options)
+    options = {"window": WINDOW, "prune": False, "shard_bytes": SHARD_BYTES} | options
+    rows = stored(docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("row_id"), F.col(text).alias("_text")), "decontam-rows")
+    every = reduce(DataFrame.unionByName, [stored(_search(rows, items, "_key", "_text", **options), "decontam-hits") for items in parts])
+    # A row's group has one entry per part.
+    united = every.groupBy("row_id").agg(
+        F.first("_key").alias("_key"), F.first("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list("found"))).alias("spans"))
+    # Spans in order of their first word: one that begins within the last one's reach lengthens it.
+    last = F.element_at
+    found = F.aggregate("spans", F.expr("cast(array() as array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>)"), lambda done, s: F.when(
+        (F.size(done) > 0) & (s["first"] <= F.get(done, F.size(done) - 1)["last"]),
+        F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(
+            last(done, -1)["first"].alias("first"), F.greatest(last(done, -1)["last"], s["last"]).alias("last"),
+            last(done, -1)["start"].alias("start"), F.greatest(last(done, -1)["end"], s["end"]).alias("end")))))
+        .otherwise(F.concat(done, F.array(s))))
+    return _told(united.withColumn("found", found), "_key").withColumnRenamed("_key", key)
 
 
 def remove_hits(docs: DataFrame, items: list[tuple], text: str = "text", window: int = WINDOW, prune: bool = False,
                 shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with every hit word removed from its text (n_chars, where there is one, counted anew).
-    Texts without a hit stay as they are, null texts too; no row is lost."""
-    columns = docs.columns
+    Texts without a hit stay as they are, null texts too; no row is lost; other columns, whatever they are called, stay."""
+    own = Masked(docs)
+    columns, column, count = own.df.columns, own.name[text], own.name.get("n_chars")
 
     def cleaned(shard: pa.Table, phrases: Phrases) -> pa.Table:
         texts = clean_texts(shard.column("_bytes").to_pylist(), phrases, prune)
         new = pa.array(texts, pa.binary()).cast(pa.string())
-        out = {c: new if c == text else shard.column(c) for c in columns}
-        if "n_chars" in out:
-            kind = out["n_chars"].type
+        out = {c: new if c == column else shard.column(c) for c in columns}
+        if count and count != column:
+            kind = out[count].type
             same = pc.equal(pa.chunked_array([pa.array(texts, pa.binary())]), shard.column("_bytes"))
-            out["n_chars"] = pc.if_else(pc.fill_null(same, True), out["n_chars"], pc.utf8_length(new).cast(kind))
+            out[count] = pc.if_else(pc.fill_null(same, True), out[count], pc.utf8_length(new).cast(kind))
         return pa.table(out)
 
-    return _map_shards(docs, text, items, window, prune, shard_bytes, cleaned, docs.schema)
+    return own.back(_map_shards(own.df, column, items, window, prune, shard_bytes, cleaned, own.df.schema))
+
+
+def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+                     max_bytes: int = MAX_ITEM_BYTES, **options) -> DataFrame:
+    """``remove_hits`` for the items of a table of any size. With several parts, rounds over all of them go on
+    until one finds nothing: a removal may bring together words that another part holds."""
+    parts = [collect_items(p, item_key, item_text, max_bytes) for p in item_parts(benchmark, item_text, max_bytes)]
+    if len(parts) == 1:
+        return remove_hits(docs, parts[0], text, **options)
+    while True:
+        for items in parts:
+            docs = stored(remove_hits(docs, items, text, **options), "decontam-clean")
+        rest = [find_hits(docs.select(F.lit(0).alias("k"), F.col(text).alias("t")), items, "k", "t", **options).filter("n_hit > 0") for items in parts]
+        if all(r.isEmpty() for r in rest):
+            return docs

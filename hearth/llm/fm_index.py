@@ -1,8 +1,8 @@
 """FM-index over a sequence of words, in numpy.
 
 The text is a list of runs of symbols 1..sigma, each closed by a break. Breaks
-compare by position, so no comparison runs past one and the suffix array
-needs about log2(longest repeated run) sorting rounds. The Burrows-Wheeler
+compare by position, so no comparison runs past one, and the suffix array
+sorts only what is still tied, in about log2(longest repeated run) rounds. The Burrows-Wheeler
 transform is held as a wavelet matrix (one bit plane per symbol bit, with
 prefix counts); positions are sampled every ``sample`` symbols and at the start
 of each run, so that locating never has to step over a break.
@@ -14,19 +14,39 @@ import numpy as np
 
 
 def suffix_array(ranks: np.ndarray) -> np.ndarray:
-    """Prefix doubling. ``ranks``: non-negative ints, no two suffixes equal."""
-    n, k = len(ranks), 1
-    rank = np.unique(ranks, return_inverse=True)[1].astype(np.int64)
+    """Prefix doubling by groups. ``ranks``: non-negative ints below 2^31, no two suffixes equal.
+
+    As many symbols as fit one key sort the suffixes first; after that only groups of suffixes
+    that are still equal are sorted again, by the ranks of what follows the equal part."""
+    n = len(ranks)
+    if not n:
+        return np.zeros(0, np.int64)
+    top = int(ranks.max()) + 2
+    depth = max(1, min(63 // top.bit_length(), 3))
+    key = np.zeros(n, np.int64)
+    for i in range(depth):
+        key *= top
+        key[:n - i] += ranks[i:].astype(np.int64) + 1
+    order = np.argsort(key)
+    rank = np.empty(n, np.int32)
+    # Places in the order whose group is not settled, and the suffixes' ranks: the first place of their group.
+    place = np.arange(n, dtype=np.int32)
+    key = key[order]
     while True:
-        key = rank * (n + 1)
-        key[:n - k] += rank[k:] + 1
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
-        if n < 2 or new[order[-1]] == n - 1 or k >= n:
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = place[np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))]
+        rank[order[place]] = first
+        alone = new & np.r_[new[1:], True]
+        place, group = place[~alone], first[~alone]
+        if not len(place):
             return order
-        rank, k = new, min(2 * k, n)
+        # A group's suffixes agree in ``depth`` symbols; the rest of one of them may be empty.
+        rest = order[place] + depth
+        follows = np.where(rest < n, rank[np.minimum(rest, n - 1)], -1)
+        key = group.astype(np.int64) * (n + 1) + follows + 1
+        turn = np.argsort(key)
+        order[place], key = order[place][turn], key[turn]
+        depth *= 2
 
 
 class FMIndex:
@@ -42,12 +62,14 @@ class FMIndex:
         # first[c]: suffixes that start with a smaller symbol
         self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))].astype(np.int64)
         self.bits = max(1, sigma.bit_length())
-        self.planes, self.zeros, at = [], [], bwt.astype(np.int64)
+        self.planes, self.zeros, at = [], [], bwt.astype(np.int32)
         for b in reversed(range(self.bits)):
-            ones = (at >> b) & 1
-            self.planes.append(np.r_[0, np.cumsum(ones)].astype(np.int32))
-            self.zeros.append(n - int(ones.sum()))
-            at = np.concatenate([at[ones == 0], at[ones == 1]])
+            ones = (at & (1 << b)) != 0
+            plane = np.zeros(n + 1, np.int32)
+            np.cumsum(ones, dtype=np.int32, out=plane[1:])
+            self.planes.append(plane)
+            self.zeros.append(n - int(plane[-1]))
+            at = np.concatenate([at[~ones], at[ones]])
         starts = np.r_[True, breaks[:-1]]
         marked = starts | (np.arange(n) % sample == 0)
         self.marked = marked[sa]

@@ -128,3 +128,31 @@ def test_suffix_array():
     for _ in range(20):
         x = np.r_[r.integers(1, 4, r.integers(0, 60)), 0]
         assert suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+
+
+def test_suffix_array_with_long_repeats():
+    r = np.random.default_rng(3)
+    for n, times in ((200, 5), (30, 40), (1, 500)):
+        piece = r.integers(1, 50, n)
+        x = np.concatenate([np.r_[piece, 50 + i] if i % 2 else piece for i in range(times)] + [[0]])
+        assert suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+    wide = r.permutation(1 << 31 - 16)[:2000] << 15  # ranks so large that one symbol fills a key's share
+    assert suffix_array(wide).tolist() == np.argsort(wide).tolist()
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 9_000, 2_500])
+def test_items_in_parts(spark, max_bytes):
+    """A set of items beyond the bound is searched in parts; spans of parts that overlap or touch are one."""
+    rows, items = planted(spark)
+    items = items.unionByName(spark.read.parquet(f"{SF}/benchmark.parquet").limit(60))
+    items = items.unionByName(spark.createDataFrame([(800 + i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(0, 40, 5)], items.schema))
+    long = " ".join(f"w{j}" for j in range(60))
+    df = sample_docs(spark).unionByName(rows).unionByName(docs(spark, [(90_010, long), (90_010, long)]))
+    parts = len(decontam.item_parts(items, max_bytes=max_bytes))
+    assert (parts > 1) == (max_bytes < 1 << 20)
+    got = decontam.find_benchmark(df, items, max_bytes=max_bytes)
+    one = decontam.find_hits(df, decontam.collect_items(items))
+    assert got.columns == one.columns and sorted(map(str, got.collect())) == sorted(map(str, one.collect()))
+    clean = decontam.remove_benchmark(df.filter("doc_id > 90000"), items, max_bytes=max_bytes)
+    assert not any(x[-1] for x in brute([(r.doc_id, r.text) for r in clean.collect()], [tuple(r) for r in items.collect()]))
+    assert clean.count() == df.filter("doc_id > 90000").count()
