@@ -129,8 +129,7 @@ def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_fm_index_decontamination")
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = decontam.collect_items(table(spark, sf_dir, "benchmark"))
-    out = decontam.find_hits(table(spark, sf_dir, "documents"), items)
+    out = decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
@@ -159,22 +158,26 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op2_line_dedup", rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS l FROM documents),
-pos AS (
-  SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS unit,
-         unnest(list_transform(range(len(l)), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0))) AS start
-  FROM d),
-w AS (
-  SELECT *, list_filter(regexp_split_to_array(translate(line, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM pos),
-u AS (SELECT *, array_to_string(w, ' ') AS norm FROM w WHERE len(w) >= {line_dedup.MIN_WORDS}),
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(text, '[^.!?,;:\n]*[.!?,;:\n]|[^.!?,;:\n]+') AS l FROM documents),
+pos AS (SELECT rid, doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM d),
+cut AS (
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         list_filter(regexp_split_to_array(translate(piece, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM pos),
+u AS (
+  SELECT rid, doc_id, start, start + length(piece) AS stop, len(w) AS n, array_to_string(w, ' ') AS norm,
+         row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS unit
+  FROM cut WHERE len(w) > 0),
 r AS (
-  SELECT *, row_number() OVER o AS n, first_value(doc_id) OVER o AS kd, first_value(start) OVER o AS ks
-  FROM u WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, rid, unit))
-SELECT doc_id, unit::BIGINT AS unit, start::BIGINT AS start, (start + length(line))::BIGINT AS "end", len(w)::BIGINT AS n_words,
-       kd AS kept_doc_id, ks::BIGINT AS kept_start
-FROM r WHERE n > 1""")
+  SELECT *, row_number() OVER o AS place, first_value(doc_id) OVER o AS kd, first_value(start) OVER o AS ks
+  FROM u WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, rid, unit)),
+g AS (SELECT *, unit - row_number() OVER (PARTITION BY rid ORDER BY unit) AS run FROM r WHERE place > 1)
+SELECT doc_id, min(unit)::BIGINT AS unit, count(*)::BIGINT AS n_units, min(start)::BIGINT AS start, max(stop)::BIGINT AS "end",
+       sum(n)::BIGINT AS n_words, arg_min(kd, unit) AS kept_doc_id, arg_min(ks, unit)::BIGINT AS kept_start
+FROM g GROUP BY rid, doc_id, run HAVING sum(n) >= 30""")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_units(table(spark, sf_dir, "documents")).drop("row_id")
+    return line_dedup.repeated_runs(table(spark, sf_dir, "documents"), unit="clause", min_run=30).drop("row_id")
 
 
 def _remainder(n: int):

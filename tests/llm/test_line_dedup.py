@@ -72,11 +72,74 @@ def test_wholly_equal_rows_and_edges(spark):
     assert line_dedup.remove_units(docs(spark, [])).count() == 0
 
 
-def test_query_has_short_lines(spark):
+def clauses(text):
+    """(start, clause): cut behind every mark, by hand."""
+    start = at = 0
+    for at, c in enumerate(text):
+        if c in ".!?,;:\n":
+            yield start, text[start:at + 1]
+            start = at + 1
+    if start < len(text):
+        yield start, text[start:]
+
+
+def brute_runs(rows, min_run):
+    first, out = {}, collections.Counter()
+    for i, t in rows:
+        run, number = [], -1
+        for start, c in [*clauses(t or ""), (0, "")]:
+            k = key_of(c)
+            number += bool(k)
+            if k in first:
+                run.append((number, start, start + len(c), len(k), *first[k]))
+                continue
+            if not k and c:
+                continue
+            if k:
+                first[k] = (i, start)
+            if sum(r[3] for r in run) >= min_run:
+                out[(i, run[0][0], len(run), run[0][1], run[-1][2], sum(r[3] for r in run), *run[0][4:])] += 1
+            run = []
+    return out
+
+
+@pytest.mark.parametrize("min_run", [1, 8, 30])
+def test_runs_against_brute_force(spark, min_run):
+    passage = "Of all that is said here, some comes again: word for word; and whole.\n\n . \nIt begins anywhere, and ends"
+    extra = [(30_000 + i, f"own start {i} {passage} somewhere {i}. Yes, no: " + passage.upper() * (i % 3)) for i in range(30)]
+    df = sample_docs(spark).filter("doc_id IS NOT NULL AND doc_id != 10004").unionByName(docs(spark, extra)).repartition(4)
+    got = line_dedup.repeated_runs(df, min_run=min_run).drop("row_id")
+    want = brute_runs(sorted((r.doc_id, r.text) for r in df.collect()), min_run)
+    assert collections.Counter(map(tuple, got.collect())) == want and sum(want.values()) > 25
+
+
+def test_query_tells_runs(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = brute_runs(sorted((r.doc_id, r.text) for r in rows), 30)
+    assert want and collections.Counter(map(tuple, QUERIES["op2_line_dedup"](spark, SF).collect())) == want
+
+
+def test_single_repeated_lines_are_reached(spark):
+    """Licence lines and the like are not runs; they are told by lines."""
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = brute(sorted((r.doc_id, r.text) for r in rows), min_words=1)
     assert sum(n for r, n in want.items() if r[4] < 8) > 0
-    assert collections.Counter(map(tuple, QUERIES["op2_line_dedup"](spark, SF).collect())) == want
+    got = line_dedup.repeated_units(spark.read.parquet(f"{SF}/documents.parquet")).drop("row_id")
+    assert collections.Counter(map(tuple, got.collect())) == want
+
+
+def test_removal_of_runs(spark):
+    same = "a passage of some words, that two texts hold: in full."
+    rows = [(1, f"First. {same} End."), (2, f"Second! {same.upper()} Other end, in full."), (3, None), (4, "")]
+    out = line_dedup.remove_units(docs(spark, rows), unit="clause", min_run=10)
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {
+        1: (rows[0][1], len(rows[0][1])), 2: ("Second! Other end, in full.", 27), 3: (None, None), 4: ("", 0)}
+
+
+def test_long_text_is_one_row(spark):
+    text = "word " * 30 + "\n" + "one, " * 200_000
+    got = line_dedup.repeated_runs(docs(spark, [(1, text), (2, "one," * 40)])).collect()
+    assert [(r.doc_id, r.n_units, r.n_words) for r in sorted(got)] == [(1, 199_999, 199_999), (2, 40, 40)]
 
 
 def test_short_units(spark):
