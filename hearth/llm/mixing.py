@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.common import SPACE, ascii_lower, stored
+from hearth.llm.common import SPACE, Masked, ascii_lower, stored
 
 MAX_LABELLED = 20_000
 #: Words of the model's vocabulary, and texts that each must be in.
@@ -177,6 +177,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep: s
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each row as often as its copies say (0: not at all)."""
+    own = Masked(docs)
     few = stored(mixed.groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).agg(F.first("copies").alias("_copies")).filter("_copies > 0"), "mixing-copies")
-    out = docs.join(few, docs[key].eqNullSafe(F.col("_k")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_h")))
-    return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    out = own.df.join(few, F.col(own.name[key]).eqNullSafe(F.col("_k")) & F.xxhash64(own.name[text]).eqNullSafe(F.col("_h")))
+    return own.back(out.select(*own.name.values(), F.explode(F.sequence(F.lit(1), "_copies"))))

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.common import LOWER, SPACE, UPPER, WORD
+from hearth.llm.common import LOWER, SPACE, UPPER, WORD, Masked
 
 #: The symbol characters that the contract counts.
 SYMBOLS = "#*$%&|<>"
@@ -99,8 +99,14 @@ def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_r
     column are replaced."""
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines",
            "n_removed_lines", "lost_words", "kept", "clean_text"]
+    own = Masked(docs.drop(*[c for c in new if c != text]))
+    df = _judged(own.df, own.name[text], min_words, max_repeat, max_lost)
+    return own.back(df, {n: F.col(n) for n in new})
+
+
+def _judged(df: DataFrame, text: str, min_words: int, max_repeat: int, max_lost: int) -> DataFrame:
+    columns = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.drop(*[c for c in new if c != text])
     # Each step is read at least twice by the next, so Catalyst keeps the arrays as columns.
     df = df.withColumns({"_rules_w": _words(t), "_rules_l": F.filter(F.split(t, "\n", -1), has_word)})
 
@@ -138,7 +144,7 @@ def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_r
         "lost_words": F.size(_words(F.array_join("_rules_bad", "\n"))),
     }
     df = df.withColumns({n: c.cast("bigint") for n, c in counts.items()}).select(
-        *(c for c in docs.columns if c not in new or c == text), *counts)
+        *columns, *counts)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     clean = F.when(F.col("n_removed_lines") == 0, F.col(text)).otherwise(
         F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~(has_word(x) & line_fails(x))), "\n"))
@@ -150,8 +156,9 @@ def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_r
 def apply_rules(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents that are kept, with their cleaned texts and ``docs``' columns only (n_chars, where
     there is one, is counted anew)."""
-    out = judge(docs, text, **limits).filter("kept")
-    cols = [F.col("clean_text").alias(text) if c == text
-            else F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-            for c in docs.columns]
-    return out.select(*cols)
+    own = Masked(docs)
+    out = judge(own.df, own.name[text], **limits).filter("kept")
+    new = {text: F.col("clean_text")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return own.back(out, new)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.common import LOWER, UPPER, stored
+from hearth.llm.common import LOWER, UPPER, Masked, stored
 from hearth.llm.components import components
 
 SHINGLE = 3
@@ -202,15 +202,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest key stays (null
     keys last, then the smallest text hash; of wholly equal rows one)."""
+    own = Masked(docs)
+    docs, key, text = own.df, own.name[key], own.name[text]
     found = near_duplicates(docs, key, text, **options)
     first = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("text_hash").alias("h"))).alias("s"))
     rows = found.groupBy(F.col(key).alias("k"), F.col("text_hash").alias("h")).agg(F.count("*").alias("rows"))
     first = stored(first.select("s.k", "s.h"), "simhash-first")
     stay = stored(first.join(rows, first.k.eqNullSafe(rows.k) & (first.h == rows.h)).select(first.k, first.h, "rows"), "simhash-stay")
     on = docs[key].eqNullSafe(F.col("k")) & (F.xxhash64(docs[text]) == F.col("h"))
-    out = docs.join(stay, on, "left_semi")
     if stay.filter("rows > 1").isEmpty():
-        return out
+        return own.back(docs.join(stay, on, "left_semi"))
     # Some survivors are repeated rows: of those only, one each is taken.
     twice = docs.join(stay.filter("rows > 1"), on, "left_semi").dropDuplicates([key, text])
-    return docs.join(stay.filter("rows = 1"), on, "left_semi").unionByName(twice)
+    return own.back(docs.join(stay.filter("rows = 1"), on, "left_semi").unionByName(twice))

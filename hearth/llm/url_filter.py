@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm.common import ascii_lower, literal_array, literal_table, stored
+from hearth.llm.common import Masked, ascii_lower, literal_array, literal_table, stored
 
 ALLOW, BLOCK = "allow", "block"
 #: Upper bound of all levels of one list, in bits (16 MB).
@@ -147,8 +147,8 @@ def filter_urls(pages: DataFrame, allow: list[tuple[str, str]], block: list[tupl
     an empty table. Columns of ``pages`` called like an output column are replaced."""
     spark, shapes = pages.sparkSession, shapes_of(allow + block)
     out = ["host", "path", "rule", "verdict"]
-    parts = pages.select(*[c for c in pages.columns if c not in out or c == url],
-                         *(c.alias(n) for c, n in zip(split_url(pages[url]), out) if n != url))
+    own = Masked(pages.drop(*[c for c in out if c != url]))
+    parts = own.df.select("*", *(c.alias(n) for c, n in zip(split_url(F.col(own.name[url])), out)))
     keys = candidate_keys(F.col("host"), F.col("path"), shapes)
     universe = stored(parts.select(F.explode(keys).alias("key")).distinct(), "url-keys")
     n = universe.count()
@@ -161,6 +161,6 @@ def filter_urls(pages: DataFrame, allow: list[tuple[str, str]], block: list[tupl
                                               F.lit(verdict).alias("verdict"), k.alias("rule")))
 
     best = F.array_max(F.concat(*(fits(v) for v in lists)))
-    return (parts.withColumn("_best", best)
-            .withColumn("rule", F.col("_best.rule"))
-            .withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default))).drop("_best"))
+    return own.back(parts.withColumn("_best", best), {
+        "host": F.col("host"), "path": F.col("path"), "rule": F.col("_best.rule"),
+        "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))})
