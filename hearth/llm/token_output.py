@@ -87,7 +87,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.names = [np.zeros(0, np.uint64) for _ in range(WORDS + 1)]
+        self.names = [np.zeros(0, np.uint64) for _ in range(WORDS)] + [np.zeros(0, np.uint16)]
         self.long: dict[bytes, int] = {}
         self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -138,24 +138,23 @@ class Encoder:
         held = np.frombuffer(raw + bytes(8), np.uint8)
         every = np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
         short = size <= 8 * WORDS
-        for i, name in enumerate(names):
+        names[0] = every[start] & _FIRST[np.minimum(size, 8)] * short
+        for i in range(1, WORDS):
             at = np.flatnonzero(short & (size > 8 * i))
-            if not len(at):
-                break
-            name[at] = every[start[at] + 8 * i] & _FIRST[np.minimum(size[at] - 8 * i, 8)]
+            names[i][at] = every[start[at] + 8 * i] & _FIRST[np.minimum(size[at] - 8 * i, 8)]
         kind = np.where(short, size, _LONG)
         for i in np.flatnonzero(~short).tolist():
             if size[i] > LONG_BYTES:
                 kind[i] = _HUGE
             else:
                 names[0][i] = self.long.setdefault(raw[start[i]:stop[i]], len(self.long))
-        return [*names, (2 * kind + spaced).astype(np.uint64)]
+        return [*names, (2 * kind + spaced).astype(np.uint16)]
 
     @staticmethod
     def _mix(names: list[np.ndarray]) -> np.ndarray:
         key = (names[0] ^ names[0] >> np.uint64(29)) * _MIX[0]
         for name, by in zip(names[1:], _MIX[1:]):
-            key += name * by
+            key += name.astype(np.uint64, copy=False) * by
         return key ^ key >> np.uint64(32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -198,7 +197,7 @@ class Encoder:
         if not found.all():
             # Parts of texts that are encoded whole are learnt too; they do no harm.
             new, at = index[~found], place[~found]
-            known = names[-1][new] >> np.uint64(1) != _HUGE
+            known = names[-1][new] >> 1 != _HUGE
             ids, size = self._encode_parts([(" " if s else "") + raw[a:b].decode() if k else "" for a, b, s, k in zip(
                 start[new].tolist(), stop[new].tolist(), spaced[new].tolist(), known.tolist())])
             self.keys = np.insert(self.keys, at, unique[~found])
@@ -209,9 +208,11 @@ class Encoder:
             place = np.searchsorted(self.keys, unique)
         first = np.searchsorted(start, begin)
         code = self.code[place][back]
-        other = names[-1] >> np.uint64(1) == _HUGE
-        for known, name in zip(self.names, names):
-            other |= known[code] != name
+        other = (names[-1] >> 1 == _HUGE) | (self.names[-1][code] != names[-1]) | (self.names[0][code] != names[0])
+        # Equal lengths from here on: further words matter where there are any.
+        for i in range(1, WORDS):
+            at = np.flatnonzero((names[-1] >> 1 > 8 * i) & (names[-1] >> 1 < _LONG))
+            other[at] |= self.names[i][code[at]] != names[i][at]
         whole |= set((np.searchsorted(first, np.flatnonzero(other), side="right") - 1).tolist())
         size = self.size[code]
         ends = np.cumsum(size)
