@@ -1,38 +1,38 @@
-"""Price models on Spark ML: split, features, fit, evaluate, explain.
+"""Price models: split, features, fit, evaluate, explain.
 
-Fitting is distributed (Spark ML aggregates statistics or histograms over
-partitions); the driver holds only fitted parameters. Splits and folds are a
+Linear models are Spark ML's; forests and boosted trees are grown by
+``trees``. The driver holds only fitted parameters. Splits and folds are a
 hash of the key, so they do not depend on partitioning and read the same in
-SQL. Iterative learners checkpoint into the shared checkpoint folder so a
-lost executor costs a few iterations, not the lineage.
+SQL. Steps of a tree's growth are written to the shared checkpoint folder, so a
+lost executor costs a step, not the lineage.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import reduce
 
-import pandas as pd
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearth.operators.clean import impute_median
 from hearth.operators.topn import sample_n
+from hearth.operators.trees import TreeModel, TreeSettings, attributions, fit_trees, out_of_fold, training_rows
 from hearth.operators.util import attach
 from hearth.schema import MODEL_FEATURES, TARGET
-from hearth.session import ensure_checkpoint_dir, materialize, scratch_path
+from hearth.session import ensure_checkpoint_dir
 
 # The reference's model settings.
 RANDOM_STATE = 42
 TEST_SIZE = 0.2
 FOREST = "Random Forest"
 FOREST_TREES, FOREST_DEPTH = 200, 20
-BOOSTED_A = dict(maxIter=150, maxDepth=8, stepSize=0.3)
+BOOSTED_A = dict(maxIter=150, maxDepth=8, stepSize=0.3, l2=1.0)
 BOOSTED_B = dict(maxIter=150, maxDepth=6, stepSize=0.1)
 
 
@@ -121,34 +121,23 @@ def standardize(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[Dat
     return apply(train), apply(test)
 
 
-def _with_checkpointing(est, interval: int = 10):
-    if hasattr(est, "setCheckpointInterval"):
-        est.setCheckpointInterval(interval)
-    return est
-
-
 def linear_estimator():
     return LinearRegression(featuresCol="features", labelCol="label", regParam=0.0,
                             elasticNetParam=0.0, standardization=False, solver="normal")
 
 
-def forest_estimator(num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPTH,
-                     seed: int = RANDOM_STATE, max_bins: int = MAX_BINS):
+def forest_estimator(num_trees: int = FOREST_TREES, max_depth: int | None = FOREST_DEPTH,
+                     seed: int = RANDOM_STATE, max_bins: int = MAX_BINS, **options) -> TreeSettings:
     """Bagged trees; every split looks at all features, as the reference's
-    regression forest does."""
-    return _with_checkpointing(RandomForestRegressor(
-        featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
-        featureSubsetStrategy="all", seed=seed, cacheNodeIds=True, maxMemoryInMB=128))
+    regression forest does. ``max_depth`` None grows until leaves are pure."""
+    return TreeSettings(bagged=True, trees=num_trees, depth=max_depth, seed=seed, max_bins=max_bins, **options)
 
 
-def boosted_estimator(maxIter: int, maxDepth: int, stepSize: float, seed: int = RANDOM_STATE,
-                      max_bins: int = MAX_BINS):
-    """Gradient-boosted trees (squared loss). The reference's XGBoost uses
-    second-order steps and L2 leaf weights; this is first-order boosting
-    with the same rounds, depth and learning rate."""
-    return _with_checkpointing(GBTRegressor(
-        featuresCol="features", labelCol="label", maxIter=maxIter, maxDepth=maxDepth, maxBins=max_bins,
-        featureSubsetStrategy="all", stepSize=stepSize, seed=seed, cacheNodeIds=True, maxMemoryInMB=128))
+def boosted_estimator(maxIter: int, maxDepth: int, stepSize: float, l2: float = 0.0, seed: int = RANDOM_STATE,
+                      max_bins: int = MAX_BINS, **options) -> TreeSettings:
+    """Gradient-boosted trees of the squared loss, from the mean label on; ``l2`` weighs on the leaf
+    values and in the gain (second-order boosting with regularised leaves), 0 is plain gradient boosting."""
+    return TreeSettings(bagged=False, trees=maxIter, depth=maxDepth, rate=stepSize, l2=l2, seed=seed, max_bins=max_bins, **options)
 
 
 def estimators(fast: bool = False) -> dict:
@@ -157,7 +146,7 @@ def estimators(fast: bool = False) -> dict:
     if fast:
         return {"Linear Regression": linear_estimator(),
                 "Random Forest": forest_estimator(10, 5),
-                "XGBoost": boosted_estimator(5, 3, 0.3),
+                "XGBoost": boosted_estimator(5, 3, 0.3, 1.0),
                 "Gradient Boosting": boosted_estimator(5, 3, 0.1)}
     return {"Linear Regression": linear_estimator(),
             "Random Forest": forest_estimator(),
@@ -165,13 +154,18 @@ def estimators(fast: bool = False) -> dict:
             "Gradient Boosting": boosted_estimator(**BOOSTED_B)}
 
 
+Model = PipelineModel | TreeModel
+
+
 def fit(df: DataFrame, estimator, features: list[str] | None = None,
-        min_features: int = 2) -> PipelineModel:
-    """Impute + assemble + estimator as one PipelineModel (medians are
-    fitted on ``df``, i.e. on the training part)."""
+        min_features: int = 2) -> Model:
+    """Impute + assemble + estimator as one PipelineModel, or a TreeModel for
+    tree settings (medians are fitted on ``df``, i.e. on the training part)."""
     ensure_checkpoint_dir(df.sparkSession)
     feats = available_features(df, features, min_features)
     meds = _median_imputer(df, feats)
+    if isinstance(estimator, TreeSettings):
+        return fit_trees(df, feats, TARGET, estimator, meds)
     va = VectorAssembler(inputCols=[f"__imp_{c}" for c in feats], outputCol="features",
                          handleInvalid="keep")
     train = va.transform(meds.transform(df)).select("features", F.col(TARGET).cast("double").alias("label")).persist()
@@ -183,7 +177,7 @@ def fit(df: DataFrame, estimator, features: list[str] | None = None,
 
 
 def fit_stored(df: DataFrame, estimator, features: list[str] | None = None,
-               min_features: int = 2) -> PipelineModel:
+               min_features: int = 2) -> Model:
     """``fit`` through a store of models below the run's scratch folder. A model
     is found by what it was fitted on and how: the estimator's class and all
     its parameters, the features, and the count and hash sum of the training
@@ -191,11 +185,12 @@ def fit_stored(df: DataFrame, estimator, features: list[str] | None = None,
     before; equal fits of one run are done once."""
     feats = available_features(df, features, min_features)
     rows = df.select(F.xxhash64(*feats, TARGET).cast("decimal(20,0)").alias("h")).agg(F.count("*"), F.sum("h")).first()
-    params = sorted((p.name, str(v)) for p, v in estimator.extractParamMap().items())
+    is_tree = isinstance(estimator, TreeSettings)
+    params = sorted(asdict(estimator).items()) if is_tree else sorted((p.name, str(v)) for p, v in estimator.extractParamMap().items())
     name = hashlib.md5(repr((type(estimator).__name__, params, feats, tuple(rows))).encode()).hexdigest()
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hearth/{spark.sparkContext.applicationId}/models/{name}"
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{'about' if is_tree else 'metadata'}/_SUCCESS")
     if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
         save_model(fit(df, estimator, feats, min_features), path)
     return load_model(path)
@@ -217,7 +212,7 @@ def _median_imputer(df: DataFrame, feats: list[str]):
     return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
 
 
-def predict(models: PipelineModel | dict[str, PipelineModel], df: DataFrame, name: str = FOREST) -> DataFrame:
+def predict(models: Model | dict[str, Model], df: DataFrame, name: str = FOREST) -> DataFrame:
     """Score ``df`` by one model, or by the named one of several; a name that
     is not there falls back to the forest."""
     if isinstance(models, dict):
@@ -270,124 +265,95 @@ def compare_models(trained: Trained) -> DataFrame:
                           .withColumn("best", F.col("rank") == 1)
 
 
-def feature_importance(model: PipelineModel, features: list[str], n: int | None = None) -> DataFrame:
-    """Forest importances (non-negative, sum 1), highest first."""
-    imp = model.stages[-1].featureImportances.toArray()
-    spark = SparkSession.getActiveSession()
-    rows = sorted(zip(features, [float(v) for v in imp]), key=lambda t: (-t[1], t[0]))
-    df = spark.createDataFrame(rows[:n] if n else rows, "feature string, importance double")
-    return df
+def feature_importance(model: TreeModel, features: list[str], n: int | None = None) -> DataFrame:
+    """Forest importances (non-negative, sum 1), highest first; a feature that no tree splits on has 0."""
+    names = model.importances().sparkSession.createDataFrame(list(enumerate(features)), "feature_no int, feature string")
+    imp = model.importances().withColumnRenamed("feature", "feature_no")
+    out = names.join(imp, "feature_no", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    out = out.orderBy(F.desc("importance"), "feature")
+    return out.limit(n) if n else out
 
 
 def cross_validate(df: DataFrame, estimator=None, k: int = 5, features: list[str] | None = None,
                    seed: int = RANDOM_STATE, min_features: int = 2) -> DataFrame:
     """k-fold R^2 (folds from the key hash), the forest by default: one row
-    per fold, with mean and population std of the scores on every row. Each
-    fold is scored once; the predictions are grouped by fold in one pass."""
+    per fold, with mean and population std of the scores on every row.
+
+    Missing features are filled with the whole table's medians, as the reference does, so folds, features and
+    labels are written once. A forest's folds are grown together (``trees.out_of_fold``); a linear model's come from one pass of
+    grouped sums (``_linear_out_of_fold``); other learners are fitted fold by fold on that table."""
     feats = available_features(df, features, min_features)
     estimator = estimator or forest_estimator()
-    f = df.withColumn("__fold", fold_of(k, seed))
-    scored = None
-    for i in range(k):
-        m = fit(f.filter(F.col("__fold") != i), estimator, feats, min_features)
-        part = m.transform(f.filter(F.col("__fold") == i)).select(
-            F.col("__fold").alias("fold"), F.col(TARGET).cast("double").alias("label"), "prediction")
-        scored = part if scored is None else scored.unionByName(part)
+    fold, meds = fold_of(k, seed), _median_imputer(df, feats)
+    if isinstance(estimator, TreeSettings) and estimator.bagged:
+        scored = out_of_fold(df, feats, TARGET, estimator, meds, fold, k)
+    else:
+        rows = training_rows(df, feats, TARGET, meds, fold)
+        if isinstance(estimator, LinearRegression):
+            scored = _linear_out_of_fold(rows, feats, k)
+        else:
+            named = rows.withColumnRenamed("label", TARGET)
+            parts = [fit(named.filter(F.col("fold") != i), estimator, feats, min_features).transform(named.filter(F.col("fold") == i)) for i in range(k)]
+            scored = reduce(DataFrame.unionByName, [p.select("fold", F.col(TARGET).alias("label"), "prediction") for p in parts])
     scores = regression_metrics(scored, by=["fold"])
     every = Window.partitionBy()  # k rows
     return scores.select("fold", "n", "r2", F.avg("r2").over(every).alias("mean_r2"),
                          F.stddev_pop("r2").over(every).alias("std_r2"))
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def _linear_out_of_fold(rows: DataFrame, feats: list[str], k: int) -> DataFrame:
+    """(fold, label, prediction): least squares of the other folds for each row. Sums of products per fold, about the whole table's
+    means, are one grouped aggregate; a fold's model solves the normal equations of all sums less its own."""
+    means = rows.agg(*[F.avg(c) for c in [*feats, "label"]]).first()
+    if means[0] is None:
+        return rows.select("fold", "label", F.lit(None).cast("double").alias("prediction"))
+    z = [F.lit(1.0), *[F.col(c) - F.lit(m) for c, m in zip([*feats, "label"], means)]]
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    sums = {r["fold"]: r for r in rows.groupBy("fold").agg(*[F.sum(z[i] * z[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()}  # k rows
+    gram = {f: np.zeros((len(z), len(z))) for f in sums}
+    for f, r in sums.items():
+        for i, j in pairs:
+            gram[f][i, j] = gram[f][j, i] = r[f"s{i}_{j}"]
+    prediction = F.lit(None).cast("double")
+    for f in gram:
+        g = sum((gram[o] for o in gram if o != f), np.zeros((len(z), len(z))))
+        beta = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0]
+        value = F.lit(float(beta[0] + means[-1]))
+        for b, c in zip(beta[1:], z[1:-1]):
+            value = value + F.lit(float(b)) * c
+        prediction = F.when(F.col("fold") == f, value).otherwise(prediction)
+    return rows.select("fold", "label", prediction.alias("prediction"))
+
+
+def save_model(model: Model, path: str) -> str:
+    if isinstance(model, TreeModel):
+        return model.save(path)
     model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> Model:
+    """A model by what its folder holds."""
+    spark = SparkSession.getActiveSession()
+    about = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/about")
+    if about.getFileSystem(spark._jsc.hadoopConfiguration()).exists(about):
+        return TreeModel.load(path)
     return PipelineModel.load(path)
 
 
-def tree_leaves(model: PipelineModel, spark: SparkSession, n_features: int) -> DataFrame:
-    """One row per leaf of a fitted forest: tree, value, and per feature the
-    interval (lo, hi] that leads to the leaf and the product of cover shares
-    along the splits on that feature (``rho``).
-
-    The nodes come from the saved model's table; a tree's nodes are walked in
-    one task, so the size depends on the model."""
-    path = scratch_path(spark, "forest")
-    model.stages[-1].write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
-        F.col("treeID").alias("tree"), "id", "prediction", F.col("impurityStats")[0].alias("cover"),
-        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
-        F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", 0).alias("threshold"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = {r.id: r for r in pdf.itertuples()}
-        start = ([-math.inf] * n_features, [math.inf] * n_features, [1.0] * n_features)
-        todo, out = [(0, start)], []
-        while todo:
-            i, (lo, hi, rho) = todo.pop()
-            r = node[i]
-            if r.left < 0:
-                out.append((int(r.tree), float(r.prediction), lo, hi, rho))
-                continue
-            for child, low_side in ((r.left, True), (r.right, False)):
-                box = [list(lo), list(hi), list(rho)]
-                if low_side:
-                    box[1][r.feature] = min(hi[r.feature], r.threshold)
-                else:
-                    box[0][r.feature] = max(lo[r.feature], r.threshold)
-                box[2][r.feature] *= node[child].cover / r.cover
-                todo.append((child, tuple(box)))
-        return pd.DataFrame(out, columns=["tree", "value", "lo", "hi", "rho"])
-
-    return materialize(nodes.groupBy("tree").applyInPandas(
-        walk, "tree int, value double, lo array<double>, hi array<double>, rho array<double>"), "leaves")
-
-
-def shapley_values(model: PipelineModel, explain: DataFrame, features: list[str],
+def shapley_values(model: TreeModel, explain: DataFrame, features: list[str],
                    n_explain: int | None = 100, seed: int = RANDOM_STATE) -> DataFrame:
-    """Shapley attributions of a forest by its tree paths.
-
-    v(S) for a row x is the forest's mean over the features outside S, taken
-    by node covers: a sum over leaves of value * prod_{f in S} [x_f in the leaf's interval] *
-    prod_{f not in S} rho_f, divided by the number of trees. All 2^p coalitions of a
-    (row, leaf) pair are summed in one aggregate; then
-
-        phi_i = sum_T c_i(T) v(T),  c_i(T) = w(|T|-1) if i in T else -w(|T|),
-        w(s) = s! (p-s-1)! / p!
-
-    ``n_explain`` rows are explained (None: all); no background sample is needed. The explained rows are
-    the broadcast side of the pairing with the leaves (their number is the parameter; without it no
-    hint is given). Output: (row_id, base_value, prediction, feature, contribution), where
-    base_value + the contributions = prediction."""
-    p, spark = len(features), explain.sparkSession
-    leaves = tree_leaves(model, spark, p)
-    n_trees = model.stages[-1].getNumTrees
-    sample = sample_n(explain, n_explain, seed) if n_explain else explain
-    rows = model.stages[0].transform(sample).select(
-        F.col("id").alias("row_id"), F.array(*[F.col(f"__imp_{c}").cast("double") for c in features]).alias("x"))
-    pairs = leaves.join(F.broadcast(rows) if n_explain else rows, F.lit(True))
-    pairs = pairs.select("row_id", "value", *[
-        F.expr(f"CASE WHEN x[{i}] > lo[{i}] AND x[{i}] <= hi[{i}] THEN 1.0D ELSE 0.0D END").alias(f"in{i}") for i in range(p)],
-        *[F.expr(f"rho[{i}]").alias(f"out{i}") for i in range(p)])
-    sums = []
-    for mask in range(2 ** p):
-        term = " * ".join(f"{'in' if mask >> i & 1 else 'out'}{i}" for i in range(p))
-        sums.append(F.expr(f"sum(value * {term}) / {n_trees}").alias(f"v{mask}"))
-    v = pairs.groupBy("row_id").agg(*sums)
-    fact = [math.factorial(i) for i in range(p + 1)]
-    weight = [fact[i] * fact[p - i - 1] / fact[p] for i in range(p)]
-    phi = []
-    for i, c in enumerate(features):
-        terms = []
-        for mask in range(2 ** p):
-            size = mask.bit_count()
-            coefficient = weight[size - 1] if mask >> i & 1 else -weight[size]
-            terms.append(f"{coefficient!r}D * v{mask}")
-        phi.append(f"struct('{c}' AS feature, {' + '.join(terms)} AS contribution)")
-    return v.selectExpr("row_id", "v0 AS base_value", f"v{2 ** p - 1} AS prediction", f"inline(array({', '.join(phi)}))")
+    """Shapley attributions of a tree model by its paths, with node covers in place of a background sample
+    (``trees.path_attribution``; no sum over subsets of features).
+
+    ``n_explain`` rows are explained (None: all). Rows stream past the leaves: no join. Output: (row_id,
+    base_value, prediction, feature, contribution), where base_value + the contributions = prediction."""
+    spark = explain.sparkSession
+    sample = sample_n(explain, n_explain, seed).repartition(2 * spark.sparkContext.defaultParallelism) if n_explain else explain
+    rows = attributions(model, model.impute(sample).select(F.col("id").alias("row_id"), *[f"__imp_{f}" for f in model.features]))
+    phi = F.col("__phi")
+    return rows.select("row_id", phi[0].alias("base_value"), phi[1].alias("prediction"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), phi[i + 2].alias("contribution")) for i, c in enumerate(features)])))
 
 
 def linear_shapley(model: PipelineModel, explain: DataFrame, train: DataFrame, features: list[str],

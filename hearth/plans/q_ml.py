@@ -1,6 +1,7 @@
 """Registered queries: models. Split, encodings, scaling, the one-feature
-least-squares fits (also predicted, validated, saved, explained) and the
-metrics are checked against SQL values; queries on tree models return what
+least-squares fits (also predicted, validated, saved, explained), the
+metrics and small trees (the best cut over all cuts, second-order leaf values, a tree's importances, its
+predictions) are checked against SQL values; queries on tree models at full settings also return what
 must hold of their whole result, and the SQL says that it does. Equal fits of
 one run are shared through ``ml.fit_stored``, which reads the training rows to
 know that they are equal."""
@@ -90,17 +91,66 @@ def _scored(model, test):
     return model.transform(test).withColumn("label", F.col("price").cast("double"))
 
 
-def _fit_check(spark, d, name: str, floor: float):
-    """Fit a model at full settings, score the hold-out part, and say what must hold of its metrics."""
+# Cuts between all distinct values, whatever their number here; deeper fits use ml.MAX_BINS.
+ALL_CUTS = 65_000
+
+
+def _small_tree(train, depth: int = 1, **options):
+    """One tree over all training rows and all cuts."""
+    return ml.fit_stored(train, ml.forest_estimator(1, depth, max_bins=ALL_CUTS, bootstrap=False, **options))
+
+
+def _first_cut(model) -> tuple:
+    """(feature, cut, values left and right, gain) of the first tree's root."""
+    nodes = {r.id: r for r in model.nodes.filter("tree = 0").collect()}  # three rows
+    root = nodes[min(nodes)]
+    return (model.features[root.feature], model.edges[root.feature][root.bin], nodes[root.left].value, nodes[root.right].value, root.gain)
+
+
+def _fit_check(spark, d, name: str, floor: float, stump):
+    """Fit a model at full settings, score the hold-out part, and say what must hold of its metrics; beside it the first cut of a model of depth 1, by value."""
     train, test = ml.split(_s(spark, d))
     met = ml.regression_metrics(_scored(ml.fit_stored(train, ml.estimators()[name]), test))
-    return met.select("n", (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"),
-                      (F.col("r2") >= floor).alias("r2_reaches_floor"))
+    feature, cut, left, right, gain = _first_cut(ml.fit_stored(train, stump))
+    return round_doubles(met.select(
+        "n", (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"), (F.col("r2") >= floor).alias("r2_reaches_floor"),
+        F.lit(feature).alias("cut_feature"), F.lit(cut).alias("cut_at"), F.lit(left).alias("left_value"), F.lit(right).alias("right_value"),
+        F.lit(gain / 1e15).alias("gain")), 5, {"gain": 8})
+
+
+_LONG = " UNION ALL ".join(f"SELECT rid, {j} AS j, '{c}' AS f, CAST({c} AS DOUBLE) AS x, y FROM tr" for j, c in enumerate(MODEL_FEATURES))
+
+
+def _cuts(rows: str, l2: float, by: str = "") -> str:
+    """Every cut of ``rows`` (j, f, x, y and the columns ``by``) with its sums and its gain."""
+    own = f"{by}, " if by else ""
+    return f"""
+  SELECT {own}j, f, (x + nx) / 2 AS cut, sl / (hl + {l2}) AS left_value, (s - sl) / (h - hl + {l2}) AS right_value,
+         sl * sl / (hl + {l2}) + (s - sl) * (s - sl) / (h - hl + {l2}) - s * s / (h + {l2}) AS gain
+  FROM (SELECT *, sum(n) OVER w AS hl, sum(sx) OVER w AS sl, lead(x) OVER w AS nx,
+               sum(n) OVER (PARTITION BY {own}j) AS h, sum(sx) OVER (PARTITION BY {own}j) AS s
+        FROM (SELECT {own}j, f, x, count(*) AS n, sum(y) AS sx FROM {rows} GROUP BY {own}j, f, x)
+        WINDOW w AS (PARTITION BY {own}j ORDER BY x))
+  WHERE nx IS NOT NULL"""
+
+
+def _first_cut_sql(label: str, l2: float) -> str:
+    return f"""
+WITH s AS (SELECT *, avg(price) OVER () AS mean FROM sales WHERE NOT ({TEST})),
+tr AS (SELECT id AS rid, {label} AS y, {', '.join(MODEL_FEATURES)} FROM s),
+long AS ({_LONG}),
+best AS (SELECT * FROM ({_cuts("long", l2)}) ORDER BY gain DESC, j, cut LIMIT 1)"""
+
+
+def _fit_sql(label: str, l2: float) -> str:
+    return f"""{_first_cut_sql(label, l2)}
+SELECT (SELECT count(*) FROM sales WHERE {TEST}) AS n, true AS mae_within_rmse, true AS r2_reaches_floor, f AS cut_feature, round(cut, 5) AS cut_at,
+       round(left_value, 5) AS left_value, round(right_value, 5) AS right_value, round(gain / 1e15, 8) AS gain
+FROM best"""
 
 
-FIT_SQL = f"SELECT count(*) AS n, true AS mae_within_rmse, true AS r2_reaches_floor FROM sales WHERE {TEST}"
 # What the models reach on this fixture at full settings, rounded down.
-R2_FLOOR = 0.5
+R2_FLOOR = 0.9
 
 
 @register("prepare_features", """
@@ -140,19 +190,19 @@ def q_prepare_missing(spark, d):
         "sqft_living": F.when(i % 13 != 3, F.col("sqft_living"))}))
 
 
-@register("fit_forest", FIT_SQL)
+@register("fit_forest", _fit_sql("price", 0.0))
 def q_fit_forest(spark, d):
-    return _fit_check(spark, d, "Random Forest", R2_FLOOR)
+    return _fit_check(spark, d, "Random Forest", R2_FLOOR, ml.forest_estimator(1, 1, max_bins=ALL_CUTS, bootstrap=False))
 
 
-@register("fit_boosted_a", FIT_SQL)
+@register("fit_boosted_a", _fit_sql("price - mean", 1.0))
 def q_fit_boosted_a(spark, d):
-    return _fit_check(spark, d, "XGBoost", R2_FLOOR)
+    return _fit_check(spark, d, "XGBoost", R2_FLOOR, ml.boosted_estimator(1, 1, 0.3, 1.0, max_bins=ALL_CUTS))
 
 
-@register("fit_boosted_b", FIT_SQL)
+@register("fit_boosted_b", _fit_sql("price - mean", 0.0))
 def q_fit_boosted_b(spark, d):
-    return _fit_check(spark, d, "Gradient Boosting", R2_FLOOR)
+    return _fit_check(spark, d, "Gradient Boosting", R2_FLOOR, ml.boosted_estimator(1, 1, 0.1, max_bins=ALL_CUTS))
 
 
 @register("compare_models", f"""
@@ -167,18 +217,22 @@ def q_compare_models(spark, d):
                     F.array_join(F.array_sort(F.collect_set("model").over(Window.partitionBy())), ", ").alias("models"))
 
 
-@register("predict", f"SELECT id, price, true AS in_range, true AS falls_back FROM sales WHERE {TEST}")
+@register("predict", f"""{_first_cut_sql("price", 0.0)}
+SELECT id, price, true AS in_range, true AS falls_back,
+       round(CASE WHEN CASE j {' '.join(f"WHEN {j} THEN CAST({c} AS DOUBLE)" for j, c in enumerate(MODEL_FEATURES))} END <= cut THEN left_value ELSE right_value END, 2) AS by_one_cut
+FROM sales CROSS JOIN best WHERE {TEST}""")
 def q_predict(spark, d):
     """Every hold-out row by the forest, by name and by a name that is not there: a forest's
-    prediction is a mean of training prices, so it lies in their range."""
+    prediction is a mean of training prices, so it lies in their range; and by a tree of one cut."""
     train, test = ml.split(_s(spark, d))
     models = {ml.FOREST: ml.fit_stored(train, ml.forest_estimator()), "Linear Regression": ml.fit(train, ml.linear_estimator())}
     a = ml.predict(models, test, ml.FOREST).select("id", "price", "prediction")
     b = ml.predict(models, test, "no such model").select("id", F.col("prediction").alias("other"))
+    c = _small_tree(train).transform(test).select("id", F.round("prediction", 2).alias("by_one_cut"))
     bounds = train.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
-    return attach(a.join(b, "id"), bounds).select(
+    return attach(a.join(b, "id").join(c, "id"), bounds).select(
         "id", "price", ((F.col("prediction") >= F.col("lo")) & (F.col("prediction") <= F.col("hi"))).alias("in_range"),
-        (F.col("prediction") == F.col("other")).alias("falls_back"))
+        (F.col("prediction") == F.col("other")).alias("falls_back"), "by_one_cut")
 
 
 LINE = f"SELECT regr_slope(price, sqft_living) AS b, regr_intercept(price, sqft_living) AS a FROM sales WHERE NOT ({TEST})"
@@ -192,18 +246,23 @@ def q_predict_linear(spark, d):
     return round_doubles(ml.predict(models, test, "Linear Regression").select("id", "price", "prediction"), 2)
 
 
-@register("feature_importance", """
-SELECT CAST(5 AS BIGINT) AS n_features, true AS sums_to_one, true AS non_negative, true AS descending,
-       'bathrooms bedrooms floors grade sqft_living' AS features
-WHERE (SELECT count(*) FROM sales) > 0""")
+@register("feature_importance", f"""{_first_cut_sql("price", 0.0)},
+halves AS (SELECT l.rid, l.x <= b.cut AS low FROM long l JOIN best b USING (j)),
+sides AS (SELECT low, j, f, x, y FROM long JOIN halves USING (rid)),
+next AS (SELECT * FROM ({_cuts("sides", 0.0, "low")}) QUALIFY row_number() OVER (PARTITION BY low ORDER BY gain DESC, j, cut) = 1),
+made AS (SELECT f, gain FROM best UNION ALL SELECT f, gain FROM next)
+SELECT feature, round(coalesce((SELECT sum(gain) FROM made WHERE f = feature), 0) / (SELECT sum(gain) FROM made), 8) AS tree_importance,
+       true AS forest_in_range, true AS forest_sums_to_one
+FROM (SELECT unnest({MODEL_FEATURES!r}) AS feature)""")
 def q_importance(spark, d):
+    """Shares of a tree of depth 2, by value; beside them what must hold of the forest's at full settings."""
     train, _ = ml.split(_s(spark, d))
-    imp = ml.feature_importance(ml.fit_stored(train, ml.forest_estimator()), MODEL_FEATURES)
-    rank = imp.withColumn("before", F.lag("importance").over(Window.orderBy(F.monotonically_increasing_id())))  # five rows
-    return rank.agg(F.count("*").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
-                    (F.min("importance") >= 0).alias("non_negative"),
-                    F.bool_and(F.coalesce(F.col("before") >= F.col("importance"), F.lit(True))).alias("descending"),
-                    F.array_join(F.array_sort(F.collect_list("feature")), " ").alias("features"))
+    forest = ml.feature_importance(ml.fit_stored(train, ml.forest_estimator()), MODEL_FEATURES)
+    small = ml.feature_importance(_small_tree(train, 2), MODEL_FEATURES)
+    total = F.sum(F.col("of_forest")).over(Window.partitionBy())  # five rows
+    return small.join(forest.withColumnRenamed("importance", "of_forest"), "feature").select(
+        "feature", F.round("importance", 8).alias("tree_importance"), F.col("of_forest").between(0, 1).alias("forest_in_range"),
+        (F.abs(total - 1) < 1e-9).alias("forest_sums_to_one"))
 
 
 FOLD = "CAST(floor(CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '-43'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0E0 * 5) AS INTEGER)"
@@ -257,10 +316,9 @@ SAMPLE = "ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id LIMIT"
 
 
 def _shap(spark, d, n_explain: int):
-    """The notebook explains a 100-tree forest on the five features with 100 sampled test rows;
-    Spark needs a depth limit (FOREST_DEPTH)."""
+    """The notebook explains a 100-tree forest without a depth limit on the five features with 100 sampled test rows."""
     train, test = ml.split(_s(spark, d))
-    m = ml.fit_stored(train, ml.forest_estimator(100))
+    m = ml.fit_stored(train, ml.forest_estimator(100, None))
     values = ml.shapley_values(m, test, MODEL_FEATURES, n_explain)
     scored = ml.predict(m, test).select(F.col("id").alias("row_id"), F.col("prediction").alias("scored"))
     return values, scored

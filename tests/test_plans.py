@@ -44,13 +44,14 @@ def test_sales_scan_prunes_columns(spark):
 
 
 # These fit tree models at full settings when built.
-SLOW = {"fit_forest", "fit_boosted_a", "fit_boosted_b", "compare_models", "predict", "feature_importance",
+# Built by fitting trees, whose models are scored in Arrow batches.
+TREES = {"fit_forest", "fit_boosted_a", "fit_boosted_b", "compare_models", "predict", "feature_importance",
         "cross_validate", "shapley_attribution", "shapley_row"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_no_python_in_plans(spark, name):
-    if name in SLOW or name in ("scan_csv", "land_upload", "export_csv", "snapshot_cache", "append_listing",
+    if name in TREES or name in ("scan_csv", "land_upload", "export_csv", "snapshot_cache", "append_listing",
                 "event_type_counts_stream"):
         pytest.skip("writes files or fits trees when built")
     p = plan_of(QUERIES[name](spark, SF_SMALL))
