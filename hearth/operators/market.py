@@ -9,7 +9,10 @@ step stay in the plan as broadcast one-row frames.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,52 +82,62 @@ def column_types(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair, long form (col_a, col_b, r).
 
-    Two passes: column means (one row, broadcast), then each row is fanned
-    out to one (pair, a, b) record per unordered pair and a single aggregate
-    grouped by pair sums the centred products over rows where both values
-    are present (R11). Partial aggregation leaves one record per pair per
-    partition to shuffle. The centred form avoids the cancellation of raw
+    Two passes: column means, then one record per pair and task. A task holds its rows as blocks of a matrix, a
+    mask of the present values beside it, and adds up their products (``_pair_sums``); Spark adds up the tasks'
+    records, p (p + 1) / 2 each, whatever the number of rows. Sums run over the rows where both
+    values are present (R11). The centred form avoids the cancellation of raw
     sums; zero variance gives NULL instead of an ANSI error (R10).
     """
     cols = cols or numeric_columns(df, exclude=("id",))
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    means = x.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-    xc = attach(x, means).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    pa = F.array(*[F.lit(cols.index(a) + 1) for a, _ in pairs])
-    pb = F.array(*[F.lit(cols.index(b) + 1) for _, b in pairs])
-    # Expression size stays O(columns): one value array per row, then the
-    # pair index picks both members.
-    vals = xc.select(F.array(*[F.col(c) for c in cols]).alias("v"))
-    fan = vals.select("v", F.explode(F.sequence(F.lit(1), F.lit(len(pairs)))).alias("pair"))
-    fan = fan.select("pair", F.element_at("v", F.element_at(pa, F.col("pair"))).alias("a"),
-                     F.element_at("v", F.element_at(pb, F.col("pair"))).alias("b"))
-    fan = fan.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    a, b = F.col("a"), F.col("b")
-    s = fan.groupBy("pair").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"),
-        F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"),
-        F.max(a).alias("amax"), F.min(a).alias("amin"), F.max(b).alias("bmax"), F.min(b).alias("bmin"))
+    spark = df.sparkSession
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    means = [m or 0.0 for m in x.agg(*[F.avg(c) for c in x.columns]).first()]
+    s = (x.mapInArrow(lambda batches: _pair_sums(batches, means), PAIR_SUMS)
+         .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")],
+                                *[f(c).alias(c) for c in ("amin", "amax", "bmin", "bmax") for f in [F.min if c.endswith("min") else F.max]]))
     n = F.col("n")
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
     va = F.col("saa") - F.col("sa") * F.col("sa") / n
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
-    constant = (F.col("amax") == F.col("amin")) | (F.col("bmax") == F.col("bmin")) | (n < 2)
-    r = F.when(constant, F.lit(None).cast("double")).otherwise(
+    constant = (n < 2) | (F.col("amax") == F.col("amin")) | (F.col("bmax") == F.col("bmin"))
+    r = F.when(constant, F.lit(None).cast("double")).when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, F.sqrt(va * vb)))))
-    names = F.array(*[F.lit(c) for c in cols])
-    rs = s.select(F.element_at(names, F.element_at(pa, F.col("pair"))).alias("col_a"),
-                  F.element_at(names, F.element_at(pb, F.col("pair"))).alias("col_b"),
-                  F.when(F.element_at(pa, F.col("pair")) == F.element_at(pb, F.col("pair")),
-                         F.when(constant, F.lit(None).cast("double")).otherwise(F.lit(1.0)))
-                   .otherwise(r).alias("r"))
-    # Mirror the upper triangle above the aggregate, so the rows are fanned out once.
-    mirrored = rs.select(F.inline(F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b", "r"))).otherwise(F.array(
-        F.struct("col_a", "col_b", "r"), F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")))))
-    # A pair no row covers has no record (r NULL via the spine of all ordered pairs).
-    spark = df.sparkSession
-    spine = spark.createDataFrame([(a, b) for a in cols for b in cols], "col_a string, col_b string")
-    return spine.join(mirrored, ["col_a", "col_b"], "left")
+    upper = s.filter("n > 0").select("i", "j", r.alias("r"))
+    # Mirror the upper triangle; a pair no row covers has no record (r NULL via the spine of all ordered pairs).
+    mirrored = upper.select(F.inline(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "r"))).otherwise(F.array(
+        F.struct("i", "j", "r"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r")))))
+    spine = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)], "i int, j int, col_a string, col_b string")
+    return spine.join(mirrored, ["i", "j"], "left").select("col_a", "col_b", "r")
+
+
+PAIR_SUMS = ("i int, j int, n double, sa double, sb double, saa double, sbb double, sab double, "
+             "amin double, amax double, bmin double, bmax double")
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch], means: list[float]) -> Iterator[pa.RecordBatch]:
+    """Masked Gram matrices of a task's rows, about ``means``; extremes of a beside b tell a constant pair."""
+    p = len(means)
+    n, one, square, cross = (np.zeros((p, p)) for _ in range(4))
+    low, high = np.full((p, p), np.inf), np.full((p, p), -np.inf)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        raw = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        there = ~np.isnan(raw)
+        mask, x = there.astype(float), np.where(there, raw - means, 0.0)
+        n += mask.T @ mask
+        one += x.T @ mask           # [a, b]: sum of a where b is present
+        square += (x * x).T @ mask
+        cross += x.T @ x
+        bottom, top = np.where(there, raw, np.inf), np.where(there, raw, -np.inf)
+        for b in range(p):
+            rows = slice(None) if there[:, b].all() else there[:, b]
+            low[:, b] = np.minimum(low[:, b], bottom[rows].min(axis=0, initial=np.inf))
+            high[:, b] = np.maximum(high[:, b], top[rows].max(axis=0, initial=-np.inf))
+    i, j = np.triu_indices(p)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (
+        i.astype(np.int32), j.astype(np.int32), n[i, j], one[i, j], one[j, i], square[i, j], square[j, i], cross[i, j],
+        low[i, j], high[i, j], low[j, i], high[j, i])], [c.split()[0] for c in PAIR_SUMS.split(", ")])
 
 
 def summary_stats(df: DataFrame, exact: bool = True, with_time: bool = False) -> DataFrame:
@@ -253,29 +266,62 @@ def auto_histogram(df: DataFrame, col: str = "price", exact: bool = True) -> Dat
     return _hist_counts(df, col, bounds, "__bins")
 
 
+#: Cells of the density are so many bandwidths wide, have so many moments, and reach so many bandwidths.
+CELL, MOMENTS, REACH = 0.5, 14, 9.5
+
+
+def _hermite(n: int) -> list[list[int]]:
+    """Coefficients, from the constant on, of the first ``n`` Hermite polynomials He: He[k+1] = x He[k] - k He[k-1]."""
+    he = [[1], [0, 1]]
+    while len(he) < n:
+        k = len(he) - 1
+        a, b = [0, *he[k]], [*he[k - 1], 0, 0]
+        he.append([x - k * y for x, y in zip(a, b)])
+    return he[:n]
+
+
 def price_density(df: DataFrame, col: str = "price", gridsize: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth (n^-1/5 times the sample std),
-    evaluated on ``gridsize`` points from min - cut*bw to max + cut*bw.
-
-    Equal prices are counted first; the kernel sums of all grid points are
-    one global aggregate over the weighted distinct prices, so no row is
-    fanned out and a task sends one record."""
+    evaluated on ``gridsize`` points from min - cut*bw to max + cut*bw, by a fast Gauss transform.
+
+    In bandwidths, with c the centre of a value's cell and z = value - c:
+    exp(-(t - c - z)^2 / 2) = exp(-(t - c)^2 / 2) * sum over k of He_k(t - c) z^k / k!.
+    So a row adds to MOMENTS powers of its cell (one grouped aggregate; its cost does not
+    depend on the grid), and grid points sum the cells within REACH. With |z| <= CELL / 2 what is left out is, by
+    |He_k(x)| exp(-x^2 / 4) <= 1.09 sqrt(k!), below 1.09 sum over k >= MOMENTS of (CELL / 2)^k / sqrt(k!) < 2e-14 of a
+    value's kernel height, and exp(-REACH^2 / 2) < 3e-20 beyond the reach."""
     s = df.agg(F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"),
                F.count(col).alias("__n"), F.stddev_samp(col).alias("__sd"))
     bw = F.col("__sd") * F.pow(F.col("__n").cast("double"), -0.2)
     s = s.select("*", bw.alias("__bw"))
     s = s.select("*", (F.col("__lo") - cut * F.col("__bw")).alias("__g0"),
                  (F.col("__hi") + cut * F.col("__bw")).alias("__g1"))
-    s = s.withColumn("__step", (F.col("__g1") - F.col("__g0")) / (gridsize - 1))
+    s = s.withColumn("__d", F.try_divide(F.col("__g1") - F.col("__g0"), F.lit(gridsize - 1) * F.col("__bw")))
     x = df.select(F.col(col).cast("double").alias("__x")).filter("__x IS NOT NULL")
-    pts = attach(x.groupBy("__x").agg(F.count(F.lit(1)).alias("__w")), s)
     # In units of the bandwidth, from the first grid point on.
-    pts = pts.selectExpr("__w", "(__x - __g0) / __bw AS __u", "__step / __bw AS __d")
-    sums = pts.agg(*[F.expr(f"sum(__w * exp(-0.5D * pow(__u - {i} * __d, 2)))").alias(f"k{i}") for i in range(gridsize)])
-    span = f"(__g1 - __g0) / {gridsize - 1}"
-    rows = ", ".join(f"struct({i} AS i, __g0 + {i} * {span} AS x, "
-                     f"k{i} / (__n * __bw * {math.sqrt(2 * math.pi)!r}D) AS density)" for i in range(gridsize))
-    return attach(sums, s).selectExpr(f"inline(array({rows}))")
+    u = attach(x, s.select("__g0", "__bw")).select(F.try_divide(F.col("__x") - F.col("__g0"), F.col("__bw")).alias("__u")).filter("__u IS NOT NULL")
+    u = u.select(F.floor(F.col("__u") / CELL).alias("__cell"), "__u")
+    z = F.col("__u") - (F.col("__cell") + 0.5) * CELL
+    power, moments = F.lit(1.0), []
+    for k in range(MOMENTS):
+        moments.append((F.sum(power) / math.factorial(k)).alias(f"__m{k}"))
+        power = power * z
+    cells = u.groupBy("__cell").agg(*moments)
+    he = _hermite(MOMENTS)
+    coefficient = [sum((F.col(f"__m{k}") * float(he[k][j]) for k in range(j, MOMENTS) if he[k][j]), F.lit(0.0)) for j in range(MOMENTS)]
+    cells = attach(cells.select(((F.col("__cell") + 0.5) * CELL).alias("__c"), *[c.alias(f"__p{j}") for j, c in enumerate(coefficient)]), s.select("__d"))
+    first = F.greatest(F.ceil((F.col("__c") - REACH) / F.col("__d")), F.lit(0))
+    last = F.least(F.floor((F.col("__c") + REACH) / F.col("__d")), F.lit(gridsize - 1))
+    near = cells.withColumn("i", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("__t", F.col("i") * F.col("__d") - F.col("__c"))
+    value = F.lit(0.0)
+    for j in reversed(range(MOMENTS)):
+        value = value * F.col("__t") + F.col(f"__p{j}")
+    sums = near.groupBy("i").agg(F.sum(value * F.exp(F.col("__t") * F.col("__t") * -0.5)).alias("__k"))
+    grid = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
+    scale = F.col("__n") * F.col("__bw") * math.sqrt(2 * math.pi)
+    return grid.join(sums, "i", "left").select(
+        "i", (F.col("__g0") + F.col("i") * ((F.col("__g1") - F.col("__g0")) / (gridsize - 1))).alias("x"),
+        F.try_divide(F.when(F.col("__d").isNotNull(), F.coalesce("__k", F.lit(0.0))), scale).alias("density"))
 
 
 def score_distribution(df: DataFrame) -> DataFrame:
@@ -323,8 +369,8 @@ def price_outliers(df: DataFrame, value: str = "price", exact: bool = True) -> D
 
 
 def grade_price_bar(df: DataFrame, z: float = 1.96) -> DataFrame:
-    """Mean price per grade with a normal-approximation 95 % interval (the
-    reference's chart bootstraps; this is the closed form, named so)."""
+    """Mean price per grade with a normal-approximation 95 % interval; ``grade_price_bootstrap``
+    resamples, as the reference's chart does."""
     g = df.filter(F.col("grade").isNotNull()).groupBy("grade").agg(
         F.avg("price").alias("avg_price"), F.stddev_samp("price").alias("__sd"),
         F.count("price").alias("n"))
@@ -333,6 +379,52 @@ def grade_price_bar(df: DataFrame, z: float = 1.96) -> DataFrame:
                     (F.col("avg_price") + half).alias("ci_high"))
 
 
+#: Replicates whose weights come out of one hash, and the weights' hexadecimal digits.
+PER_HASH, DIGITS = 8, 4
+
+
+def poisson_steps(digits: int = DIGITS) -> list[str]:
+    """Hash prefixes from which on a Poisson(1) weight is at least 1, 2, ...: its distribution function in hexadecimal digits."""
+    steps, total, k = [], 0.0, 0
+    while True:
+        total += math.exp(-1) / math.factorial(k)
+        at = round(total * 16 ** digits)
+        if at >= 16 ** digits:
+            return steps
+        steps.append(format(at, f"0{digits}x"))
+        k += 1
+
+
+def bootstrap_sums(df: DataFrame, by: str, value: str, replicates: int = 1000, seed: int = 42, key: str = "id") -> DataFrame:
+    """(by, replicate, weight, total) of a Poisson bootstrap: in replicate b a row counts Poisson(1) times, by a hash of its key, the
+    seed and b. All replicates are summed in one pass and do not depend on partitioning. Rows without group, key or value are left out."""
+    rows = df.filter(F.col(by).isNotNull() & F.col(key).isNotNull() & F.col(value).isNotNull()).select(
+        F.col(by).alias("__by"), F.col(key).cast("string").alias("__key"), F.col(value).cast("double").alias("__y"))
+    block = rows.select("__by", "__key", "__y", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // PER_HASH) - 1))).alias("__block"))
+    block = block.select("__by", "__block", "__y", F.md5(F.concat("__key", F.lit(f"-{seed}-"), F.col("__block").cast("string")).cast("binary")).alias("__h"))
+    sums = []
+    for j in range(PER_HASH):
+        part = F.substring("__h", 1 + j * DIGITS, DIGITS)
+        w = sum((F.when(part >= t, 1).otherwise(0) for t in poisson_steps()), F.lit(0))
+        sums += [F.sum(w).alias(f"w{j}"), F.sum(w * F.col("__y")).alias(f"t{j}")]
+    per = block.groupBy("__by", "__block").agg(*sums)
+    one = F.inline(F.array(*[F.struct((F.col("__block") * PER_HASH + j).alias("replicate"), F.col(f"w{j}").alias("weight"), F.col(f"t{j}").alias("total"))
+                             for j in range(PER_HASH)]))
+    return per.select(F.col("__by").alias(by), one).filter(F.col("replicate") < replicates)
+
+
+def grade_price_bootstrap(df: DataFrame, by: str = "grade", value: str = "price", replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Mean per group with a bootstrap percentile interval of the mean (linear interpolation between replicates). A
+    replicate that drew no row of a group is left out of that group's interval."""
+    sums = bootstrap_sums(df, by, value, replicates, seed).filter("weight > 0")
+    mean = F.col("total") / F.col("weight")
+    tail = (1 - level) / 2
+    # A group has one mean per replicate.
+    ci = sums.groupBy(by).agg(F.percentile(mean, tail).alias("ci_low"), F.percentile(mean, 1 - tail).alias("ci_high"))
+    plain = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("avg_price"))
+    return plain.join(ci, by, "left").select(by, "n", "avg_price", "ci_low", "ci_high")
+
+
 def map_centroid(df: DataFrame) -> DataFrame:
     return df.agg(F.avg("lat").alias("center_lat"), F.avg("long").alias("center_long"))
 

@@ -15,7 +15,8 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from hearth.operators.topn import sample_n
 from hearth.operators.trees import TreeModel, TreeSettings, attributions, fit_trees, out_of_fold, training_rows
 from hearth.operators.util import attach
 from hearth.schema import MODEL_FEATURES, TARGET
-from hearth.session import ensure_checkpoint_dir
+from hearth.session import ensure_checkpoint_dir, materialize
 
 # The reference's model settings.
 RANDOM_STATE = 42
@@ -87,18 +88,51 @@ def prepare_features(df: DataFrame, features: list[str] | None = None, target: s
     return va.transform(filled).withColumn("label", F.col(target).cast("double")), feats
 
 
+#: Levels that become columns at most when the caller does not name them.
+MAX_LEVELS = 1000
+
+
 def one_hot(df: DataFrame, col: str, levels: list[str] | None = None, prefix: str | None = None) -> DataFrame:
     """Dummy columns for a string column, one per level but the alphabetically
     first (pandas ``get_dummies(drop_first=True)``). ``levels`` is the list
-    of known levels; without it the distinct levels are read, which is meant
-    for columns known to have few. A value outside the list has all 0."""
+    of known levels; without it the distinct levels are read, at most ``MAX_LEVELS``
+    (``one_hot_vectors`` takes any number). A value outside the list has all 0."""
     prefix = prefix or col
     if levels is None:
-        levels = [r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull()).collect()]
+        levels = [r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull()).limit(MAX_LEVELS + 1).collect()]
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{col} has over {MAX_LEVELS} levels; use one_hot_vectors")
     dummies = [F.coalesce(F.col(col) == lab, F.lit(False)).cast("int").alias(f"{prefix}_{lab}") for lab in sorted(levels)[1:]]
     return df.select(*[c for c in df.columns if c != col], *dummies)
 
 
+def level_dictionary(df: DataFrame, col: str) -> DataFrame:
+    """(level, rank) of the non-null levels in ascending order, ranks from 0, as a stored table. Levels are dealt to ranges; a level's rank
+    is its place in its range after all levels of the ranges before, so no task holds more than its range."""
+    levels = df.select(F.col(col).alias("level")).filter("level IS NOT NULL").distinct()
+    ranged = materialize(levels.repartitionByRange("level").select("level", F.spark_partition_id().alias("part")), "levels")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("level"))
+    return materialize(ranged.withColumn("place", place).join(offsets, "part").select("level", (F.col("offset") + F.col("place") - 1).alias("rank")), "level-ranks")
+
+
+def one_hot_vectors(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """``df`` with a sparse vector of the dummies that ``one_hot`` would make as columns: position j is 1 for the level of rank
+    j + 1; the first level and null have all 0. The levels stay in a table that is joined (by size, Spark's choice), so their number is
+    not limited by the driver or the width of a row."""
+    ranks = level_dictionary(df, col)
+    n = ranks.count()
+    name = out or f"{col}_dummies"
+    if n < 2:
+        return df.withColumn(name, array_to_vector(F.expr("cast(array() as array<double>)")))
+    index = ranks.select(F.col("level").alias("__level"), F.pmod(F.col("rank") - 1, F.lit(n)).cast("double").alias("__index"))
+    joined = df.join(index, F.col(col) == F.col("__level"), "left").drop("__level").withColumn("__index", F.coalesce("__index", F.lit(float(n - 1))))
+    # The encoder drops the last index, which the first level and null have; a table of just that index tells it the size.
+    size = df.sparkSession.createDataFrame([(float(n - 1),)], "__index double")
+    return OneHotEncoder(inputCols=["__index"], outputCols=[name], dropLast=True).fit(size).transform(joined).drop("__index")
+
+
 def standardize(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """Fit mean and population std on ``train`` (one aggregate), apply to
     both parts through a broadcast one-row frame. A constant column scales

@@ -29,7 +29,10 @@ def map_filter(df: DataFrame, price_min: float | None = None, price_max: float |
     """price in [lo, hi] and grade >= g, then an exact sample of ``n`` rows.
 
     Defaults: lo/hi = int of the 10th/90th percentile, g = min grade. They are
-    computed in the plan (one-row frame, broadcast), not collected."""
+    computed in the plan (one-row frame, broadcast), not collected. With all three given nothing is
+    computed, and the bounds reach the scan (a table by ``sinks.write_clustered`` skips what lies outside)."""
+    if None not in (price_min, price_max, min_grade):
+        return sample_n(df.filter(F.col("price").between(float(price_min), float(price_max)) & (F.col("grade") >= min_grade)), n, seed)
     bounds = exact_percentiles(df, "price", [], [0.1, 0.9], ["__p10", "__p90"], exact=exact,
                                extra={"__gmin": F.min("grade")})
     lo = F.lit(float(price_min)) if price_min is not None else F.col("__p10").cast("bigint").cast("double")

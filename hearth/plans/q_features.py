@@ -7,11 +7,14 @@ from hearth.operators import features as fo
 from hearth.operators.topn import scatter_projection
 from hearth.operators.util import round_doubles
 from hearth.plans.registry import register
-from hearth.schema import BASIC_RULES, score_text
 from hearth.sources import fixtures as sfx
 
-SCORE_SQL = score_text()
-BASIC_SQL = score_text(BASIC_RULES, None)
+# Written out here, so that a changed rule in the library turns these queries red.
+BASIC_SQL = """CAST(CASE WHEN grade >= 8 THEN 30 ELSE 0 END + CASE WHEN waterfront = 1 THEN 30 ELSE 0 END
+             + CASE WHEN sqft_living > 3000 THEN 20 ELSE 0 END + CASE WHEN condition >= 4 THEN 20 ELSE 0 END AS INTEGER)"""
+SCORE_SQL = """CAST(least(100, CASE WHEN grade >= 8 THEN 30 ELSE 0 END + CASE WHEN waterfront = 1 THEN 30 ELSE 0 END
+             + CASE WHEN sqft_living > 3000 THEN 20 ELSE 0 END + CASE WHEN condition >= 4 THEN 20 ELSE 0 END
+             + CASE WHEN view >= 3 THEN 15 ELSE 0 END + CASE WHEN yr_renovated > 2000 THEN 10 ELSE 0 END) AS INTEGER)"""
 
 
 def _s(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearth import sinks
@@ -74,8 +77,10 @@ def q_append_listing(spark, d):
                    "sqft_living", "zipcode",
                    F.when(F.col("id") % 7 == 0, F.lit(None).cast("int")).otherwise(F.col("grade")).alias("grade"),
                    "condition", "waterfront", "view")
-    p = sinks.append_listing(new, scratch_path(spark, "listings"))
-    return spark.read.parquet(p).drop("created_at", "updated_at")
+    path = scratch_path(spark, "listings")
+    for part, batch in ((0, "even"), (1, "odd"), (0, "even")):  # the last is a rerun
+        sinks.append_listing(new.filter(F.col("id") % 2 == part), path, batch)
+    return sinks.read_appended(spark, path).drop("created_at", "updated_at")
 
 
 @register("append_load_event", """
@@ -83,8 +88,10 @@ SELECT 'data_load' AS event_type, '{"rows":' || CAST(count(*) AS VARCHAR) || ',"
        CAST(1 AS BIGINT) AS user_id, 's-1' AS session_id
 FROM sales""")
 def q_append_load_event(spark, d):
-    p = sinks.append_load_event(sfx.sales(spark, d), scratch_path(spark, "events"), 1, "s-1")
-    return spark.read.parquet(p).drop("timestamp")  # the time of the call
+    path = scratch_path(spark, "events")
+    for _ in range(2):  # one load, reported twice
+        sinks.append_load_event(sfx.sales(spark, d), path, 1, "s-1", batch="load-1")
+    return sinks.read_appended(spark, path).drop("timestamp")  # the time of the call
 
 
 @register("export_summary_csv", SUMMARY_ROWS)
@@ -112,11 +119,18 @@ def q_export_corr(spark, d):
 
 
 @register("upload_catalog", """
-SELECT * FROM (VALUES ('20240102_000000', 'second'), ('20240101_000000', 'first'), ('20240101_000000', 'other')) AS u(load_ts, name)
-WHERE (SELECT count(*) FROM raw_sales) > 0""")
+SELECT load_ts, name, CAST(n AS BIGINT) AS n_files, true AS size_is_that_of_the_files, true AS uploaded_just_now, row_number() OVER (ORDER BY load_ts DESC, name) AS place
+FROM (VALUES ('20240102_000000', 'second', 1), ('20240101_000000', 'first', 3), ('20240101_000000', 'other', 2)) AS u(load_ts, name, n)
+WHERE (SELECT count(*) FROM raw_sales) > 2""")
 def q_upload_catalog(spark, d):
-    """Three uploads; file counts, sizes and times depend on the writer and are left out here."""
+    """Three uploads of known numbers of files. Sizes are held against the bytes that the files hold, times against the clock."""
     landing, raw = scratch_path(spark, "landing"), sfx.raw_sales(spark, d)
-    for ts, name in (("20240101_000000", "first"), ("20240101_000000", "other"), ("20240102_000000", "second")):
-        sinks.land_upload(raw, landing, ts, name)
-    return fi.upload_catalog(spark, landing).filter("size_mb > 0 AND n_files > 0").select("load_ts", "name")
+    started = datetime.now(timezone.utc).replace(second=0, microsecond=0)
+    for ts, name, n in (("20240101_000000", "first", 3), ("20240101_000000", "other", 2), ("20240102_000000", "second", 1)):
+        sinks.land_upload(raw.repartition(n), landing, ts, name)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(landing)
+    held = files.select(F.regexp_extract("path", "/name=([^/]+)/", 1).alias("name"), F.length("content").alias("n")).groupBy("name").agg(F.sum("n").alias("bytes"))
+    w = Window.orderBy(F.desc("load_ts"), "name")  # one row per upload
+    return fi.upload_catalog(spark, landing).join(held, "name").select(
+        "load_ts", "name", "n_files", (F.abs(F.col("size_mb") - F.col("bytes") / 1048576) <= 0.005001).alias("size_is_that_of_the_files"),
+        (F.col("uploaded") >= started.strftime("%Y-%m-%d %H:%M")).alias("uploaded_just_now"), F.row_number().over(w).cast("bigint").alias("place"))

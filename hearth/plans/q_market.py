@@ -8,7 +8,6 @@ from hearth.operators import market as mk
 from hearth.operators import valuation as va
 from hearth.operators.util import round_doubles
 from hearth.plans.registry import register
-from hearth.schema import score_text
 from hearth.sources import fixtures as sfx
 
 NUMERIC_SALES = ["price", "bedrooms", "bathrooms", "sqft_living", "sqft_lot", "floors", "waterfront",
@@ -218,8 +217,10 @@ def q_density(spark, d):
                          4, {"density_per_million": 6})
 
 
-@register("score_distribution", f"""
-SELECT {score_text()}
+@register("score_distribution", """
+SELECT CAST(least(100, CASE WHEN grade >= 8 THEN 30 ELSE 0 END + CASE WHEN waterfront = 1 THEN 30 ELSE 0 END
+             + CASE WHEN sqft_living > 3000 THEN 20 ELSE 0 END + CASE WHEN condition >= 4 THEN 20 ELSE 0 END
+             + CASE WHEN view >= 3 THEN 15 ELSE 0 END + CASE WHEN yr_renovated > 2000 THEN 10 ELSE 0 END) AS INTEGER)
   AS investment_score, count(*) AS count
 FROM sales GROUP BY 1""")
 def q_score_dist(spark, d):
@@ -295,6 +296,21 @@ def q_grade_bar(spark, d):
     return round_doubles(mk.grade_price_bar(_s(spark, d)), 4)
 
 
+@register("grade_price_bootstrap", """
+WITH r AS (SELECT grade, CAST(id AS VARCHAR) AS k, CAST(price AS DOUBLE) AS y FROM sales WHERE grade IS NOT NULL AND price IS NOT NULL AND id IS NOT NULL),
+h AS (SELECT grade, y, b.range AS block, md5(k || '-42-' || CAST(b.range AS VARCHAR)) AS h FROM r CROSS JOIN range(125) b),
+p AS (SELECT grade, y, block * 8 + j.range AS replicate, substr(h, 1 + CAST(j.range AS INTEGER) * 4, 4) AS u FROM h CROSS JOIN range(8) j),
+w AS (SELECT grade, y, replicate, CASE WHEN u < '5e2d' THEN 0 WHEN u < 'bc5b' THEN 1 WHEN u < 'eb71' THEN 2 WHEN u < 'fb24' THEN 3
+                                       WHEN u < 'ff10' THEN 4 WHEN u < 'ffd9' THEN 5 WHEN u < 'fffb' THEN 6 WHEN u < 'ffff' THEN 7 ELSE 8 END AS w FROM p),
+m AS (SELECT grade, replicate, sum(w * y) / sum(w) AS mean FROM w GROUP BY grade, replicate HAVING sum(w) > 0),
+c AS (SELECT grade, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM m GROUP BY grade)
+SELECT grade, count(price) AS n, round(avg(price), 4) AS avg_price, round(any_value(ci_low), 3) AS ci_low, round(any_value(ci_high), 3) AS ci_high
+FROM sales LEFT JOIN c USING (grade) WHERE grade IS NOT NULL GROUP BY grade""")
+def q_grade_bootstrap(spark, d):
+    """1,000 replicates in one pass."""
+    return round_doubles(mk.grade_price_bootstrap(_s(spark, d)), 3, {"avg_price": 4})
+
+
 @register("map_centroid", "SELECT round(avg(lat), 6) AS center_lat, round(avg(long), 6) AS center_long FROM sales")
 def q_centroid(spark, d):
     return round_doubles(mk.map_centroid(_s(spark, d)), 6)

@@ -41,6 +41,17 @@ def q_one_hot(spark, d):
     return ml.one_hot(s, "size_category", ["Small", "Medium", "Large"])
 
 
+@register("one_hot_vectors", """
+WITH l AS (SELECT zipcode, row_number() OVER (ORDER BY zipcode) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(zipcode AS VARCHAR) AS zipcode FROM sales WHERE zipcode IS NOT NULL))
+SELECT id, CAST(n - 1 AS INTEGER) AS size, CASE WHEN r > 0 THEN CAST(r - 1 AS INTEGER) END AS position FROM sales LEFT JOIN l ON CAST(sales.zipcode AS VARCHAR) = l.zipcode""")
+def q_one_hot_vectors(spark, d):
+    """A column of many levels, as sparse vectors; where the 1 stands."""
+    from pyspark.ml.functions import vector_to_array
+    v = ml.one_hot_vectors(_s(spark, d).select("id", F.col("zipcode").cast("string").alias("zipcode")), "zipcode", "v")
+    a = vector_to_array("v")
+    return v.select("id", F.size(a).alias("size"), F.nullif(F.array_position(a, F.lit(1.0)).cast("int"), F.lit(0)).alias("at")).select("id", "size", (F.col("at") - 1).alias("position"))
+
+
 def _std_sql() -> str:
     feats = MODEL_FEATURES
     stats = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in feats)

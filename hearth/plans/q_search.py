@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from hearth import sinks
 from hearth.operators import search as se
 from hearth.operators import topn as tn
 from hearth.operators.util import round_doubles
 from hearth.plans.registry import register
-from hearth.schema import score_text
+from hearth.session import scratch_path
 from hearth.sources import fixtures as sfx
 
 SAMPLE_ORDER = "md5(CAST(id AS VARCHAR) || '-42'), id"
@@ -37,6 +38,14 @@ def q_map_filter(spark, d):
     return _r6(se.map_filter(_s(spark, d), n=500))
 
 
+@register("map_filter_clustered", f"""
+SELECT {ALL_SALES} FROM sales WHERE price BETWEEN 400000 AND 1200000 AND grade >= 5 ORDER BY {SAMPLE_ORDER} LIMIT 500""")
+def q_map_filter_clustered(spark, d):
+    """The same on a table written along a space-filling curve, with given bounds."""
+    path = sinks.write_clustered(_s(spark, d), scratch_path(spark, "clustered"))
+    return _r6(se.map_filter(spark.read.parquet(path), 400_000, 1_200_000, 5, n=500))
+
+
 @register("luxury_listings", f"SELECT {ALL_SALES} FROM sales WHERE price > 1000000 ORDER BY id LIMIT 10")
 def q_luxury(spark, d):
     return _r6(se.luxury_listings(_s(spark, d)))
@@ -146,8 +155,10 @@ def q_top_price(spark, d):
     return tn.top_price(_s(spark, d))
 
 
-@register("top_investments", f"""
-SELECT id, price, zipcode, {score_text()}
+@register("top_investments", """
+SELECT id, price, zipcode, CAST(least(100, CASE WHEN grade >= 8 THEN 30 ELSE 0 END + CASE WHEN waterfront = 1 THEN 30 ELSE 0 END
+             + CASE WHEN sqft_living > 3000 THEN 20 ELSE 0 END + CASE WHEN condition >= 4 THEN 20 ELSE 0 END
+             + CASE WHEN view >= 3 THEN 15 ELSE 0 END + CASE WHEN yr_renovated > 2000 THEN 10 ELSE 0 END) AS INTEGER)
   AS investment_score, sqft_living, grade, condition, waterfront, view, yr_renovated
 FROM sales ORDER BY investment_score DESC, id LIMIT 10""")
 def q_top_investments(spark, d):
