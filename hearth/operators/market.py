@@ -379,19 +379,19 @@ def grade_price_bar(df: DataFrame, z: float = 1.96) -> DataFrame:
                     (F.col("avg_price") + half).alias("ci_high"))
 
 
-#: Replicates whose weights come out of one hash, and the weights' hexadecimal digits.
-PER_HASH, DIGITS = 8, 4
+#: Replicates whose weights come out of one hash of 32 hexadecimal digits, by the bits that each weight takes.
+PER_HASH, WEIGHT_BITS = 8, 16
 
 
-def poisson_steps(digits: int = DIGITS) -> list[str]:
-    """Hash prefixes from which on a Poisson(1) weight is at least 1, 2, ...: its distribution function in hexadecimal digits."""
+def poisson_steps(bits: int = WEIGHT_BITS) -> list[int]:
+    """Numbers of ``bits`` bits from which on a Poisson(1) weight is at least 1, 2, ...: its distribution function."""
     steps, total, k = [], 0.0, 0
     while True:
         total += math.exp(-1) / math.factorial(k)
-        at = round(total * 16 ** digits)
-        if at >= 16 ** digits:
+        at = round(total * 2 ** bits)
+        if at >= 2 ** bits:
             return steps
-        steps.append(format(at, f"0{digits}x"))
+        steps.append(at)
         k += 1
 
 
@@ -400,17 +400,18 @@ def bootstrap_sums(df: DataFrame, by: str, value: str, replicates: int = 1000, s
     seed and b. All replicates are summed in one pass and do not depend on partitioning. Rows without group, key or value are left out."""
     rows = df.filter(F.col(by).isNotNull() & F.col(key).isNotNull() & F.col(value).isNotNull()).select(
         F.col(by).alias("__by"), F.col(key).cast("string").alias("__key"), F.col(value).cast("double").alias("__y"))
+    # A row is worked on once per replicate, so rows are dealt to all cores however few bytes they have.
+    rows = rows.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
     block = rows.select("__by", "__key", "__y", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // PER_HASH) - 1))).alias("__block"))
     block = block.select("__by", "__block", "__y", F.md5(F.concat("__key", F.lit(f"-{seed}-"), F.col("__block").cast("string")).cast("binary")).alias("__h"))
-    sums = []
-    for j in range(PER_HASH):
-        part = F.substring("__h", 1 + j * DIGITS, DIGITS)
-        w = sum((F.when(part >= t, 1).otherwise(0) for t in poisson_steps()), F.lit(0))
-        sums += [F.sum(w).alias(f"w{j}"), F.sum(w * F.col("__y")).alias(f"t{j}")]
-    per = block.groupBy("__by", "__block").agg(*sums)
-    one = F.inline(F.array(*[F.struct((F.col("__block") * PER_HASH + j).alias("replicate"), F.col(f"w{j}").alias("weight"), F.col(f"t{j}").alias("total"))
-                             for j in range(PER_HASH)]))
-    return per.select(F.col("__by").alias(by), one).filter(F.col("replicate") < replicates)
+    # Twelve, twelve and eight digits as numbers: three, three and two weights of four digits each.
+    block = block.select("__by", "__block", "__y", *[F.conv(F.substring("__h", at, n), 16, 10).cast("bigint").alias(f"__v{i}")
+                                                     for i, (at, n) in enumerate(((1, 12), (13, 12), (25, 8)))])
+    parts = [F.shiftright(f"__v{j // 3}", WEIGHT_BITS * (2 - j % 3 if j < 6 else 7 - j)).bitwiseAND(F.lit(2 ** WEIGHT_BITS - 1)) for j in range(PER_HASH)]
+    drawn = block.select("__by", "__y", "__block", F.posexplode(F.array(*parts)).alias("__j", "__u"))
+    w = sum(((F.col("__u") >= t).cast("int") for t in poisson_steps()), F.lit(0))
+    drawn = drawn.select("__by", (F.col("__block") * PER_HASH + F.col("__j")).alias("replicate"), w.alias("__w"), "__y").filter(F.col("replicate") < replicates)
+    return drawn.groupBy(F.col("__by").alias(by), "replicate").agg(F.sum("__w").alias("weight"), F.sum(F.col("__w") * F.col("__y")).alias("total"))
 
 
 def grade_price_bootstrap(df: DataFrame, by: str = "grade", value: str = "price", replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:

@@ -181,16 +181,18 @@ def grow_group(bins: np.ndarray, h: np.ndarray, s: np.ndarray, settings: TreeSet
     made, node = 1, np.zeros(n, np.int64)
     leaf = np.zeros(n, np.int64)
     live = np.arange(n)  # cells of nodes that may still be split
-    orders = [np.argsort(bins[:, j], kind="stable") for j in range(p)]
+    orders = [np.argsort(bins[:, j].astype(np.uint16), kind="stable") for j in range(p)]
     first, level = 0, 0  # id of the level's first node
     while len(live) and (depth is None or level < depth):
         k = made - first
         local = node - first
+        # Numbers of 16 bits are sorted by radix.
+        short = local.astype(np.uint16 if k <= 1 << 16 else np.int64)
         hs, ss = np.bincount(local[live], h[live], k), np.bincount(local[live], s[live], k)
         best, what, where = np.full(k, -np.inf), np.zeros(k, np.int64), np.zeros(k, np.int64)
         parent = _score(ss, hs, settings.l2)
         for j in range(p):
-            o = orders[j] = orders[j][np.argsort(local[orders[j]], kind="stable")]
+            o = orders[j] = orders[j][np.argsort(short[orders[j]], kind="stable")]
             at, b = local[o], bins[o, j]
             i = np.flatnonzero((at[1:] == at[:-1]) & (b[1:] != b[:-1]))
             if not len(i):
@@ -485,7 +487,9 @@ def training_rows(df: DataFrame, features: list[str], label: str, imputer, fold:
     own = ["id"] if "id" in df.columns else [*features, label]
     rows = x.select(*[F.col(f"__imp_{f}").cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"),
                     F.xxhash64(*own).alias("row_hash"), (F.lit(0) if fold is None else fold).cast("int").alias("fold"))
-    return materialize(rows.filter(F.col("label").isNotNull() & ~F.isnan("label")), "training-rows")
+    # Every row is worked on once per tree, so rows are dealt to all cores however few bytes they have.
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return materialize(rows.filter(F.col("label").isNotNull() & ~F.isnan("label")).repartition(tasks), "training-rows")
 
 
 def boost_group(bins: np.ndarray, h: np.ndarray, s: np.ndarray, settings: TreeSettings) -> Iterator[dict]:
