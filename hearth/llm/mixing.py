@@ -35,6 +35,8 @@ WORDS, MIN_DOCUMENTS = 1000, 5
 NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MAX_ROUNDS = 120
 TOLERANCE = 1e-5
+#: Rounds in a row in which the totals move by less than a hundredth of the tolerance: they have settled.
+STILL_ROUNDS = 3
 
 
 def _words(text: Column) -> Column:
@@ -142,20 +144,30 @@ def fit_rates(rows: DataFrame, weights: list[float], keep: int, max_rounds: int
     if have[keep] <= 0 or w[keep] <= 0:
         return [], have, have
     targets = w / w[keep] * have[keep]
-    steps, now, before = [], have, np.full(n, np.inf)
+    steps, now, before, still = [], have, np.full(n, np.inf), 0
     goal = tolerance * targets.sum()
     for _ in range(max_rounds):
-        # Targets beyond reach: the totals settle at the nearest ones.
-        if np.abs(now - targets).max() <= goal or np.abs(now - before).max() <= goal / 100:
+        # Targets beyond reach: the totals settle at the nearest ones. One small step may be a turning point of the accelerated
+        # steps; several in a row are none.
+        still = still + 1 if np.abs(now - before).max() <= goal / 100 else 0
+        if np.abs(now - targets).max() <= goal or still >= STILL_ROUNDS:
             break
         steps.append(np.where(have > 0, (ahead - targets) / np.where(have > 0, have, 1.0), 0.0))
         before, (now, ahead) = now, _totals(rows, n, steps)
     return steps, now, targets
 
 
+def fit_state(totals: np.ndarray, targets: np.ndarray, rounds: int, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> str:
+    """How a fit ended: ``targets`` (met), ``nearest`` (out of reach, the totals no longer move) or ``unsettled`` (rounds used up)."""
+    if np.abs(totals - targets).max(initial=0) <= tolerance * targets.sum():
+        return "targets"
+    return "nearest" if rounds < max_rounds else "unsettled"
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep: str, key: str = "doc_id",
         text: str = "text", **options) -> DataFrame:
-    """(key, text_hash, n_tokens, p, rate, copies, totals, targets) per row of ``docs``.
+    """(key, text_hash, n_tokens, p, rate, copies, totals, targets, fit) per row of ``docs``; ``fit`` says how the fit ended
+    (``fit_state``), the same on all rows.
 
     ``labelled``: (key, domain). ``weights``: the wanted share of tokens of each domain; ``keep``: the domain
     that sets the size. Tokens are words. Null and empty texts have no tokens, weigh nothing, and get a rate by
@@ -172,7 +184,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep: s
     uniform = F.pmod(F.xxhash64(F.col(key), "text_hash", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     return (rows.withColumn("rate", rate("p"))
             .withColumn("copies", (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-            .withColumns({"totals": F.array(*map(F.lit, map(float, totals))), "targets": F.array(*map(F.lit, map(float, targets)))}))
+            .withColumns({"totals": F.array(*map(F.lit, map(float, totals))), "targets": F.array(*map(F.lit, map(float, targets))),
+                          "fit": F.lit(fit_state(totals, targets, len(steps)))}))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

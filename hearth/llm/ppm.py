@@ -49,8 +49,6 @@ END, START = 0xFE, 0xFF
 ORDER = 5
 #: Bytes of text of a chunk.
 CHUNK_BYTES = 32 << 20
-#: Buckets of grams and words; there are never more than chunks.
-MAX_BUCKETS = 2048
 
 _LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Byte values that may be predicted: all but the start mark, with the end symbol in the place of a byte UTF-8 lacks.
@@ -374,7 +372,8 @@ def ppm_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     if not 2 <= order <= 6:
         raise ValueError("order must be 2 to 6")
     rows, n_chunks = _chunked(docs, key, text, train, chunk_bytes)
-    n_buckets = max(1, min(n_chunks, MAX_BUCKETS))
+    # As many buckets of grams and words as chunks, so a bucket's tables stay as small however large the corpus is.
+    n_buckets = max(1, n_chunks)
     parts = stored(_extract(rows, n_chunks, n_buckets, order), "ppm-parts")
     resolved = stored(_resolve(parts, n_buckets, _low_orders(parts), order), "ppm-tables")
 

@@ -1,7 +1,7 @@
 """Quality rules, line first.
 
-Every line is judged by punctuation, navigation and boilerplate rules;
-failing lines are removed, and a document that loses too much of its text is
+Every line is judged by punctuation, line-end, navigation and boilerplate rules, runs of
+short lines as menus; failing lines are removed, and a document that loses too much of its text is
 rejected. Documents also have to pass two base rules (enough words, not
 mostly repeated three-word windows).
 
@@ -12,6 +12,7 @@ computed inside its row.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,22 @@ ODD = SYMBOLS + "~^=_\\{}[]"
 BARS = "|»›•"
 #: What a shouting line holds at least: over 8 letters A-Z, whatever stands between them.
 NINE_CAPITALS = r"[A-Z](?:[^A-Z\n]*+[A-Z]){8}"
-#: Phrases of licence, cookie and site-furniture lines (lower case).
+#: Phrases of licence, cookie and site-furniture lines in English, French, German and Spanish (lower case).
 BOILERPLATE = [
     "all rights reserved", "licensed under", "released under the", "this work is licensed",
     "terms of service", "terms of use", "privacy policy", "cookie policy", "use cookies", "accept cookies",
     "enable javascript", "click here", "read more", "sign up for", "subscribe to our", "share this",
     "powered by", "skip to content", "back to top",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "accepter les cookies", "cliquez ici", "lire la suite", "retour en haut",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken", "weiterlesen", "nach oben",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "aceptar cookies", "haga clic aquí", "leer más", "volver arriba",
 ]
+#: With what a line may end: sentence and clause marks, and what closes a quotation or bracket.
+ENDS = ".!?:;\u2026\"'\u00bb\u201d)]"
+#: White space characters (and one) behind its last mark from which on a line breaks off.
+FULL_LINE = 8
+#: Words of a short line at most, and short lines in a row that are a menu.
+SHORT_WORDS, MENU = 3, 4
 #: Up to so many repeated hashes, windows are looked up in their list; beyond, all windows are sorted.
 FEW = 64
 MIN_WORDS = 50
@@ -61,7 +71,10 @@ def line_fails(line: Column) -> Column:
       more exclamation marks and as many as a quarter of its words;
     * shouting: over 8 letters A-Z, and more of them than of a-z;
     * navigation: two or more separators (``|`` and the like), at least one per four words;
-    * boilerplate: it contains one of the phrases."""
+    * boilerplate: it contains one of the phrases;
+    * line end: what follows its last mark (``ENDS``) is long enough for a sentence (``FULL_LINE``), so it breaks off.
+
+    Lines in a menu (``in_menu``) fail beside these."""
     solid = F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
     words = F.length(line) - solid + 1  # near enough for the ratios, and cheap
     odd, bangs, pipes = _count(line, ODD), _count(line, "!"), _count(line, BARS)
@@ -71,17 +84,45 @@ def line_fails(line: Column) -> Column:
             | ((bangs >= 2) & (bangs * 4 >= words))
             | (line.rlike(NINE_CAPITALS) & (upper > 8) & (upper > lower))
             | ((pipes >= 2) & (pipes * 4 >= words))
-            | F.lower(line).rlike("|".join(BOILERPLATE)))
+            | F.lower(line).rlike("|".join(BOILERPLATE))
+            | ((words >= FULL_LINE) & ~_ended(line) & (_gaps(_after_marks(line)) + 1 >= FULL_LINE)))
+
+
+def _gaps(line: Column) -> Column:
+    return F.length(line) - F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
+
+
+def _after_marks(line: Column) -> Column:
+    """What stands behind the last mark of ``ENDS``."""
+    return F.substring_index(F.translate(line, ENDS, ENDS[0] * len(ENDS)), ENDS[0], -1)
+
+
+def _ended(line: Column) -> Column:
+    return F.right(F.rtrim(line, F.lit(" \t\n\x0b\x0c\r")), F.lit(1)).isin(*ENDS)
+
+
+def _short(line: Column) -> Column:
+    """Few words and no mark at the end, as menus, breadcrumbs and lists of links have."""
+    words = rf"\A{SPACE}*(?:{WORD}{SPACE}+){{0,{SHORT_WORDS - 1}}}{WORD}{SPACE}*\z"
+    return line.rlike(words) & ~_ended(line)
+
+
+def in_menu(short: Column, i: Column) -> Column:
+    """Whether line ``i`` is one of ``MENU`` neighbouring lines that are all short (``short``: one flag per line)."""
+    def whole(first: Column) -> Column:
+        return reduce(Column.__and__, [F.coalesce(F.get(short, first + k), F.lit(False)) for k in range(MENU)])
+    return F.get(short, i) & F.exists(F.sequence(i - (MENU - 1), i), whole)
 
 
 def _may_fail(text: Column) -> Column:
     """False only if no line of the text can fail: a cheap look at the whole text first. A
-    shouting line has nine capitals."""
+    shouting line has nine capitals; the line-end and the menu rule need a line that ends without a mark."""
     lower = F.lower(text)
     said = F.lit(False)
     for phrase in BOILERPLATE:
         said = said | F.contains(lower, F.lit(phrase))
-    return text.rlike(f"[{re.escape(ODD + BARS)}]|![^!]*!") | text.rlike(NINE_CAPITALS) | said
+    unended = rf"[^{re.escape(ENDS)}\x20\x09-\x0D][\x20\x09\x0B-\x0D]*+(?:\n|\z)"
+    return text.rlike(f"[{re.escape(ODD + BARS)}]|![^!]*!") | text.rlike(NINE_CAPITALS) | text.rlike(unended) | said
 
 
 def judge(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT,
@@ -108,16 +149,21 @@ def _judged(df: DataFrame, text: str, min_words: int, max_repeat: int, max_lost:
     columns = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
     # Each step is read at least twice by the next, so Catalyst keeps the arrays as columns.
-    df = df.withColumns({"_rules_w": _words(t), "_rules_l": F.filter(F.split(t, "\n", -1), has_word)})
+    df = df.withColumns({"_rules_w": _words(t), "_rules_a": F.split(t, "\n", -1), "_rules_may": _may_fail(t)})
 
     def word(i: Column) -> Column:
         return F.get(F.col("_rules_w"), i)
 
     hashes = F.transform(F.slice(F.col("_rules_w"), 1, F.greatest(F.size("_rules_w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)))
     df = df.withColumns({
-        "n_words": F.size("_rules_w").cast("bigint"), "_rules_h": hashes,
-        "_rules_bad": F.when(_may_fail(t), F.filter(F.col("_rules_l"), line_fails)).otherwise(F.expr("cast(array() as array<string>)")),
+        "n_words": F.size("_rules_w").cast("bigint"), "_rules_h": hashes, "_rules_l": F.filter("_rules_a", has_word),
+        "_rules_short": F.when(F.col("_rules_may"), F.transform("_rules_a", _short)),
     })
+    # Lines that fail, by place; null where none can.
+    df = df.withColumn("_rules_f", F.when(F.col("_rules_may"), F.transform(
+        "_rules_a", lambda x, i: has_word(x) & (line_fails(x) | in_menu(F.col("_rules_short"), i)))))
+    bad = F.filter("_rules_a", lambda x, i: F.get("_rules_f", i))
+    df = df.withColumn("_rules_bad", F.when(F.col("_rules_may"), bad).otherwise(F.expr("cast(array() as array<string>)")))
     # Equal windows have equal hashes: only texts with a repeated hash are looked at word by word.
     ordered = F.sort_array("_rules_h")
     equal = F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.size("_rules_h")), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
@@ -144,10 +190,10 @@ def _judged(df: DataFrame, text: str, min_words: int, max_repeat: int, max_lost:
         "lost_words": F.size(_words(F.array_join("_rules_bad", "\n"))),
     }
     df = df.withColumns({n: c.cast("bigint") for n, c in counts.items()}).select(
-        *columns, *counts)
+        *columns, *counts, "_rules_a", "_rules_f")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     clean = F.when(F.col("n_removed_lines") == 0, F.col(text)).otherwise(
-        F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~(has_word(x) & line_fails(x))), "\n"))
+        F.array_join(F.filter("_rules_a", lambda x, i: ~F.get("_rules_f", i)), "\n"))
     return (df.withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") * 100 <= F.col("n_words") * max_lost))
             .withColumn("clean_text", clean))

@@ -75,12 +75,15 @@ def _sql_count(chars: str) -> str:
     return f"(length(line) - length(translate(line, '{chars}', '')))"
 
 
+_ENDED = r"""regexp_matches(line, '[.!?:;…"''»”)\]][\x20\x09-\x0D]*$')"""
+_TAIL = r"""regexp_extract(line, '[^.!?:;…"''»”)\]]*$')"""
 _LINE_FAILS = f"""(
     {_sql_count(quality_rules.ODD)} * 10 > length({_SOLID})
     OR ({_sql_count("!")} >= 2 AND {_sql_count("!")} * 4 >= length(line) - length({_SOLID}) + 1)
     OR ({_sql_count(_UPPER)} > 8 AND {_sql_count(_UPPER)} > {_sql_count(_LOWER)})
     OR ({_sql_count(quality_rules.BARS)} >= 2 AND {_sql_count(quality_rules.BARS)} * 4 >= length(line) - length({_SOLID}) + 1)
-    OR regexp_matches(lower(line), '{"|".join(quality_rules.BOILERPLATE)}'))"""
+    OR regexp_matches(lower(line), '{"|".join(quality_rules.BOILERPLATE)}')
+    OR (NOT {_ENDED} AND length({_TAIL}) - length({_SOLID.replace("line", _TAIL)}) + 1 >= 8))"""
 
 
 @query("op8_line_quality_rules", rf"""
@@ -94,7 +97,13 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)
 lines AS (
   SELECT rid, pos, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
-judged AS (SELECT *, has_word AND {_LINE_FAILS} AS bad FROM lines),
+short AS (
+  SELECT *, has_word AND len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) <= 3 AND NOT {_ENDED} AS short FROM lines),
+menu AS (
+  SELECT *, count(*) FILTER (short) OVER a = 4 OR count(*) FILTER (short) OVER b = 4 OR count(*) FILTER (short) OVER c = 4 OR count(*) FILTER (short) OVER d = 4 AS in_menu
+  FROM short WINDOW a AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), b AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING),
+       c AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING), d AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+judged AS (SELECT *, has_word AND (in_menu OR {_LINE_FAILS}) AS bad FROM menu),
 per AS (
   SELECT rid, count(*) FILTER (has_word) AS n_lines,
          count(*) FILTER (has_word) - count(DISTINCT line) FILTER (has_word) AS n_dup_lines,
@@ -154,7 +163,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS, MIX_KEEP)
     return out.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(MIX_WEIGHTS)),
-                      "rate", "copies", "totals", "targets")
+                      "rate", "copies", "totals", "targets", "fit")
 
 
 @query("op2_line_dedup", rf"""

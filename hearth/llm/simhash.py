@@ -140,7 +140,7 @@ def forest_by_probes(fps: np.ndarray, max_bits: int, mask: int, step: int = 2000
 
 def _block_links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     """Batches sorted by (block, key): the links of each (block, key) group."""
-    pivots, all_masks, rest = reference_fingerprints(), masks(max_bits), None
+    pivots, all_masks = reference_fingerprints(), masks(max_bits)
 
     def links(block: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (key[1:] != key[:-1])])
@@ -154,17 +154,21 @@ def _block_links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[p
             b += [fp[s + y] for _, y in pairs]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
+    held = []  # pieces of the last group, which may go on in the next batch; joined once
     for batch in batches:
+        if not batch.num_rows:
+            continue
         now = [batch.column(i).to_numpy() for i in range(3)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        # The last group may go on in the next batch.
+        if held and all(x[0] == x[-1] == h[-1] for x, h in zip(now[:2], held[-1])):
+            held.append(now)
+            continue
+        now = [np.concatenate(x) for x in zip(*held, now)]
         last = (now[0] != now[0][-1]) | (now[1] != now[1][-1])
         cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
         if cut and (out := links(*(x[:cut] for x in now))):
             yield out
-        rest = [x[cut:] for x in now]
-    if rest is not None and (out := links(*rest)):
+        held = [[x[cut:] for x in now]]
+    if held and (out := links(*(np.concatenate(x) for x in zip(*held)))):
         yield out
 
 

@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hearth.llm import mixing
 from hearth.llm.common import stored
@@ -28,15 +29,28 @@ def test_query_meets_its_targets(spark):
 
 
 def test_posteriors_follow_the_labels(spark):
+    """Held-out rows that are low or toxic, not both, by their domain; those that are both go to either of the two."""
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     dom = label_domains(labels)
-    fit_on, test = dom.filter("doc_id % 3 > 0"), dom.filter("doc_id % 3 = 0")
+    both = labels.filter("toxic = 1 AND quality = 0").select("doc_id").withColumn("both", F.lit(True))
+    fit_on, test = dom.filter("doc_id % 3 > 0"), dom.filter("doc_id % 3 = 0").join(both, "doc_id", "left")
     got = mixing.posteriors(d, fit_on, ["good", "low", "toxic"]).join(test, "doc_id").collect()
-    best = collections.Counter((r.domain, ["good", "low", "toxic"][int(np.argmax(r.p))]) for r in got)
-    print(best)
+    best = collections.Counter((bool(r.both), r.domain, ["good", "low", "toxic"][int(np.argmax(r.p))]) for r in got)
     for k in ("good", "low", "toxic"):
-        own = sum(n for (a, _), n in best.items() if a == k)
-        assert best[k, k] / own > 0.8, best
+        own = sum(n for (x, a, _), n in best.items() if a == k and not x)
+        assert best[False, k, k] / own > 0.85, best
+    assert best[True, "toxic", "good"] <= 0.1 * sum(n for (x, _, _), n in best.items() if x)
+
+
+def test_fit_tells_how_it_ended(spark):
+    r = np.random.default_rng(2)
+    p = r.dirichlet([0.3, 0.3, 0.3], 400)
+    rows = stored(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(r.integers(1, 500, 400), p)], "n_tokens bigint, p array<double>"), "mix-test")
+    for want, weights, rounds in (("targets", [0.4, 0.3, 0.3], 120), ("unsettled", [0.9999, 5e-5, 5e-5], 4)):
+        steps, totals, targets = mixing.fit_rates(rows, weights, 0, max_rounds=rounds, tolerance=1e-3)
+        assert mixing.fit_state(totals, targets, len(steps), rounds, 1e-3) == want
+    assert mixing.fit_state(np.array([9.0, 1.0]), np.array([8.0, 1.0]), 50, 120) == "nearest"
+    assert {x.fit for x in QUERIES["op1_soft_mixing"](spark, SF).select("fit").distinct().collect()} <= {"targets", "nearest"}
 
 
 def test_fit_reaches_the_constrained_optimum(spark):

@@ -167,6 +167,21 @@ def test_shouting_in_alternating_case(spark, tmp_path):
     assert rows(QUERIES["op8_line_quality_rules"](spark, d)) == collections.Counter(rel.fetchall())
 
 
+def test_line_ends_and_menus(spark, tmp_path):
+    body = [" ".join(f"plain{i}x{j}" for j in range(20)) + "." for i in range(12)]
+    texts = {
+        1: ["A sentence. Then a full line of eight words and", "One sentence of eight words and a mark. Then a few", "seven words are too few for it", 'a full line that ends with a quoted "end"', "eight words and some spaces behind the mark.  \t", "a b c d e f g ?\r", "no mark at all in this line of ten words"],
+        2: ["Home", "About us", "Our latest news", "Contact"], 3: ["Home", "About us", "", "News", "Contact"], 4: ["Home", "About us", "News", "a line of five words", "Contact", "More"],
+        5: ["Home", "About us.", "News", "Contact", "More"], 6: ["One", "two", "three", "four", "five", "six seven eight nine", "ten"],
+        7: ["Tous droits réservés.", "Alle Rechte vorbehalten.", "Todos los derechos reservados.", "Weiterlesen.", "All people read."]}
+    df = docs(spark, [(i, "\n".join(body + x)) for i, x in texts.items()])
+    got = {r.doc_id: (r.n_removed_lines, r.clean_text.split("\n")[12:]) for r in quality_rules.judge(df).collect()}
+    assert got == {1: (2, texts[1][1:-1]), 2: (4, []), 3: (0, texts[3]), 4: (0, texts[4]), 5: (0, texts[5]), 6: (5, texts[6][5:]), 7: (4, texts[7][4:])}
+    d = tables_dir(tmp_path, spark, documents=df.unionByName(sample_docs(spark)))
+    rel = duckdb.connect().sql(ORACLES["op8_line_quality_rules"].replace("FROM documents", f"FROM read_parquet('{d}/documents.parquet/*.parquet')"))
+    assert rows(QUERIES["op8_line_quality_rules"](spark, d)) == collections.Counter(rel.fetchall())
+
+
 def test_quality_agrees_with_labels(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
