@@ -36,7 +36,7 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "2"))
     names = sys.argv[1:] or HEADLINE
     from hearth.plans.registry import QUERIES, load_all
-    from hearth.session import build_session
+    from hearth.session import build_session, remove_run
     load_all()
     spark = build_session(f"local[{cpus}]", "hearth-bench", shuffle_partitions=max(8, 2 * cpus),
                           extra={"spark.driver.memory": "16g"})
@@ -53,6 +53,7 @@ def main() -> None:
             ts.append(time.perf_counter() - t)
         times[n] = round(statistics.median(ts), 3)
         print(f"# {n}: {times[n]}s", file=sys.stderr, flush=True)
+    remove_run(spark)
     sf = sf_dir.rsplit("sf", 1)[-1]
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,

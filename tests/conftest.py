@@ -11,7 +11,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from hearth.session import build_session
+    from hearth.session import build_session, remove_run
     s = build_session("local[4]", shuffle_partitions=8)
     yield s
+    remove_run(s)
     s.stop()
