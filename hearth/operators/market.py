@@ -246,6 +246,41 @@ def price_histogram(df: DataFrame, col: str = "price", bins: int = 50) -> DataFr
     return _hist_counts(df, col, bounds, "__bins")
 
 
+def round_histogram(df: DataFrame, col: str = "price", bins: int = 50) -> DataFrame:
+    """At most ``bins`` bins of a round width (2, 5 or 10 times a power of ten) whose edges are multiples of it:
+    the smallest such width with which the bins from the least to the greatest value are not too many.
+
+    Bins are half-open and number from 0; empty ones between the two ends are returned with count 0. Nulls and
+    NaN are not counted; without any value there are no bins. A constant column has one bin, of width 10 at 0 and else of
+    the last power of ten at or below its size. Infinite values fail the query, as no width holds them."""
+    if bins < 2:
+        raise ValueError("bins must be at least 2: values on both sides of an edge need two")
+    x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    d = df.select(x.alias("__x")).filter("__x IS NOT NULL")
+    ends = d.agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    span = F.col("__hi") - F.col("__lo")
+    size = F.when(span > 0, span / bins).otherwise(F.when(F.col("__hi") != 0, F.abs("__hi")).otherwise(F.lit(10.0)))
+    power = F.floor(F.log10(size)).cast("int")
+    step = lambda k, m: F.when(k >= 0, m * F.pow(F.lit(10.0), k)).otherwise(m / F.pow(F.lit(10.0), -k))
+    # the three powers around the rough size hold a fitting width, whichever way the logarithm was rounded
+    widths = F.array(*[step(power + k, F.lit(m)) for k in (-1, 0, 1) for m in (2.0, 5.0, 10.0)])
+    number = lambda w: F.floor(F.col("__hi") / w) - F.floor(F.col("__lo") / w) + 1
+    fits = F.element_at(F.filter(widths, lambda w: number(w) <= bins), 1)
+    finite = F.when(F.abs(span) < F.lit(float("inf")), fits).otherwise(
+        F.raise_error(F.lit(f"{col}: no bins hold infinite values")).cast("double"))
+    constant = F.when(F.col("__hi") == 0, F.lit(10.0)).otherwise(step(power, F.lit(1.0)))
+    bounds = ends.filter("__lo IS NOT NULL").withColumn("__w", F.when(span == 0, constant).otherwise(finite))
+    first = F.floor(F.col("__lo") / F.col("__w"))
+    counts = (attach(d, bounds).select((F.floor(F.col("__x") / F.col("__w")) - first).cast("int").alias("bin"))
+              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    last = (F.floor(F.col("__hi") / F.col("__w")) - first).cast("int")
+    spine = bounds.select(F.explode(F.sequence(F.lit(0), last)).alias("bin"), first.alias("__first"), "__w")
+    at = F.col("__first") + F.col("bin")
+    return spine.join(counts, "bin", "left").select(
+        "bin", (at * F.col("__w")).alias("bin_start"), ((at + 1) * F.col("__w")).alias("bin_end"),
+        F.coalesce(F.col("count"), F.lit(0).cast("bigint")).alias("count"))
+
+
 def auto_histogram(df: DataFrame, col: str = "price", exact: bool = True) -> DataFrame:
     """NumPy's 'auto' rule (NumPy 2): width = min(max(FD, sqrt/2), Sturges)
     with FD = 2 IQR n^-1/3, sqrt = range / sqrt(n), Sturges = range /

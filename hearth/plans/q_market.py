@@ -187,6 +187,21 @@ def q_hist(spark, d):
     return round_doubles(mk.price_histogram(_s(spark, d)), 4)
 
 
+@register("round_histogram", """
+WITH e AS (SELECT min(price) AS lo, max(price) AS hi FROM sales),
+w AS (SELECT lo, hi, min(m * pow(10.0E0, k)) AS w FROM e CROSS JOIN (VALUES (2), (5), (10)) t(m)
+      CROSS JOIN (SELECT range AS k FROM range(0, 12)) p
+      WHERE floor(hi / (m * pow(10.0E0, k))) - floor(lo / (m * pow(10.0E0, k))) + 1 <= 50 GROUP BY lo, hi),
+b AS (SELECT CAST(floor(lo / w) AS BIGINT) + range AS at, range AS bin, w FROM w CROSS JOIN range(50)
+      WHERE floor(lo / w) + range <= floor(hi / w)),
+c AS (SELECT CAST(floor(price / w) AS BIGINT) AS at, count(*) AS cnt FROM sales CROSS JOIN w
+      WHERE price IS NOT NULL GROUP BY 1)
+SELECT CAST(bin AS INTEGER) AS bin, b.at * w AS bin_start, (b.at + 1) * w AS bin_end, coalesce(cnt, 0) AS count
+FROM b LEFT JOIN c ON b.at = c.at""")
+def q_round_hist(spark, d):
+    return mk.round_histogram(_s(spark, d))
+
+
 @register("auto_histogram", """
 WITH s AS (SELECT min(price) AS lo, max(price) AS hi, count(price) AS n,
                   quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM sales),

@@ -99,3 +99,44 @@ def test_bootstrap_weights(spark):
     odd = spark.createDataFrame([(1, None, 2.0), (None, 1, 2.0), (2, 1, None)], "id long, grade int, price double")
     assert mk.bootstrap_sums(odd, "grade", "price", 8).count() == 0
     assert [(r.grade, r.n, r.ci_low) for r in mk.grade_price_bootstrap(odd, replicates=8).collect()] == [(1, 1, None)]
+
+
+def round_bins(values, bins):
+    """All round widths from small to large, the first that is coarse enough."""
+    lo, hi = min(values), max(values)
+    for k in range(-12, 12):
+        for m in (2, 5, 10):
+            w = m * 10.0 ** k if k >= 0 else m / 10.0 ** -k
+            first, last = math.floor(lo / w), math.floor(hi / w)
+            if last - first + 1 <= bins:
+                return [(i - first, i * w, (i + 1) * w, sum(math.floor(v / w) == i for v in values))
+                        for i in range(first, last + 1)]
+
+
+@pytest.mark.parametrize("values, bins", [
+    ([78_000.0, 120_500.0, 450_000.0, 450_000.0, 7_700_000.0], 50),
+    ([-3.2, -0.1, 0.0, 0.4, 9.9], 7),
+    ([0.001, 0.0035, 0.0099], 4),
+    ([0.0, 100.0], 50),  # the rough width is itself round, but its bins are one too many
+    ([1.0, 1000.0], 2),
+    ([-1.0, 1.0], 2),
+    ([0.0, 10.0], 10),
+    ([999_999.5, 1_000_000.5], 3),
+])
+def test_round_histogram(spark, values, bins):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "price double")
+    got = [tuple(r) for r in mk.round_histogram(df.repartition(3), bins=bins).orderBy("bin").collect()]
+    assert got == round_bins(values, bins)
+    assert sum(r[3] for r in got) == len(values) and len(got) <= bins
+
+
+def test_round_histogram_edges(spark):
+    t = "price double"
+    assert mk.round_histogram(spark.createDataFrame([], t)).count() == 0
+    assert mk.round_histogram(spark.createDataFrame([(None,), (float("nan"),)], t)).count() == 0
+    assert [tuple(r) for r in mk.round_histogram(spark.createDataFrame([(0.0,)] * 3, t)).collect()] == [(0, 0.0, 10.0, 3)]
+    assert [tuple(r) for r in mk.round_histogram(spark.createDataFrame([(-437.0,)] * 2, t)).collect()] == [(0, -500.0, -400.0, 2)]
+    with pytest.raises(Exception, match="infinite"):
+        mk.round_histogram(spark.createDataFrame([(1.0,), (float("inf"),)], t)).collect()
+    with pytest.raises(ValueError):
+        mk.round_histogram(spark.createDataFrame([(1.0,)], t), bins=1)
