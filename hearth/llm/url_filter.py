@@ -16,6 +16,11 @@ Because the universe holds every candidate key of the corpus, membership of
 any of its keys is exact: the parity of the first level that refuses it. The
 application needs no join; the levels are folded array literals.
 
+Rules are given as Python pairs or, for lists of any length, as a table of hosts
+and paths. Of a table only the keys that occur in the universe are encoded (no
+other can be asked for), so a cascade grows with the listed keys that the corpus
+could match, not with the list.
+
 Only DataFrame functions are used. What the driver holds is the bit arrays:
 about 1.5 * log2(universe / listed) bits a listed key, checked against
 ``max_bits``. False-positive keys stay in a table.
@@ -35,6 +40,10 @@ ALLOW, BLOCK = "allow", "block"
 #: Upper bound of all levels of one list, in bits (16 MB).
 MAX_BITS = 1 << 27
 MAX_LEVELS = 64
+#: Most shapes of a table of rules: a url has one candidate key for each.
+MAX_SHAPES = 1 << 10
+
+Rules = list[tuple[str, str]] | DataFrame
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -46,14 +55,30 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def shapes_of(rules: list[tuple[str, str]]) -> list[tuple[int, int]]:
-    """The (host labels, path length) pairs of the rules."""
-    return sorted({(host.count(".") + 1, len(path)) for host, path in rules})
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _table_rules(rules: DataFrame) -> DataFrame:
+    """(host, path) of a table of rules; rows without a host hold no rule, a null path is the empty one."""
+    return (rules.select(F.col("host").cast("string").alias("host"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"))
+            .filter("host IS NOT NULL AND host <> ''"))
+
+
+def shapes_of(rules: Rules) -> list[tuple[int, int]]:
+    """The (host labels, path length) pairs of the rules. Of a table only the distinct pairs reach the driver;
+    ValueError if they are more than ``MAX_SHAPES``."""
+    if not isinstance(rules, DataFrame):
+        return sorted({(host.count(".") + 1, len(path)) for host, path in rules})
+    pairs = _table_rules(rules).select(_labels(F.col("host")), F.length("path")).distinct().limit(MAX_SHAPES + 1).collect()
+    if len(pairs) > MAX_SHAPES:
+        raise ValueError(f"rules have more than {MAX_SHAPES} pairs of host labels and path length; split the list")
+    return sorted(tuple(r) for r in pairs)
 
 
 def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
     """Array of the keys of one url, one per shape that it is long enough for."""
-    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    labels = _labels(host)
     keys = [F.when((F.length(host) > 0) & (labels >= n) & (F.length(path) >= size),
                    F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, size)))
             for n, size in shapes]
@@ -109,24 +134,29 @@ def _build_level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
     return Level(bits, hashes, tuple(words))
 
 
-def build_cascade(spark: SparkSession, listed: list[str], universe: DataFrame, n_universe: int,
+def build_cascade(spark: SparkSession, listed: list[str] | DataFrame, universe: DataFrame, n_universe: int,
                   max_bits: int = MAX_BITS) -> Cascade:
-    """Cascade of ``listed`` over ``universe`` (distinct keys in column ``key``).
+    """Cascade of ``listed`` (keys, or a table of them in column ``key``) over ``universe`` (distinct keys
+    in column ``key``).
 
     The first level's rate is sqrt(1/2) * listed / universe, so that about as many keys reach level 1
     as are listed; later levels use 1/2. Raises ValueError if a level would exceed ``max_bits``: such
     a list is to be split into several filters."""
-    listed = sorted(set(listed))
-    if not listed:
+    if isinstance(listed, DataFrame):
+        inside = stored(universe.join(listed, "key", "left_semi"), "listed-keys")
+        n = inside.count()
+    else:
+        listed = sorted(set(listed))
+        n = len(listed)
+        inside = literal_table(spark, [(k,) for k in listed], "key string")
+    if not n:
         return Cascade(())
-    n = len(listed)
-    rate = min(0.5, math.sqrt(0.5) * n / max(n_universe, n))
-    inside = literal_table(spark, [(k,) for k in listed], "key string")
+    total, rate = n, min(0.5, math.sqrt(0.5) * n / max(n_universe, n))
     outside = universe.join(inside, "key", "left_anti")
     keys, levels, other = inside, [], outside
     for number in range(MAX_LEVELS):
         if n * -math.log(rate) / math.log(2) ** 2 + sum(x.bits for x in levels) > max_bits:
-            raise ValueError(f"cascade of {len(listed)} keys exceeds {max_bits} bits")
+            raise ValueError(f"cascade of {total} keys exceeds {max_bits} bits")
         level = _build_level(keys, n, rate, number)
         levels.append(level)
         wrong = stored(other.filter(_accepts(level, F.col("key"), number)), "cascade-level")
@@ -137,15 +167,17 @@ def build_cascade(spark: SparkSession, listed: list[str], universe: DataFrame, n
     raise ValueError(f"no exact cascade within {MAX_LEVELS} levels")
 
 
-def filter_urls(pages: DataFrame, allow: list[tuple[str, str]], block: list[tuple[str, str]],
-                url: str = "url", default: str = ALLOW) -> DataFrame:
+def filter_urls(pages: DataFrame, allow: Rules, block: Rules, url: str = "url", default: str = ALLOW) -> DataFrame:
     """``pages`` with host, path, rule (the longest fitting rule as ``host + path``, else null) and
     verdict (its list's name, else ``default``).
 
+    ``allow`` and ``block`` are pairs (host, path) or tables with columns ``host`` and ``path``; hosts in lower
+    case. In a table, repeated rules count once, rows without a host hold no rule, and a null path is empty.
+
     Null, empty and malformed urls fit no rule. Repeated rows are judged one by one; among rules of
     equal length the one with the longer host wins; a rule on both lists blocks. An empty table gives
     an empty table. Columns of ``pages`` called like an output column are replaced."""
-    spark, shapes = pages.sparkSession, shapes_of(allow + block)
+    spark, shapes = pages.sparkSession, sorted({*shapes_of(allow), *shapes_of(block)})
     out = ["host", "path", "rule", "verdict"]
     own = Masked(pages.drop(*[c for c in out if c != url]))
     parts = own.df.select("*", *(c.alias(n) for c, n in zip(split_url(F.col(own.name[url])), out)))
@@ -153,7 +185,13 @@ def filter_urls(pages: DataFrame, allow: list[tuple[str, str]], block: list[tupl
     universe = stored(parts.select(F.explode(keys).alias("key")).distinct(), "url-keys")
     n = universe.count()
     lists = {BLOCK: block, ALLOW: allow}
-    cascades = {v: build_cascade(spark, [h + p for h, p in rules], universe, n) for v, rules in lists.items()}
+
+    def keys_of(rules: Rules) -> list[str] | DataFrame:
+        if isinstance(rules, DataFrame):
+            return _table_rules(rules).select(F.concat("host", "path").alias("key"))
+        return [h + p for h, p in rules]
+
+    cascades = {v: build_cascade(spark, keys_of(rules), universe, n) for v, rules in lists.items()}
 
     def fits(verdict: str) -> Column:
         return F.transform(F.filter(keys, cascades[verdict].contains),

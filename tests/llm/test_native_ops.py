@@ -52,6 +52,36 @@ def test_url_edges(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, [], []).collect()} == {"allow"}
 
 
+def test_url_rules_as_tables(spark):
+    """Tables of rules judge like lists; keys that the urls cannot match are not encoded."""
+    schema = "host string, path string, key string"
+    extra = [(f"h{i}.example.net", "/p/", "x") for i in range(3000)]
+    allow = spark.createDataFrame([(h, p, "a") for h, p in URL_ALLOW] * 2 + extra, schema)
+    block = spark.createDataFrame([(h, p, "b") for h, p in URL_BLOCK] + [(None, "/en/", "n"), ("", "/", "e"), ("net", None, "p")], schema)
+    urls = [None, "", "http://org/", "http://org/x", "http://a.example.org/es/1", "http://example.org/en/12", "http://b.com/fr/", "http://b.com/de/",
+            "http://h7.example.net/p/q", "http://h7.example.net/r", "http://h3000.example.net/p/", "http://x.net"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, allow, block).collect()}
+    listed = url_filter.filter_urls(df, URL_ALLOW + [e[:2] for e in extra], URL_BLOCK + [("net", "")])
+    assert got == {r.page_id: (r.rule, r.verdict) for r in listed.collect()}
+    assert got[8] == ("h7.example.net/p/", "allow") and got[9] == ("net", "block") and got[0] == (None, "allow")
+    mixed = url_filter.filter_urls(df, URL_ALLOW, block.limit(0))
+    assert {r.verdict for r in mixed.collect()} == {"allow"}
+    assert url_filter.filter_urls(df.limit(0), allow, block).count() == 0
+    universe = spark.range(0, 50).selectExpr("concat('k', id) AS key")
+    many = spark.range(25, 100_000).selectExpr("concat('k', id) AS key")
+    cascade = url_filter.build_cascade(spark, many, universe, 50, max_bits=1000)
+    assert universe.filter(cascade.contains(universe.key)).count() == 25
+
+
+def test_url_shapes_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_SHAPES", 4)
+    rules = spark.createDataFrame([("org", "/" * i) for i in range(5)], "host string, path string")
+    assert len(url_filter.shapes_of(rules.limit(4))) <= 4
+    with pytest.raises(ValueError, match="split"):
+        url_filter.shapes_of(rules)
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).selectExpr("concat('k', id) AS key")
     listed = [f"k{i}" for i in range(0, 20_000, 37)] + ["not there"]
