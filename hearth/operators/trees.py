@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from hearth.operators.util import attach
 from hearth.session import materialize, scratch_path
 
-#: Nodes with at most so many cells are finished in one task.
-LOCAL_CELLS = 200_000
+#: Nodes with at most so many cells are finished in one task (about 1 GB at 5 features).
+LOCAL_CELLS = 2_000_000
 #: Bytes of nodes that are broadcast at a time to score rows; larger models are scored by joins.
 CHUNK_BYTES, MODEL_BYTES = 32 << 20, 512 << 20
 #: Levels that Spark splits at most (a node's number above must fit 31 bits).
@@ -167,7 +167,8 @@ def _score(s: np.ndarray, h: np.ndarray, l2: float) -> np.ndarray:
 
 
 def grow_group(bins: np.ndarray, h: np.ndarray, s: np.ndarray, settings: TreeSettings, depth: int | None) -> tuple[dict, np.ndarray]:
-    """A whole (sub)tree over cells: columns of its nodes (ids from 0 in order of making), and each cell's leaf."""
+    """A whole (sub)tree over cells: columns of its nodes (ids from 0 in order of making), and each cell's leaf. A level's sums per (node, bin)
+    are a dense table where that is small beside the cells, else sums of sorted runs."""
     n, p = bins.shape
     left, right, feature, cut, value, cover, gained = ([] for _ in range(7))
 
@@ -177,61 +178,70 @@ def grow_group(bins: np.ndarray, h: np.ndarray, s: np.ndarray, settings: TreeSet
         value.append(np.divide(ss, hs + settings.l2, out=np.zeros(len(hs)), where=hs + settings.l2 > 0))
         cover.append(hs)
 
-    make(np.array([h.sum()]), np.array([s.sum()]))
-    made, node = 1, np.zeros(n, np.int64)
+    hs, ss = np.array([h.sum()]), np.array([s.sum()])
+    make(hs, ss)
+    made, first, level = 1, 0, 0  # nodes, id of the level's first node
     leaf = np.zeros(n, np.int64)
-    live = np.arange(n)  # cells of nodes that may still be split
-    orders = [np.argsort(bins[:, j].astype(np.uint16), kind="stable") for j in range(p)]
-    first, level = 0, 0  # id of the level's first node
+    # Cells of nodes that may still be split, and their node's place in the level.
+    live, local, own_bins = np.arange(n), np.zeros(n, np.int64), np.ascontiguousarray(bins.T, np.int32)
+    widths = [int(b.max()) + 1 if n else 1 for b in own_bins]
     while len(live) and (depth is None or level < depth):
         k = made - first
-        local = node - first
-        # Numbers of 16 bits are sorted by radix.
-        short = local.astype(np.uint16 if k <= 1 << 16 else np.int64)
-        hs, ss = np.bincount(local[live], h[live], k), np.bincount(local[live], s[live], k)
+        hv, sv = h[live], s[live]
         best, what, where = np.full(k, -np.inf), np.zeros(k, np.int64), np.zeros(k, np.int64)
         parent = _score(ss, hs, settings.l2)
-        for j in range(p):
-            o = orders[j] = orders[j][np.argsort(short[orders[j]], kind="stable")]
-            at, b = local[o], bins[o, j]
-            i = np.flatnonzero((at[1:] == at[:-1]) & (b[1:] != b[:-1]))
-            if not len(i):
-                continue
-            start = np.searchsorted(at, np.arange(k))
-            ch, cs = np.r_[0.0, np.cumsum(h[o])], np.r_[0.0, np.cumsum(s[o])]
-            own = at[i]
-            hl, sl = ch[i + 1] - ch[start[own]], cs[i + 1] - cs[start[own]]
-            hr, sr = hs[own] - hl, ss[own] - sl
+
+        def gains(hl: np.ndarray, sl: np.ndarray, h0: np.ndarray, s0: np.ndarray, above: np.ndarray) -> np.ndarray:
+            hr, sr = h0 - hl, s0 - sl
             fits = (hl >= settings.min_child) & (hr >= settings.min_child) & (hl > 0) & (hr > 0)
-            gain = np.where(fits, _score(sl, hl, settings.l2) + _score(sr, hr, settings.l2) - parent[own], -np.inf)
-            edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            top = np.full(k, -np.inf)
-            top[own[edge]] = np.maximum.reduceat(gain, edge)
-            hit = np.flatnonzero(gain == top[own])
-            hit = hit[np.r_[True, own[hit][1:] != own[hit][:-1]]]
-            better = np.zeros(k, bool)
-            better[own[hit]] = gain[hit] > best[own[hit]] + 1e-12 * np.abs(parent[own[hit]])
-            take = hit[better[own[hit]]]
-            best[own[take]], what[own[take]], where[own[take]] = gain[take], j, b[i[take]]
+            return np.where(fits, _score(sl, hl, settings.l2) + _score(sr, hr, settings.l2) - above, -np.inf)
+
+        for j, wide in enumerate(widths):
+            if wide == 1:
+                continue
+            slot = local * wide + own_bins[j]
+            if k * wide <= 4 * len(live):
+                hl = np.bincount(slot, hv, k * wide).reshape(k, wide).cumsum(axis=1)[:, :-1]
+                sl = np.bincount(slot, sv, k * wide).reshape(k, wide).cumsum(axis=1)[:, :-1]
+                gain = gains(hl, sl, hs[:, None], ss[:, None], parent[:, None])
+                at = gain.argmax(axis=1)
+                nodes, top = np.arange(k), gain[np.arange(k), at]
+            else:
+                o = np.argsort(slot)
+                key = slot[o]
+                ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True])
+                own, b = np.divmod(key[ends], wide)
+                ch, cs = np.cumsum(hv[o])[ends], np.cumsum(sv[o])[ends]
+                last = np.flatnonzero(np.r_[own[1:] != own[:-1], True])  # every node of a level has cells
+                i = np.flatnonzero(own[1:] == own[:-1])
+                if not len(i):
+                    continue
+                of = own[i]
+                gain = gains(ch[i] - np.r_[0.0, ch[last]][of], cs[i] - np.r_[0.0, cs[last]][of], hs[of], ss[of], parent[of])
+                edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                most = np.full(k, -np.inf)
+                most[of[edge]] = np.maximum.reduceat(gain, edge)
+                hit = np.flatnonzero(gain == most[of])
+                hit = hit[np.r_[True, of[hit][1:] != of[hit][:-1]]]
+                nodes, top, at = of[hit], gain[hit], b[i[hit]]
+            better = top > best[nodes] + 1e-12 * np.abs(parent[nodes])
+            nodes = nodes[better]
+            best[nodes], what[nodes], where[nodes] = top[better], j, at[better]
         split = best > 1e-10 * (np.abs(parent) + 1e-300)
         child = np.where(split, made + 2 * (np.cumsum(split) - 1), -1)
         left[-1], right[-1] = child, np.where(split, child + 1, -1)
         feature[-1], cut[-1], gained[-1] = np.where(split, what, -1), np.where(split, where, -1), np.where(split, best, 0.0)
-        stays = ~split[local[live]]
-        leaf[live[stays]] = node[live[stays]]
-        live = live[~stays]
+        goes = split[local]
+        leaf[live[~goes]] = first + local[~goes]
+        live, local, own_bins = live[goes], local[goes], own_bins[:, goes]
         if not len(live):
             break
-        own = local[live]
-        node[live] = child[own] + (bins[live, what[own]] > where[own])
+        local = child[local] + (own_bins[what[local], np.arange(len(live))] > where[local]) - made
         m = 2 * int(split.sum())
-        place = node[live] - made
-        make(np.bincount(place, h[live], m), np.bincount(place, s[live], m))
+        hs, ss = np.bincount(local, h[live], m), np.bincount(local, s[live], m)
+        make(hs, ss)
         first, made, level = made, made + m, level + 1
-        keep = np.zeros(n, bool)
-        keep[live] = True
-        orders = [o[keep[o]] for o in orders]
-    leaf[live] = node[live]
+    leaf[live] = first + local
     columns = {"left": left, "right": right, "feature": feature, "bin": cut, "value": value, "cover": cover, "gain": gained}
     return {c: np.concatenate(x) for c, x in columns.items()}, leaf
 
@@ -345,6 +355,152 @@ def grow(state: DataFrame, p: int, settings: TreeSettings) -> tuple[DataFrame, D
 BOTH = [c.split()[0] for c in NODES.split(", ")] + ["cell", "h", "s"]
 
 
+# --- forests whose trees are finished in one task each --------------------------------------------------------
+
+#: Sums of a tree, gathered by a task before they go on, and draws (rows x trees) made at a time.
+PACKED, DRAWS = 8192, 2_000_000
+
+
+def _cell_udf(edges: list[list[float]]):
+    @F.pandas_udf("binary")
+    def cell(x: pd.Series) -> pd.Series:
+        bins = to_bins(_rows(x, len(edges)), edges)
+        return pd.Series([b.tobytes() for b in bins])
+    return cell
+
+
+def _with_cells(rows: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
+    """(cell, fold, label, row_hash) of training rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([b.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
+                cells = _binary(np.ascontiguousarray(to_bins(x, edges)).view(np.dtype((np.void, 2 * len(features))))[:, 0])
+                yield pa.RecordBatch.from_arrays([cells, b.column("fold"), b.column("label"), b.column("row_hash")], ["cell", "fold", "label", "row_hash"])
+
+    r = rows.select(*[F.col(f).cast("double").alias(f) for f in features], "label", "row_hash", "fold")
+    return r.mapInArrow(run, "cell binary, fold int, label double, row_hash bigint")
+
+
+def packed_cells(rows: DataFrame, p: int, settings: TreeSettings, models: int = 1) -> DataFrame:
+    """(tree, cells, folds, h, s): what trees need of their rows, many cells to a record, as bytes. ``rows``: ``_with_cells``. Rows are
+    dealt and sorted by cell (a frequent cell's rows by their hash), so a task adds up its own cells and sends each on about once
+    per tree, without a row per (tree, cell). With ``models`` > 1 sums are by fold, and cells without weight go along."""
+    spark, trees = rows.sparkSession, settings.trees
+    bagged = settings.bagged and settings.bootstrap
+
+    def records(cells: list, folds: list, h: list, s: list) -> Iterator[pa.RecordBatch]:
+        c, f, hs, ss = np.concatenate(cells), np.concatenate(folds), np.concatenate(h), np.concatenate(s)
+        out = []
+        for t in range(trees):
+            k = np.flatnonzero(hs[:, t] > 0) if models == 1 else slice(None)
+            out.append((t, c[k].tobytes(), f[k].tobytes(), hs[k, t].tobytes(), ss[k, t].tobytes()))
+        out = [r for r in out if r[1]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[i] for r in out], pa.binary()) for i in range(1, 5)]],
+                                             ["tree", "cells", "folds", "h", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, step = ([], [], [], []), 0, max(1, DRAWS // trees)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                cell = np.frombuffer(b"".join(b.column("cell").to_pylist()), np.dtype((np.void, 2 * p)))
+                fold, y = b.column("fold").to_numpy().astype(np.int32), b.column("label").to_numpy()
+                start = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (fold[1:] != fold[:-1])])
+                w = bag_weights(b.column("row_hash").to_numpy().view(np.uint64), trees, settings.seed) if bagged else np.ones((len(y), trees))
+                # A part's weights are whole numbers below 2^24.
+                for a, x in zip(held, (cell[start], fold[start], np.add.reduceat(w, start, axis=0).astype(np.float32), np.add.reduceat(w * y[:, None], start, axis=0))):
+                    a.append(x)
+                n += len(start)
+                if n >= PACKED:
+                    yield from records(*held)
+                    held, n = ([], [], [], []), 0
+        if n:
+            yield from records(*held)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = rows.repartitionByRange(tasks, "cell", "row_hash").sortWithinPartitions("cell", "fold", "row_hash")
+    return dealt.mapInArrow(run, "tree int, cells binary, folds binary, h binary, s binary").repartition(max(tasks, min(2 * trees, 1000)), "tree")
+
+
+def _distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in ascending order, and each row's number among them."""
+    code, size = np.zeros(len(bins), np.int64), 1
+    for b in bins.T:
+        wide = int(b.max()) + 1
+        size *= wide
+        if size >= 1 << 62:
+            u, at = np.unique(bins, axis=0, return_inverse=True)
+            return u, at.ravel()
+        code = code * wide + b
+    _, first, at = np.unique(code, return_index=True, return_inverse=True)
+    return bins[first], at
+
+
+def _unpack(t: pa.Table, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct cells of one tree; per sum its cell's number, its fold, h and s."""
+    def joined(c: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    bins = joined("cells", ">u2").reshape(-1, p).astype(np.int64)
+    # In the order of their bytes: sums do not depend on which record came first.
+    s, folds = joined("s", float), joined("folds", np.int32)
+    cells, at = _distinct(bins)
+    o = np.lexsort((s, folds, at))
+    return cells, at[o], folds[o], joined("h", np.float32).astype(float)[o], s[o]
+
+
+def grow_packed(packed: DataFrame, p: int, settings: TreeSettings) -> DataFrame:
+    """NODES of the trees of ``packed``, each grown whole in one task."""
+    def run(t: pa.Table) -> pa.Table:
+        cells, at, _, h, s = _unpack(t, p)
+        nodes = grow_group(cells, np.bincount(at, h, len(cells)), np.bincount(at, s, len(cells)), settings, settings.depth)[0]
+        return _table(nodes, 0, t.column("tree")[0].as_py(), 1 << 32)
+
+    return packed.groupBy("tree").applyInArrow(run, NODES)
+
+
+#: Cells whose values go together to where they are added up over the trees.
+TOLD = 16_384
+
+
+def tell_packed(packed: DataFrame, p: int, settings: TreeSettings, models: int) -> DataFrame:
+    """(model, cell, prediction) of each fold's cells, by the forest of the other folds."""
+    def grown(t: pa.Table) -> pa.Table:
+        cells, at, fold, h, s = _unpack(t, p)
+        tree, out = t.column("tree")[0].as_py(), []
+        for m in range(models):
+            own = fold != m
+            hm, sm = np.bincount(at[own], h[own], len(cells)), np.bincount(at[own], s[own], len(cells))
+            asked = np.zeros(len(cells), bool)
+            asked[at[~own]] = True
+            k = np.flatnonzero((hm > 0) | asked)
+            nodes, leaf = grow_group(cells[k], hm[k], sm[k], settings, settings.depth)
+            told, value = cells[k[asked[k]]].astype(">u2"), nodes["value"][leaf[asked[k]]]
+            # A fold's cells are the same, in the same order, for every tree.
+            out += [(m, a // TOLD, tree, told[a:a + TOLD].tobytes() if tree == 0 else b"", value[a:a + TOLD].tobytes()) for a in range(0, len(told), TOLD)]
+        return pa.table([pa.array([r[i] for r in out], x) for i, x in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                        ["model", "part", "tree", "cells", "value"])
+
+    def added(t: pa.Table) -> pa.Table:
+        t = t.sort_by("tree")
+        cells = _split(b"".join(t.column("cells").to_pylist()), 2 * p)
+        total = sum(np.frombuffer(v, float) for v in t.column("value").to_pylist()) / settings.trees
+        return pa.table({"model": pa.array(np.full(len(cells), t.column("model")[0].as_py(), np.int32)), "cell": cells, "prediction": total})
+
+    told = packed.groupBy("tree").applyInArrow(grown, "model int, part int, tree int, cells binary, value binary")
+    return told.groupBy("model", "part").applyInArrow(added, "model int, cell binary, prediction double")
+
+
+def _split(cells: bytes, width: int) -> pa.Array:
+    return _binary(np.frombuffer(cells, np.dtype((np.void, width))))
+
+
+def fits_a_task(rows: DataFrame, settings: TreeSettings) -> bool:
+    """Whether all cells of ``rows`` (``_with_cells``) may be in one task."""
+    return rows.select("cell").distinct().count() <= settings.local_cells
+
+
 # --- fits -------------------------------------------------------------------------------------------------------
 
 @dataclass
@@ -395,7 +551,7 @@ class TreeModel:
         sizes = {r.tree: r["count"] for r in self.nodes.groupBy("tree").count().collect()}  # one row per tree
         each = 40
         if sum(sizes.values()) * each > model_bytes or max(sizes.values()) * each > chunk_bytes:
-            scored = self._by_joins(rows)
+            scored = self._by_cells(rows)
         else:
             chunks, held = [[]], 0
             for t, n in sorted(sizes.items()):
@@ -427,36 +583,76 @@ class TreeModel:
 
         return scored.withColumn("__sum", add("__x", "__sum"))
 
-    def _by_joins(self, rows: DataFrame) -> DataFrame:
-        """The same for any size of model: rows and nodes meet level by level by (tree, node)."""
-        edges = self.edges
+    def _by_cells(self, rows: DataFrame) -> DataFrame:
+        """The same for any size of model: trees meet the distinct cells of the rows, not the rows."""
+        x = F.array(*[F.col(f"__imp_{f}").cast("double") for f in self.features])
+        own = materialize(rows.withColumn("__cell", _cell_udf(self.edges)(x)), "rows-to-score")
+        sums = over_trees(self, own.select(F.col("__cell").alias("cell")).distinct(), 1, lambda tree, bins: tree["value"][walk(tree, bins)][:, None])
+        return own.join(sums.select(F.col("cell").alias("__cell"), F.col("sums")[0].alias("__sum")), "__cell")
 
-        @F.pandas_udf("binary")
-        def cell(x: pd.Series) -> pd.Series:
-            bins = to_bins(_rows(x, len(edges)), edges)
-            return pd.Series([b.tobytes() for b in bins])
 
-        spark = rows.sparkSession
-        own = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "rows-to-score")
-        x = F.array(*[F.col(f"__imp_{f}").cast("double") for f in self.features])
-        nodes = self.nodes.select("tree", F.col("id").alias("node"), "left", "right", "feature", "bin", "value")
-        roots = nodes.groupBy("tree").agg(F.min("node").alias("node"))
-        at = own.select("__row", cell(x).alias("cell")).join(roots, F.lit(True))  # one row per tree
-        done = None
-        while True:
-            at = materialize(at.join(nodes, ["tree", "node"]), "scoring")
-            leaf = at.filter("feature < 0").groupBy("__row").agg(F.sum("value").alias("v"))
-            done = leaf if done is None else done.unionByName(leaf)
-            at = at.filter("feature >= 0")
-            if at.isEmpty():
-                break
-            at = at.select("__row", "cell", "tree", F.when(_bin_of(F.col("cell"), F.col("feature")) > F.col("bin"), F.col("right")).otherwise(F.col("left")).alias("node"))
-        return own.join(done.groupBy("__row").agg(F.sum("v").alias("__sum")), "__row")
+#: Cells that a tree meets at a time.
+CHUNK_CELLS = 2_000_000
+
+
+def over_trees(model: TreeModel, cells: DataFrame, width: int, work: Callable[[dict, np.ndarray], np.ndarray]) -> DataFrame:
+    """(cell, sums): for each of the distinct ``cells``, the sums over all trees of ``work`` (tree, bins of n cells) -> n x width. A task holds one tree
+    and the bytes of a chunk of cells; a chunk's results are added up in pieces. Stored."""
+    spark, p = model.nodes.sparkSession, len(model.features)
+    cells = materialize(cells, "cells-to-score")
+    piece = max(1, TOLD // width)
+    chunks = max(1, -(-cells.count() // CHUNK_CELLS))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, part = [], 0, 0
+        for b in batches:
+            if b.num_rows:
+                chunk = b.column("chunk")[0].as_py()
+                held += b.column("cell").to_pylist()
+                while len(held) >= piece:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([b"".join(held[:piece])])], ["chunk", "part", "cells"])
+                    held, part = held[piece:], part + 1
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([b"".join(held)])], ["chunk", "part", "cells"])
+
+    dealt = cells.repartition(chunks, "cell").select("cell", F.spark_partition_id().alias("chunk"))
+    packed = materialize(dealt.mapInArrow(pack, "chunk int, part int, cells binary"), "packed-cells")
+    trees = materialize(model.nodes.select("tree").distinct(), "trees")  # one row per tree
+    n = trees.count()
+
+    def meet(nodes: pa.Table, parts: pa.Table) -> pa.Table:
+        out = []
+        if nodes.num_rows and parts.num_rows:
+            tree = _arrays_of(nodes)[0]
+            number = nodes.column("tree")[0].as_py()
+            for r in parts.sort_by("part").select(["of_chunk", "part", "cells"]).to_pylist():
+                bins = np.frombuffer(r["cells"], ">u2").reshape(-1, p).astype(np.int64)
+                out.append((r["of_chunk"], r["part"], number, r["cells"], np.ascontiguousarray(work(tree, bins), float).tobytes()))
+        return pa.table([pa.array([r[i] for r in out], x) for i, x in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                        ["chunk", "part", "tree", "cells", "sums"])
+
+    def added(t: pa.Table) -> pa.Table:
+        t = t.sort_by("tree")
+        total = sum(np.frombuffer(v, float) for v in t.column("sums").to_pylist())
+        own = _split(t.column("cells")[0].as_py(), 2 * p)
+        return pa.table({"cell": own, "sums": pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * width, pa.int32()), pa.array(total))})
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, min(2 * n, 1000))
+    nodes = model.nodes.select("tree", "id", "left", "right", "feature", "bin", "value", "cover")
+    nodes = nodes.crossJoin(F.broadcast(packed.select("chunk").distinct())).repartition(tasks, "tree", "chunk")  # one row per chunk
+    own = [F.col("chunk").alias("of_chunk"), F.col("tree").alias("of_tree")]  # other names than the nodes': both come from the same tables
+    parts = packed.crossJoin(F.broadcast(trees)).select(*own, "part", "cells").repartition(tasks, "of_tree", "of_chunk")
+    met = nodes.groupBy("tree", "chunk").cogroup(parts.groupBy("of_tree", "of_chunk")).applyInArrow(meet, "chunk int, part int, tree int, cells binary, sums binary")
+    return materialize(met.groupBy("chunk", "part").applyInArrow(added, "cell binary, sums array<double>"), "cell-sums")
 
 
 def chunk_arrays(nodes: DataFrame) -> list[dict]:
     """Trees as arrays, children by position."""
-    t = nodes.select("tree", "id", "left", "right", "feature", "bin", "value", "cover").toArrow().sort_by([("tree", "ascending"), ("id", "ascending")])
+    return _arrays_of(nodes.select("tree", "id", "left", "right", "feature", "bin", "value", "cover").toArrow())
+
+
+def _arrays_of(t: pa.Table) -> list[dict]:
+    t = t.sort_by([("tree", "ascending"), ("id", "ascending")])
     c = {n: t.column(n).to_numpy() for n in t.column_names}
     cuts = np.r_[np.flatnonzero(np.r_[True, c["tree"][1:] != c["tree"][:-1]]), len(c["tree"])]
     out = []
@@ -527,7 +723,11 @@ def fit_trees(df: DataFrame, features: list[str], label: str, settings: TreeSett
     root = root_cells(rows, features, edges, settings)
     if settings.bagged:
         base = None if rows.isEmpty() else 0.0
-        nodes = grow(root, len(features), settings)[0]
+        celled = _with_cells(rows, features, edges)
+        if fits_a_task(celled, settings):
+            nodes = grow_packed(packed_cells(celled, len(features), settings), len(features), settings)
+        else:
+            nodes = grow(root, len(features), settings)[0]
     else:
         base = rows.agg(F.avg("label")).first()[0]
         root = materialize(root.withColumn("s", F.col("s") - F.col("h") * F.lit(base)), "cells")
@@ -543,16 +743,15 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, settings: TreeSe
     of a fold go through its forest's splits with weight 0, so no model is written or scored."""
     rows = training_rows(df, features, label, imputer, fold)
     edges = bin_edges(rows, features, settings.max_bins)
-    settled = grow(root_cells(rows, features, edges, settings, models=k), len(features), settings)[1]
-    @F.pandas_udf("binary")
-    def cell(x: pd.Series) -> pd.Series:
-        bins = to_bins(_rows(x, len(edges)), edges)
-        return pd.Series([b.tobytes() for b in bins])
-
-    scores = settled.groupBy("model", "cell").agg((F.sum("value") / settings.trees).alias("prediction"), F.count("*").alias("n")).filter(F.col("n") == settings.trees)
-    asked = rows.select("fold", "label", cell(F.array(*features)).alias("cell"))
-    return asked.join(scores.withColumnRenamed("model", "fold"), ["fold", "cell"]).select("fold", "label", "prediction")
-
+    celled = _with_cells(rows, features, edges)
+    if fits_a_task(celled, settings):
+        scores = tell_packed(packed_cells(celled, len(features), settings, models=k), len(features), settings, k)
+    else:
+        settled = grow(root_cells(rows, features, edges, settings, models=k), len(features), settings)[1]
+        scores = settled.groupBy("model", "cell").agg((F.sum("value") / settings.trees).alias("prediction"), F.count("*").alias("n")).filter(F.col("n") == settings.trees)
+    scores = materialize(scores.select(F.col("model").alias("fold"), "cell", "prediction"), "out-of-fold")
+    asked = rows.select("fold", "label", _cell_udf(edges)(F.array(*features)).alias("cell"))
+    return asked.join(scores, ["fold", "cell"]).select("fold", "label", "prediction")
 
 
 # --- attribution ------------------------------------------------------------------------------------------------
@@ -602,9 +801,9 @@ def path_attribution(leaves: dict, x: np.ndarray, block: int = 1 << 16) -> np.nd
     return out
 
 
-def attributions(model: TreeModel, rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def attributions(model: TreeModel, rows: DataFrame, chunk_bytes: int = CHUNK_BYTES, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """``rows`` (imputed) with ``__phi``: [base, prediction, contributions]. Rows stream past the leaves, which are broadcast in
-    chunks of trees of bounded bytes."""
+    chunks of trees of bounded bytes; a larger model's trees meet the rows' distinct cells, a tree to a task."""
     p, edges = len(model.features), model.edges
     sizes = {r.tree: r["count"] for r in model.nodes.groupBy("tree").count().collect()}  # one row per tree
     scale = model.settings.rate / (len(sizes) if model.settings.bagged else 1)
@@ -616,6 +815,8 @@ def attributions(model: TreeModel, rows: DataFrame, chunk_bytes: int = CHUNK_BYT
         chunks[-1].append(t)
         held += n * each
     x = F.array(*[F.col(f"__imp_{f}").cast("double") for f in model.features])
+    if sum(sizes.values()) * each > model_bytes or max(sizes.values(), default=0) * each > chunk_bytes:
+        return _attributions_by_cells(model, rows.withColumn("__cell", _cell_udf(edges)(x)), scale)
     start = F.array(*[F.lit(float(model.base or 0.0))] * 2, *[F.lit(0.0)] * p)
     out = rows.withColumns({"__x": x, "__phi": start})
     for chunk in filter(None, chunks):
@@ -625,6 +826,19 @@ def attributions(model: TreeModel, rows: DataFrame, chunk_bytes: int = CHUNK_BYT
     return out.drop("__x")
 
 
+def _attributions_by_cells(model: TreeModel, rows: DataFrame, scale: float) -> DataFrame:
+    p, base = len(model.features), float(model.base or 0.0)
+
+    def work(tree: dict, bins: np.ndarray) -> np.ndarray:
+        leaves = leaf_paths(tree, p)
+        return np.array([path_attribution(leaves, b) for b in bins])
+
+    own = materialize(rows, "rows-to-explain")
+    sums = over_trees(model, own.select(F.col("__cell").alias("cell")).distinct(), p + 2, work)
+    phi = F.array(*[F.col("sums")[i] * scale + (base if i < 2 else 0.0) for i in range(p + 2)])
+    return own.join(sums.select(F.col("cell").alias("__cell"), phi.alias("__phi")), "__cell").drop("__cell")
+
+
 def _adds_paths(leaves, edges: list[list[float]], scale: float):
     @F.pandas_udf("array<double>")
     def add(x: pd.Series, so_far: pd.Series) -> pd.Series:

@@ -139,6 +139,56 @@ def test_scoring_by_joins_and_chunks(spark):
         assert [got[i] for i in sorted(got)] == pytest.approx(whole, rel=1e-12)
 
 
+def test_large_models_meet_distinct_cells(spark, monkeypatch):
+    """A model over the limit scores and explains by the rows' distinct cells, in pieces, and not row by row and level by level."""
+    df = table(spark, nulls=True)
+    m = ml.fit(df, ml.forest_estimator(5, 6), FEATURES)
+    met = []
+    own = trees.over_trees
+    monkeypatch.setattr(trees, "over_trees", lambda model, cells, width, work: met.append(cells.count()) or own(model, cells, width, work))
+    monkeypatch.setattr(trees, "TOLD", 7)
+    monkeypatch.setattr(trees, "CHUNK_CELLS", 50)
+    whole = predictions(m, df)
+    got = {r.id: r.prediction for r in m.transform(df, model_bytes=0).collect()}
+    assert [got[i] for i in sorted(got)] == pytest.approx(whole, rel=1e-12)
+    few = m.impute(df.filter("id < 30"))
+    want = {r.id: r["__phi"] for r in trees.attributions(m, few).collect()}
+    phi = {r.id: r["__phi"] for r in trees.attributions(m, few, model_bytes=0).collect()}
+    assert phi.keys() == want.keys() and all(phi[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in phi)
+    assert len(met) == 2 and met[0] <= 13 * 6 * 2
+
+
+def test_packed_sums_are_those_of_the_rows(spark):
+    """A forest's sums travel many cells to a record, not a row per tree and cell."""
+    df = table(spark)
+    rows = df.select("a", "b", "c", F.col("price").alias("label"), F.xxhash64("id").alias("row_hash"), (F.col("id") % 3).cast("int").alias("fold"))
+    edges = trees.bin_edges(rows, FEATURES, 256)
+    settings = ml.forest_estimator(4, 3)
+    plain_sums = {}
+    for r in trees.root_cells(rows, FEATURES, edges, settings).collect():
+        plain_sums[r.tree, bytes(r.cell)] = (r.h, r.s)
+    packed = trees.packed_cells(trees._with_cells(rows, FEATURES, edges), 3, settings).collect()
+    got = {}
+    for r in packed:
+        cells = [r.cells[i:i + 6] for i in range(0, len(r.cells), 6)]
+        for c, h, s in zip(cells, np.frombuffer(r.h, np.float32), np.frombuffer(r.s, float)):
+            a, b = got.get((r.tree, bytes(c)), (0, 0))
+            got[r.tree, bytes(c)] = (a + h, b + s)
+    assert got.keys() == plain_sums.keys() and all(got[k] == pytest.approx(plain_sums[k], rel=1e-12) for k in got)
+    assert len(packed) < len(plain_sums) / 4
+
+
+def test_tables_and_sorted_runs_find_the_same_cuts():
+    """Deep levels have more (node, bin) slots than cells; both ways split alike, down to pure leaves."""
+    r = np.random.default_rng(3)
+    bins, _ = trees._distinct(r.integers(0, (300, 5, 2), (3000, 3)))
+    y = (bins[:, 0] * 7 % 31 + bins[:, 1] * 3).astype(float)
+    nodes, leaf = trees.grow_group(bins, np.ones(len(y)), y, ml.forest_estimator(1, None), None)
+    assert np.abs(nodes["value"][leaf] - y).max() < 1e-9 and len(nodes["left"]) > 1000
+    inner = nodes["feature"] >= 0
+    assert (nodes["cover"][inner] == nodes["cover"][nodes["left"][inner]] + nodes["cover"][nodes["right"][inner]]).all()
+
+
 def test_save_load(spark):
     df = table(spark)
     m = ml.fit(df, ml.boosted_estimator(3, 3, 0.3, 1.0), FEATURES)
