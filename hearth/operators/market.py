@@ -8,6 +8,7 @@ step stay in the plan as broadcast one-row frames.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -430,23 +431,124 @@ def poisson_steps(bits: int = WEIGHT_BITS) -> list[int]:
         k += 1
 
 
+#: MD5's shifts and constants.
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2 ** 32)) for i in range(64)]
+_START = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+
+
+def md5_words(keys: np.ndarray, suffix: bytes) -> list[np.ndarray]:
+    """The four little-endian words of MD5 of each key followed by ``suffix``, for many keys at once. ``keys``: bytes (n, length)."""
+    n, length = keys.shape
+    size = length + len(suffix)
+    if size > 55:  # more than one block of MD5
+        out = np.frombuffer(b"".join(hashlib.md5(k.tobytes() + suffix).digest() for k in keys), "<u4").reshape(n, 4)
+        return [out[:, i].copy() for i in range(4)]
+    own = -(-length // 4)
+    wide = np.zeros((n, 4 * own), np.uint8)
+    wide[:, :length] = keys
+    last = np.frombuffer((bytes(length) + suffix + b"\x80").ljust(56, b"\0") + (8 * size).to_bytes(8, "little"), "<u4")
+    words = [w | x for w, x in zip(np.ascontiguousarray(wide.view("<u4").T), last)] + list(last[own:])
+    a, b, c, d = (np.full(n, x) for x in _START)
+    f, up = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    with np.errstate(over="ignore"):
+        for i in range(64):
+            # In place: a step's numbers stay in the processor's nearest memory.
+            if i < 16:
+                g = i
+                np.bitwise_xor(c, d, out=f)
+                np.bitwise_and(f, b, out=f)
+                np.bitwise_xor(f, d, out=f)
+            elif i < 32:
+                g = (5 * i + 1) % 16
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_and(f, d, out=f)
+                np.bitwise_xor(f, c, out=f)
+            elif i < 48:
+                g = (3 * i + 5) % 16
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_xor(f, d, out=f)
+            else:
+                g = 7 * i % 16
+                np.invert(d, out=f)
+                np.bitwise_or(f, b, out=f)
+                np.bitwise_xor(f, c, out=f)
+            np.add(a, f, out=a)
+            if g < own:
+                np.add(a, words[g], out=a)
+                np.add(a, _SINES[i], out=a)
+            else:
+                np.add(a, words[g] + _SINES[i], out=a)
+            turn = np.uint32(_TURNS[i // 16][i % 4])
+            np.left_shift(a, turn, out=up)
+            np.right_shift(a, np.uint32(32) - turn, out=a)
+            np.bitwise_or(a, up, out=a)
+            np.add(a, b, out=a)
+            a, d, c, b = d, c, b, a
+        return [x + y for x, y in zip((a, b, c, d), _START)]
+
+
+#: Rows hashed at a time, and groups whose sums a task holds at most.
+HASHED, HELD_GROUPS = 16_384, 1000
+
+
 def bootstrap_sums(df: DataFrame, by: str, value: str, replicates: int = 1000, seed: int = 42, key: str = "id") -> DataFrame:
     """(by, replicate, weight, total) of a Poisson bootstrap: in replicate b a row counts Poisson(1) times, by a hash of its key, the
-    seed and b. All replicates are summed in one pass and do not depend on partitioning. Rows without group, key or value are left out."""
+    seed and b. All replicates are summed in one pass and do not depend on partitioning; a task sends on one row per group and replicate.
+    Rows without group, key or value are left out."""
     rows = df.filter(F.col(by).isNotNull() & F.col(key).isNotNull() & F.col(value).isNotNull()).select(
         F.col(by).alias("__by"), F.col(key).cast("string").alias("__key"), F.col(value).cast("double").alias("__y"))
     # A row is worked on once per replicate, so rows are dealt to all cores however few bytes they have.
     rows = rows.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
-    block = rows.select("__by", "__key", "__y", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // PER_HASH) - 1))).alias("__block"))
-    block = block.select("__by", "__block", "__y", F.md5(F.concat("__key", F.lit(f"-{seed}-"), F.col("__block").cast("string")).cast("binary")).alias("__h"))
-    # Twelve, twelve and eight digits as numbers: three, three and two weights of four digits each.
-    block = block.select("__by", "__block", "__y", *[F.conv(F.substring("__h", at, n), 16, 10).cast("bigint").alias(f"__v{i}")
-                                                     for i, (at, n) in enumerate(((1, 12), (13, 12), (25, 8)))])
-    parts = [F.shiftright(f"__v{j // 3}", WEIGHT_BITS * (2 - j % 3 if j < 6 else 7 - j)).bitwiseAND(F.lit(2 ** WEIGHT_BITS - 1)) for j in range(PER_HASH)]
-    drawn = block.select("__by", "__y", "__block", F.posexplode(F.array(*parts)).alias("__j", "__u"))
-    w = sum(((F.col("__u") >= t).cast("int") for t in poisson_steps()), F.lit(0))
-    drawn = drawn.select("__by", (F.col("__block") * PER_HASH + F.col("__j")).alias("replicate"), w.alias("__w"), "__y").filter(F.col("replicate") < replicates)
-    return drawn.groupBy(F.col("__by").alias(by), "replicate").agg(F.sum("__w").alias("weight"), F.sum(F.col("__w") * F.col("__y")).alias("total"))
+    kind = rows.schema["__by"].dataType.simpleString()
+    blocks = -(-replicates // PER_HASH)
+    # The weight by a hash's 16 bits as they lie in a little-endian word.
+    u = np.arange(2 ** WEIGHT_BITS, dtype="<u2")
+    weight_of = np.searchsorted(poisson_steps(), u.byteswap(), side="right").astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, (w, s) in held.items():
+                names = pa.array([name], kind_of).take(pa.array(np.zeros(replicates, int)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.arange(replicates, dtype=np.int32)), pa.array(w[:replicates].astype(np.int64)), pa.array(s[:replicates])],
+                                                 ["__by", "replicate", "weight", "total"])
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind_of = batch.column("__by").type
+            groups = batch.column("__by").dictionary_encode()
+            names, code, y = groups.dictionary.to_pylist(), groups.indices.to_numpy(), batch.column("__y").to_numpy()
+            keys = [k.encode() for k in batch.column("__key").to_pylist()]
+            length = np.array([len(k) for k in keys])
+            order = np.lexsort((code, length))
+            for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                for at in range(0, len(part), HASHED):
+                    i = part[at:at + HASHED]
+                    text = np.frombuffer(b"".join([keys[j] for j in i]), np.uint8).reshape(len(i), length[i[0]])
+                    start, own = np.flatnonzero(np.r_[True, np.diff(code[i]) != 0]), y[i]
+                    sums = np.empty((2, len(start), blocks * PER_HASH))
+                    for block in range(blocks):
+                        for word, x in enumerate(md5_words(text, f"-{seed}-{block}".encode())):
+                            for half, bits in enumerate((x & np.uint32(0xFFFF), x >> np.uint32(WEIGHT_BITS))):
+                                w, to = weight_of[bits], block * PER_HASH + 2 * word + half
+                                sums[0, :, to] = np.add.reduceat(w, start)
+                                sums[1, :, to] = np.add.reduceat(w * own, start)
+                    for g, c in enumerate(code[i[start]]):
+                        if names[c] in held:
+                            held[names[c]] += sums[:, g]
+                        else:
+                            held[names[c]] = sums[:, g].copy()
+                    if len(held) > HELD_GROUPS:
+                        yield from told()
+        if held:
+            yield from told()
+
+    drawn = rows.mapInArrow(run, f"__by {kind}, replicate int, weight bigint, total double")
+    return drawn.groupBy(F.col("__by").alias(by), "replicate").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
 
 
 def grade_price_bootstrap(df: DataFrame, by: str = "grade", value: str = "price", replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:

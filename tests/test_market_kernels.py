@@ -1,6 +1,7 @@
 """Correlation blocks, fast Gauss transform and Poisson bootstrap against their definitions."""
 
 import contextlib
+import hashlib
 import io
 import math
 
@@ -91,6 +92,32 @@ def test_bootstrap_is_repeatable_and_near_the_normal_form(spark):
             assert r.ci_low < r.avg_price < r.ci_high
 
 
+def test_hashes_of_many_keys():
+    for length in (0, 1, 4, 9, 40, 51, 52, 70):
+        keys = np.random.default_rng(length).integers(0, 256, (20, length)).astype(np.uint8)
+        for suffix in (b"-42-0", b"-42-124"):
+            words = np.column_stack(mk.md5_words(keys, suffix)).astype("<u4")
+            assert [w.tobytes() for w in words] == [hashlib.md5(k.tobytes() + suffix).digest() for k in keys]
+
+
+def test_bootstrap_sums_by_hand_and_without_a_row_per_draw(spark):
+    """Sums against hashes taken one by one; rows are not fanned out to replicates."""
+    rows = [(i * 37, "ab"[i % 3 > 0], i / 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, grade string, price double")
+    steps = mk.poisson_steps()
+    want = {}
+    for i, g, y in rows:
+        for b in range(11):
+            h = hashlib.md5(f"{i}-42-{b // 8}".encode()).hexdigest()
+            w = sum(int(h[4 * (b % 8):4 * (b % 8) + 4], 16) >= t for t in steps)
+            a = want.get((g, b), (0, 0.0))
+            want[g, b] = (a[0] + w, a[1] + w * y)
+    sums = mk.bootstrap_sums(df, "grade", "price", 11)
+    got = {(r.grade, r.replicate): (r.weight, r.total) for r in sums.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
+    assert "Generate" not in plan(sums)
+
+
 def test_bootstrap_weights(spark):
     df = spark.range(20_000).select("id", F.lit(1).alias("grade"), F.lit(2.0).alias("price"))
     sums = mk.bootstrap_sums(df, "grade", "price", 20).collect()
