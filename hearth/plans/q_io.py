@@ -128,8 +128,7 @@ def q_upload_catalog(spark, d):
     started = datetime.now(timezone.utc).replace(second=0, microsecond=0)
     for ts, name, n in (("20240101_000000", "first", 3), ("20240101_000000", "other", 2), ("20240102_000000", "second", 1)):
         sinks.land_upload(raw.repartition(n), landing, ts, name)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(landing)
-    held = files.select(F.regexp_extract("path", "/name=([^/]+)/", 1).alias("name"), F.length("content").alias("n")).groupBy("name").agg(F.sum("n").alias("bytes"))
+    held = fi.held_bytes(spark, landing)
     w = Window.orderBy(F.desc("load_ts"), "name")  # one row per upload
     return fi.upload_catalog(spark, landing).join(held, "name").select(
         "load_ts", "name", "n_files", (F.abs(F.col("size_mb") - F.col("bytes") / 1048576) <= 0.005001).alias("size_is_that_of_the_files"),

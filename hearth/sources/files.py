@@ -47,6 +47,14 @@ def upload_catalog(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
     ).orderBy(F.desc("load_ts"), "name")
 
 
+def held_bytes(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """(name, bytes) of the uploads below ``folder``, counted by reading every line (a line and its end). Files are read in splits, so a
+    file of any size is not held whole by a task; a last line without an end counts one byte too many."""
+    lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("lineSep", "\n").text(folder)
+             .select(F.regexp_extract("_metadata.file_path", "/name=([^/]+)/", 1).alias("name"), (F.octet_length("value") + 1).cast("bigint").alias("n")))
+    return lines.groupBy("name").agg(F.sum("n").alias("bytes"))
+
+
 def flatten_observation(df: DataFrame, col: str = "payload") -> DataFrame:
     """Nested weather JSON -> one flat row: temperature, feels_like,
     humidity, pressure, title-cased first description, wind speed, icon.

@@ -1,6 +1,8 @@
 """Sinks and sources by read-back; the streaming aggregate resumes from its
 checkpoint and equals the batch result."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
@@ -96,3 +98,16 @@ def test_stream_reads_a_folder_and_a_file_and_skips_unfinished_epochs(spark, tmp
     out = run_event_counts(spark, f"{tmp_path}/events.parquet*", f"{tmp_path}/out")
     os.makedirs(f"{tmp_path}/out/epoch=99")  # a writer that died
     assert latest_counts(spark, out).count() == len(want)
+
+
+def test_held_bytes_are_read_in_splits(spark, tmp_path):
+    """Every byte of an upload counts, and no task reads a file whole."""
+    part = sinks.land_upload(spark.range(3000).select("id", F.concat(F.lit("\u00e4,\r x"), F.col("id").cast("string")).alias("t")).coalesce(1), str(tmp_path), "20240101_000000", "one")
+    size = sum(os.path.getsize(os.path.join(part, f)) for f in os.listdir(part) if f.endswith(".csv"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert [tuple(r) for r in files.held_bytes(spark, str(tmp_path)).collect()] == [("one", size)]
+        assert spark.read.text(part).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
