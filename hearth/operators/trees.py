@@ -5,7 +5,8 @@ needs of the rows is, per cell, a weight ``h`` and a sum ``s`` (bagged rows and
 labels, or rows and residuals), so rows are added up to cells before
 anything is shuffled, and the work of a tree depends on its cells.
 
-Growth goes level by level. Nodes of more than ``local_cells`` cells are split by
+A forest whose rows have at most ``local_cells`` cells sends each tree's sums, packed, to one task, which grows it whole. Else growth goes
+level by level: nodes of more than ``local_cells`` cells are split by
 Spark: sums per (tree, node, feature, bin) are grouped aggregates that tasks
 combine first, the best split of a node is taken in the executors, and the splits are
 joined back to the cells; the driver only counts levels. A node with fewer cells is
